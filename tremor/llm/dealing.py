@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tremor.llm.common import partitions
 
-CHUNK_ROWS_BYTES = 8 << 20
+#: Bytes of text whose hashes are dealt out together.
+DEAL_BYTES = 1 << 20
 
 
 def buckets(spark: SparkSession) -> int:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tremor.llm import textbytes as tb
 from tremor.llm.common import broadcast_if_small, discard, settle, text_or_empty
 from tremor.llm.components import components
-from tremor.llm.dealing import CHUNK_ROWS_BYTES, batch_of, buckets, by_bucket
+from tremor.llm.dealing import DEAL_BYTES, batch_of, buckets, by_bucket
 
 SHINGLE = 5
 #: Similarity as a fraction: PER_CENT * |A & B| >= 80 * |A | B|.
@@ -78,7 +78,7 @@ def shared_classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in _chunks(batch, 0, CHUNK_ROWS_BYTES // 2):
+            for _, _, data, offsets in _chunks(batch, 0, DEAL_BYTES):
                 h, doc, n, one, _ = _sets(data, offsets, size)
                 _, keep = np.unique(one, return_index=True)  # copies within the chunk go once
                 first = np.zeros(len(n), bool)

@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 
 from tremor.llm import textbytes as tb
 from tremor.llm.common import broadcast_if_small, settle, text_or_empty
-from tremor.llm.dealing import CHUNK_ROWS_BYTES, batch_of, buckets, by_bucket, steps
+from tremor.llm.dealing import DEAL_BYTES, batch_of, buckets, by_bucket, steps
 from tremor.llm.suffix_array import least_owner
 
 LENGTH = 50
 GRAM = 20
 _POSITION_BITS = 24
-_SEGMENT = 1 << 23
+_SEGMENT = 1 << 21
 #: How a unit travels; sorted by document and place, so differences are small.
 UNIT = {"anchor": "<u4", "unit": "<u8", "first": "<u4", "windows": "u1", "left": "<u2", "right": "<u2", "doc": "<i8"}
 STEPS = ("first", "doc")
@@ -86,7 +86,7 @@ def _units(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[
 
 def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(first document, end document, first byte, end byte); long documents in overlapping segments."""
-    for i, j in tb.chunks(offsets, CHUNK_ROWS_BYTES // 4):
+    for i, j in tb.chunks(offsets, DEAL_BYTES):
         a, b = int(offsets[i]), int(offsets[j])
         if b - a <= _SEGMENT:
             yield i, j, a, b
@@ -260,7 +260,7 @@ def compared_ranges(docs: DataFrame, ranges: DataFrame, length: int = LENGTH) ->
 
     wanted = ranges.where(F.length("compared") > 0).select(F.col("doc_id").alias("at"), "compared")
     wanted = broadcast_if_small(wanted, 128)
-    dealt = docs.join(wanted, docs["doc_id"] == wanted["at"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "compared").mapInArrow(cut, "bucket long, " + ", ".join(f"{k} binary" for k in fields))
+    dealt = docs.join(wanted, docs["doc_id"] == wanted["at"]).select("doc_id", "text", "compared").mapInArrow(cut, "bucket long, " + ", ".join(f"{k} binary" for k in fields))
     return _by_document(by_bucket(dealt, "bucket", fields, sort, _RANGE_KINDS)).select("doc_id", "removed")
 
 
