@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tremor.llm.common import partitions
 
 #: Bytes of text whose hashes are dealt out together.
-DEAL_BYTES = 1 << 20
+DEAL_BYTES = 16 << 20
 
 
 def buckets(spark: SparkSession) -> int:
@@ -30,11 +30,26 @@ def steps(values: np.ndarray) -> bytes:
     return np.diff(values, prepend=values.dtype.type(0)).astype(values.dtype).tobytes()
 
 
-def by_bucket(df: DataFrame, column: str, arrays: dict[str, str], work: Callable[..., Iterator[pa.RecordBatch]], schema: str, sums: tuple[str, ...] = ()) -> DataFrame:
+def pack_by(bucket: np.ndarray, n_buckets: int, columns: dict[str, np.ndarray], stepped: tuple[str, ...] = ()) -> pa.RecordBatch:
+    """One row per bucket that has values: its number and each column's values in their given order."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=bucket.dtype))
+    some = np.flatnonzero(np.diff(cut))
+    out: dict[str, tuple[list, pa.DataType]] = {"bucket": (some.tolist(), pa.int64())}
+    for name, values in columns.items():
+        values = values[order]
+        parts = [values[cut[x] : cut[x + 1]] for x in some]
+        out[name] = ([steps(p) if name in stepped else p.tobytes() for p in parts], pa.binary())
+    return batch_of(out)
+
+
+def by_bucket(df: DataFrame, column: str, arrays: dict[str, str], work: Callable[..., Iterator[pa.RecordBatch]], schema: str, sums: tuple[str, ...] = (), finish: Callable | None = None) -> DataFrame:
     """Deal ``df`` by ``column`` and call ``work(bucket, {name: array})`` on each whole bucket.
 
     ``arrays`` names the binary columns and their numpy types; chunks of a bucket are joined.
-    Columns named in ``sums`` hold the differences of their values (see ``steps``)."""
+    Columns named in ``sums`` hold the differences of their values (see ``steps``).
+    With ``finish``, ``work`` returns a tuple of arrays instead; those of all buckets of the task are joined
+    and given to ``finish`` at once, so that few rows go out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[str, list[np.ndarray]]] = {}
@@ -44,8 +59,15 @@ def by_bucket(df: DataFrame, column: str, arrays: dict[str, str], work: Callable
                 for name, kind in arrays.items():
                     values = np.frombuffer(batch.column(name)[i].as_buffer(), kind)
                     parts[name].append(np.cumsum(values, dtype=kind) if name in sums else values)
+        done = []
         for b in sorted(held):
             parts = held.pop(b)
-            yield from work(b, {name: np.concatenate(v) for name, v in parts.items()})
+            out = work(b, {name: np.concatenate(v) for name, v in parts.items()})
+            if finish:
+                done.append(out)
+            else:
+                yield from out
+        if done:
+            yield finish(*map(np.concatenate, zip(*done)))
 
     return df.select(column, *arrays).repartition(partitions(df.sparkSession), column).mapInArrow(run, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tremor.llm import textbytes as tb
 from tremor.llm.common import broadcast_if_small, discard, settle, text_or_empty
 from tremor.llm.components import components
-from tremor.llm.dealing import DEAL_BYTES, batch_of, buckets, by_bucket
+from tremor.llm.dealing import DEAL_BYTES, buckets, by_bucket, pack_by
 
 SHINGLE = 5
 #: Similarity as a fraction: PER_CENT * |A & B| >= 80 * |A | B|.
@@ -70,44 +70,44 @@ def set_digests(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, one long, two long")
 
 
-def shared_classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def shared_classes(docs: DataFrame, size_of_shingle: int = SHINGLE) -> DataFrame:
     """``one`` of every class of which at least 80 % of the shingles occur in another class too.
 
     Only the low 32 bits of a hash travel within its bucket; a chance agreement can only keep a class."""
     n_buckets = buckets(docs.sparkSession)
 
+    def send(held: list[tuple]) -> pa.RecordBatch:
+        """Token and class of each (set, bucket), as runs: the sets of a bucket stand one after another."""
+        h, n, one = (np.concatenate([x[k] for x in held]) for k in (0, 2, 3))
+        doc = np.concatenate([x[1] + at for x, at in zip(held, np.cumsum([0, *(len(x[2]) for x in held)]))])
+        _, keep = np.unique(one, return_index=True)  # copies go once
+        mine = np.isin(doc, keep) if len(keep) < len(n) else np.ones(len(doc), bool)
+        h, doc = h[mine], doc[mine]
+        bucket = ((h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+        # hashes rise within a set, so a set's share of a bucket is one run
+        entry = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])])) if len(h) else np.zeros(0, np.int64)
+        count = np.diff(np.append(entry, len(h)))
+        tokens = pack_by(bucket, n_buckets, {"token": h.astype(np.uint32)})
+        runs = pack_by(bucket[entry], n_buckets, {"count": count.astype(np.uint32), "one": one[doc[entry]], "n": n[doc[entry]].astype(np.uint32)})
+        return pa.RecordBatch.from_arrays([*tokens.columns, *runs.columns[1:]], ["bucket", "token", "count", "one", "n"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for _, _, data, offsets in _chunks(batch, 0, DEAL_BYTES):
-                h, doc, n, one, _ = _sets(data, offsets, size)
-                _, keep = np.unique(one, return_index=True)  # copies within the chunk go once
-                first = np.zeros(len(n), bool)
-                first[keep] = True
-                mine = first[doc]
-                h, doc = h[mine], doc[mine]
-                bucket = ((h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                h, doc, bucket = h[order], doc[order], bucket[order]
-                token = h.astype(np.uint32)
-                entry = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])])) if len(h) else np.zeros(0, np.int64)
-                count = np.diff(np.append(entry, len(h))).astype(np.uint32)
-                owner, at = doc[entry], bucket[entry]
-                cut = np.searchsorted(at, np.arange(n_buckets + 1))
-                place = np.append(entry, len(h))[cut]
-                out: dict[str, list] = {k: [] for k in ("bucket", "token", "count", "one", "n")}
-                for b in range(n_buckets):
-                    if cut[b] < cut[b + 1]:
-                        part = slice(cut[b], cut[b + 1])
-                        for k, v in zip(out, (b, token[place[b] : place[b + 1]].tobytes(), count[part].tobytes(), one[owner[part]].tobytes(), n[owner[part]].astype(np.uint32).tobytes())):
-                            out[k].append(v)
-                yield batch_of({k: (v, pa.int64() if k == "bucket" else pa.binary()) for k, v in out.items()})
-
-    def share(_: int, a: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for _, _, data, offsets in _chunks(batch, 0, tb.CHUNK_BYTES):
+                held.append(_sets(data, offsets, size_of_shingle)[:4])
+                size += len(data)
+                if size >= DEAL_BYTES:
+                    yield send(held)
+                    held, size = [], 0
+        if held:
+            yield send(held)
+
+    def share(_: int, a: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
         classes, index, inverse = np.unique(a["one"], return_index=True, return_inverse=True)
-        n = a["n"][index]
         both = a["token"].astype(np.uint64) << np.uint64(32) | np.repeat(inverse, a["count"]).astype(np.uint64)
         both.sort()
-        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
         token = (both >> np.uint64(32)).astype(np.uint32)
         same = token[1:] == token[:-1]
         shared = np.zeros(len(both), bool)
@@ -115,14 +115,10 @@ def shared_classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         shared[:-1] |= same
         count = np.bincount((both[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(classes))
         some = np.flatnonzero(count)
-        to = (classes[some] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
-        cut = np.searchsorted(to, np.arange(n_buckets + 1, dtype=np.uint64))  # classes are sorted
-        out: dict[str, list] = {k: [] for k in ("bucket", "one", "n", "shared")}
-        for b in np.flatnonzero(np.diff(cut)):
-            part = some[cut[b] : cut[b + 1]]
-            for k, v in zip(out, (int(b), classes[part].tobytes(), n[part].tobytes(), count[part].astype(np.uint32).tobytes())):
-                out[k].append(v)
-        yield batch_of({k: (v, pa.int64() if k == "bucket" else pa.binary()) for k, v in out.items()})
+        return classes[some], a["n"][index[some]], count[some].astype(np.uint32)
+
+    def to_classes(one: np.ndarray, n: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
+        return pack_by(((one >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64), n_buckets, {"one": one, "n": n, "shared": shared})
 
     def add(_: int, a: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         classes, index, inverse = np.unique(a["one"], return_index=True, return_inverse=True)
@@ -131,7 +127,7 @@ def shared_classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(classes[keep].view(np.int64))], ["one"])
 
     dealt = docs.select("text").mapInArrow(deal, "bucket long, token binary, count binary, one binary, n binary")
-    counts = by_bucket(dealt, "bucket", {"token": "<u4", "count": "<u4", "one": "<u8", "n": "<u4"}, share, "bucket long, one binary, n binary, shared binary")
+    counts = by_bucket(dealt, "bucket", {"token": "<u4", "count": "<u4", "one": "<u8", "n": "<u4"}, share, "bucket long, one binary, n binary, shared binary", finish=to_classes)
     return by_bucket(counts, "bucket", {"one": "<u8", "n": "<u4", "shared": "<u4"}, add, "one long")
 
 

@@ -35,13 +35,15 @@ from pyspark.sql import functions as F
 
 from tremor.llm import textbytes as tb
 from tremor.llm.common import broadcast_if_small, settle, text_or_empty
-from tremor.llm.dealing import DEAL_BYTES, batch_of, buckets, by_bucket, steps
+from tremor.llm.dealing import DEAL_BYTES, batch_of, buckets, by_bucket, pack_by
 from tremor.llm.suffix_array import least_owner
 
 LENGTH = 50
 GRAM = 20
 _POSITION_BITS = 24
 _SEGMENT = 1 << 21
+#: Suffix-sorting problems per bucket of anchors.
+FINER = 16
 #: How a unit travels; sorted by document and place, so differences are small.
 UNIT = {"anchor": "<u4", "unit": "<u8", "first": "<u4", "windows": "u1", "left": "<u2", "right": "<u2", "doc": "<i8"}
 STEPS = ("first", "doc")
@@ -86,7 +88,7 @@ def _units(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[
 
 def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(first document, end document, first byte, end byte); long documents in overlapping segments."""
-    for i, j in tb.chunks(offsets, DEAL_BYTES):
+    for i, j in tb.chunks(offsets):
         a, b = int(offsets[i]), int(offsets[j])
         if b - a <= _SEGMENT:
             yield i, j, a, b
@@ -96,36 +98,28 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 
 
 def _dealt_units(docs: DataFrame, n_buckets: int, length: int, gram: int) -> DataFrame:
+    def send(held: list[dict]) -> pa.RecordBatch:
+        columns = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        bucket = ((columns["anchor"] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+        return pack_by(bucket, n_buckets, {k: v.astype(UNIT[k]) for k, v in columns.items()}, STEPS)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = tb.string_buffers(batch.column(1))
             for i, j, a, b in _pieces(offsets):
                 bounds = np.clip(offsets[i : j + 1], a, b) - a
                 sizes = np.diff(bounds)
-                doc_of = np.repeat(np.arange(i, j), sizes)
                 first, windows, anchor, unit, left, right = _units(data[a:b], np.repeat(bounds[1:], sizes), length, gram)
-                doc = doc_of[first]
-                bucket = ((anchor >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bucket, doc = bucket[order], doc[order]
-                columns = {
-                    "anchor": anchor[order].astype(np.uint32),
-                    "unit": unit[order],
-                    "first": (first[order] + a - offsets[doc]).astype(np.uint32),
-                    "windows": windows[order].astype(np.uint8),
-                    "left": left[order],
-                    "right": right[order],
-                    "doc": ids[doc].astype(np.int64),
-                }
-                cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-                out: dict[str, list] = {k: [] for k in ("bucket", *columns)}
-                for x in np.flatnonzero(np.diff(cut)):
-                    part = slice(cut[x], cut[x + 1])
-                    out["bucket"].append(int(x))
-                    for k, v in columns.items():
-                        out[k].append(steps(v[part]) if k in STEPS else v[part].tobytes())
-                yield batch_of({k: (v, pa.int64() if k == "bucket" else pa.binary()) for k, v in out.items()})
+                doc = np.repeat(np.arange(i, j), sizes)[first]
+                held.append({"anchor": anchor, "unit": unit, "first": first + a - offsets[doc], "windows": windows, "left": left, "right": right, "doc": ids[doc]})
+                size += b - a
+                if size >= DEAL_BYTES:
+                    yield send(held)
+                    held, size = [], 0
+        if held:
+            yield send(held)
 
     kinds = "bucket long, " + ", ".join(f"{k} binary" for k in UNIT)
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(deal, kinds)
@@ -139,8 +133,8 @@ def _first_of_runs(*sorted_keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _judge(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, first, windows, open) of the units to remove (open False) or to compare further (open True)."""
+def _judge(a: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(doc, first, windows, open, anchor) of the units to remove (open False) or to compare further (open True)."""
     doc = a["doc"]
     order = np.argsort(a["anchor"], kind="stable")
     anchor = a["anchor"][order]
@@ -152,7 +146,7 @@ def _judge(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     again = np.lexsort((d, unit, anchor))
     order, anchor, unit, d = order[again], anchor[again], unit[again], d[again]
     if not len(order):
-        return d, d, d, d.astype(bool)
+        return d, d, d, d.astype(bool), anchor
     new_unit = _first_of_runs(anchor, unit)
     unit_at = np.cumsum(new_unit) - 1
     least = d[new_unit][unit_at]  # sorted by document within a unit
@@ -166,7 +160,7 @@ def _judge(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     remove, compare = d > least, (d == least) & alike[unit_at]
     take = remove | compare
     rows = order[take]
-    return d[take], a["first"][rows].astype(np.int64), a["windows"][rows].astype(np.int64), compare[take]
+    return d[take], a["first"][rows].astype(np.int64), a["windows"][rows].astype(np.int64), compare[take], anchor[take]
 
 
 def _merge(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -182,18 +176,14 @@ def _merge(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 _RANGES = {"doc": "<i8", "first": "<u4", "windows": "u1", "open": "u1", "anchored": "<u4"}
 
 
-def _to_documents(n_buckets: int, doc: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
-    """Ranges of windows packed by bucket of their document."""
-    to = (tb.mix(doc.view(np.uint64), 5) % np.uint64(n_buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    cut = np.searchsorted(to[order], np.arange(n_buckets + 1))
-    out: dict[str, list] = {k: [] for k in ("bucket", *_RANGES)}
-    for x in np.flatnonzero(np.diff(cut)):
-        part = order[cut[x] : cut[x + 1]]
-        out["bucket"].append(int(x))
-        for k, kind in _RANGES.items():
-            out[k].append((doc if k == "doc" else columns[k])[part].astype(kind).tobytes())
-    return batch_of({k: (v, pa.int64() if k == "bucket" else pa.binary()) for k, v in out.items()})
+def _to_documents(n_buckets: int):
+    """Packs (doc, first, windows, open, anchored) by bucket of the document."""
+
+    def pack(doc: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+        to = (tb.mix(doc.view(np.uint64), 5) % np.uint64(n_buckets)).astype(np.int64)
+        return pack_by(to, n_buckets, {k: v.astype(kind) for (k, kind), v in zip(_RANGES.items(), (doc, *rest))})
+
+    return pack
 
 
 def _by_document(ranges: DataFrame) -> DataFrame:
@@ -221,11 +211,12 @@ def window_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     """doc_id, removed, compared of the documents that share an anchor with another one."""
     n_buckets = buckets(docs.sparkSession)
 
-    def judge(bucket: int, a: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        doc, first, windows, open_ = _judge(a)
-        yield _to_documents(n_buckets, doc, first=first, windows=windows, open=open_, anchored=np.full(len(doc), bucket))
+    def judge(bucket: int, a: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        *found, anchor = _judge(a)
+        return *found, bucket * FINER + (anchor.astype(np.int64) * FINER >> 32)
 
-    return _by_document(by_bucket(_dealt_units(docs, n_buckets, length, gram), "bucket", UNIT, judge, _RANGE_KINDS, STEPS))
+    units = _dealt_units(docs, n_buckets, length, gram)
+    return _by_document(by_bucket(units, "bucket", UNIT, judge, _RANGE_KINDS, STEPS, _to_documents(n_buckets)))
 
 
 def compared_ranges(docs: DataFrame, ranges: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -250,18 +241,18 @@ def compared_ranges(docs: DataFrame, ranges: DataFrame, length: int = LENGTH) ->
                     out[k].append(v)
             yield batch_of({k: (v, pa.int64() if k == "bucket" else pa.binary()) for k, v in out.items()})
 
-    def sort(bucket: int, a: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def sort(_: int, a: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
         offsets = np.concatenate([[0], np.cumsum(a["windows"].astype(np.int64) + length - 1)])
         text, start, least = least_owner(a["texts"], offsets, a["doc"], length)
         gone = a["doc"][text] > least
         text, start = text[gone], start[gone]
         one = np.ones(len(text), np.int64)
-        yield _to_documents(n_buckets, a["doc"][text], first=a["first"][text].astype(np.int64) + start, windows=one, open=0 * one, anchored=0 * one)
+        return a["doc"][text], a["first"][text].astype(np.int64) + start, one, 0 * one, 0 * one
 
     wanted = ranges.where(F.length("compared") > 0).select(F.col("doc_id").alias("at"), "compared")
     wanted = broadcast_if_small(wanted, 128)
     dealt = docs.join(wanted, docs["doc_id"] == wanted["at"]).select("doc_id", "text", "compared").mapInArrow(cut, "bucket long, " + ", ".join(f"{k} binary" for k in fields))
-    return _by_document(by_bucket(dealt, "bucket", fields, sort, _RANGE_KINDS)).select("doc_id", "removed")
+    return _by_document(by_bucket(dealt, "bucket", fields, sort, _RANGE_KINDS, finish=_to_documents(n_buckets))).select("doc_id", "removed")
 
 
 def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
