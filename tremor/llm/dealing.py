@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tremor.llm.common import partitions
 
 #: Bytes of text whose hashes are dealt out together.
-DEAL_BYTES = 16 << 20
+DEAL_BYTES = 4 << 20
 
 
 def buckets(spark: SparkSession) -> int:

@@ -99,9 +99,8 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 
 def _dealt_units(docs: DataFrame, n_buckets: int, length: int, gram: int) -> DataFrame:
     def send(held: list[dict]) -> pa.RecordBatch:
-        columns = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        bucket = ((columns["anchor"] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-        return pack_by(bucket, n_buckets, {k: v.astype(UNIT[k]) for k, v in columns.items()}, STEPS)
+        columns = {k: np.concatenate([h.pop(k) for h in held]) for k in list(held[0])}
+        return pack_by(columns.pop("bucket"), n_buckets, columns, STEPS)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -113,7 +112,9 @@ def _dealt_units(docs: DataFrame, n_buckets: int, length: int, gram: int) -> Dat
                 sizes = np.diff(bounds)
                 first, windows, anchor, unit, left, right = _units(data[a:b], np.repeat(bounds[1:], sizes), length, gram)
                 doc = np.repeat(np.arange(i, j), sizes)[first]
-                held.append({"anchor": anchor, "unit": unit, "first": first + a - offsets[doc], "windows": windows, "left": left, "right": right, "doc": ids[doc]})
+                values = (anchor, unit, first + a - offsets[doc], windows, left, right, ids[doc])
+                bucket = (anchor >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
+                held.append({"bucket": bucket.astype(np.int32)} | {k: v.astype(kind) for (k, kind), v in zip(UNIT.items(), values)})
                 size += b - a
                 if size >= DEAL_BYTES:
                     yield send(held)
