@@ -11,8 +11,16 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+#: Bytes of one Arrow batch between the JVM and Python; Spark's own 64 MB are held several times over.
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the session's Python workers, wherever the driver was started."""
+    """Make this package importable in the session's Python workers, wherever the driver was started.
+
+    Arrow batches are made small unless the session has its own setting."""
+    if spark.conf.get(ARROW_BATCH[0], None) is None:
+        spark.conf.set(*ARROW_BATCH)
     context = spark.sparkContext
     if getattr(context, "_tremor_shipped", False):
         return
