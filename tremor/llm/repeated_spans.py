@@ -25,7 +25,6 @@ one document's and do not remove from each other; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremor.llm import textbytes as tb
-from tremor.llm.common import broadcast_if_small, settle, text_or_empty
+from tremor.llm.common import settle, text_or_empty
 from tremor.llm.dealing import DEAL_BYTES, batch_of, buckets, by_bucket, pack_by
 from tremor.llm.suffix_array import least_owner
 
@@ -251,7 +250,6 @@ def compared_ranges(docs: DataFrame, ranges: DataFrame, length: int = LENGTH) ->
         return a["doc"][text], a["first"][text].astype(np.int64) + start, one, 0 * one, 0 * one
 
     wanted = ranges.where(F.length("compared") > 0).select(F.col("doc_id").alias("at"), "compared")
-    wanted = broadcast_if_small(wanted, 128)
     dealt = docs.join(wanted, docs["doc_id"] == wanted["at"]).select("doc_id", "text", "compared").mapInArrow(cut, "bucket long, " + ", ".join(f"{k} binary" for k in fields))
     return _by_document(by_bucket(dealt, "bucket", fields, sort, _RANGE_KINDS, finish=_to_documents(n_buckets))).select("doc_id", "removed")
 
@@ -266,7 +264,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     """doc_id, kept (remaining bytes), spans (maximal removed byte runs as flat [start, end) pairs) of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     gone = removed_ranges(texts, length, gram)
-    gone = broadcast_if_small(gone.select(F.col("doc_id").alias("at"), "removed"), 256)
+    gone = gone.select(F.col("doc_id").alias("at"), "removed")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
