@@ -107,8 +107,8 @@ def packed_rows(docs: DataFrame, tokenizer: str | None = None, row: int = ROW, e
         words, end = WordIds.of(path, "<u2"), np.array([end_id], "<u2").tobytes()
         base, held, waiting = TaskContext.get().partitionId() << 40, 0, []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.ids(text.as_py()) + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast("binary").to_pylist()):
+                ids = words.ids(text) + end
                 for start in range(0, len(ids) // 2, row):
                     waiting.append((doc_id, start, ids[2 * start : 2 * (start + row)]))
                 held += len(ids) // 2

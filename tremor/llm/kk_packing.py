@@ -48,8 +48,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.ids(text.as_py()) + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast("binary").to_pylist()):
+                ids = words.ids(text) + end
                 n = len(ids) // 4
                 for start, length in cuts(n, window, piece):
                     rows.append((doc_id, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), n))

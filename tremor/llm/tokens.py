@@ -12,8 +12,11 @@ import os
 
 import numpy as np
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 EMPTY = b""
+#: Stands between words that are encoded together.
+MARK = b"\x01"
+_TO_SPACE = bytes.maketrans(b"\n\t\r", b"   ")
 
 _kept: dict[tuple[str, str], "WordIds"] = {}
 
@@ -26,8 +29,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.dtype = np.dtype(dtype)
-        self.cache: dict[str, bytes] = {"": EMPTY}
+        self.cache: dict[bytes, bytes] = {EMPTY: EMPTY}
 
     @classmethod
     def of(cls, path: str, dtype: str = "<u4") -> "WordIds":
@@ -36,21 +40,36 @@ class WordIds:
             _kept[path, dtype] = cls(path, dtype)
         return _kept[path, dtype]
 
-    def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            pass
-        missing = list(set(words).difference(self.cache))
-        found = self.cache if len(self.cache) + len(missing) <= CACHE_WORDS else {}
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                found[word] = np.array(code.ids, self.dtype).tobytes()
-        if found is self.cache:
-            return b"".join(map(found.__getitem__, words))
-        return b"".join([self.cache[w] if w in self.cache else found[w] for w in words])
+    def ids(self, text: bytes) -> bytes:
+        """The ids of a text in UTF-8; A-Z are lower-cased here already, which the tokenizer does anyway."""
+        words = text.lower().translate(_TO_SPACE).split(b" ")
+        ids = list(map(self.cache.get, words))
+        if None in ids:
+            holes = [i for i, x in enumerate(ids) if x is None]
+            missing = list({words[i] for i in holes})
+            found = self._encode(missing)
+            for i in holes:
+                ids[i] = found[words[i]]
+            if len(self.cache) + len(found) <= CACHE_WORDS:
+                self.cache.update(found)
+        return b"".join(ids)
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Many words in one call: they are joined by a mark that is a token of its own, and cut there again."""
+        found, plain = {}, []
+        for word in words:
+            if MARK in word:
+                found[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+            else:
+                plain.append(word)
+        if plain:
+            text = (b" " + MARK + b" ").join(plain).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+            at = np.flatnonzero(ids == self.mark)
+            code, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+            for word, i, j in zip(plain, [0, *((at + 1) * size).tolist()], [*(at * size).tolist(), len(code)]):
+                found[word] = code[i:j]
+        return found
 
 
 def default_tokenizer() -> str:
