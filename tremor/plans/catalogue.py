@@ -1,6 +1,414 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the modal-analysis operators and, where SQL can say it, the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tremor.functions import modal
+from tremor.operators import geometry, identify, merge, signals, spectral, stabil
+from tremor.sources import panel
+from tremor.streaming import monitor
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+REFS = (0, 1)
+TAPS = (0.1, 0.2, 0.4, 0.2, 0.1)
+ORDERS = range(4, 21, 2)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    """Rounded values, so that another order of summation gives the same; -0 becomes 0."""
+    return df.withColumns({n: F.round(F.col(n), digits) + F.lit(0.0) for n in names}).drop("setup")
+
+
+def _rounds(digits: int, **columns: str) -> str:
+    return ", ".join(f"round({e}, {digits}) + 0.0 AS {n}" for n, e in columns.items())
+
+
+# --- signals ---------------------------------------------------------------------------------------
+
+PANEL = f"""
+names AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(panel.EVENT_CHANNELS))}) v(channel, name)),
+sums AS (SELECT (epoch_us(ts) // 3600000000 - 473352)::INT AS n, event_type AS name, sum(value) AS y FROM events GROUP BY ALL),
+panel AS (SELECT h.n, channel, coalesce(y, 0.0) AS y FROM (SELECT unnest(range({panel.HOURS}))::INT AS n) h CROSS JOIN names LEFT JOIN sums USING (n, name)),
+centred AS (SELECT n, channel, y - avg(y) OVER (PARTITION BY channel) AS y FROM panel)
+"""
+
+
+def _centred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.correct_offset(panel.hourly_events(spark, sf_dir))
+
+
+@query(f"WITH {PANEL} SELECT n, channel, {_rounds(4, y='y')} FROM panel")
+def panel_hourly(spark, sf_dir):
+    return rounded(panel.hourly_events(spark, sf_dir), 4, "y")
+
+
+@query(f"SELECT vec_id::INT AS n, i::INT AS channel, {_rounds(6, y='embedding[i + 1]::DOUBLE')} FROM embeddings, (SELECT unnest(range({panel.EMBEDDING_CHANNELS})) AS i)")
+def panel_embeddings(spark, sf_dir):
+    return rounded(panel.embedding_channels(spark, sf_dir), 6, "y")
+
+
+@query(f"WITH {PANEL} SELECT channel, {_rounds(2, power='avg(y * y)', rms='sqrt(avg(y * y))')} FROM panel GROUP BY channel")
+def signal_power_rms(spark, sf_dir):
+    return rounded(signals.power_and_rms(panel.hourly_events(spark, sf_dir)), 2, "power", "rms")
+
+
+@query(f"WITH {PANEL} SELECT n, channel, {_rounds(4, y='y')} FROM centred")
+def offset_correct(spark, sf_dir):
+    return rounded(_centred(spark, sf_dir), 4, "y")
+
+
+@query(f"WITH {PANEL} SELECT channel, {_rounds(4, factor='quantile_cont(y, 0.95) - quantile_cont(y, 0.05)')} FROM panel GROUP BY channel")
+def scale_iqr(spark, sf_dir):
+    return rounded(signals.scale_factors(panel.hourly_events(spark, sf_dir)), 4, "factor")
+
+
+@query(f"WITH {PANEL}, f AS (SELECT channel, max(y) - min(y) AS factor FROM centred GROUP BY channel) SELECT n, channel, {_rounds(6, y='y / factor')} FROM centred JOIN f USING (channel)")
+def scale_range(spark, sf_dir):
+    return rounded(signals.precondition(panel.hourly_events(spark, sf_dir), "range"), 6, "y")
+
+
+@query(f"WITH {PANEL} SELECT n, channel, {_rounds(4, y='sum(y) OVER (PARTITION BY channel ORDER BY n ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / 5')} FROM panel")
+def moving_average(spark, sf_dir):
+    return rounded(signals.moving_average(panel.hourly_events(spark, sf_dir), 5), 4, "y")
+
+
+_FIR = f"taps AS (SELECT * FROM (VALUES {', '.join(f'({i}, {t})' for i, t in enumerate(TAPS))}) v(lag, tap)), filtered AS (SELECT a.n, a.channel, sum(b.y * tap) AS y FROM panel a JOIN taps ON true JOIN panel b ON b.channel = a.channel AND b.n = a.n - lag GROUP BY ALL)"
+
+
+@query(f"WITH {PANEL}, {_FIR} SELECT n, channel, {_rounds(4, y='y')} FROM filtered")
+def fir_taps(spark, sf_dir):
+    return rounded(signals.fir(panel.hourly_events(spark, sf_dir), list(TAPS)), 4, "y")
+
+
+@query(f"WITH {PANEL}, {_FIR} SELECT (n // 7)::INT AS n, channel, {_rounds(4, y='7 * y')} FROM filtered WHERE n % 7 = 0 AND n < {panel.HOURS // 7 * 7}")
+def decimate(spark, sf_dir):
+    return rounded(signals.decimate(signals.fir(panel.hourly_events(spark, sf_dir), list(TAPS)), 7), 4, "y")
+
+
+@query(f"WITH {PANEL} SELECT n, (dense_rank() OVER (ORDER BY channel) - 1)::INT AS channel, channel AS old, {_rounds(4, y='y')} FROM panel WHERE channel NOT IN (1, 3)")
+def channel_delete_renumber(spark, sf_dir):
+    return rounded(signals.delete_channels(panel.hourly_events(spark, sf_dir), [1, 3]), 4, "y")
+
+
+@query()
+def filter_zero_phase(spark, sf_dir):
+    return rounded(signals.filter_lowpass(_centred(spark, sf_dir), 0.25, 4, "cheby1"), 6, "y")
+
+
+# --- correlation and spectra -----------------------------------------------------------------------
+
+
+def _corr_sql(length: int, blocks: int, lags: int) -> str:
+    return f"""
+blocks AS (SELECT n // {length} AS block, n % {length} AS n, channel, y FROM centred WHERE n < {length * blocks}),
+corr AS (
+  SELECT a.block, a.channel, b.channel AS ref, (a.n - b.n)::INT AS lag, sum(a.y * b.y) / ({length} - (a.n - b.n)) AS r
+  FROM blocks a JOIN blocks b ON a.block = b.block AND b.channel IN {REFS} AND a.n - b.n BETWEEN 0 AND {lags - 1}
+  GROUP BY a.block, a.channel, b.channel, a.n - b.n)
+"""
+
+
+_HOURLY_CORR = f"WITH {PANEL}, {_corr_sql(720, 1, 6)} SELECT channel, ref, lag, {_rounds(2, r='r')} FROM corr"
+
+
+@query(_HOURLY_CORR)
+def corr_bt(spark, sf_dir):
+    return rounded(spectral.corr_bt(_centred(spark, sf_dir), REFS, 6, 720).drop("block"), 2, "r")
+
+
+@query(_HOURLY_CORR)
+def corr_bt_chunked(spark, sf_dir):
+    return rounded(spectral.corr_bt_chunked(_centred(spark, sf_dir), REFS, 6, 720, chunk=128), 2, "r")
+
+
+@query(f"WITH {PANEL}, {_corr_sql(180, 4, 6)} SELECT channel, ref, lag, {_rounds(1, r='avg(r)', var_r='var_pop(r)')} FROM corr GROUP BY channel, ref, lag")
+def corr_bt_blocks(spark, sf_dir):
+    return rounded(spectral.over_blocks(spectral.corr_bt(_centred(spark, sf_dir), REFS, 6, 180, 4)), 1, "r", "var_r")
+
+
+LINES, SEGMENTS = 32, 22
+_WELCH = f"""
+seg AS (SELECT n // {LINES} AS block, n % {LINES} AS n, channel, y - avg(y) OVER (PARTITION BY channel, n // {LINES}) AS y FROM centred WHERE n < {LINES * SEGMENTS}),
+tap AS (SELECT block, n, channel, y * (0.54 - 0.46 * cos(2 * pi() * n / {LINES})) AS y FROM seg),
+four AS (
+  SELECT block, channel, k, sum(y * cos(2 * pi() * ((k * n) % {LINES}) / {LINES})) AS re, -sum(y * sin(2 * pi() * ((k * n) % {LINES}) / {LINES})) AS im
+  FROM tap, (SELECT unnest(range({LINES // 2 + 1}))::INT AS k) GROUP BY block, channel, k),
+scale AS (SELECT {SEGMENTS} * {LINES} / (2 * sum((0.54 - 0.46 * cos(2 * pi() * n / {LINES})) ** 2)) AS s FROM (SELECT unnest(range({LINES})) AS n)),
+psd AS (
+  SELECT a.channel, b.channel AS ref, a.k, avg(CASE WHEN a.k IN (0, {LINES // 2}) THEN s / 2 ELSE s END * (a.re * b.re + a.im * b.im)) AS re,
+         avg(CASE WHEN a.k IN (0, {LINES // 2}) THEN s / 2 ELSE s END * (a.re * b.im - a.im * b.re)) AS im
+  FROM four a JOIN four b ON a.block = b.block AND a.k = b.k AND b.channel IN {REFS}, scale GROUP BY a.channel, b.channel, a.k)
+"""
+_WELCH_SQL = f"WITH {PANEL}, {_WELCH} SELECT channel, ref, k, {_rounds(0, re='re', im='im')} FROM psd"
+
+
+@query(_WELCH_SQL)
+def psd_welch(spark, sf_dir):
+    return rounded(spectral.psd_welch(_centred(spark, sf_dir), REFS, LINES, SEGMENTS), 0, "re", "im")
+
+
+@query(_WELCH_SQL)
+def psd_welch_fft(spark, sf_dir):
+    return rounded(spectral.psd_welch(_centred(spark, sf_dir), REFS, LINES, SEGMENTS, fft=True), 0, "re", "im")
+
+
+_CFP = f"CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END * (re * cos(2 * pi() * ((k * lag) % {LINES}) / {LINES}) - CASE WHEN k IN (0, 16) THEN 0 ELSE im END * sin(2 * pi() * ((k * lag) % {LINES}) / {LINES}))"
+
+
+@query(f"WITH {PANEL}, {_WELCH} SELECT channel, ref, lag, {_rounds(1, r=f'sum({_CFP}) / {LINES * LINES}')} FROM psd, (SELECT unnest(range(17))::INT AS lag) GROUP BY channel, ref, lag")
+def corr_from_psd(spark, sf_dir):
+    return rounded(spectral.corr_from_psd(spectral.psd_welch(_centred(spark, sf_dir), REFS, LINES, SEGMENTS), 17), 1, "r")
+
+
+@query()
+def sv_psd(spark, sf_dir):
+    return spectral.sv_psd(spectral.psd_welch(_centred(spark, sf_dir), range(5), LINES, SEGMENTS)).select("k", F.transform("sigma", lambda s: F.round(s, 0)).alias("sigma"))
+
+
+@query(
+    f"""WITH {PANEL}, {_corr_sql(720, 1, 16)},
+w AS (SELECT i, 0.54 - 0.46 * cos(2 * pi() * i / 16) AS w FROM (SELECT unnest(range(16)) AS i)),
+lw AS (SELECT b.i - a.i AS lag, sum(a.w * b.w) / 16 AS lw FROM w a JOIN w b ON b.i >= a.i GROUP BY b.i - a.i),
+s AS (SELECT 2 * 720 * 16 / sum(w) AS s FROM w)
+SELECT channel, ref, k, {_rounds(0, s='any_value(s.s) * sum(CASE WHEN lag = 0 THEN 1 ELSE 2 END * lw * r * cos(2 * pi() * ((k * lag) % 32) / 32))')}
+FROM corr JOIN lw USING (lag), s, (SELECT unnest(range(17))::INT AS k) GROUP BY channel, ref, k"""
+)
+def psd_bt(spark, sf_dir):
+    return rounded(spectral.psd_bt(spectral.corr_bt(_centred(spark, sf_dir), REFS, 16, 720), 16, 720), 0, "s")
+
+
+_HALF = "r * exp(lag * ln(0.001) / 16)"
+
+
+@query(
+    f"""WITH {PANEL}, {_corr_sql(720, 1, 16)}
+SELECT channel, ref, k, {_rounds(1, re=f'sum({_HALF} * cos(2 * pi() * ((k * lag) % 16) / 16))', im=f'-sum({_HALF} * sin(2 * pi() * ((k * lag) % 16) / 16))')}
+FROM corr, (SELECT unnest(range(9))::INT AS k) GROUP BY channel, ref, k"""
+)
+def half_spectra(spark, sf_dir):
+    return rounded(spectral.half_spectra(spectral.corr_bt(_centred(spark, sf_dir), REFS, 16, 720), 16), 1, "re", "im")
+
+
+# --- modal functions and stabilisation on a table of poles given by a rule -------------------------
+
+_POLE_COLUMNS = """
+  1.5 + 2 * i + 0.004 * sin(3 * o + i) AS f, 1.0 + 0.5 * i + 0.02 * cos(2 * o + i) AS d,
+  cos(0.3 + 0.4 * i + 0.001 * sin(o)) * 0.98 AS lam_re, sin(0.3 + 0.4 * i + 0.001 * sin(o)) * 0.98 AS lam_im,
+  {array}(1.0, 0.5 - 0.3 * i + 0.01 * sin(o), 0.2 + 0.1 * i) AS phi_re, {array}(0.0, 0.02 * i + 0.01 * cos(o), 0.01 * o / (1 + i)) AS phi_im"""
+POLES_SQL = f"poles AS (SELECT o::INT AS ord, i::INT AS idx, {_POLE_COLUMNS.format(array='list_value')} FROM (SELECT unnest(range(2, 14)) AS o), (SELECT unnest(range(4)) AS i) WHERE o <> 7 AND i < o)"
+
+
+def _poles(spark: SparkSession) -> DataFrame:
+    rows = spark.sql(f"SELECT 'rule' AS setup, CAST(o AS int) AS ord, CAST(i AS int) AS idx, {_POLE_COLUMNS.format(array='array')} FROM (SELECT id AS o FROM range(2, 14)) CROSS JOIN (SELECT id AS i FROM range(4)) WHERE o <> 7 AND i < o")
+    plain = {c: F.col(c).cast("double") for c in ("f", "d", "lam_re", "lam_im")}
+    return rows.withColumns(plain | {c: F.col(c).cast("array<double>") for c in ("phi_re", "phi_im")})
+
+
+def _mac_sql(a: str, b: str) -> str:
+    p = lambda x, y: f"list_dot_product({x}::DOUBLE[], {y}::DOUBLE[])"
+    ar, ai, br, bi = f"{a}.phi_re", f"{a}.phi_im", f"{b}.phi_re", f"{b}.phi_im"
+    return f"((({p(ar, br)} + {p(ai, bi)}) ** 2 + ({p(ai, br)} - {p(ar, bi)}) ** 2) / (({p(ar, ar)} + {p(ai, ai)}) * ({p(br, br)} + {p(bi, bi)})))"
+
+
+_XX, _YY, _XY = ("list_dot_product(phi_re::DOUBLE[], phi_re::DOUBLE[])", "list_dot_product(phi_im::DOUBLE[], phi_im::DOUBLE[])", "list_dot_product(phi_re::DOUBLE[], phi_im::DOUBLE[])")
+_MPC = f"((({_XX} - {_YY}) ** 2 + 4 * {_XY} ** 2) / ({_XX} + {_YY}) ** 2)"
+_PHASE = f"(degrees(0.5 * atan2(2 * {_XY}, {_XX} - {_YY})))"
+_SIZE = "sqrt(phi_re[j] ** 2 + phi_im[j] ** 2)"
+_OFF = f"CASE WHEN {_SIZE} > 0 THEN {_SIZE} * acos(least(1.0, abs(phi_re[j] * cos(radians(mp)) + phi_im[j] * sin(radians(mp))) / {_SIZE})) ELSE 0 END"
+_MPD = f"degrees(list_sum(list_transform(range(1, len(phi_re) + 1), lambda j: {_OFF})) / list_sum(list_transform(range(1, len(phi_re) + 1), lambda j: {_SIZE})))"
+_SHAPES = f"shapes AS (SELECT *, {_MPC} AS mpc, CASE WHEN {_PHASE} < 0 THEN {_PHASE} + 180 ELSE {_PHASE} END AS mp FROM poles), criteria AS (SELECT *, {_MPD} AS mpd FROM shapes)"
+
+
+@query(f"WITH {POLES_SQL} SELECT a.idx AS idx_a, b.idx AS idx_b, {_rounds(8, mac=_mac_sql('a', 'b'))} FROM poles a, poles b WHERE a.ord = 13 AND b.ord = 12")
+def mac_matrix(spark, sf_dir):
+    p = _poles(spark)
+    a, b = p.where("ord = 13").alias("a"), F.broadcast(p.where("ord = 12").alias("b"))
+    same = modal.mac(F.col("a.phi_re"), F.col("a.phi_im"), F.col("b.phi_re"), F.col("b.phi_im"))
+    return a.crossJoin(b).select(F.col("a.idx").alias("idx_a"), F.col("b.idx").alias("idx_b"), (F.round(same, 8) + 0.0).alias("mac"))
+
+
+@query(f"WITH {POLES_SQL}, {_SHAPES} SELECT ord, idx, {_rounds(6, mpc='mpc', mp='mp', mpd='mpd')} FROM criteria")
+def shape_criteria(spark, sf_dir):
+    re, im = F.col("phi_re"), F.col("phi_im")
+    return rounded(_poles(spark).select("ord", "idx", modal.mpc(re, im).alias("mpc"), modal.mean_phase(re, im).alias("mp"), modal.mpd(re, im).alias("mpd")), 6, "mpc", "mp", "mpd")
+
+
+_ARG, _LOG = "abs(atan2(lam_im, lam_re))", "(0.5 * ln(lam_re ** 2 + lam_im ** 2))"
+
+
+@query(f"WITH {POLES_SQL} SELECT ord, idx, {_rounds(6, f=f'100 * sqrt({_ARG} ** 2 + {_LOG} ** 2) / (2 * pi())', d=f'100 * abs({_LOG}) / sqrt({_ARG} ** 2 + {_LOG} ** 2)')} FROM poles")
+def modal_scalars(spark, sf_dir):
+    re, im = F.col("lam_re"), F.col("lam_im")
+    return rounded(_poles(spark).select("ord", "idx", modal.frequency(re, im, F.lit(100.0)).alias("f"), modal.damping(re, im).alias("d")), 6, "f", "d")
+
+
+_PAIRS = f"""
+prev AS (SELECT ord, lag(ord) OVER (ORDER BY ord) AS prev FROM (SELECT DISTINCT ord FROM poles)),
+pairs AS (
+  SELECT c.ord, c.idx, p.ord AS prev_ord, p.idx AS prev_idx,
+    sqrt((c.lam_re - p.lam_re) ** 2 + (c.lam_im - p.lam_im) ** 2) / greatest(sqrt(c.lam_re ** 2 + c.lam_im ** 2), sqrt(p.lam_re ** 2 + p.lam_im ** 2)) AS d_lambda,
+    abs(c.f - p.f) / greatest(abs(c.f), abs(p.f)) AS d_f, abs(c.d - p.d) / greatest(abs(c.d), abs(p.d)) AS d_d, 1 - {_mac_sql("c", "p")} AS d_mac
+  FROM poles c JOIN prev USING (ord) JOIN poles p ON p.ord = prev.prev)
+"""
+
+
+@query(f"WITH {POLES_SQL}, {_PAIRS} SELECT ord, idx, prev_ord, prev_idx, {_rounds(8, d_lambda='d_lambda', d_f='d_f', d_d='d_d', d_mac='d_mac')} FROM pairs")
+def pole_pairs(spark, sf_dir):
+    return rounded(stabil.pole_pairs(_poles(spark)), 8, "d_lambda", "d_f", "d_d", "d_mac")
+
+
+_OK = {"f": "d_f > 0 AND d_f <= 0.003", "d": "d_d > 0 AND d_d <= 0.02", "m": "d_mac > 0 AND d_mac <= 0.0002"}
+
+
+@query(
+    f"""WITH {POLES_SQL}, {_SHAPES}, {_PAIRS},
+met AS (SELECT ord, idx, bool_or({" AND ".join(_OK.values())}) AS a, bool_or({_OK["f"]}) AS x, bool_or({_OK["d"]}) AS y, bool_or({_OK["m"]}) AS z FROM pairs GROUP BY ord, idx),
+j AS (SELECT ord, idx, d BETWEEN 0 AND 2.4 AND mpc >= 0.5 AND mpd <= 60 AND f > 0 AS in_range, coalesce(a, false) AS a, coalesce(x, false) AS x, coalesce(y, false) AS y, coalesce(z, false) AS z
+      FROM criteria LEFT JOIN met USING (ord, idx))
+SELECT ord, idx, in_range, in_range AND a AS stable, in_range AND NOT x AND y AND z AS only_f, in_range AND x AND NOT y AND z AS only_d, in_range AND x AND y AND NOT z AS only_mac FROM j"""
+)
+def stable_masks(spark, sf_dir):
+    return stabil.masks(_poles(spark), 0.003, 0.02, 0.0002, (0.0, 2.4), 0.5, 60.0).drop("setup")
+
+
+@query(f"WITH {POLES_SQL}, {_PAIRS}, least AS (SELECT min(d_f) AS x FROM pairs GROUP BY ord, idx) SELECT floor(x * 50 / 0.01)::INT AS bin, count(*) AS n FROM least WHERE x < 0.01 GROUP BY 1")
+def criteria_histogram(spark, sf_dir):
+    return stabil.histogram(stabil.pole_pairs(_poles(spark)), "d_f", 50, 0.01)
+
+
+# --- merging and geometry --------------------------------------------------------------------------
+
+
+def _modes(spark: SparkSession, order: int) -> DataFrame:
+    return _poles(spark).where(F.col("ord") == order).select(F.col("idx").alias("mode"), "f", "phi_re", "phi_im")
+
+
+@query(f"WITH {POLES_SQL} SELECT a.idx AS mode_a, b.idx AS mode_b, {_rounds(8, d_f='abs(a.f - b.f) / greatest(a.f, b.f)', mac=_mac_sql('a', 'b'))} FROM poles a, poles b WHERE a.ord = 13 AND b.ord = 5 AND abs(a.f - b.f) / greatest(a.f, b.f) < 0.2 AND {_mac_sql('a', 'b')} > 0.8")
+def pair_candidates(spark, sf_dir):
+    return rounded(merge.pair_candidates(_modes(spark, 13), _modes(spark, 5)), 8, "d_f", "mac")
+
+
+@query()
+def mode_pairs(spark, sf_dir):
+    return rounded(merge.pairs(merge.pair_candidates(_modes(spark, 13), _modes(spark, 5))), 8, "d_f", "mac")
+
+
+@query(f"WITH {POLES_SQL} SELECT idx AS mode, {_rounds(8, mean_f='avg(f)', std_f='stddev_pop(f)', mean_d='avg(d)', std_d='stddev_pop(d)')} FROM poles GROUP BY idx")
+def merged_statistics(spark, sf_dir):
+    rows = _poles(spark).select(F.col("ord").alias("setup"), F.col("idx").alias("mode"), "f", "d")
+    return rounded(merge.merged_statistics(rows), 8, "mean_f", "std_f", "mean_d", "std_d")
+
+
+# Three setups of three channels; direction (node, azimuth, elevation) of each.
+_DOFS = [("s1", 0, "a", 0.0, 0.0), ("s1", 1, "b", 90.0, 0.0), ("s1", 2, "c", 0.0, 90.0), ("s2", 0, "a", 0.0, 0.0), ("s2", 1, "d", 90.0, 0.0), ("s2", 2, "c", 0.0, 90.0), ("s3", 0, "c", 0.0, 90.0), ("s3", 1, "a", 0.0, 0.0), ("s3", 2, "e", 0.0, 0.0)]
+_DOFS_SQL = f"dofs AS (SELECT * FROM (VALUES {', '.join(map(str, _DOFS))}) v(setup, channel, node, azimuth, elevation))"
+_COMMON_SQL = "common AS (SELECT node, azimuth, elevation FROM dofs GROUP BY ALL HAVING count(DISTINCT setup) = (SELECT count(DISTINCT setup) FROM dofs))"
+
+
+def _dofs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_DOFS, "setup string, channel int, node string, azimuth double, elevation double")
+
+
+@query(f"WITH {_DOFS_SQL}, {_COMMON_SQL} SELECT node, azimuth::DOUBLE AS azimuth, elevation::DOUBLE AS elevation FROM common")
+def common_dofs(spark, sf_dir):
+    return merge.common_dofs(_dofs(spark))
+
+
+@query(f"WITH {_DOFS_SQL}, {_COMMON_SQL} SELECT setup, channel, node, azimuth::DOUBLE AS azimuth, elevation::DOUBLE AS elevation FROM dofs ANTI JOIN common USING (node, azimuth, elevation)")
+def roving_channels(spark, sf_dir):
+    return merge.rovings(_dofs(spark)).select("setup", "channel", "node", "azimuth", "elevation")
+
+
+_NODES = [("a", 0.0, 0.0, 0.0), ("b", 1.0, 0.0, 0.0), ("c", 1.0, 1.0, 0.0), ("d", 0.0, 1.0, 2.0)]
+_LINES = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "c")]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(map(str, _LINES))}) v(start, stop) WHERE start <> 'b' AND stop <> 'b'")
+def geometry_cascade(spark, sf_dir):
+    return geometry.without_nodes(spark.createDataFrame(_LINES, "start string, stop string"), spark.createDataFrame([("b",)], "node string"))
+
+
+def _moves(spark: SparkSession) -> DataFrame:
+    shapes = _poles(spark).where("ord = 13").select(F.col("idx").alias("mode"), F.posexplode(F.arrays_zip("phi_re", "phi_im")).alias("channel", "v")).select("mode", "channel", F.col("v.phi_re").alias("re"), F.col("v.phi_im").alias("im"))
+    return geometry.displacements(_dofs(spark).where("setup = 's1'").select("channel", "node", "azimuth", "elevation"), shapes)
+
+
+_MOVES_SQL = f"{POLES_SQL}, moves AS (SELECT idx AS mode, node, axis, CASE WHEN axis = own THEN phi_re[ch + 1] ELSE 0 END AS re, CASE WHEN axis = own THEN phi_im[ch + 1] ELSE 0 END AS im FROM poles, (VALUES ('a', 0, 'x'), ('b', 1, 'y'), ('c', 2, 'z')) v(node, ch, own), (VALUES ('x'), ('y'), ('z')) w(axis) WHERE ord = 13)"
+
+
+@query(f"WITH {_MOVES_SQL} SELECT mode, node, axis, {_rounds(6, re='re::DOUBLE', im='im::DOUBLE')} FROM moves")
+def node_displacement(spark, sf_dir):
+    return rounded(_moves(spark), 6, "re", "im")
+
+
+@query(
+    f"""WITH {_MOVES_SQL}, nodes AS (SELECT * FROM (VALUES {', '.join(map(str, _NODES))}) v(node, x, y, z)),
+rest AS (SELECT node, 'x' AS axis, x AS rest FROM nodes UNION ALL SELECT node, 'y', y FROM nodes UNION ALL SELECT node, 'z', z FROM nodes)
+SELECT mode, node, axis, frame::INT AS frame, {_rounds(6, at='(rest + sqrt(re ** 2 + im ** 2) * cos(2 * pi() * frame / 25 + atan2(im, re)))::DOUBLE')} FROM moves JOIN rest USING (node, axis), (SELECT unnest(range(25)) AS frame)"""
+)
+def animation_frames(spark, sf_dir):
+    return rounded(geometry.frames(spark.createDataFrame(_NODES, "node string, x double, y double, z double"), _moves(spark)), 6, "at")
+
+
+# --- identification and selection: no SQL; held against analytic systems in the tests --------------
+
+
+def _event_corr(spark: SparkSession, sf_dir: str, lags: int = 48) -> DataFrame:
+    return spectral.corr_bt_chunked(_centred(spark, sf_dir), REFS, lags, panel.HOURS)
+
+
+@query()
+def ssi_cov_poles(spark, sf_dir):
+    return identify.ssi_cov_poles(_event_corr(spark, sf_dir), 1.0, 20, ORDERS)
+
+
+@query()
+def ssi_data_poles(spark, sf_dir):
+    return identify.ssi_data_poles(_centred(spark, sf_dir), list(REFS), 1.0, 12, ORDERS, chunk=256)
+
+
+@query()
+def era_poles(spark, sf_dir):
+    return identify.era_poles(_event_corr(spark, sf_dir), 1.0, 20, ORDERS)
+
+
+@query()
+def prce_poles(spark, sf_dir):
+    return identify.prce_poles(_event_corr(spark, sf_dir), 1.0, range(2, 11, 2))
+
+
+@query()
+def plscf_poles(spark, sf_dir):
+    return identify.plscf_poles(_event_corr(spark, sf_dir), 1.0, range(2, 11, 2))
+
+
+@query()
+def auto_selection(spark, sf_dir):
+    poles = identify.ssi_cov_poles(_event_corr(spark, sf_dir), 1.0, 20, ORDERS).persist()
+    return stabil.representatives(stabil.clusters(poles, stabil.clearing(poles)), 5)
+
+
+# --- monitoring ------------------------------------------------------------------------------------
+
+
+@query(f"SELECT date_trunc('day', ts) AS start, event_type AS channel, count(*) AS n, {_rounds(2, power='avg(value * value)', rms='sqrt(avg(value * value))')} FROM events GROUP BY 1, 2")
+def window_power(spark, sf_dir):
+    samples = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.col("event_type").alias("channel"), F.col("value").alias("y"))
+    return rounded(monitor.window_power(samples), 2, "power", "rms")
