@@ -6,8 +6,9 @@ of log(target / raw) over its n-grams.  Gumbel noise is added and the k largest
 samples k documents without replacement in proportion to their weights.  k is the number of documents
 whose weight reaches the cut that best separates the labelled rows, so it follows the corpus.
 
-Counting covers every document; the models have a fixed number of hash cells, so what reaches the
-driver does not grow with the data.
+The raw model counts every document; the target model and the cut are fitted on at most about FIT_ROWS
+labelled rows.  The models have a fixed number of hash cells, so what reaches the driver does not
+grow with the data.
 Defined results: a null or empty text has weight 0 and no n-grams; ties in the key go to the smaller
 doc_id; repeated rows are scored alike and kept or dropped together; without usable labels of both
 kinds the cut is 0; extra columns pass through ``keep_good`` untouched.
@@ -33,6 +34,8 @@ SMOOTHING = 20.0
 #: Scale of the Gumbel noise; 1 samples exactly in proportion to the importance weights.
 TEMPERATURE = 1.0
 SEED = 17
+#: Labelled rows to fit the target model and the cut on, chosen by hash; so many ids are broadcast, and texts stay where they are.
+FIT_ROWS = 200_000
 
 
 def _cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +149,14 @@ def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("good"), (F.min("quality") == 0).alias("bad"))
     )
+    known = settle(known.where("good or bad").select("doc_id", "good"), "labels")
+    share = min(1.0, FIT_ROWS / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 30).cast("long")) < F.lit(int(share * (1 << 30))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    marked = texts.join(known, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    marked = texts.join(F.broadcast(known.where("good")), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     target, raw = cell_counts(marked)
     scores = settle(scored(texts, log_ratio(target, raw), seed), "scores")
-    cut = best_cut(scores, known.where("good or bad").select("doc_id", "good"))
+    cut = best_cut(scores, known)
     k = scores.where(F.col("log_weight") >= cut).count()
     if k == 0:
         return scores.select("doc_id", "n_grams", "log_weight", F.lit(False).alias("kept"))
