@@ -100,7 +100,7 @@ def prce(r: np.ndarray, order: int, rate: float) -> list[tuple]:
     lhs = np.vstack([np.hstack([r[c, :, i : i + ns] for c in range(nl)]) for i in range(order)])
     rhs = -np.hstack([r[c, :, order : order + ns] for c in range(nl)])
     b = rhs @ np.linalg.pinv(lhs)
-    companion = np.vstack([np.hstack([np.zeros((nr * (order - 1), nr)), np.eye(nr * (order - 1))]), -np.hstack([-b])])
+    companion = np.vstack([np.hstack([np.zeros((nr * (order - 1), nr)), np.eye(nr * (order - 1))]), -b])
     mu, vec = np.linalg.eig(companion)
     w = vec[:nr]
     basis = np.vstack([w * mu**i for i in range(order + 1)])
