@@ -166,11 +166,11 @@ def labelled(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns; of repeated rows of one doc_id one stays."""
+    """The rows that stay, with all their columns; of repeated rows one stays, rows without a doc_id stay once per text."""
     kept = labelled(docs).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
     once = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__keep"]), "left_semi")
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return once.dropDuplicates(["doc_id"]) if repeated else once
+    return once.dropDuplicates(["doc_id", "text"]) if repeated else once
 
 
 def apply_changes(index: DataFrame, changes: DataFrame) -> DataFrame:

@@ -48,6 +48,7 @@ LABELLED = [
     (25, 0.0, 70, 0.0, 66, 0.0, 1, 1, 0), (90, 0.0, 70, 0.0, 66, 0.0, 1, 1, 0), (3, 1.0, 70, 0.0, 22, 0.0, 1, 1, 0), (7, 0.0, 0, 0.0, 50, 0.0, 1, 1, 0), (1, 0.0, 0, 0.0, 9, 0.0, 1, 1, 0), (6, 0.0, 4, 1.0, 33, 0.0, 0, 1, 0),
     # pages without a marked article: length and links tell
     (50, 0.0, 6, 0.0, 47, 0.0, 0, 0, 1), (47, 0.05, 50, 0.0, 60, 0.0, 0, 0, 1), (9, 0.0, 52, 0.0, 41, 0.0, 0, 0, 1), (5, 0.0, 36, 0.0, 58, 0.0, 0, 0, 1), (7, 0.0, 2, 1.0, 64, 0.0, 0, 0, 1), (22, 0.1, 40, 0.0, 30, 0.0, 0, 0, 1), (16, 0.0, 48, 0.0, 3, 0.5, 0, 0, 1), (34, 0.0, 1, 1.0, 2, 1.0, 0, 0, 1),
+    (30, 0.0, 40, 0.0, 0, 0.0, 0, 0, 1), (45, 0.0, 50, 0.0, 0, 0.0, 0, 0, 1), (60, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (28, 0.0, 35, 0.0, 4, 1.0, 0, 0, 1), (40, 0.0, 2, 1.0, 0, 0.0, 0, 0, 1), (38, 0.0, 1, 1.0, 30, 0.0, 0, 0, 1), (25, 0.05, 60, 0.0, 3, 0.8, 0, 0, 1),
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (3, 1.0, 2, 1.0, 8, 0.0, 0, 0, 0), (4, 0.5, 2, 1.0, 3, 1.0, 0, 0, 0), (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0), (6, 0.0, 3, 0.5, 4, 0.3, 0, 0, 0), (9, 0.9, 12, 0.8, 7, 1.0, 0, 0, 0), (20, 0.8, 14, 0.9, 25, 0.7, 0, 0, 0), (5, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0), (30, 0.7, 50, 0.0, 40, 0.6, 0, 0, 0), (4, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0), (3, 0.0, 5, 1.0, 2, 0.0, 0, 0, 0),
 ]
 

@@ -4,7 +4,8 @@ Two generative bag-of-n-gram models over hashed words and word pairs are counted
 documents labelled good, one from all raw documents.  A document's log importance weight is the sum
 of log(target / raw) over its n-grams.  Gumbel noise is added and the k largest keys are kept, which
 samples k documents without replacement in proportion to their weights.  k is the number of documents
-whose weight reaches the cut that best separates the labelled rows, so it follows the corpus.
+whose weight reaches the cut that best separates labelled rows which the model has not seen, so it
+follows the corpus.
 
 The raw model counts every document; the target model and the cut are fitted on at most about FIT_ROWS
 labelled rows.  The models have a fixed number of hash cells, so what reaches the driver does not
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from tremor.llm import textbytes as tb
 from tremor.llm.common import settle, text_or_empty
 
-CELLS = 1 << 17
+CELLS = 1 << 16
 SLICE = 1 << 12
 #: Added to the expected count of every cell of the target model, in proportion to the raw model.
 SMOOTHING = 20.0
@@ -36,6 +37,8 @@ TEMPERATURE = 1.0
 SEED = 17
 #: Labelled rows to fit the target model and the cut on, chosen by hash; so many ids are broadcast, and texts stay where they are.
 FIT_ROWS = 200_000
+#: One in so many labelled rows is kept out of the target model and places the cut: fitted rows score higher than new ones.
+CUT_FOLDS = 3
 
 
 def _cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,10 +156,11 @@ def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     share = min(1.0, FIT_ROWS / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 30).cast("long")) < F.lit(int(share * (1 << 30))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    marked = texts.join(F.broadcast(known.where("good")), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    held_out = F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(CUT_FOLDS).cast("long")) == 0
+    marked = texts.join(F.broadcast(known.where(F.col("good") & ~held_out)), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     target, raw = cell_counts(marked)
     scores = settle(scored(texts, log_ratio(target, raw), seed), "scores")
-    cut = best_cut(scores, known)
+    cut = best_cut(scores, known.where(held_out))
     k = scores.where(F.col("log_weight") >= cut).count()
     if k == 0:
         return scores.select("doc_id", "n_grams", "log_weight", F.lit(False).alias("kept"))

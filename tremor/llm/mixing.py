@@ -8,7 +8,7 @@ solved exactly over the cells, and every document is sampled on its own by a has
 The raked table has one row per distinct cell.  Up to ``LOCAL_CELLS`` cells are raked in the driver;
 beyond that the same steps run as DataFrame aggregations.
 Defined results: null source, language or topic form a class of their own; a null or empty text has
-no tokens and inherits its cell's probability (1 where the cell has no tokens); repeated rows are
+no tokens and takes its cell's probability; repeated rows are
 sampled alike; an empty table gives no rows; extra columns pass through ``sample_mixture``.
 """
 
