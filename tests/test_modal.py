@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tremor.operators import identify, signals, stabil
+from tremor.operators import identify, merge, signals, stabil
 
 RATE = 20.0
 F, D = np.array([1.3, 3.1, 4.7]), np.array([0.01, 0.02, 0.015])
@@ -105,3 +105,26 @@ def test_selection_finds_the_modes(spark):
 def test_unknown_options():
     with pytest.raises(ValueError):
         signals.sos_lowpass(4, 0.2, "other")
+
+
+def test_contributions_sum_to_one():
+    r = free_decay(60)
+    modes = identify.ssi_cov(r, 20, 20, 6, RATE)
+    mc = identify.contributions(r, modes)
+    assert len(mc) == 3 and abs(mc.sum() - 1) < 1e-6 and (mc > 0).all()
+    assert len(identify.contributions(r, [])) == 0
+
+
+def test_merged_shapes_restore_the_whole(spark):
+    rng = np.random.default_rng(3)
+    whole = {(m, n): complex(*rng.normal(size=2)) for m in range(2) for n in "abcdef"}
+    rows = []
+    for setup, nodes in {"s1": "abc", "s2": "abde", "s3": "abf"}.items():
+        for m in range(2):
+            z = complex(*rng.normal(size=2))
+            rows += [(setup, m, n, 0.0, 0.0, (whole[m, n] * z).real, (whole[m, n] * z).imag) for n in nodes]
+    df = spark.createDataFrame(rows, "setup string, mode int, node string, azimuth double, elevation double, re double, im double")
+    got = {(r["mode"], r.node): complex(r.re, r.im) for r in merge.merged_shapes(df, "s1").collect()}
+    for m in range(2):
+        top = max((whole[m, n] for n in "abcdef"), key=abs)
+        assert all(abs(got[m, n] - whole[m, n] / top) < 1e-9 for n in "abcdef")

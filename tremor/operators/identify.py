@@ -209,3 +209,34 @@ def ssi_data_poles(signals: DataFrame, refs: list[int], rate: float, rows: int,
         return pd.concat(out)
 
     return factors.groupBy("setup").applyInPandas(solve, POLES)
+
+
+def contributions(r: np.ndarray, modes: list[tuple]) -> np.ndarray:
+    """Share of each mode in the correlation functions.
+
+    The participation of the references is fitted by least squares to the known poles and shapes; a
+    share is the mean over channel pairs of the correlation of one mode's part with the data, over
+    the norms of the data and of the whole synthesis."""
+    nl, nr, m = r.shape
+    if not modes:
+        return np.zeros(0)
+    waves = np.stack([np.outer(phi, lam ** np.arange(m)).ravel() for _, _, lam, phi in modes], 1)
+    basis = np.hstack([2 * waves.real, -2 * waves.imag])
+    fit = np.linalg.lstsq(basis, r.transpose(0, 2, 1).reshape(nl * m, nr), rcond=None)[0]
+    k = len(modes)
+    parts = np.stack([(basis[:, [i, k + i]] @ fit[[i, k + i]]).reshape(nl, m, nr) for i in range(k)])
+    data, whole = r.transpose(0, 2, 1), parts.sum(0)
+    norm = np.sqrt((data**2).sum(1) * (whole**2).sum(1))
+    return np.where(norm > 0, (parts * data).sum(2) / np.where(norm > 0, norm, 1), 0.0).mean((1, 2))
+
+
+def ssi_cov_contributions(corr: DataFrame, rate: float, cols: int, orders: range) -> DataFrame:
+    """setup, ord, idx, f, mc: modal contributions of the covariance-driven poles of every order."""
+    n = corr.sparkSession.range(len(orders)).select((F.col("id") * orders.step + orders.start).cast("int").alias("ord"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        order, r = int(pdf["ord"].iloc[0]), tensor(pdf)
+        modes = ssi_cov(r, cols, cols, order, rate)
+        return pd.DataFrame({"setup": pdf["setup"].iloc[0], "ord": order, "idx": range(len(modes)), "f": [x[0] for x in modes], "mc": contributions(r, modes)})
+
+    return gathered(corr).crossJoin(F.broadcast(n)).groupBy("setup", "ord").applyInPandas(run, "setup string, ord int, idx int, f double, mc double")

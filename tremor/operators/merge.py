@@ -57,6 +57,27 @@ def shape_scale(ref_re: str, ref_im: str, base_re: str, base_im: str) -> tuple:
     return (dot(a, c) + dot(b, d)) / power, (dot(a, d) - dot(b, c)) / power
 
 
+def merged_shapes(shapes: DataFrame, base: str) -> DataFrame:
+    """mode, node, azimuth, elevation, re, im: shapes of all setups on the scale of ``base``.
+
+    ``shapes``: setup, mode, node, azimuth, elevation, re, im.  Each setup's shape is scaled so that its components
+    in the directions common to all setups fit those of the base; then the base's components and the other
+    setups' roving ones stand side by side, divided by the largest."""
+    common = common_dofs(shapes)
+    ref = shapes.join(common, list(DIRECTION))
+    of_base = ref.where(F.col("setup") == base).select("mode", *DIRECTION, F.col("re").alias("c"), F.col("im").alias("d"))
+    power = F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    scale = ref.join(of_base, ["mode", *DIRECTION]).groupBy("setup", "mode").agg(
+        (F.sum(F.col("re") * F.col("c") + F.col("im") * F.col("d")) / power).alias("x"), (F.sum(F.col("re") * F.col("d") - F.col("im") * F.col("c")) / power).alias("y")
+    )
+    rows = shapes.where(F.col("setup") == base).unionByName(shapes.where(F.col("setup") != base).join(common, list(DIRECTION), "left_anti").select(*shapes.columns))
+    moved = rows.join(scale, ["setup", "mode"]).select("mode", *DIRECTION, (F.col("re") * F.col("x") - F.col("im") * F.col("y")).alias("re"), (F.col("re") * F.col("y") + F.col("im") * F.col("x")).alias("im"))
+    most = moved.groupBy("mode").agg(F.max_by(F.struct("re", "im"), F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("top"))
+    a, b, c, d = F.col("re"), F.col("im"), F.col("top.re"), F.col("top.im")
+    size = c * c + d * d
+    return moved.join(most, "mode").select("mode", *DIRECTION, ((a * c + b * d) / size).alias("re"), ((b * c - a * d) / size).alias("im"))
+
+
 def merged_statistics(modes: DataFrame) -> DataFrame:
     """mode, mean and population deviation of f and d over the setups; ``modes``: setup, mode, f, d."""
     return modes.groupBy("mode").agg(F.avg("f").alias("mean_f"), F.stddev_pop("f").alias("std_f"), F.avg("d").alias("mean_d"), F.stddev_pop("d").alias("std_d"))

@@ -379,6 +379,11 @@ def ssi_cov_poles(spark, sf_dir):
     return identify.ssi_cov_poles(_event_corr(spark, sf_dir), 1.0, 20, ORDERS)
 
 
+@query()
+def modal_contributions(spark, sf_dir):
+    return identify.ssi_cov_contributions(_event_corr(spark, sf_dir), 1.0, 20, ORDERS)
+
+
 @query()
 def ssi_data_poles(spark, sf_dir):
     return identify.ssi_data_poles(_centred(spark, sf_dir), list(REFS), 1.0, 12, ORDERS, chunk=256)
