@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The channels of the event panel and its span of hours.
 EVENT_CHANNELS = ("click", "error", "purchase", "signup", "view")
 HOURS = 720
+# Components that the SQL of panel_embeddings compares; the panel itself has all.
 EMBEDDING_CHANNELS = 8
 
 
@@ -22,8 +23,8 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.lit("events").alias("setup"), "n", "channel", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
-def embedding_channels(spark: SparkSession, sf_dir: str, channels: int = EMBEDDING_CHANNELS) -> DataFrame:
-    """The first components of every vector as channels over vec_id."""
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.slice("embedding", 1, channels).alias("e"))
-    rows = vectors.select(F.col("vec_id").cast("int").alias("n"), F.posexplode("e").alias("channel", "y"))
+def embedding_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every component of every vector as a channel over vec_id."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = vectors.select(F.col("vec_id").cast("int").alias("n"), F.posexplode("embedding").alias("channel", "y"))
     return rows.select(F.lit("embeddings").alias("setup"), "n", "channel", F.col("y").cast("double").alias("y"))
