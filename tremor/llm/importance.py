@@ -7,12 +7,16 @@ samples k documents without replacement in proportion to their weights.  k is th
 whose weight reaches the cut that best separates labelled rows which the model has not seen, so it
 follows the corpus.
 
+A few toxic words in an otherwise good text hardly move that sum.  So a third model holds the cells
+that are found in far more of the labelled toxic documents than of the others, each with its log ratio;
+a document whose distinct cells sum to the toxic cut or more has importance 0 and is not sampled.
+
 The raw model counts every document; the target model and the cut are fitted on at most about FIT_ROWS
 labelled rows.  The models have a fixed number of hash cells, so what reaches the driver does not
 grow with the data.
 Defined results: a null or empty text has weight 0 and no n-grams; ties in the key go to the smaller
 doc_id; repeated rows are scored alike and kept or dropped together; without usable labels of both
-kinds the cut is 0; extra columns pass through ``keep_good`` untouched.
+kinds the cut is 0; a labelled row that is not good counts as bad; extra columns pass through ``keep_good`` untouched.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ SEED = 17
 FIT_ROWS = 200_000
 #: One in so many labelled rows is kept out of the target model and places the cut: fitted rows score higher than new ones.
 CUT_FOLDS = 3
+#: A cell enters the toxic model when so many toxic documents hold it, and so many standard deviations more than chance gives.
+TOXIC_DOCS, TOXIC_DEVIATIONS = 5, 6.0
 
 
 def _cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,18 +57,25 @@ def _cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return cells.astype(np.int64), np.concatenate([doc, doc[:-1][same]])
 
 
-def cell_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(target, raw) counts per hash cell; ``docs`` has text and good (boolean)."""
+def cell_counts(docs: DataFrame) -> np.ndarray:
+    """Per hash cell the n-grams of good and of all documents, and the toxic and other labelled documents that hold it.
+
+    ``docs`` has text, good (boolean) and toxic (boolean, null where a row isn't to be fitted)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, CELLS), np.int64)
+        totals = np.zeros((4, CELLS), np.int64)
         for batch in batches:
             data, offsets = tb.string_buffers(batch.column(0))
             good = np.array(batch.column(1).to_pylist(), bool)
+            side = np.array([-1 if x is None else 2 if x else 3 for x in batch.column(2).to_pylist()], np.int64)
             for i, j in tb.chunks(offsets):
                 cells, doc = _cells(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 totals[1] += np.bincount(cells, minlength=CELLS)
                 totals[0] += np.bincount(cells[good[i:j][doc]], minlength=CELLS)
+                fitted = side[i:j][doc] >= 0
+                once = np.unique(doc[fitted] * CELLS + cells[fitted])
+                for k in (2, 3):
+                    totals[k] += np.bincount(once[side[i:j][once // CELLS] == k] % CELLS, minlength=CELLS)
         for at in range(0, CELLS, SLICE):
             part = totals[:, at : at + SLICE]
             if part[1].any():
@@ -77,11 +90,11 @@ def cell_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([counts.tobytes()])], ["at", "counts"])
 
     kind = "at long, counts binary"
-    slices = docs.select("text", "good").mapInArrow(count, kind).repartition(CELLS // SLICE, "at").mapInArrow(add, kind)
-    out = np.zeros((2, CELLS), np.int64)
-    for at, counts in slices.collect():  # CELLS numbers twice, whatever the input
-        out[:, at : at + SLICE] = np.frombuffer(counts, np.int64).reshape(2, SLICE)
-    return out[0], out[1]
+    slices = docs.select("text", "good", "toxic").mapInArrow(count, kind).repartition(CELLS // SLICE, "at").mapInArrow(add, kind)
+    out = np.zeros((4, CELLS), np.int64)
+    for at, counts in slices.collect():  # CELLS numbers four times, whatever the input
+        out[:, at : at + SLICE] = np.frombuffer(counts, np.int64).reshape(4, SLICE)
+    return out
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -92,22 +105,32 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log(p_target / p_raw)
 
 
-def scored(docs: DataFrame, ratio: np.ndarray, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
-    """doc_id, n_grams, log_weight, gumbel_key of every row; ``docs`` has doc_id and text."""
-    share = docs.sparkSession.sparkContext.broadcast(ratio.astype(np.float64))
+def toxic_ratio(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """log(share of toxic documents / share of others) of cells that tell toxic documents, 0 elsewhere; from document counts per cell."""
+    chance = (toxic + other) * (n_toxic / max(1, n_toxic + n_other))
+    ratio = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((other + 0.5) / (n_other + 1))
+    return np.where((toxic >= TOXIC_DOCS) & (toxic - chance > TOXIC_DEVIATIONS * np.sqrt(chance)), ratio, 0.0)
+
+
+def scored(docs: DataFrame, ratio: np.ndarray, toxic: np.ndarray, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
+    """doc_id, n_grams, log_weight, toxic_weight, gumbel_key of every row; ``docs`` has doc_id and text."""
+    share = docs.sparkSession.sparkContext.broadcast((ratio.astype(np.float64), toxic.astype(np.float64)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.string_buffers(batch.column(1))
-            grams, weight = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            grams, weight, harm = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for i, j in tb.chunks(offsets):
                 cells, doc = _cells(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 grams[i:j] = np.bincount(doc, minlength=j - i)
-                weight[i:j] = np.bincount(doc, weights=share.value[cells], minlength=j - i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams), pa.array(weight)], ["doc_id", "n_grams", "log_weight"])
+                weight[i:j] = np.bincount(doc, weights=share.value[0][cells], minlength=j - i)
+                telling = share.value[1][cells] != 0
+                once = np.unique(doc[telling] * CELLS + cells[telling])
+                harm[i:j] = np.bincount(once // CELLS, weights=share.value[1][once % CELLS], minlength=j - i)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams), pa.array(weight), pa.array(harm)], ["doc_id", "n_grams", "log_weight", "toxic_weight"])
 
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52).cast("long")) + F.lit(0.5)) / F.lit(float(1 << 52))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, n_grams long, log_weight double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, n_grams long, log_weight double, toxic_weight double")
     return rows.withColumn("gumbel_key", F.col("log_weight") - F.lit(temperature) * F.log(-F.log(uniform)))
 
 
@@ -128,6 +151,22 @@ def best_cut(scores: DataFrame, labels: DataFrame) -> float:
     return float(bins["bin"].to_numpy()[int(np.argmin(errors))]) / 2 - 0.25
 
 
+def toxic_cut(scores: DataFrame, labels: DataFrame) -> float:
+    """The toxic weight from which on dropping rows saves the most errors on the labelled rows; infinite where it saves none."""
+    bins = (
+        scores.where("toxic_weight > 0")
+        .join(labels.select("doc_id", "good"), "doc_id")
+        .groupBy(F.least(F.floor(F.col("toxic_weight") * 4), F.lit(4000)).alias("bin"))
+        .agg(F.sum(F.when(F.col("good"), -1).otherwise(1)).alias("saved"))
+        .toPandas()  # at most 4001 bins
+        .sort_values("bin", ascending=False)
+    )
+    saved = bins["saved"].to_numpy(np.int64).cumsum()
+    if not len(saved) or saved.max() <= 0:
+        return float("inf")
+    return float(bins["bin"].to_numpy()[int(np.argmax(saved))]) / 4
+
+
 def kth_largest(keys: DataFrame, column: str, k: int) -> float:
     """The exact k-th largest value, found by narrowing histograms; nothing is sorted or collected whole."""
     low, high = keys.agg(F.min(column), F.max(column)).first()
@@ -150,22 +189,26 @@ def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("good"), (F.min("quality") == 0).alias("bad"))
+        .agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("good"), (F.coalesce(F.max("toxic"), F.lit(0)) != 0).alias("toxic"))
     )
-    known = settle(known.where("good or bad").select("doc_id", "good"), "labels")
+    known = settle(known, "labels")
     share = min(1.0, FIT_ROWS / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 30).cast("long")) < F.lit(int(share * (1 << 30))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     held_out = F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(CUT_FOLDS).cast("long")) == 0
-    marked = texts.join(F.broadcast(known.where(F.col("good") & ~held_out)), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    target, raw = cell_counts(marked)
-    scores = settle(scored(texts, log_ratio(target, raw), seed), "scores")
-    cut = best_cut(scores, known.where(held_out))
-    k = scores.where(F.col("log_weight") >= cut).count()
+    fitted = known.where(~held_out)
+    marked = texts.join(F.broadcast(fitted), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"), "toxic")
+    target, raw, harmful, harmless = cell_counts(marked)
+    n_harmful, n_harmless = fitted.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
+    scores = settle(scored(texts, log_ratio(target, raw), toxic_ratio(harmful, harmless, n_harmful, n_harmless), seed), "scores")
+    unseen = known.where(held_out)
+    cut = best_cut(scores, unseen)
+    fair = F.col("toxic_weight") < F.lit(toxic_cut(scores.where(F.col("log_weight") >= cut), unseen))
+    k = scores.where((F.col("log_weight") >= cut) & fair).count()
     if k == 0:
         return scores.select("doc_id", "n_grams", "log_weight", F.lit(False).alias("kept"))
-    least = kth_largest(scores, "gumbel_key", k)
-    return scores.select("doc_id", "n_grams", "log_weight", (F.col("gumbel_key") >= F.lit(least)).alias("kept"))
+    least = kth_largest(scores.where(fair), "gumbel_key", k)
+    return scores.select("doc_id", "n_grams", "log_weight", (fair & (F.col("gumbel_key") >= F.lit(least))).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
