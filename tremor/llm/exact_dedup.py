@@ -1,7 +1,7 @@
 """Exact dedup with a sharded cuckoo-filter index (operator 3).
 
-Texts are compared after deleting every ASCII white-space character.  The normalised SHA-256 digest
-deals documents to shards; each shard keeps a cuckoo filter of 16-bit fingerprints over buckets that
+Texts are compared after deleting every ASCII white-space character.  Each input task combines its
+own rows; the normalised SHA-256 digest deals these partial groups to shards, whose index merges them.  Each shard keeps a cuckoo filter of 16-bit fingerprints over buckets that
 also hold the full digests, so every filter hit is verified before it counts.  A bucket overflow
 doubles the table and re-inserts from the stored keys.  Digests can be deleted again.
 
@@ -22,6 +22,8 @@ from tremor.llm.common import partitions, settle, text_or_empty
 
 #: Deleted before comparing: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
+#: An input task sends its partial groups on when it holds so many.
+HELD_GROUPS = 100_000
 
 
 class CuckooIndex:
@@ -127,8 +129,30 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
+GROUP = "digest binary, n_points long, doc_id long, missing boolean, size long"
+
+
+def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(digest, n_points, doc_id, missing) rows of one input task come out once per digest and flush, with their number."""
+    held: dict[bytes, tuple] = {}
+
+    def out() -> pd.DataFrame:
+        rows = [(k, -best[0], best[2], best[1], size) for k, (best, size) in held.items()]
+        held.clear()
+        return pd.DataFrame(rows, columns=["digest", "n_points", "doc_id", "missing", "size"])
+
+    for pdf in batches:
+        for key, points, doc_id, missing in zip(pdf["digest"], pdf["n_points"].tolist(), pdf["doc_id"].tolist(), pdf["missing"].tolist()):
+            best, size = held.get(key, ((-points, missing, doc_id), 0))
+            held[key] = min(best, (-points, missing, doc_id)), size + 1
+        if len(held) >= HELD_GROUPS:
+            yield out()
+    if held:
+        yield out()
+
+
 def _index_shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One shard: (digest, best, size) rows go through the cuckoo index and come out one per live digest."""
+    """One shard: partial groups meet in the cuckoo index and come out one per live digest."""
     index = CuckooIndex()
     for pdf in batches:
         for digest, points, doc_id, missing, size in zip(pdf["digest"], pdf["n_points"], pdf["doc_id"], pdf["missing"], pdf["size"]):
@@ -142,14 +166,16 @@ def _index_shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def groups(digest_rows: DataFrame) -> DataFrame:
-    """digest, keep_id, group_size of every distinct digest.
+def partials(digest_rows: DataFrame) -> DataFrame:
+    """The groups of each input task by themselves, so that a hot text sends a row or a few per task to its shard."""
+    flat = digest_rows.select("digest", "n_points", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("missing"))
+    return flat.mapInPandas(_combine, GROUP)
 
-    Rows are combined before the shuffle, so a hot text sends one row per task to its shard."""
-    best = F.struct((-F.col("n_points")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))
-    combined = digest_rows.groupBy("digest").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("size"))
-    flat = combined.select("digest", (-F.col("best.a")).alias("n_points"), F.coalesce(F.col("best.c"), F.lit(0)).cast("long").alias("doc_id"), F.col("best.b").alias("missing"), "size")
-    return flat.mapInPandas(_index_shard, "digest binary, keep_id long, group_size long")
+
+def groups(digest_rows: DataFrame) -> DataFrame:
+    """digest, keep_id, group_size of every distinct digest: partial groups are dealt by digest and merged by each shard's index."""
+    dealt = partials(digest_rows).repartition(partitions(digest_rows.sparkSession), "digest")
+    return dealt.mapInPandas(_index_shard, "digest binary, keep_id long, group_size long")
 
 
 def labelled(docs: DataFrame) -> DataFrame:
