@@ -1,7 +1,8 @@
 """Dealing packed arrays to buckets: numpy arrays travel as binary columns between Arrow stages.
 
 One row stands for one bucket of one chunk, so tens of thousands of hashes move as a few binary values.
-The number of buckets follows the session's shuffle partitions, which grow with the data."""
+A task has several buckets; Spark sorts its rows by bucket (and spills where they are many), so that the
+task holds one bucket at a time."""
 
 from __future__ import annotations
 
@@ -15,10 +16,13 @@ from tremor.llm.common import partitions
 
 #: Bytes of text whose hashes are dealt out together.
 DEAL_BYTES = 4 << 20
+BUCKETS_PER_TASK = 4
+#: Bytes of results of small buckets that leave a task together.
+SEND_BYTES = 4 << 20
 
 
 def buckets(spark: SparkSession) -> int:
-    return 2 * partitions(spark)
+    return BUCKETS_PER_TASK * partitions(spark)
 
 
 def batch_of(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
@@ -48,26 +52,36 @@ def by_bucket(df: DataFrame, column: str, arrays: dict[str, str], work: Callable
 
     ``arrays`` names the binary columns and their numpy types; chunks of a bucket are joined.
     Columns named in ``sums`` hold the differences of their values (see ``steps``).
-    With ``finish``, ``work`` returns a tuple of arrays instead; those of all buckets of the task are joined
-    and given to ``finish`` at once, so that few rows go out."""
+    With ``finish``, ``work`` returns a tuple of arrays instead; those of neighbouring buckets are joined
+    and given to ``finish`` together, so that few rows go out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[str, list[np.ndarray]]] = {}
+        at, parts, done = None, {name: [] for name in arrays}, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            whole = {name: np.concatenate([np.frombuffer(x, kind) if name not in sums else np.cumsum(np.frombuffer(x, kind), dtype=kind) for x in parts[name]]) for name, kind in arrays.items()}
+            for held in parts.values():
+                held.clear()
+            out = work(at, whole)
+            if not finish:
+                yield from out
+                return
+            done.append(out)
+            if sum(x.nbytes for d in done for x in d) >= SEND_BYTES:
+                yield finish(*map(np.concatenate, zip(*done)))
+                done.clear()
+
         for batch in batches:
+            columns = {name: batch.column(name) for name in arrays}
             for i, b in enumerate(batch.column(column).to_pylist()):
-                parts = held.setdefault(b, {name: [] for name in arrays})
-                for name, kind in arrays.items():
-                    values = np.frombuffer(batch.column(name)[i].as_buffer(), kind)
-                    parts[name].append(np.cumsum(values, dtype=kind) if name in sums else values)
-        done = []
-        for b in sorted(held):
-            parts = held.pop(b)
-            out = work(b, {name: np.concatenate(v) for name, v in parts.items()})
-            if finish:
-                done.append(out)
-            else:
-                yield from out
+                if b != at and at is not None:
+                    yield from close()
+                at = b
+                for name, values in columns.items():
+                    parts[name].append(values[i].as_py() or b"")
+        if at is not None:
+            yield from close()
         if done:
             yield finish(*map(np.concatenate, zip(*done)))
 
-    return df.select(column, *arrays).repartition(partitions(df.sparkSession), column).mapInArrow(run, schema)
+    return df.select(column, *arrays).repartition(partitions(df.sparkSession), column).sortWithinPartitions(column).mapInArrow(run, schema)

@@ -5,7 +5,8 @@ removed.  All windows of ``LENGTH`` bytes are judged on the input texts.
 
 1. Anchors.  The least hash among the ``GRAM``-byte grams of a window is its anchor, so equal windows
    have equal anchors.  Neighbouring windows with one anchor form a unit.  Units are dealt by anchor as
-   packed arrays.  Of an anchor that lies in several documents, equal units are told by their hashes:
+   packed arrays; of equal units in one deal of about 4 MB of text only those of its least document
+   travel, the others are removed there.  Of an anchor that lies in several documents, equal units are told by their hashes:
    every occurrence outside the smallest document is removed whole.  Where different units meet under
    one anchor, windows may be shared in part.  A shared window reaches half of its other bytes to
    the left or to the right of the anchor, so both units agree on the hash of one of these sides; only
@@ -42,10 +43,12 @@ GRAM = 20
 _POSITION_BITS = 24
 _SEGMENT = 1 << 21
 #: Suffix-sorting problems per bucket of anchors.
-FINER = 16
+FINER = 8
 #: How a unit travels; sorted by document and place, so differences are small.
 UNIT = {"anchor": "<u4", "unit": "<u8", "first": "<u4", "windows": "u1", "left": "<u2", "right": "<u2", "doc": "<i8"}
 STEPS = ("first", "doc")
+#: Windows that a task has already found in a smaller document of its own; they travel beside the units.
+GONE = {"gone_doc": "<i8", "gone_first": "<u4", "gone_windows": "u1"}
 
 
 def _units(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -82,7 +85,8 @@ def _units(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[
     for reaches, a, b in ((anchor - first >= side, anchor - side, anchor + gram), (last + length - anchor - gram >= side, anchor, anchor + gram + side)):
         a, b = np.where(reaches, a, 0), np.where(reaches, b, 0)
         sides.append(np.where(reaches, (tb.mix(tb.span_hash(prefix, a, b), 9) >> np.uint64(48)) | np.uint64(1), np.uint64(0)).astype(np.uint16))
-    return first, windows, hashed[anchor], unit, *sides
+    # the least of many hashes is small: mixed again, anchors spread evenly over the buckets
+    return first, windows, tb.mix(hashed[anchor], 17), unit, *sides
 
 
 def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -97,9 +101,19 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 
 
 def _dealt_units(docs: DataFrame, n_buckets: int, length: int, gram: int) -> DataFrame:
-    def send(held: list[dict]) -> pa.RecordBatch:
-        columns = {k: np.concatenate([h.pop(k) for h in held]) for k in list(held[0])}
-        return pack_by(columns.pop("bucket"), n_buckets, columns, STEPS)
+    def send(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        """Of equal units, those of the least document here go on; the others are told now, so a hot passage sends one row per deal."""
+        a = {k: np.concatenate([h.pop(k) for h in held]) for k in list(held[0])}
+        order = np.lexsort((a["doc"], a["unit"]))
+        new = _first_of_runs(a["unit"][order])
+        gone = np.zeros(len(order), bool)
+        gone[order] = a["doc"][order] > a["doc"][order][new][np.cumsum(new) - 1]
+        for take, kinds, names in ((~gone, UNIT, {k: k for k in UNIT}), (gone, GONE, {"gone_doc": "doc", "gone_first": "first", "gone_windows": "windows"})):
+            of = {k: a[v][take] for k, v in names.items()}
+            bucket = a["bucket"][take] if kinds is UNIT else (tb.mix(of["gone_doc"].view(np.uint64), 5) % np.uint64(n_buckets)).astype(np.int32)
+            batch = pack_by(bucket, n_buckets, of, STEPS)
+            empty = pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), *(batch.column(k) if k in names else empty for k in (UNIT | GONE))], ["bucket", *UNIT, *GONE])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -116,12 +130,12 @@ def _dealt_units(docs: DataFrame, n_buckets: int, length: int, gram: int) -> Dat
                 held.append({"bucket": bucket.astype(np.int32)} | {k: v.astype(kind) for (k, kind), v in zip(UNIT.items(), values)})
                 size += b - a
                 if size >= DEAL_BYTES:
-                    yield send(held)
+                    yield from send(held)
                     held, size = [], 0
         if held:
-            yield send(held)
+            yield from send(held)
 
-    kinds = "bucket long, " + ", ".join(f"{k} binary" for k in UNIT)
+    kinds = "bucket long, " + ", ".join(f"{k} binary" for k in (UNIT | GONE))
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(deal, kinds)
 
 
@@ -212,11 +226,14 @@ def window_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     n_buckets = buckets(docs.sparkSession)
 
     def judge(bucket: int, a: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        gone = [a.pop(k).astype(np.int64) for k in GONE]
+        none = np.zeros(len(gone[0]), np.int64)
         *found, anchor = _judge(a)
-        return *found, bucket * FINER + (anchor.astype(np.int64) * FINER >> 32)
+        found.append(bucket * FINER + (anchor.astype(np.int64) * FINER >> 32))
+        return tuple(np.concatenate(x) for x in zip(found, (*gone, none.astype(bool), none)))
 
     units = _dealt_units(docs, n_buckets, length, gram)
-    return _by_document(by_bucket(units, "bucket", UNIT, judge, _RANGE_KINDS, STEPS, _to_documents(n_buckets)))
+    return _by_document(by_bucket(units, "bucket", UNIT | GONE, judge, _RANGE_KINDS, STEPS, _to_documents(n_buckets)))
 
 
 def compared_ranges(docs: DataFrame, ranges: DataFrame, length: int = LENGTH) -> DataFrame:
