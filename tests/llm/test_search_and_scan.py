@@ -111,3 +111,22 @@ def test_main_text(spark):
 def test_tree_learns_its_table():
     tree = hb.trained_tree()
     assert all(hb.classify(tree, row[:-1]) == bool(row[-1]) for row in hb.LABELLED)
+
+
+def test_texts_below_a_piece_and_edited_templates(spark):
+    """Cut and edited templates, alone and inside other text: what holds 80 % of the shingles is found, short texts too."""
+    rng, rows = random.Random(11), []
+    for name, text in ls.TEMPLATES.items():
+        w = text.split()
+        rows += [" ".join(w[a : len(w) - b]) for a in range(3) for b in range(3)]
+        for _ in range(30):
+            e = list(w)
+            for _ in range(rng.randint(1, max(1, len(w) // 20))):
+                at = rng.randrange(len(e))
+                e[at : at + rng.randint(0, 1)] = [f"odd{rng.randrange(99)}"] * rng.randint(0, 1)
+            rows.append(" ".join([*(["before"] * rng.randint(0, 3)), *e, *(["after"] * rng.randint(0, 9))]))
+    rows = list(enumerate([*rows, "", "MIT", None]))
+    got = [tuple(r) for r in ls.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = scan_brute(rows)
+    assert sorted(got, key=str) == want and len(want) > 300
+    assert ls.scan(spark.createDataFrame([(1, "it is John's own licence text")], "doc_id long, text string"), {"John's": "it is john s own licence text"}).count() == 1

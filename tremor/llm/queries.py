@@ -89,8 +89,8 @@ def _op9_sql() -> str:
 WITH t AS (SELECT license, string_split(words, ' ') AS w FROM (VALUES {rows}) v(license, words)),
 h AS (SELECT license, list_distinct({grams}) AS h FROM t),
 d AS (
-  SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w
-  FROM documents WHERE regexp_matches(lower(text), '{'|'.join(license_scan.anchors(license_scan.TEMPLATES))}')),
+  SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w
+  FROM documents),
 g AS (SELECT doc_id, {grams} AS g FROM d),
 m AS (SELECT doc_id, license, len(h)::BIGINT AS n_shingles, len(list_intersect(h, g))::BIGINT AS n_found FROM g CROSS JOIN h)
 SELECT doc_id, license, n_shingles, n_found FROM m WHERE 100 * n_found >= 80 * n_shingles
