@@ -14,9 +14,11 @@ BROADCAST_BYTES = 16 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one is made only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset, a local one, and only if all tasks run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = os.path.join(tempfile.gettempdir(), "tremor-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -57,3 +59,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def text_key(text: Column | None = None) -> Column:
+    """Tells rows of one doc_id, or rows without one, apart by their texts."""
+    return F.xxhash64(text_or_empty() if text is None else F.coalesce(text.cast("string"), F.lit("")))
+
+
+def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the doc_id and text_key of a row of ``kept``, with all their columns."""
+    wanted = kept.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(wanted["__id"]) & (text_key(docs["text"]) == wanted["__key"])
+    return docs.join(wanted, same, "left_semi")
+
+
+def once_each(rows: DataFrame) -> DataFrame:
+    """Repeated rows (one doc_id, one text) once; without any, ``rows`` as they are."""
+    repeated = rows.groupBy("doc_id", text_key().alias("__key")).count().where("count > 1").limit(1).count()
+    return rows.dropDuplicates(["doc_id", "text"]) if repeated else rows

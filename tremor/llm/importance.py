@@ -7,9 +7,9 @@ samples k documents without replacement in proportion to their weights.  k is th
 whose weight reaches the cut that best separates labelled rows which the model has not seen, so it
 follows the corpus.
 
-A few toxic words in an otherwise good text hardly move that sum.  So a third model holds the cells
-that are found in far more of the labelled toxic documents than of the others, each with its log ratio;
-a document whose distinct cells sum to the toxic cut or more has importance 0 and is not sampled.
+A few toxic words in an otherwise good text hardly move that sum.  So a third model holds the words
+(64-bit hashes, lower case) that are found in far more of the labelled toxic documents than of the others, each with its
+log ratio; a document whose distinct words sum to the toxic cut or more has importance 0 and is not sampled.
 
 The raw model counts every document; the target model and the cut are fitted on at most about FIT_ROWS
 labelled rows.  The models have a fixed number of hash cells, so what reaches the driver does not
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremor.llm import textbytes as tb
-from tremor.llm.common import settle, text_or_empty
+from tremor.llm.common import rows_of, settle, text_key, text_or_empty
 
 CELLS = 1 << 16
 SLICE = 1 << 12
@@ -43,7 +43,7 @@ SEED = 17
 FIT_ROWS = 200_000
 #: One in so many labelled rows is kept out of the target model and places the cut: fitted rows score higher than new ones.
 CUT_FOLDS = 3
-#: A cell enters the toxic model when so many toxic documents hold it, and so many standard deviations more than chance gives.
+#: A word enters the toxic model when so many toxic documents hold it, and so many standard deviations more than chance gives.
 TOXIC_DOCS, TOXIC_DEVIATIONS = 5, 6.0
 
 
@@ -58,24 +58,17 @@ def _cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def cell_counts(docs: DataFrame) -> np.ndarray:
-    """Per hash cell the n-grams of good and of all documents, and the toxic and other labelled documents that hold it.
-
-    ``docs`` has text, good (boolean) and toxic (boolean, null where a row isn't to be fitted)."""
+    """Per hash cell the n-grams of good and of all documents; ``docs`` has text and good (boolean)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((4, CELLS), np.int64)
+        totals = np.zeros((2, CELLS), np.int64)
         for batch in batches:
             data, offsets = tb.string_buffers(batch.column(0))
             good = np.array(batch.column(1).to_pylist(), bool)
-            side = np.array([-1 if x is None else 2 if x else 3 for x in batch.column(2).to_pylist()], np.int64)
             for i, j in tb.chunks(offsets):
                 cells, doc = _cells(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 totals[1] += np.bincount(cells, minlength=CELLS)
                 totals[0] += np.bincount(cells[good[i:j][doc]], minlength=CELLS)
-                fitted = side[i:j][doc] >= 0
-                once = np.unique(doc[fitted] * CELLS + cells[fitted])
-                for k in (2, 3):
-                    totals[k] += np.bincount(once[side[i:j][once // CELLS] == k] % CELLS, minlength=CELLS)
         for at in range(0, CELLS, SLICE):
             part = totals[:, at : at + SLICE]
             if part[1].any():
@@ -90,13 +83,36 @@ def cell_counts(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([counts.tobytes()])], ["at", "counts"])
 
     kind = "at long, counts binary"
-    slices = docs.select("text", "good", "toxic").mapInArrow(count, kind).repartition(CELLS // SLICE, "at").mapInArrow(add, kind)
-    out = np.zeros((4, CELLS), np.int64)
-    for at, counts in slices.collect():  # CELLS numbers four times, whatever the input
-        out[:, at : at + SLICE] = np.frombuffer(counts, np.int64).reshape(4, SLICE)
+    slices = docs.select("text", "good").mapInArrow(count, kind).repartition(CELLS // SLICE, "at").mapInArrow(add, kind)
+    out = np.zeros((2, CELLS), np.int64)
+    for at, counts in slices.collect():  # CELLS numbers twice, whatever the input
+        out[:, at : at + SLICE] = np.frombuffer(counts, np.int64).reshape(2, SLICE)
     return out
 
 
+def toxic_words(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, log ratios) of the words that tell toxic documents; ``labelled`` has text and toxic, at most about FIT_ROWS rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tb.string_buffers(batch.column(0))
+            toxic = np.array(batch.column(1).to_pylist(), bool)
+            for i, j in tb.chunks(offsets):
+                word, doc = tb.distinct_sets(*tb.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                words, at = np.unique(word, return_inverse=True)
+                harm = np.bincount(at, weights=toxic[i:j][doc], minlength=len(words)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(harm), pa.array(np.bincount(at, minlength=len(words)) - harm)], ["word", "toxic", "other"])
+
+    n_toxic, n_other = labelled.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
+    counts = labelled.select("text", "toxic").mapInArrow(count, "word long, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    chance = (F.col("toxic") + F.col("other")) * (n_toxic / max(1, n_toxic + n_other))
+    told = counts.where((F.col("toxic") >= TOXIC_DOCS) & (F.col("toxic") - chance > TOXIC_DEVIATIONS * F.sqrt(chance))).toPandas()  # of the bounded sample's words
+    told["key"] = told["word"].to_numpy(np.int64).view(np.uint64)
+    told = told.sort_values("key")
+    ratio = np.log((told["toxic"].to_numpy(float) + 0.5) / (n_toxic + 1)) - np.log((told["other"].to_numpy(float) + 0.5) / (n_other + 1))
+    return told["key"].to_numpy(np.uint64), ratio
+
+
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """log(p_target / p_raw) per cell; the target model is smoothed towards the raw one, so unseen cells stay finite."""
     p_raw = (raw + 1e-3) / (raw.sum() + 1e-3 * CELLS)
@@ -105,16 +121,19 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log(p_target / p_raw)
 
 
-def toxic_ratio(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
-    """log(share of toxic documents / share of others) of cells that tell toxic documents, 0 elsewhere; from document counts per cell."""
-    chance = (toxic + other) * (n_toxic / max(1, n_toxic + n_other))
-    ratio = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((other + 0.5) / (n_other + 1))
-    return np.where((toxic >= TOXIC_DOCS) & (toxic - chance > TOXIC_DEVIATIONS * np.sqrt(chance)), ratio, 0.0)
+def _harm(word: np.ndarray, doc: np.ndarray, n_docs: int, known: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """The sum of log ratios of every document's distinct words of the toxic model."""
+    if not len(known):
+        return np.zeros(n_docs)
+    at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+    hit = known[at] == word
+    once = np.unique(doc[hit] * len(known) + at[hit])
+    return np.bincount(once // len(known), weights=ratio[once % len(known)], minlength=n_docs)
 
 
-def scored(docs: DataFrame, ratio: np.ndarray, toxic: np.ndarray, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
-    """doc_id, n_grams, log_weight, toxic_weight, gumbel_key of every row; ``docs`` has doc_id and text."""
-    share = docs.sparkSession.sparkContext.broadcast((ratio.astype(np.float64), toxic.astype(np.float64)))
+def scored(docs: DataFrame, ratio: np.ndarray, toxic: tuple[np.ndarray, np.ndarray], seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
+    """doc_id, n_grams, log_weight, toxic_weight, text_key, gumbel_key of every row; ``docs`` has doc_id and text."""
+    share = docs.sparkSession.sparkContext.broadcast((ratio.astype(np.float64), *toxic))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,13 +143,11 @@ def scored(docs: DataFrame, ratio: np.ndarray, toxic: np.ndarray, seed: int = SE
                 cells, doc = _cells(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 grams[i:j] = np.bincount(doc, minlength=j - i)
                 weight[i:j] = np.bincount(doc, weights=share.value[0][cells], minlength=j - i)
-                telling = share.value[1][cells] != 0
-                once = np.unique(doc[telling] * CELLS + cells[telling])
-                harm[i:j] = np.bincount(once // CELLS, weights=share.value[1][once % CELLS], minlength=j - i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams), pa.array(weight), pa.array(harm)], ["doc_id", "n_grams", "log_weight", "toxic_weight"])
+                harm[i:j] = _harm(*tb.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), j - i, *share.value[1:])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams), pa.array(weight), pa.array(harm), batch.column(2)], ["doc_id", "n_grams", "log_weight", "toxic_weight", "text_key"])
 
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52).cast("long")) + F.lit(0.5)) / F.lit(float(1 << 52))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, n_grams long, log_weight double, toxic_weight double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key")).mapInArrow(score, "doc_id long, n_grams long, log_weight double, toxic_weight double, text_key long")
     return rows.withColumn("gumbel_key", F.col("log_weight") - F.lit(temperature) * F.log(-F.log(uniform)))
 
 
@@ -184,8 +201,7 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float:
     return high
 
 
-def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, n_grams, log_weight, kept of every row of ``docs``; ``labels``: doc_id, quality, toxic."""
+def _judged(docs: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -198,20 +214,24 @@ def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     held_out = F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(CUT_FOLDS).cast("long")) == 0
     fitted = known.where(~held_out)
     marked = texts.join(F.broadcast(fitted), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"), "toxic")
-    target, raw, harmful, harmless = cell_counts(marked)
-    n_harmful, n_harmless = fitted.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
-    scores = settle(scored(texts, log_ratio(target, raw), toxic_ratio(harmful, harmless, n_harmful, n_harmless), seed), "scores")
+    target, raw = cell_counts(marked)
+    harmful = toxic_words(marked.where(F.col("toxic").isNotNull()))
+    scores = settle(scored(texts, log_ratio(target, raw), harmful, seed), "scores")
     unseen = known.where(held_out)
     cut = best_cut(scores, unseen)
     fair = F.col("toxic_weight") < F.lit(toxic_cut(scores.where(F.col("log_weight") >= cut), unseen))
     k = scores.where((F.col("log_weight") >= cut) & fair).count()
     if k == 0:
-        return scores.select("doc_id", "n_grams", "log_weight", F.lit(False).alias("kept"))
+        return scores.withColumn("kept", F.lit(False))
     least = kth_largest(scores.where(fair), "gumbel_key", k)
-    return scores.select("doc_id", "n_grams", "log_weight", (fair & (F.col("gumbel_key") >= F.lit(least))).alias("kept"))
+    return scores.withColumn("kept", fair & (F.col("gumbel_key") >= F.lit(least)))
+
+
+def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, n_grams, log_weight, kept of every row of ``docs``; ``labels``: doc_id, quality, toxic."""
+    return _judged(docs, labels, seed).select("doc_id", "n_grams", "log_weight", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    kept = classify(docs, labels, seed).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    return rows_of(docs, _judged(docs, labels, seed).where("kept"))
