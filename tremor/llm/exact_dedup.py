@@ -7,7 +7,7 @@ doubles the table and re-inserts from the stored keys.  Digests can be deleted a
 
 Defined results: a null text counts as empty; empty texts are equal to one another; ties in length go
 to the smallest doc_id, a null doc_id after all others; a repeated row counts as one more member of
-its group; extra columns pass through ``exact_dedup`` untouched, whatever their names.
+its group, and one of them stays; extra columns pass through ``exact_dedup`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import partitions, settle, text_or_empty
+from tremor.llm.common import once_each, partitions, rows_of, settle, text_key, text_or_empty
 
 #: Deleted before comparing: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -120,10 +120,11 @@ class CuckooIndex:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest binary, n_points (code points of the original text) of every row."""
+    """doc_id, digest binary, n_points (code points of the original text), text_key of every row."""
     text = text_or_empty()
     return docs.select(
         F.col("doc_id"),
+        text_key().alias("text_key"),
         F.unhex(F.sha2(F.translate(text, WHITE_SPACE, "").cast("binary"), 256)).alias("digest"),
         F.char_length(text).cast("long").alias("n_points"),
     )
@@ -159,9 +160,9 @@ def _index_shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             key, new = bytes(digest), (-int(points), bool(missing), 0 if missing else int(doc_id))
             held = index.get(key)
             index.put(key, (new, int(size)) if held is None else (min(held[0], new), held[1] + int(size)))
-    rows = [(k, None if best[1] else best[2], size) for k, (best, size) in index.items()]
+    rows = [(k, None if best[1] else best[2], -best[0], size) for k, (best, size) in index.items()]
     for i in range(0, len(rows), 10_000):
-        out = pd.DataFrame(rows[i : i + 10_000], columns=["digest", "keep_id", "group_size"])
+        out = pd.DataFrame(rows[i : i + 10_000], columns=["digest", "keep_id", "keep_points", "group_size"])
         out["keep_id"] = out["keep_id"].astype("Int64")
         yield out
 
@@ -173,16 +174,20 @@ def partials(digest_rows: DataFrame) -> DataFrame:
 
 
 def groups(digest_rows: DataFrame) -> DataFrame:
-    """digest, keep_id, group_size of every distinct digest: partial groups are dealt by digest and merged by each shard's index."""
+    """digest, keep_id, keep_points, group_size of every distinct digest: partial groups are dealt by digest and merged by each shard's index."""
     dealt = partials(digest_rows).repartition(partitions(digest_rows.sparkSession), "digest")
-    return dealt.mapInPandas(_index_shard, "digest binary, keep_id long, group_size long")
+    return dealt.mapInPandas(_index_shard, "digest binary, keep_id long, keep_points long, group_size long")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """The rows of ``digests`` beside their group."""
+    rows = settle(digests(docs), "digests")
+    return rows.join(groups(rows), "digest")
 
 
 def labelled(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row, dropped ones too."""
-    rows = settle(digests(docs), "digests")
-    joined = rows.join(groups(rows), "digest")
-    return joined.select(
+    return _judged(docs).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -192,28 +197,28 @@ def labelled(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns; of repeated rows one stays, rows without a doc_id stay once per text."""
-    kept = labelled(docs).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    once = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__keep"]), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return once.dropDuplicates(["doc_id", "text"]) if repeated else once
+    """The rows that stay, one per group, with all their columns; rows without a doc_id and several texts of one doc_id count by their texts."""
+    best = _judged(docs).where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points")))
+    kept = best.groupBy("digest").agg(F.first("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"))
+    return once_each(rows_of(docs, kept))
 
 
 def apply_changes(index: DataFrame, changes: DataFrame) -> DataFrame:
-    """Keep a stored index of live digests current: ``changes`` has op ('insert' or 'delete') and digest.
+    """Keep a stored index of live digests current: ``changes`` has op ('insert' or 'delete'), digest and, to order them, seq.
 
-    Both tables are dealt by digest and each shard replays inserts, then deletes; deleting an unknown
-    digest is a no-op, inserting a live one too.  Returns the live digests."""
-    both = index.select("digest", F.lit(0).alias("turn")).unionByName(
-        changes.select("digest", F.when(F.col("op") == "delete", 2).otherwise(1).alias("turn"))
-    ).where(F.col("digest").isNotNull()).groupBy("digest").agg(F.array_sort(F.collect_set("turn")).alias("turns"))
+    Both tables are dealt by digest; each shard fills its filter from the stored keys and replays the changes by seq
+    (inserts before deletes where seq is equal, null or no column).  Deleting an unknown digest is a no-op,
+    inserting a live one too; null digests are left out.  Returns the live digests."""
+    seq = F.coalesce(F.col("seq").cast("long"), F.lit(0)) if "seq" in changes.columns else F.lit(0).cast("long")
+    stored = index.select("digest", F.lit(None).cast("long").alias("seq"), F.lit(False).alias("gone"))
+    both = stored.unionByName(changes.select("digest", seq.alias("seq"), (F.col("op") == "delete").alias("gone"))).where(F.col("digest").isNotNull())
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         live = CuckooIndex()
         for pdf in batches:
-            for digest, turns in zip(pdf["digest"], pdf["turns"]):
-                for turn in turns:
-                    live.delete(bytes(digest)) if turn == 2 else live.put(bytes(digest), True)
+            for digest, gone in zip(pdf["digest"], pdf["gone"]):
+                live.delete(bytes(digest)) if gone else live.put(bytes(digest), True)
         yield pd.DataFrame({"digest": [k for k, _ in live.items()]}, columns=["digest"])
 
-    return both.repartition(partitions(index.sparkSession), "digest").mapInPandas(replay, "digest binary")
+    dealt = both.repartition(partitions(index.sparkSession), "digest").sortWithinPartitions(F.col("seq").asc_nulls_first(), "gone")
+    return dealt.mapInPandas(replay, "digest binary")

@@ -13,8 +13,9 @@
    that still lie in different components are taken from the tiles, all of them.
 
 Defined results: null or empty texts have an empty set and link with nothing; a shorter text is one
-shingle; repeated rows are copies; a null doc_id is carried as a component of its own; extra columns
-are ignored.
+shingle; repeated rows are copies, and one of them stays; of several texts of one doc_id, one is compared in
+its name; a row with a null doc_id belongs to the component of its copies, else to none of its own; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.llm import textbytes as tb
-from tremor.llm.common import broadcast_if_small, discard, settle, text_or_empty
+from tremor.llm.common import broadcast_if_small, once_each, rows_of, settle, text_key, text_or_empty
 from tremor.llm.components import components
 from tremor.llm.dealing import DEAL_BYTES, buckets, by_bucket, pack_by
 
@@ -59,15 +60,15 @@ def _chunks(batch: pa.RecordBatch, column: int, limit: int):
 
 
 def set_digests(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, one, two of every row; equal sets have equal digests."""
+    """doc_id, n_shingles, one, two, text_key of every row; equal sets have equal digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in _chunks(batch, 1, tb.CHUNK_BYTES):
                 _, _, n, one, two = _sets(data, offsets, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "n_shingles", "one", "two"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(2).slice(i, j - i)], ["doc_id", "n_shingles", "one", "two", "text_key"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, one long, two long")
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(run, "doc_id long, n_shingles long, one long, two long, text_key long")
 
 
 def shared_classes(docs: DataFrame, size_of_shingle: int = SHINGLE) -> DataFrame:
@@ -231,8 +232,7 @@ def links_and_components(sets: DataFrame) -> DataFrame:
     return found
 
 
-def component_rows(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _placed(docs: DataFrame, size: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = settle(set_digests(texts, size), "set-digests")
     classes = settle(rows.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
@@ -242,11 +242,14 @@ def component_rows(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     found = links_and_components(sets)
     of_class = classes.join(found, classes["rep"] == found["doc"], "left").select("one", "two", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
     joined = rows.join(of_class, ["one", "two", "n_shingles"], "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+    return joined.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), "text_key")
+
+
+def component_rows(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return _placed(docs, size).drop("text_key")
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The rows whose doc_id is the smallest of their component, with all their columns."""
-    rows = component_rows(docs, size)
-    stays = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(stays["__stays"]), "left_semi")
+    return once_each(rows_of(docs, _placed(docs, size).where(F.col("doc_id").eqNullSafe(F.col("component_id")))))
