@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -11,52 +12,78 @@ import corpus_pipeline
 from tremor.llm import exact_dedup, importance, jaccard_join, mixing
 
 
-def test_raking_meets_every_margin(docs):
-    rows = mixing.token_rows(docs)
-    local = rows.groupBy(*mixing.MARGINS).agg(F.sum("n_tokens").alias("tokens")).toPandas()
-    local = local[local["tokens"] > 0].reset_index(drop=True)
-    targets = {m: mixing.tempered_targets(local.groupby(m)["tokens"].sum()) for m in ("source", "lang")}
-    w = mixing.rake_local(local, targets, 500)
-    for m, t in targets.items():
-        share = (w * local["tokens"]).groupby(local[m]).sum() / local["tokens"].sum()
-        assert np.allclose(share, t.reindex(share.index), atol=1e-6)
-
-
-def test_distributed_raking_is_the_same(spark):
-    rng = np.random.default_rng(0)
-    cells = pd.DataFrame([(s, la, t, int(rng.integers(1, 1000))) for s in "ab" for la in "xyz" for t in "pq"], columns=[*mixing.MARGINS, "tokens"])
-    targets = {m: mixing.tempered_targets(cells.groupby(m)["tokens"].sum(), 0.3) for m in mixing.MARGINS}
-    frames = {m: spark.createDataFrame(t.rename("share").rename_axis(m).reset_index()) for m, t in targets.items()}
-    got = mixing.rake_distributed(spark.createDataFrame(cells), frames, 4).toPandas().sort_values(list(mixing.MARGINS))
-    assert np.allclose(got["weight"], mixing.rake_local(cells, targets, 4))
-
-
-def test_calibration():
-    rng = np.random.default_rng(1)
-    for budget in (0.1, 0.6, 0.95, 1.0):
-        w, t = rng.random(50) * 5, rng.integers(1, 100, 50)
-        p = mixing.calibrate(w, t, budget)
-        assert abs((p * t).sum() - budget * t.sum()) < 1e-6 and p.max() <= 1
-        free = p < 1 - 1e-9
-        assert np.allclose(p[free] / w[free], (p[free] / w[free])[:1] if free.any() else 0)
+def plain_raking(cells: pd.DataFrame, targets: dict, sweeps: int = 3000) -> np.ndarray:
+    """Iterative proportional fitting, cell by cell."""
+    tokens, w = cells["tokens"].to_numpy(float), np.ones(len(cells))
+    for _ in range(sweeps):
+        for m, share in targets.items():
+            for c in cells[m].unique():
+                at = (cells[m] == c).to_numpy()
+                w[at] *= share[c] * tokens.sum() / (w * tokens)[at].sum()
+    return w
+
+
+def plain_calibration(w: np.ndarray, t: np.ndarray, budget: float) -> np.ndarray:
+    low, high = 0.0, 1 / w[w > 0].min()
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (np.minimum(1, mid * w) * t).sum() < budget * t.sum() else (low, mid)
+    return np.minimum(1, high * w)
+
+
+@pytest.mark.parametrize("sources", [2, 300])
+def test_raking_and_calibration_are_the_plain_ones(spark, sources):
+    rng = np.random.default_rng(sources)
+    cells = pd.DataFrame([(f"s{s}", la, t, int(rng.integers(1, 1000))) for s in range(sources) for la in "xyz" for t in "pq" if rng.random() < 0.9], columns=[*mixing.MARGINS, "tokens"])
+    targets = {m: mixing.tempered(cells.groupby(m)["tokens"].sum(), 0.7) for m in mixing.MARGINS}
+    df = spark.createDataFrame(cells)
+    got = mixing.raked(df).toPandas().merge(cells.assign(want=plain_raking(cells, targets, 60)), on=[*mixing.MARGINS, "tokens"])
+    assert len(got) == len(cells) and np.allclose(got["weight"], got["want"], rtol=1e-6)
+    reached = {(r["margin"], r["class"]): r["reached"] for r in mixing.margins(spark.createDataFrame(got[[*mixing.MARGINS, "tokens", "weight"]])).collect()}
+    assert all(abs(reached[m, c] - share) < 1e-7 for m, t in targets.items() for c, share in t.items())
+    given = {m: pd.Series(1.0, t.index) / len(t) for m, t in targets.items()}
+    assert np.allclose(mixing.raked(df, given).toPandas().merge(cells.assign(want=plain_raking(cells, given, 60)), on=[*mixing.MARGINS, "tokens"]).eval("weight - want"), 0, atol=1e-5)
+    weighed = spark.createDataFrame(got[[*mixing.MARGINS, "tokens", "weight"]])
+    for budget in (0.1, 0.6, 0.95):
+        scale = mixing.calibration_scale(weighed, budget)
+        assert np.allclose(np.minimum(1, scale * got["weight"]), plain_calibration(got["weight"].to_numpy(), got["tokens"].to_numpy(float), budget), atol=1e-6)
+    assert mixing.calibration_scale(weighed, 1.0) == float("inf")
 
 
 def test_mixture_rows(docs, empty, plain):
     rows = mixing.mixture(docs).toPandas()
     assert len(rows) == len(plain) and rows["probability"].between(0, 1).all()
-    assert (rows["n_tokens"].sum()) == sum(len(t.replace(" ", "x").split()) for _, t in plain)
-    assert rows.groupby(rows["doc_id"].fillna(-1))["sampled"].nunique().max() == 1 or rows["doc_id"].isna().any()
+    assert (rows["n_tokens"].sum()) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for _, t in plain)
+    known = rows[rows["doc_id"].notna()]
+    assert known.groupby(["doc_id", "topic"])["sampled"].nunique().max() == 1
+    cells = rows.groupby(list(mixing.MARGINS)).agg(tokens=("n_tokens", "sum"), weight=("weight", "first"), p=("probability", "first")).reset_index()
+    share = {m: mixing.tempered(cells.groupby(m)["tokens"].sum(), mixing.TEMPER) for m in mixing.MARGINS}
+    spoken = cells[cells["tokens"] > 0].reset_index(drop=True)
+    want = plain_raking(spoken, share, 400)
+    assert np.allclose(spoken["weight"], want, atol=1e-5) and np.allclose(spoken["p"], plain_calibration(want, spoken["tokens"].to_numpy(float), mixing.BUDGET), atol=1e-5)
     taken = mixing.sample_mixture(docs)
     assert taken.columns == docs.columns and taken.count() == rows["sampled"].sum()
     assert mixing.mixture(empty).count() == 0 and mixing.sample_mixture(empty).count() == 0
 
 
-def test_cells_beyond_the_driver(docs, monkeypatch):
+def test_salted_join_gives_the_same(docs, monkeypatch):
     here = mixing.mixture(docs).toPandas()
-    monkeypatch.setattr(mixing, "LOCAL_CELLS", 0)
-    monkeypatch.setattr(mixing, "SWEEPS", 2)
-    there = mixing.probabilities(mixing.token_rows(docs)).toPandas()
-    assert len(there) == len(here[list(mixing.MARGINS)].drop_duplicates()) and there["probability"].between(0, 1).all()
+    monkeypatch.setattr(mixing, "broadcast_if_small", lambda df, row_bytes: df)
+    there = mixing.mixture(docs).toPandas()
+    key = list(here.columns)
+    pd.testing.assert_frame_equal(here.sort_values(key).reset_index(drop=True), there.sort_values(key).reset_index(drop=True))
+
+
+def test_topics_tell_vocabularies_apart(spark):
+    rng = random.Random(4)
+    kinds = [[f"{k}{i}" for i in range(60)] for k in "abc"]
+    rows = [(i, " ".join(rng.choice(kinds[i % 3]) for _ in range(rng.randint(100, 300)))) for i in range(240)]
+    profiles = mixing.token_rows(spark.createDataFrame([(i, t, "s", "l") for i, t in rows], "doc_id long, text string, source string, lang string"))
+    centres = mixing.topic_centres(profiles, 3)
+    got = mixing.with_topics(profiles, centres).toPandas()
+    assert got.groupby(got["doc_id"] % 3)["topic"].nunique().max() == 1 and got["topic"].nunique() == 3
+    one = mixing.topic_centres(profiles.repartition(7), 3)
+    assert (one == centres).all()
 
 
 @pytest.mark.parametrize("k", [1, 2, 17, 400, 1000])
