@@ -37,9 +37,9 @@ TEMPER = 0.7
 BUDGET = 0.6
 SWEEPS = 200
 #: Raking ends when every margin's share is as near to its target.
-TOLERANCE = 1e-9
+TOLERANCE = 1e-7
 SEED = 29
-PROFILE, TOPICS, TOPIC_ROUNDS, SEED_ROWS = 64, 8, 6, 512
+PROFILE, TOPICS, TOPIC_ROUNDS, SEED_ROWS = 64, 8, 3, 512
 #: Tables too large to broadcast are joined under so many salts, so that a hot cell is spread over as many tasks.
 SALTS = 32
 
@@ -73,21 +73,34 @@ def _profiles(batch: pa.RecordBatch, column: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint8).reshape(-1, PROFILE)
 
 
+def _starting_centres(sample: np.ndarray, topics: int, runs: int = 8) -> np.ndarray:
+    rng, best = np.random.default_rng(SEED), None
+    for _ in range(runs):
+        centres = sample[[rng.integers(len(sample))]]
+        while len(centres) < topics:
+            away = ((sample[:, None] - centres) ** 2).sum(2).min(1)
+            if not away.any():
+                break
+            centres = np.vstack([centres, sample[rng.choice(len(sample), p=away / away.sum())]])
+        for _ in range(4 * TOPIC_ROUNDS):
+            at = nearest(sample, centres)
+            centres = np.stack([np.rint(sample[at == c].mean(0)).astype(np.int64) if (at == c).any() else centres[c] for c in range(len(centres))])
+        loss = int(((sample - centres[nearest(sample, centres)]) ** 2).sum())
+        if best is None or loss < best[0]:
+            best = loss, centres
+    return best[1]
+
+
 def topic_centres(rows: DataFrame, topics: int = TOPICS, rounds: int = TOPIC_ROUNDS) -> np.ndarray:
     """Rounded k-means centres of the profiles of all rows with tokens.
 
-    They start as far from one another as SEED_ROWS hash-chosen rows allow."""
+    They start from the best of several k-means runs on SEED_ROWS hash-chosen rows."""
     spoken = rows.where("n_tokens > 0").select("profile", "text_key")
     first = spoken.orderBy(F.xxhash64("text_key"), "profile").limit(SEED_ROWS).toPandas()
     if first.empty:
         return np.zeros((1, PROFILE), np.int64)
     sample = np.stack([np.frombuffer(p, np.uint8) for p in first["profile"]]).astype(np.int64)
-    chosen = [0]
-    far = ((sample - sample[0]) ** 2).sum(1)
-    while len(chosen) < topics and far.max() > 0:
-        chosen.append(int(far.argmax()))
-        far = np.minimum(far, ((sample - sample[chosen[-1]]) ** 2).sum(1))
-    centres = sample[chosen]
+    centres = _starting_centres(sample, topics)
 
     for _ in range(rounds):
         k = len(centres)
