@@ -45,6 +45,70 @@ def dependent(moves: DataFrame, links: DataFrame) -> DataFrame:
     return along.join(gives, ["node", "child"]).groupBy("mode", F.col("child").alias("node2"), "axis").agg(F.sum(F.col("give") * F.col("re")).alias("re"), F.sum(F.col("give") * F.col("im")).alias("im")).withColumnRenamed("node2", "node")
 
 
+def with_dependent(moves: DataFrame, links: DataFrame, most: int = 32) -> DataFrame:
+    """``moves`` and the displacements of dependent nodes; a dependent node may lead others, level by level.
+
+    A node's displacement counts once all its parents are known; ``most`` bounds the depth of such chains."""
+    known = moves
+    for _ in range(most):
+        have = known.select(F.col("node").alias("parent")).distinct()
+        done = known.select(F.col("node").alias("child")).distinct()
+        open_ = links.join(done, "child", "left_anti")
+        late = open_.join(have, "parent", "left_anti").select("child").distinct()
+        ready = open_.join(late, "child", "left_anti")
+        if not ready.limit(1).count():
+            break
+        known = known.unionByName(dependent(known, ready).select(*known.columns))
+    return known
+
+
+def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """Nodes with new ones; one that is there already gets the new coordinates."""
+    return nodes.join(new.select("node"), "node", "left_anti").unionByName(new.select(*nodes.columns))
+
+
+def add_lines(lines: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Lines with those new ones whose two nodes are there; in either direction each stays once."""
+    known = nodes.select(F.col("node").alias("start"))
+    sound = new.join(known, "start", "left_semi").join(known.select(F.col("start").alias("stop")), "stop", "left_semi")
+    every = lines.select("start", "stop").unionByName(sound.select("start", "stop"))
+    best = every.groupBy(F.least("start", "stop").alias("x"), F.greatest("start", "stop").alias("y")).agg(F.min(F.struct("start", "stop")).alias("l"))
+    return best.select("l.start", "l.stop")
+
+
+def without_links(links: DataFrame, gone: DataFrame) -> DataFrame:
+    """Dependencies that touch none of the removed nodes."""
+    return links.join(gone.select(F.col("node").alias("parent")), "parent", "left_anti").join(gone.select(F.col("node").alias("child")), "child", "left_anti").select(*links.columns)
+
+
+def without_dofs(dofs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Directions with those of removed nodes set free: the channel stays, its node is null."""
+    marked = dofs.join(F.broadcast(gone.select("node", F.lit(True).alias("_gone"))), "node", "left")
+    return marked.withColumn("node", F.when(F.col("_gone").isNull(), F.col("node"))).select(*dofs.columns)
+
+
+def rescaled(nodes: DataFrame, factor: float) -> DataFrame:
+    return nodes.withColumns({c: F.col(c) * factor for c in "xyz"})
+
+
+def shown(moves: DataFrame, real: bool = False) -> DataFrame:
+    """mode, node, axis, size, phase: magnitude and phase; for a real display the real part and phase 0 or pi."""
+    size = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    if real:
+        return moves.select("mode", "node", "axis", F.abs("re").alias("size"), F.when(F.col("re") < 0, F.lit(math.pi)).otherwise(F.lit(0.0)).alias("phase"))
+    return moves.select("mode", "node", "axis", size.alias("size"), F.atan2("im", "re").alias("phase"))
+
+
+def measured_frames(nodes: DataFrame, dofs: DataFrame, signals: DataFrame, amplitude: float = 1.0) -> DataFrame:
+    """n, node, axis, at: positions under the measured signals; ``dofs``: channel, node, azimuth, elevation."""
+    x, y, z = direction(F.col("azimuth"), F.col("elevation"))
+    parts = dofs.where(F.col("node").isNotNull()).select("channel", "node", x.alias("dx"), y.alias("dy"), z.alias("dz"))
+    along = parts.select("channel", "node", F.expr("stack(3, 'x', dx, 'y', dy, 'z', dz) AS (axis, part)"))
+    moved = signals.join(F.broadcast(along), "channel").groupBy("n", "node", "axis").agg(F.sum(F.col("y") * F.col("part")).alias("move"))
+    rest = nodes.select("node", F.expr("stack(3, 'x', x, 'y', y, 'z', z) AS (axis, rest)"))
+    return moved.join(F.broadcast(rest), ["node", "axis"]).select("n", "node", "axis", (F.col("rest") + amplitude * F.col("move")).alias("at"))
+
+
 def frames(nodes: DataFrame, moves: DataFrame, count: int = 25, amplitude: float = 1.0) -> DataFrame:
     """mode, node, axis, frame, at: positions over one period."""
     rest = nodes.select("node", F.expr("stack(3, 'x', x, 'y', y, 'z', z) AS (axis, rest)"))

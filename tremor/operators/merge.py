@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,19 +37,59 @@ def pair_candidates(a: DataFrame, b: DataFrame, df_max: float = 0.2, mac_min: fl
     return left.join(right, "bin").select("mode_a", "mode_b", near.alias("d_f"), same.alias("mac")).where((F.col("d_f") < df_max) & (F.col("mac") > mac_min))
 
 
-def pairs(candidates: DataFrame) -> DataFrame:
-    """One-to-one pairs: again and again, pairs that are the best of both their modes are taken."""
-    left = candidates
-    found = candidates.limit(0)
-    while True:
-        rank = F.struct(F.col("d_f"), (-F.col("mac")).alias("m"), "mode_a", "mode_b")
-        best_a = left.groupBy("mode_a").agg(F.min(rank).alias("x")).select("x.mode_a", "x.mode_b")
-        best_b = left.groupBy("mode_b").agg(F.min(rank).alias("x")).select("x.mode_a", "x.mode_b")
-        chosen = left.join(best_a.intersect(best_b), ["mode_a", "mode_b"])
-        if not chosen.limit(1).count():
-            return found
-        found = found.unionByName(chosen)
-        left = left.join(chosen.select("mode_a"), "mode_a", "left_anti").join(chosen.select("mode_b"), "mode_b", "left_anti")
+def all_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """mode_a, mode_b, d_f, mac of every two modes, with the difference over the frequency of a; for pairing without limits."""
+    left = a.select(F.col("mode").alias("mode_a"), F.col("f").alias("fa"), F.col("phi_re").alias("ar"), F.col("phi_im").alias("ai"))
+    right = F.broadcast(b.select(F.col("mode").alias("mode_b"), F.col("f").alias("fb"), F.col("phi_re").alias("br"), F.col("phi_im").alias("bi")))  # selected modes of one setup
+    return left.crossJoin(right).select("mode_a", "mode_b", (F.abs(F.col("fb") - F.col("fa")) / F.col("fa")).alias("d_f"), mac(F.col("ar"), F.col("ai"), F.col("br"), F.col("bi")).alias("mac"))
+
+
+def pairs(candidates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One-to-one pairs: the nearest two modes first, then the nearest of the others, ties to the larger MAC.
+
+    ``by``: columns that name the two setups; a group holds the candidate pairs of two setups."""
+    names = candidates.columns
+
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(_m=-pdf["mac"]).sort_values(["d_f", "_m", "mode_a", "mode_b"])
+        rows, a, b = [], set(), set()
+        for i, p, q in zip(pdf.index, pdf["mode_a"], pdf["mode_b"]):
+            if p not in a and q not in b:
+                rows.append(i)
+                a.add(p)
+                b.add(q)
+        return pdf.loc[rows, names]
+
+    return candidates.groupBy(*by).applyInPandas(take, candidates.schema)
+
+
+def common_modes(found: DataFrame, setups: int) -> DataFrame:
+    """The pairs (setup, mode_a, mode_b) whose base mode mode_a has a partner in all of so many other setups."""
+    whole = found.groupBy("mode_a").agg(F.countDistinct("setup").alias("n")).where(F.col("n") == setups).select("mode_a")
+    return found.join(whole, "mode_a", "left_semi")
+
+
+def unpaired(modes: DataFrame, found: DataFrame, side: str) -> DataFrame:
+    """Modes of side 'a' or 'b' without a partner."""
+    return modes.join(found.select(F.col(f"mode_{side}").alias("mode")), "mode", "left_anti")
+
+
+def pair_statistics(a: DataFrame, b: DataFrame, found: DataFrame) -> DataFrame:
+    """n, mean and population deviation of the differences of f and d, mean and least MAC, and unmatched modes of both sides."""
+    left, right = a.select(F.col("mode").alias("mode_a"), F.col("f").alias("fa"), F.col("d").alias("da")), b.select(F.col("mode").alias("mode_b"), F.col("f").alias("fb"), F.col("d").alias("db"))
+    told = found.join(left, "mode_a").join(right, "mode_b").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("fa") - F.col("fb")).alias("mean_df"), F.stddev_pop(F.col("fa") - F.col("fb")).alias("std_df"),
+        F.avg(F.col("da") - F.col("db")).alias("mean_dd"), F.stddev_pop(F.col("da") - F.col("db")).alias("std_dd"), F.avg("mac").alias("mean_mac"), F.min("mac").alias("min_mac"),
+    )
+    left_over = [unpaired(x, found, s).agg(F.count(F.lit(1)).alias(f"unmatched_{s}")) for x, s in ((a, "a"), (b, "b"))]
+    return told.crossJoin(F.broadcast(left_over[0])).crossJoin(F.broadcast(left_over[1]))  # one row each
+
+
+def setup_problems(dofs: DataFrame, modes: DataFrame) -> DataFrame:
+    """setup, problem: what keeps a setup from being merged; ``modes``: setup, mode.  Setups need directions and selected modes."""
+    have_dofs, have_modes = dofs.where(F.col("node").isNotNull()).select("setup").distinct(), modes.select("setup").distinct()
+    none = have_modes.join(have_dofs, "setup", "left_anti").withColumn("problem", F.lit("no directions"))
+    return none.unionByName(have_dofs.join(have_modes, "setup", "left_anti").withColumn("problem", F.lit("no selected modes")))
 
 
 def shape_scale(ref_re: str, ref_im: str, base_re: str, base_im: str) -> tuple:

@@ -74,35 +74,122 @@ def brickwall_taps(order: int, cutoff: float) -> list[float]:
     return (h / h.sum()).tolist()
 
 
-def sos_lowpass(order: int, cutoff: float, kind: str = "butter", ripple: float = 0.05) -> np.ndarray:
-    """Second-order sections of a digital low-pass (bilinear transform); ``cutoff`` in fractions of Nyquist."""
+def _landen(k: float) -> list[float]:
+    out = []
+    while k > 1e-16 and len(out) < 12:
+        k = (k / (1 + np.sqrt(1 - k * k))) ** 2
+        out.append(k)
+    return out
+
+
+def _elliptic(start: np.ndarray, k: float) -> np.ndarray:
+    """cd or sn at a point whose circular cosine or sine is ``start``, by ascending Landen steps."""
+    w = np.asarray(start, complex)
+    for v in reversed(_landen(k)):
+        w = (1 + v) * w / (1 + v * w * w)
+    return w
+
+
+def _elliptic_inverse_sn(w: complex, k: float) -> complex:
+    """u with sn(u K, k) = w, in units of the quarter period."""
+    before = k
+    for v in _landen(k):
+        w = 2 * w / ((1 + v) * (1 + np.sqrt(1 - w * w * before * before + 0j)))
+        before = v
+    return 2 / np.pi * np.arcsin(w + 0j)
+
+
+def prototype(kind: str, order: int, ripple: float, attenuation: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(zeros, poles, gain) of the analogue low-pass with its corner at 1 rad/s; ripple and attenuation in dB."""
     m = np.arange(-order + 1, order, 2)
+    none = np.zeros(0, complex)
     if kind == "butter":
-        poles, gain = -np.exp(1j * np.pi * m / (2 * order)), 1.0
-    elif kind == "cheby1":
+        return none, -np.exp(1j * np.pi * m / (2 * order)), 1.0
+    if kind == "cheby1":
         eps = np.sqrt(10 ** (0.1 * ripple) - 1)
         poles = -np.sinh(np.arcsinh(1 / eps) / order + 1j * np.pi * m / (2 * order))
-        gain = np.prod(-poles).real / (np.sqrt(1 + eps * eps) if order % 2 == 0 else 1.0)
+        return none, poles, np.prod(-poles).real / (np.sqrt(1 + eps * eps) if order % 2 == 0 else 1.0)
+    if kind == "cheby2":
+        mu = np.arcsinh(np.sqrt(10 ** (0.1 * attenuation) - 1)) / order
+        zeros = 1j / np.sin(np.pi * m[m != 0] / (2 * order))
+        round_ = -np.exp(1j * np.pi * m / (2 * order))
+        poles = 1 / (np.sinh(mu) * round_.real + 1j * np.cosh(mu) * round_.imag)
+        return zeros, poles, (np.prod(-poles) / np.prod(-zeros)).real
+    if kind == "bessel":
+        rising = [1.0]  # reverse Bessel polynomial, highest power first
+        for j in range(1, order + 1):
+            rising.append(rising[-1] * (order + j) * (order - j + 1) / (2 * j))
+        poles = np.roots(rising)
+        return none, poles / rising[-1] ** (1 / order), 1.0
+    if kind == "ellip":
+        if not 0 < ripple < attenuation:
+            raise ValueError("an elliptic filter needs 0 < ripple < attenuation")
+        ep, es = np.sqrt(10 ** (0.1 * ripple) - 1), np.sqrt(10 ** (0.1 * attenuation) - 1)
+        k1 = ep / es
+        half = np.arange(1, order // 2 + 1)
+        u = (2 * half - 1) / order
+        k1c = np.sqrt(1 - k1 * k1)
+        kc = k1c**order * np.prod(_elliptic(np.sin(u * np.pi / 2), k1c).real) ** 4
+        k = np.sqrt(1 - kc * kc)
+        v0 = (-1j * _elliptic_inverse_sn(1j / ep, k1) / order).real
+        zeros = 1j / (k * _elliptic(np.cos(u * np.pi / 2), k).real)
+        upper = 1j * _elliptic(np.cos((u - 1j * v0) * np.pi / 2), k)
+        poles = np.concatenate([upper, upper.conj(), 1j * _elliptic(np.sin(1j * v0 * np.pi / 2), k).ravel()[: order % 2]])
+        zeros = np.concatenate([zeros, zeros.conj()])
+        level = 10 ** (-ripple / 20) if order % 2 == 0 else 1.0
+        return zeros, poles, (level * np.prod(-poles) / np.prod(-zeros)).real
+    raise ValueError(f"unknown filter {kind!r}")
+
+
+def _coefficients(roots: np.ndarray) -> list[list[float]]:
+    """[1, b, c] of conjugate pairs and of pairs of real roots; an odd one gives [1, b, 0]."""
+    out = [[1.0, -2 * q.real, abs(q) ** 2] for q in sorted((q for q in roots if q.imag > 1e-10), key=abs)]
+    reals = sorted((q.real for q in roots if abs(q.imag) <= 1e-10), key=abs)
+    for i in range(0, len(reals) - 1, 2):
+        out.append([1.0, -reals[i] - reals[i + 1], reals[i] * reals[i + 1]])
+    return out + ([[1.0, -reals[-1], 0.0]] if len(reals) % 2 else [])
+
+
+def sections(order: int, low: float | None = None, high: float | None = None, kind: str = "butter", ripple: float = 3.0, attenuation: float = 3.0) -> np.ndarray:
+    """Second-order sections of a digital filter by the bilinear transform; corners in fractions of the Nyquist rate.
+
+    ``low`` alone: what lies below it passes; ``high`` alone: what lies above it; both: the band between them."""
+    if low is None and high is None:
+        raise ValueError("no corner frequency")
+    z, p, gain = prototype(kind, order, ripple, attenuation)
+    extra = len(p) - len(z)
+    warp = lambda f: 4 * np.tan(np.pi * f / 2)
+    if high is None:
+        w = warp(low)
+        z, p, gain = z * w, p * w, gain * w**extra
+    elif low is None:
+        w = warp(high)
+        gain *= (np.prod(-z) / np.prod(-p)).real
+        z, p = np.concatenate([w / z, np.zeros(extra)]), w / p
     else:
-        raise ValueError(f"unknown filter {kind!r}")
-    warp = 4 * np.tan(np.pi * cutoff / 2)
-    p, gain = poles * warp, gain * warp**order
-    z_poles, gain = (4 + p) / (4 - p), (gain / np.prod(4 - p)).real
-    pairs = sorted((q for q in z_poles if q.imag > 1e-12), key=lambda q: abs(q))
-    reals = [q.real for q in z_poles if abs(q.imag) <= 1e-12]
-    sections = [[1, 2, 1, 1, -2 * q.real, abs(q) ** 2] for q in pairs]
-    for i in range(0, len(reals), 2):
-        two = reals[i : i + 2]
-        sections.append([1, 2, 1, 1, -sum(two), two[0] * two[1]] if len(two) == 2 else [1, 1, 0, 1, -two[0], 0])
-    sos = np.array(sections, float)
+        a, b = sorted((warp(low), warp(high)))
+        width, middle = b - a, a * b
+        wide = lambda r: np.concatenate([r * width / 2 + s * np.sqrt((r * width / 2) ** 2 - middle + 0j) for s in (1, -1)])
+        z, p, gain = np.concatenate([wide(z), np.zeros(extra)]), wide(p), gain * width**extra
+    extra = len(p) - len(z)
+    gain *= (np.prod(4 - z) / np.prod(4 - p)).real
+    z, p = np.concatenate([(4 + z) / (4 - z), -np.ones(extra)]), (4 + p) / (4 - p)
+    top, bottom = _coefficients(z), _coefficients(p)
+    sos = np.array([[*t, *b] for t, b in zip(top, bottom)])
     sos[0, :3] *= gain
     return sos
 
 
-def _sections(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    for (b0, b1, b2, _, a1, a2), (s1, s2) in zip(sos, state):
+def sos_lowpass(order: int, cutoff: float, kind: str = "butter", ripple: float = 0.05) -> np.ndarray:
+    """Second-order sections of a digital low-pass; ``cutoff`` in fractions of Nyquist."""
+    return sections(order, cutoff, None, kind, ripple, 40.0)
+
+
+def _sections(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
+    for b0, b1, b2, _, a1, a2 in sos:
+        s1 = s2 = 0.0
         out = np.empty_like(x)
-        for i, v in enumerate(x):
+        for i, v in enumerate(x.tolist()):
             y = b0 * v + s1
             s1, s2 = b1 * v - a1 * y + s2, b2 * v - a2 * y
             out[i] = y
@@ -110,37 +197,90 @@ def _sections(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
     return x
 
 
-def _steady(sos: np.ndarray) -> np.ndarray:
-    """State of each section for a constant input of 1."""
-    level, out = 1.0, []
-    for b0, b1, b2, _, a1, a2 in sos:
-        gain = (b0 + b1 + b2) / (1 + a1 + a2)
-        y = gain * level
-        s2 = b2 * level - a2 * y
-        out.append((b1 * level - a1 * y + s2, s2))
-        level = y
-    return np.array(out)
+def impulse_response(sos: np.ndarray, floor: float = 1e-16) -> np.ndarray:
+    """The response until it has died away, which the largest pole tells."""
+    radius = max(abs(np.roots([1, a1, a2])).max(initial=0.0) for *_, a1, a2 in sos)
+    if radius >= 1:
+        raise ValueError("the filter is not stable")
+    n = 8 * len(sos) + (int(np.ceil(np.log(floor) / np.log(radius))) if radius > 0 else 1)
+    return _sections(sos, np.eye(1, n)[0])
+
+
+def _convolved(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Causal filtering of ``x``, which stood at its first value for ever."""
+    wide = np.concatenate([np.full(len(h) - 1, x[0]), x])
+    size = 1 << int(len(wide) + len(h) - 1).bit_length()
+    return np.fft.irfft(np.fft.rfft(wide, size) * np.fft.rfft(h, size), size)[len(h) - 1 : len(wide)]
+
+
+def edge(sos: np.ndarray) -> int:
+    """Samples by which the ends of a signal are extended."""
+    return 3 * (2 * len(sos) + 1 - min(int((sos[:, 2] == 0).sum()), int((sos[:, 5] == 0).sum())))
+
+
+def zero_phase(sos: np.ndarray, x: np.ndarray, left: bool = True, right: bool = True, h: np.ndarray | None = None) -> np.ndarray:
+    """Forward and backward filtering; ``left`` and ``right``: these ends are those of the signal and extended oddly."""
+    h = impulse_response(sos) if h is None else h
+    pad = min(len(x) - 1, edge(sos))
+    parts = [2 * x[0] - x[pad:0:-1]] if left and pad > 0 else []
+    wide = np.concatenate([*parts, x, *([2 * x[-1] - x[-2 : -pad - 2 : -1]] if right and pad > 0 else [])])
+    back = _convolved(h, _convolved(h, wide)[::-1])[::-1]
+    at = len(parts[0]) if parts else 0
+    return back[at : at + len(x)]
+
+
+def filter_signals(signals: DataFrame, rate: float, lowpass: float | None = None, highpass: float | None = None, order: int | None = None, kind: str = "butter", ripple: float = 3.0, attenuation: float = 3.0, chunk: int = 1 << 16) -> DataFrame:
+    """Filtered signals; corners in the unit of ``rate``.
+
+    Recursive kinds (butter, cheby1, cheby2, ellip, bessel) run forwards and backwards.  A channel is cut into chunks; each
+    takes as many samples of its neighbours along as the impulse response lasts, so chunks are tasks of their own.
+    moving_average and brickwall are causal and meet by a join."""
+    if kind == "moving_average":
+        return moving_average(signals, order or 21)
+    if kind == "brickwall":
+        return fir(signals, band_taps(order or 21, lowpass and 2 * lowpass / rate, highpass and 2 * highpass / rate))
+    if order is not None and order <= 1:
+        raise ValueError("the order must be greater than 1")
+    share = lambda f: None if f is None else 2 * f / rate
+    sos = sections(order or 4, share(lowpass), share(highpass), kind, ripple, attenuation)
+    h = impulse_response(sos)
+    halo = max(len(h), edge(sos) + 1)
+    size = max(chunk, halo)
+    ends = signals.groupBy("setup").agg(F.max("n").alias("last"))
+    first = F.greatest(F.floor((F.col("n") - halo) / size).cast("int"), F.lit(0))
+    last = F.least(F.floor((F.col("n") + halo) / size), F.floor(F.col("last") / size)).cast("int")
+    spread = signals.join(F.broadcast(ends), "setup").withColumn("chunk", F.explode(F.sequence(first, last)))
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        y = zero_phase(sos, pdf["y"].to_numpy(float), pdf["n"].iloc[0] == 0, pdf["n"].iloc[-1] == pdf["last"].iloc[0], h)
+        return pdf.assign(y=y)[pdf["n"] // size == pdf["chunk"].iloc[0]][["setup", "n", "channel", "y"]]
 
-def zero_phase(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Forward and backward filtering with odd extension at both ends."""
-    pad = min(len(x) - 1, 3 * (2 * len(sos) + 1 - int((sos[:, 2] == 0).any() and (sos[:, 5] == 0).any())))
-    wide = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad > 0 else x
-    state = _steady(sos)
-    there = _sections(sos, wide, state * wide[0])[::-1]
-    back = _sections(sos, there, state * there[0])[::-1]
-    return back[pad : pad + len(x)]
+    return spread.groupBy(*KEY, "chunk").applyInPandas(run, "setup string, n int, channel int, y double")
 
 
 def filter_lowpass(signals: DataFrame, cutoff: float, order: int = 4, kind: str = "butter", ripple: float = 0.05) -> DataFrame:
-    """Zero-phase recursive low-pass; the recurrence needs each channel in one group."""
-    sos = sos_lowpass(order, cutoff, kind, ripple)
+    """Zero-phase recursive low-pass; ``cutoff`` in fractions of Nyquist."""
+    return filter_signals(signals, 2.0, cutoff, None, order, kind, ripple, 40.0)
+
+
+def band_taps(order: int, low: float | None, high: float | None) -> list[float]:
+    """Window-design taps (Hamming) below ``low``, above ``high`` or between them; gain 1 in the middle of what passes."""
+    if low is None and high is None:
+        raise ValueError("no corner frequency")
+    a, b = (0.0, low) if high is None else (high, 1.0) if low is None else sorted((low, high))
+    k = np.arange(order) - (order - 1) / 2
+    h = (b * np.sinc(b * k) - a * np.sinc(a * k)) * (0.54 - 0.46 * np.cos(2 * np.pi * np.arange(order) / max(1, order - 1)))
+    middle = 0.0 if high is None else 1.0 if low is None else (a + b) / 2
+    return (h / (h * np.cos(np.pi * k * middle)).sum()).tolist()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        return pdf.assign(y=zero_phase(sos, pdf["y"].to_numpy(float)))[["setup", "n", "channel", "y"]]
 
-    return signals.groupBy(*KEY).applyInPandas(run, "setup string, n int, channel int, y double")
+def decimated(signals: DataFrame, factor: int, rate: float, nyquist_ratio: float = 2.5, highpass: float | None = None, order: int | None = None, kind: str = "cheby1") -> DataFrame:
+    """Anti-alias filter at the new rate over ``nyquist_ratio``, then every ``factor``-th sample times ``factor``."""
+    if factor < 1 or nyquist_ratio < 2:
+        raise ValueError("factor is at least 1 and nyquist_ratio at least 2")
+    default = 21 * factor - 1 if kind in ("brickwall", "moving_average") else 8
+    return decimate(filter_signals(signals, rate, rate / factor / nyquist_ratio, highpass, order or default, kind, 0.05, 0.05), factor)
 
 
 def decimate(filtered: DataFrame, factor: int, rescale: bool = True) -> DataFrame:

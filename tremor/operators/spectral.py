@@ -83,17 +83,106 @@ def fourier_fft(signals: DataFrame, length: int, segments: int) -> DataFrame:
     return _blocks(signals, length, segments).groupBy("setup", "block", "channel").applyInPandas(run, "setup string, block int, channel int, k int, re double, im double")
 
 
-def psd_welch(signals: DataFrame, refs: Sequence[int], length: int, segments: int, fft: bool = False) -> DataFrame:
+def psd_welch(signals: DataFrame, refs: Sequence[int], length: int, segments: int, fft: bool = False, by_segment: bool = False) -> DataFrame:
     """setup, channel, ref, k, re, im: averaged cross spectra; first and last line are halved."""
     z = (fourier_fft if fft else fourier)(signals, length, segments)
     x = z.where(F.col("channel").isin(*refs)).select("setup", "block", "k", F.col("channel").alias("ref"), F.col("re").alias("xr"), F.col("im").alias("xi"))
     n = np.arange(length)
     scale = segments * length / (2 * float(np.sum((0.54 - 0.46 * np.cos(TWO_PI * n / length)) ** 2)))
     side = F.when((F.col("k") == 0) | (F.col("k") == length // 2), F.lit(scale / 2)).otherwise(F.lit(scale))
-    products = z.join(x, ["setup", "block", "k"]).select("setup", "channel", "ref", "k", (side * (F.col("re") * F.col("xr") + F.col("im") * F.col("xi"))).alias("re"), (side * (F.col("re") * F.col("xi") - F.col("im") * F.col("xr"))).alias("im"))
+    products = z.join(x, ["setup", "block", "k"]).select("setup", "block", "channel", "ref", "k", (side * (F.col("re") * F.col("xr") + F.col("im") * F.col("xi"))).alias("re"), (side * (F.col("re") * F.col("xi") - F.col("im") * F.col("xr"))).alias("im"))
+    if by_segment:
+        return products
     return products.groupBy("setup", "channel", "ref", "k").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
 
 
+def over_segments(products: DataFrame) -> DataFrame:
+    """setup, channel, ref, k, re, im and var: the mean squared distance of the segments from their mean."""
+    return products.groupBy("setup", "channel", "ref", "k").agg(F.avg("re").alias("re"), F.avg("im").alias("im"), (F.var_pop("re") + F.var_pop("im")).alias("var"))
+
+
+def scaling_factors(psd: DataFrame) -> DataFrame:
+    """setup, channel, ref, re, im: the largest line of every pair, by real and then imaginary part."""
+    return psd.groupBy("setup", "channel", "ref").agg(F.max(F.struct("re", "im")).alias("top")).select("setup", "channel", "ref", "top.re", "top.im")
+
+
+def in_band(lines: DataFrame, rate: float, length: int, low: float, high: float, closed: bool = False) -> DataFrame:
+    """The lines k whose frequency lies in a band, open or closed."""
+    f = F.col("k") * rate / length
+    return lines.where((f >= low) & (f <= high) if closed else (f > low) & (f < high))
+
+
+def scaled(psd: DataFrame, scale: str) -> DataFrame:
+    """setup, channel, ref, k, value: the spectra as 'db', 'power', 'rms' or 'phase' in degrees."""
+    size = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    kinds = {"db": 10 * F.log10(size), "power": size, "rms": F.sqrt(size), "phase": F.degrees(F.atan2("im", "re"))}
+    if scale not in kinds:
+        raise ValueError(f"unknown scale {scale!r}")
+    return psd.select("setup", "channel", "ref", "k", kinds[scale].alias("value"))
+
+
+def sv_decibels(sv: DataFrame) -> DataFrame:
+    """setup, k, place, db: singular values over the largest of the setup."""
+    flat = sv.select("setup", "k", F.posexplode("sigma").alias("place", "sigma"))
+    most = flat.groupBy("setup").agg(F.max("sigma").alias("most"))
+    return flat.join(F.broadcast(most), "setup").select("setup", "k", "place", (10 * F.log10(F.col("sigma") / F.col("most"))).alias("db"))
+
+
+def correlation(signals: DataFrame, refs: Sequence[int], lags: int, length: int, method: str = "blackman-tukey", segments: int = 1) -> DataFrame:
+    """setup, channel, ref, lag, r by either method; ``length``: samples, or those of a segment of the Welch method."""
+    if method == "blackman-tukey":
+        return corr_bt_chunked(signals, refs, lags, length)
+    if method == "welch":
+        return corr_from_psd(psd_welch(signals, refs, length, segments, fft=True), lags)
+    raise ValueError(f"unknown method {method!r}")
+
+
+def spectra(signals: DataFrame, refs: Sequence[int], lines: int, samples: int, method: str = "welch") -> DataFrame:
+    """setup, channel, ref, k, re, im by either method over ``samples`` samples."""
+    if method == "welch":
+        return psd_welch(signals, refs, lines, samples // lines, fft=True)
+    if method == "blackman-tukey":
+        found = psd_bt(corr_bt_chunked(signals, refs, lines // 2, samples), lines // 2, samples)
+        return found.select("setup", "channel", "ref", "k", F.col("s").alias("re"), F.lit(0.0).alias("im"))
+    raise ValueError(f"unknown method {method!r}")
+
+
+def block_covariances(signals: DataFrame, refs: Sequence[int], lags: int, length: int, blocks: int) -> DataFrame:
+    """setup, block, channel, ref, lag, r of lags 1 .. ``lags``: products whose earlier sample lies in the block, over its length.
+
+    The later sample may lie in the next block, so no product is lost at the borders."""
+    used = signals.where(F.col("n") < length * blocks)
+    lag = F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag")
+    early = used.where(F.col("channel").isin(*refs)).select("setup", F.floor(F.col("n") / length).cast("int").alias("block"), "n", F.col("channel").alias("ref"), F.col("y").alias("x"), lag)
+    moved = early.withColumn("n", F.col("n") + F.col("lag"))
+    return used.join(moved, ["setup", "n"]).groupBy("setup", "block", "channel", "ref", "lag").agg((F.sum(F.col("y") * F.col("x")) / length).alias("r"))
+
+
+def frequency_response(signals: DataFrame, force: DataFrame, length: int) -> DataFrame:
+    """setup, channel, re array, im array, irf array: response over force, both under a symmetric Hamming window.
+
+    ``force``: setup, n, f; one group per channel of one recorded test of ``length`` samples."""
+    both = signals.where(F.col("n") < length).join(force, ["setup", "n"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, f = np.zeros(length), np.zeros(length)
+        y[pdf["n"]], f[pdf["n"]] = pdf["y"], pdf["f"]
+        h = np.fft.rfft(np.hamming(length) * y) / np.fft.rfft(np.hamming(length) * f)
+        return pd.DataFrame({"setup": [pdf["setup"].iloc[0]], "channel": [pdf["channel"].iloc[0]], "re": [h.real.tolist()], "im": [h.imag.tolist()], "irf": [np.fft.irfft(h, length).tolist()]})
+
+    return both.groupBy("setup", "channel").applyInPandas(run, "setup string, channel int, re array<double>, im array<double>, irf array<double>")
+
+
+def power_check(signals: DataFrame, psd: DataFrame, corr: DataFrame) -> DataFrame:
+    """setup, channel, ref, spectral, correlated, power: mean magnitude of the lines, lag 0, and mean |y x| of every pair."""
+    spectral = psd.groupBy("setup", "channel", "ref").agg(F.avg(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("spectral"))
+    lag0 = corr.where("lag = 0").select("setup", "channel", "ref", F.col("r").alias("correlated"))
+    refs = psd.select(F.col("ref")).distinct()
+    x = signals.join(F.broadcast(refs), signals["channel"] == refs["ref"]).select("setup", "n", "ref", F.col("y").alias("x"))
+    product = signals.join(x, ["setup", "n"]).groupBy("setup", "channel", "ref").agg(F.avg(F.abs(F.col("y") * F.col("x"))).alias("power"))
+    return spectral.join(lag0, ["setup", "channel", "ref"]).join(product, ["setup", "channel", "ref"])
+
+
 def corr_from_psd(psd: DataFrame, lags: int) -> DataFrame:
     """setup, channel, ref, lag, r: inverse transform of the one-sided spectrum over 2 (m - 1) lines."""
     n = 2 * (lags - 1)

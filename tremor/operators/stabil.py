@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremor.functions.modal import mac, mpc, mpd, relative
+from tremor.functions.modal import mac, mean_phase, mpc, mpd, relative
 
 #: Poles of one setup above which clustering is refused: its distance matrix lives in one task.
 MAX_CLUSTERED = 5000
@@ -16,8 +16,10 @@ MAX_CLUSTERED = 5000
 def pole_pairs(poles: DataFrame) -> DataFrame:
     """setup, ord, idx, prev_idx and differences of every pole to those of the previous non-empty order."""
     orders = poles.select("setup", "ord").distinct().withColumn("prev", F.lag("ord").over(Window.partitionBy("setup").orderBy("ord")))
-    cur = poles.join(orders, ["setup", "ord"]).alias("c")
-    pre = poles.alias("p")
+    re, im = F.col("phi_re"), F.col("phi_im")
+    told = poles.withColumns({"mpd": mpd(re, im), "mp": mean_phase(re, im)})
+    cur = told.join(orders, ["setup", "ord"]).alias("c")
+    pre = told.alias("p")
     both = cur.join(pre, (F.col("c.setup") == F.col("p.setup")) & (F.col("c.prev") == F.col("p.ord")))
     c, p = (lambda k: F.col(f"c.{k}")), (lambda k: F.col(f"p.{k}"))
     apart = F.sqrt(F.pow(c("lam_re") - p("lam_re"), 2) + F.pow(c("lam_im") - p("lam_im"), 2))
@@ -26,19 +28,30 @@ def pole_pairs(poles: DataFrame) -> DataFrame:
         c("setup").alias("setup"), c("ord").alias("ord"), c("idx").alias("idx"), p("ord").alias("prev_ord"), p("idx").alias("prev_idx"),
         (apart / larger).alias("d_lambda"), relative(c("f"), p("f")).alias("d_f"), relative(c("d"), p("d")).alias("d_d"),
         (1 - mac(c("phi_re"), c("phi_im"), p("phi_re"), p("phi_im"))).alias("d_mac"),
+        F.coalesce(relative(c("mpd"), p("mpd")), F.lit(0.0)).alias("d_mpd"), F.coalesce(relative(c("mp"), p("mp")), F.lit(0.0)).alias("d_mp"),
     )
 
 
-def masks(poles: DataFrame, df_max: float = 0.01, dd_max: float = 0.05, dmac_max: float = 0.02, d_range: tuple[float, float] = (0.0, 100.0), mpc_min: float = 0.0, mpd_max: float = 90.0) -> DataFrame:
+def masks(
+    poles: DataFrame, df_max: float = 0.01, dd_max: float = 0.05, dmac_max: float = 0.02, d_range: tuple[float, float] = (0.0, 100.0), mpc_min: float = 0.0, mpd_max: float = 90.0,
+    orders: tuple[int, int | None, int] = (0, None, 1), std_f_max: float = 100.0, std_d_max: float = 100.0, mc_min: float = 0.0,
+) -> DataFrame:
     """setup, ord, idx, in_range, stable and only_f, only_d, only_mac: unstable in that criterion alone.
 
-    The same previous pole has to meet all relative criteria; a difference of exactly 0 does not count."""
+    The same previous pole has to meet all relative criteria; a difference of exactly 0 does not count.
+    ``orders``: first, end (not in it; None: no end) and step of the orders looked at.  Where ``poles`` has std_f, std_d (bounds in per cent of
+    f and d) or mc (modal contribution), they are looked at too."""
     ok = lambda name, most: (F.col(name) > 0) & (F.col(name) <= most)
     f, d, m = ok("d_f", df_max), ok("d_d", dd_max), ok("d_mac", dmac_max)
     met = pole_pairs(poles).groupBy("setup", "ord", "idx").agg(
         F.bool_or(f & d & m).alias("all3"), F.bool_or(f).alias("any_f"), F.bool_or(d).alias("any_d"), F.bool_or(m).alias("any_m")
     )
     inside = F.col("d").between(*d_range) & (mpc(F.col("phi_re"), F.col("phi_im")) >= mpc_min) & (mpd(F.col("phi_re"), F.col("phi_im")) <= mpd_max) & (F.col("f") > 0)
+    first, end, step = orders
+    inside = inside & (F.col("ord") >= first) & ((F.col("ord") - first) % step == 0) & (F.lit(True) if end is None else F.col("ord") < end)
+    for name, keep in (("std_f", F.col("std_f") <= std_f_max / 100 * F.col("f")), ("std_d", F.col("std_d") <= std_d_max / 100 * F.col("d")), ("mc", F.abs("mc") >= mc_min)):
+        if name in poles.columns:
+            inside = inside & F.coalesce(keep, F.lit(True))
     no = F.lit(False)
     j = poles.select("setup", "ord", "idx", inside.alias("in_range")).join(met, ["setup", "ord", "idx"], "left")
     a, x, y, z = (F.coalesce(F.col(k), no) for k in ("all3", "any_f", "any_d", "any_m"))
@@ -52,27 +65,36 @@ def histogram(pairs: DataFrame, column: str, bins: int, most: float) -> DataFram
     return least.groupBy(F.floor(F.col("x") * bins / most).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+FEATURES = ("d_lambda", "d_f", "d_d", "d_mac", "d_mp")
+
+
 def clearing(poles: DataFrame, rounds: int = 100) -> DataFrame:
-    """setup, ord, idx, d_lambda, d_mac of the physical poles: 2-means on standardised logs of the least differences.
-
-    The centres start at minus and plus one deviation; a round is one aggregation of two rows."""
-    names = ["d_lambda", "d_f", "d_d", "d_mac"]
-    least = pole_pairs(poles).where("d_f > 0").groupBy("setup", "ord", "idx").agg(*[F.min(n).alias(n) for n in names])
-    logs = least.select("setup", "ord", "idx", "d_lambda", "d_mac", *[F.log(F.greatest(F.col(n), F.lit(1e-12))).alias(f"l_{n}") for n in names])
-    stats = logs.agg(*[F.avg(f"l_{n}").alias(f"m_{n}") for n in names], *[F.stddev_pop(f"l_{n}").alias(f"s_{n}") for n in names]).first()
-    if stats["m_d_f"] is None:
-        return logs.select("setup", "ord", "idx", "d_lambda", "d_mac")
-    z = logs.select("setup", "ord", "idx", "d_lambda", "d_mac", *[((F.col(f"l_{n}") - stats[f"m_{n}"]) / (stats[f"s_{n}"] or 1.0)).alias(f"z_{n}") for n in names]).persist()
-    centres = np.array([[-1.0] * len(names), [1.0] * len(names)])
-    away = lambda c: sum((F.col(f"z_{n}") - float(v)) * (F.col(f"z_{n}") - float(v)) for n, v in zip(names, c))
+    """setup, ord, idx, d_lambda, d_mac of the physical poles: 2-means on standardised logs of the least differences, each setup by itself.
+
+    Orders 0 and 1 are left out.  The centres start at minus and plus one deviation; a round is one aggregation of two rows
+    per setup, all setups together, until no centre moves."""
+    least = pole_pairs(poles).where("d_f > 0 AND ord > 1").groupBy("setup", "ord", "idx").agg(*[F.min(n).alias(n) for n in FEATURES])
+    logs = least.select("setup", "ord", "idx", "d_lambda", "d_mac", *[F.log(F.greatest(F.col(n), F.lit(1e-12))).alias(f"l_{n}") for n in FEATURES])
+    stats = logs.groupBy("setup").agg(*[F.avg(f"l_{n}").alias(f"m_{n}") for n in FEATURES], *[F.stddev_pop(f"l_{n}").alias(f"s_{n}") for n in FEATURES])
+    z = logs.join(F.broadcast(stats), "setup").select("setup", "ord", "idx", "d_lambda", "d_mac", *[((F.col(f"l_{n}") - F.col(f"m_{n}")) / F.coalesce(F.nullif(f"s_{n}", F.lit(0.0)), F.lit(1.0))).alias(f"z_{n}") for n in FEATURES]).persist()
+    kinds = "setup string, " + ", ".join(f"{side}_{n} double" for side in "ab" for n in FEATURES)
+    centres = {r["setup"]: [-1.0] * len(FEATURES) + [1.0] * len(FEATURES) for r in z.select("setup").distinct().collect()}  # ten numbers per setup
+
+    def assigned() -> DataFrame:
+        table = z.sparkSession.createDataFrame([(k, *v) for k, v in centres.items()], kinds)
+        away = lambda side: sum((F.col(f"z_{n}") - F.col(f"{side}_{n}")) ** 2 for n in FEATURES)
+        return z.join(F.broadcast(table), "setup").withColumn("low", away("a") <= away("b"))
+
     for _ in range(rounds):
-        low = away(centres[0]) <= away(centres[1])
-        got = {r["low"]: r for r in z.groupBy(low.alias("low")).agg(*[F.avg(f"z_{n}").alias(n) for n in names]).collect()}
-        new = np.array([[got[k][n] for n in names] if k in got else c for k, c in zip((True, False), centres)])
-        if np.allclose(new, centres, atol=1e-12):
+        moved = {k: list(v) for k, v in centres.items()}
+        for r in assigned().groupBy("setup", "low").agg(*[F.avg(f"z_{n}").alias(n) for n in FEATURES]).collect():
+            at = 0 if r["low"] else len(FEATURES)
+            moved[r["setup"]][at : at + len(FEATURES)] = [r[n] for n in FEATURES]
+        done = all(np.allclose(moved[k], centres[k], atol=1e-12) for k in centres)
+        centres = moved
+        if done:
             break
-        centres = new
-    return z.where(away(centres[0]) <= away(centres[1])).select("setup", "ord", "idx", "d_lambda", "d_mac")
+    return assigned().where("low").select("setup", "ord", "idx", "d_lambda", "d_mac")
 
 
 def average_linkage(d: np.ndarray, cut: float) -> np.ndarray:
@@ -105,10 +127,12 @@ def average_linkage(d: np.ndarray, cut: float) -> np.ndarray:
 
 
 def clusters(poles: DataFrame, cleared: DataFrame, cut: float | None = None) -> DataFrame:
-    """setup, ord, idx, f, d, cluster of the cleared poles; distance is that of eigenvalues plus 1 - MAC."""
-    if cut is None:
-        cut = cleared.agg(F.percentile(F.col("d_lambda") + F.col("d_mac"), F.lit(0.95))).first()[0] or 0.0
-    chosen = poles.join(cleared.select("setup", "ord", "idx"), ["setup", "ord", "idx"])
+    """setup, ord, idx, f, d, cluster of the cleared poles; distance is that of eigenvalues plus 1 - MAC.
+
+    Without ``cut``, it is the 95th percentile of the distances of a setup's cleared poles to the order before."""
+    far = F.percentile(F.col("d_lambda") + F.col("d_mac"), F.lit(0.95)) if cut is None else F.lit(float(cut))
+    cuts = cleared.groupBy("setup").agg(far.alias("cut"))
+    chosen = poles.join(cleared.select("setup", "ord", "idx"), ["setup", "ord", "idx"]).join(F.broadcast(cuts), "setup")
     if (chosen.groupBy("setup").count().agg(F.max("count")).first()[0] or 0) > MAX_CLUSTERED:
         raise ValueError(f"more than {MAX_CLUSTERED} poles in one setup")
 
@@ -118,15 +142,37 @@ def clusters(poles: DataFrame, cleared: DataFrame, cut: float | None = None) ->
         phi = np.vstack(pdf["phi_re"]) + 1j * np.vstack(pdf["phi_im"])
         phi = phi / np.linalg.norm(phi, axis=1, keepdims=True)
         far = abs(lam[:, None] - lam) / np.maximum(abs(lam)[:, None], abs(lam)) + 1 - abs(phi @ phi.conj().T) ** 2
-        return pdf.assign(cluster=average_linkage(far, cut).astype("int32"))[["setup", "ord", "idx", "f", "d", "cluster"]]
+        return pdf.assign(cluster=average_linkage(far, float(pdf["cut"].iloc[0])).astype("int32"))[["setup", "ord", "idx", "f", "d", "cluster"]]
 
     return chosen.groupBy("setup").applyInPandas(run, "setup string, ord int, idx int, f double, d double, cluster int")
 
 
-def representatives(clustered: DataFrame, number: int) -> DataFrame:
-    """setup, cluster, n, ord, idx, f, d: the multivariate median of each of the ``number`` largest clusters."""
+def selected_clusters(clustered: DataFrame, number: int = 0, rounds: int = 100) -> DataFrame:
+    """setup, cluster, n of the ``number`` largest clusters of every setup; 0: of the larger side of a 2-means split of the sizes.
+
+    The split starts at the largest size and at 0; only the counts of sizes are looked at."""
     sizes = clustered.groupBy("setup", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.withColumn("place", F.row_number().over(Window.partitionBy("setup").orderBy(F.desc("n"), "cluster"))).where(F.col("place") <= number).drop("place")
+    if number:
+        return sizes.withColumn("place", F.row_number().over(Window.partitionBy("setup").orderBy(F.desc("n"), "cluster"))).where(F.col("place") <= number).drop("place")
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        high, low = float(pdf["n"].max()), 0.0
+        for _ in range(rounds):
+            large = (pdf["n"] - high).abs() <= (pdf["n"] - low).abs()
+            one = (pdf["n"] * pdf["count"])[large].sum() / pdf["count"][large].sum()
+            two = (pdf["n"] * pdf["count"])[~large].sum() / pdf["count"][~large].sum() if (~large).any() else low
+            if (one, two) == (high, low):
+                break
+            high, low = one, two
+        return pd.DataFrame({"setup": [pdf["setup"].iloc[0]], "least": [int(pdf["n"][large].min())]})
+
+    least = sizes.groupBy("setup", "n").count().groupBy("setup").applyInPandas(split, "setup string, least long")
+    return sizes.join(least, "setup").where("n >= least").select("setup", "cluster", "n")
+
+
+def representatives(clustered: DataFrame, number: int = 0) -> DataFrame:
+    """setup, cluster, n, ord, idx, f, d: the multivariate median of each selected cluster."""
+    top = selected_clusters(clustered, number)
 
     def median(pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf.sort_values(["ord", "idx"])
@@ -139,3 +185,72 @@ def representatives(clustered: DataFrame, number: int) -> DataFrame:
         return left[["setup", "cluster", "n", "ord", "idx", "f", "d"]]
 
     return clustered.join(top, ["setup", "cluster"]).groupBy("setup", "cluster").applyInPandas(median, "setup string, cluster int, n long, ord int, idx int, f double, d double")
+
+
+def selected_histogram(pairs: DataFrame, masked: DataFrame, column: str, bins: int, most: float) -> DataFrame:
+    """bin, n, n_stable: as ``histogram``, and how many of the counted poles are stable; ``masked`` as ``masks`` gives it."""
+    least = pairs.groupBy("setup", "ord", "idx").agg(F.min(column).alias("x")).where(F.col("x") < most)
+    both = least.join(masked.select("setup", "ord", "idx", "stable"), ["setup", "ord", "idx"], "left")
+    return both.groupBy(F.floor(F.col("x") * bins / most).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if("stable").alias("n_stable"))
+
+
+def modal_values(poles: DataFrame, selection: DataFrame) -> DataFrame:
+    """setup, ord, idx, f, d, mpc, mp, mpd and the least differences above 0 to the order before of the selected poles, by frequency."""
+    re, im = F.col("phi_re"), F.col("phi_im")
+    chosen = poles.join(selection.select("setup", "ord", "idx"), ["setup", "ord", "idx"])
+    positive = lambda n: F.min(F.when(F.col(n) > 0, F.col(n))).alias(n)
+    least = pole_pairs(poles).groupBy("setup", "ord", "idx").agg(positive("d_mp"), positive("d_mpd"))
+    place = F.row_number().over(Window.partitionBy("setup").orderBy("f", "ord", "idx"))
+    return chosen.join(least, ["setup", "ord", "idx"], "left").select("setup", (place - 1).cast("int").alias("mode"), "ord", "idx", "f", "d", mpc(re, im).alias("mpc"), mean_phase(re, im).alias("mp"), mpd(re, im).alias("mpd"), "d_mp", "d_mpd")
+
+
+def add_mode(selection: DataFrame, setup: str, order: int, idx: int) -> DataFrame:
+    one = selection.sparkSession.createDataFrame([(setup, order, idx)], "setup string, ord int, idx int")
+    return selection.select("setup", "ord", "idx").unionByName(one).distinct()
+
+
+def remove_mode(selection: DataFrame, setup: str, order: int, idx: int) -> DataFrame:
+    return selection.where(~((F.col("setup") == setup) & (F.col("ord") == order) & (F.col("idx") == idx)))
+
+
+def nearest_pole(poles: DataFrame, points: DataFrame, f_span: float, ord_span: float) -> DataFrame:
+    """id, setup, ord, idx: the pole nearest to each point (id, setup, f, ord) in a diagram of that width and height."""
+    p, q = poles.alias("p"), F.broadcast(points).alias("q")
+    far = F.pow((F.col("p.f") - F.col("q.f")) / f_span, 2) + F.pow((F.col("p.ord") - F.col("q.ord")) / ord_span, 2)
+    near = p.join(q, F.col("p.setup") == F.col("q.setup")).groupBy("q.id", "q.setup").agg(F.min(F.struct(far.alias("far"), F.col("p.ord").alias("ord"), F.col("p.idx").alias("idx"))).alias("n"))
+    return near.select("id", "setup", "n.ord", "n.idx")
+
+
+def contributions_by_order(poles: DataFrame) -> DataFrame:
+    """setup, ord, mc: magnitude of the summed modal contributions of every order; ``poles`` has mc."""
+    return poles.groupBy("setup", "ord").agg(F.abs(F.sum("mc")).alias("mc"))
+
+
+def student_quantile(p: float, freedom: int) -> float:
+    """Quantile of Student's t for p above one half, by bisection of its distribution function (a finite sum for whole degrees of freedom)."""
+
+    def above(t: float) -> float:
+        angle = np.arctan(t / np.sqrt(freedom))
+        c = np.cos(angle) ** 2
+        terms, term = 0.0, 1.0
+        if freedom % 2:
+            for j in range(1, (freedom - 1) // 2 + 1):
+                terms += term
+                term *= c * 2 * j / (2 * j + 1)
+            return 0.5 + (angle + np.sin(angle) * np.cos(angle) * terms) / np.pi
+        for j in range(1, freedom // 2 + 1):
+            terms += term
+            term *= c * (2 * j - 1) / (2 * j)
+        return 0.5 + np.sin(angle) * terms / 2
+
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if above(mid) < p else (low, mid)
+    return high
+
+
+def confidence(poles: DataFrame, blocks: int, level: float = 0.95) -> DataFrame:
+    """``poles`` with half_f and half_d: half-widths of the confidence intervals of f and d estimated from so many blocks."""
+    t = student_quantile((1 + level) / 2, blocks) / np.sqrt(blocks)
+    return poles.withColumns({f"half_{n}": F.lit(float(t)) * F.col(f"std_{n}") for n in "fd"})

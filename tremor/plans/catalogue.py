@@ -42,12 +42,15 @@ def _rounds(digits: int, **columns: str) -> str:
 
 # --- signals ---------------------------------------------------------------------------------------
 
-PANEL = f"""
-names AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(panel.EVENT_CHANNELS))}) v(channel, name)),
-sums AS (SELECT (epoch_us(ts) // 3600000000 - 473352)::INT AS n, event_type AS name, sum(value) AS y FROM events GROUP BY ALL),
-panel AS (SELECT h.n, channel, coalesce(y, 0.0) AS y FROM (SELECT unnest(range({panel.HOURS}))::INT AS n) h CROSS JOIN names LEFT JOIN sums USING (n, name)),
+PANEL = """
+names AS (SELECT (row_number() OVER (ORDER BY name) - 1)::INT AS channel, name FROM (SELECT DISTINCT event_type AS name FROM events WHERE event_type IS NOT NULL)),
+hourly AS (SELECT epoch_us(ts) // 3600000000 AS hour, event_type AS name, sum(value) AS y FROM events WHERE event_type IS NOT NULL GROUP BY ALL),
+span AS (SELECT min(hour) // 24 * 24 AS origin, ((max(hour) // 24 + 1) * 24 - min(hour) // 24 * 24)::INT AS h FROM hourly),
+sums AS (SELECT (hour - origin)::INT AS n, name, y FROM hourly, span),
+panel AS (SELECT s.n, channel, coalesce(y, 0.0) AS y FROM (SELECT unnest(range(h))::INT AS n FROM span) s CROSS JOIN names LEFT JOIN sums USING (n, name)),
 centred AS (SELECT n, channel, y - avg(y) OVER (PARTITION BY channel) AS y FROM panel)
 """
+H = "(SELECT h FROM span)"
 
 
 def _centred(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +62,7 @@ def panel_hourly(spark, sf_dir):
     return rounded(panel.hourly_events(spark, sf_dir), 4, "y")
 
 
-@query(f"SELECT vec_id::INT AS n, i::INT AS channel, {_rounds(6, y='embedding[i + 1]::DOUBLE')} FROM embeddings, (SELECT unnest(range({panel.EMBEDDING_CHANNELS})) AS i)")
+@query(f"SELECT vec_id::INT AS n, i::INT AS channel, {_rounds(6, y='embedding[i + 1]::DOUBLE')} FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)")
 def panel_embeddings(spark, sf_dir):
     return rounded(panel.embedding_channels(spark, sf_dir), 6, "y")
 
@@ -97,7 +100,7 @@ def fir_taps(spark, sf_dir):
     return rounded(signals.fir(panel.hourly_events(spark, sf_dir), list(TAPS)), 4, "y")
 
 
-@query(f"WITH {PANEL}, {_FIR} SELECT (n // 7)::INT AS n, channel, {_rounds(4, y='7 * y')} FROM filtered WHERE n % 7 = 0 AND n < {panel.HOURS // 7 * 7}")
+@query(f"WITH {PANEL}, {_FIR} SELECT (n // 7)::INT AS n, channel, {_rounds(4, y='7 * y')} FROM filtered WHERE n % 7 = 0 AND n < {H} // 7 * 7")
 def decimate(spark, sf_dir):
     return rounded(signals.decimate(signals.fir(panel.hourly_events(spark, sf_dir), list(TAPS)), 7), 4, "y")
 
@@ -115,37 +118,38 @@ def filter_zero_phase(spark, sf_dir):
 # --- correlation and spectra -----------------------------------------------------------------------
 
 
-def _corr_sql(length: int, blocks: int, lags: int) -> str:
+def _corr_sql(length: str, blocks: int, lags: int) -> str:
     return f"""
-blocks AS (SELECT n // {length} AS block, n % {length} AS n, channel, y FROM centred WHERE n < {length * blocks}),
+blocks AS (SELECT n // ({length}) AS block, n % ({length}) AS n, channel, y FROM centred WHERE n < ({length}) * {blocks}),
 corr AS (
-  SELECT a.block, a.channel, b.channel AS ref, (a.n - b.n)::INT AS lag, sum(a.y * b.y) / ({length} - (a.n - b.n)) AS r
+  SELECT a.block, a.channel, b.channel AS ref, (a.n - b.n)::INT AS lag, sum(a.y * b.y) / (({length}) - (a.n - b.n)) AS r
   FROM blocks a JOIN blocks b ON a.block = b.block AND b.channel IN {REFS} AND a.n - b.n BETWEEN 0 AND {lags - 1}
   GROUP BY a.block, a.channel, b.channel, a.n - b.n)
 """
 
 
-_HOURLY_CORR = f"WITH {PANEL}, {_corr_sql(720, 1, 6)} SELECT channel, ref, lag, {_rounds(2, r='r')} FROM corr"
+_HOURLY_CORR = f"WITH {PANEL}, {_corr_sql(H, 1, 6)} SELECT channel, ref, lag, {_rounds(2, r='r')} FROM corr"
 
 
 @query(_HOURLY_CORR)
 def corr_bt(spark, sf_dir):
-    return rounded(spectral.corr_bt(_centred(spark, sf_dir), REFS, 6, 720).drop("block"), 2, "r")
+    return rounded(spectral.corr_bt(_centred(spark, sf_dir), REFS, 6, panel.hours(spark, sf_dir)).drop("block"), 2, "r")
 
 
 @query(_HOURLY_CORR)
 def corr_bt_chunked(spark, sf_dir):
-    return rounded(spectral.corr_bt_chunked(_centred(spark, sf_dir), REFS, 6, 720, chunk=128), 2, "r")
+    return rounded(spectral.corr_bt_chunked(_centred(spark, sf_dir), REFS, 6, panel.hours(spark, sf_dir), chunk=128), 2, "r")
 
 
-@query(f"WITH {PANEL}, {_corr_sql(180, 4, 6)} SELECT channel, ref, lag, {_rounds(1, r='avg(r)', var_r='var_pop(r)')} FROM corr GROUP BY channel, ref, lag")
+@query(f"WITH {PANEL}, {_corr_sql(H + ' // 4', 4, 6)} SELECT channel, ref, lag, {_rounds(1, r='avg(r)', var_r='var_pop(r)')} FROM corr GROUP BY channel, ref, lag")
 def corr_bt_blocks(spark, sf_dir):
-    return rounded(spectral.over_blocks(spectral.corr_bt(_centred(spark, sf_dir), REFS, 6, 180, 4)), 1, "r", "var_r")
+    return rounded(spectral.over_blocks(spectral.corr_bt(_centred(spark, sf_dir), REFS, 6, panel.hours(spark, sf_dir) // 4, 4)), 1, "r", "var_r")
 
 
-LINES, SEGMENTS = 32, 22
+LINES = 48  # hours of a segment; whole days
+SEGMENTS = f"({H} // {LINES})"
 _WELCH = f"""
-seg AS (SELECT n // {LINES} AS block, n % {LINES} AS n, channel, y - avg(y) OVER (PARTITION BY channel, n // {LINES}) AS y FROM centred WHERE n < {LINES * SEGMENTS}),
+seg AS (SELECT n // {LINES} AS block, n % {LINES} AS n, channel, y - avg(y) OVER (PARTITION BY channel, n // {LINES}) AS y FROM centred WHERE n < {LINES} * {SEGMENTS}),
 tap AS (SELECT block, n, channel, y * (0.54 - 0.46 * cos(2 * pi() * n / {LINES})) AS y FROM seg),
 four AS (
   SELECT block, channel, k, sum(y * cos(2 * pi() * ((k * n) % {LINES}) / {LINES})) AS re, -sum(y * sin(2 * pi() * ((k * n) % {LINES}) / {LINES})) AS im
@@ -159,51 +163,55 @@ psd AS (
 _WELCH_SQL = f"WITH {PANEL}, {_WELCH} SELECT channel, ref, k, {_rounds(0, re='re', im='im')} FROM psd"
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> int:
+    return panel.hours(spark, sf_dir) // LINES
+
+
 @query(_WELCH_SQL)
 def psd_welch(spark, sf_dir):
-    return rounded(spectral.psd_welch(_centred(spark, sf_dir), REFS, LINES, SEGMENTS), 0, "re", "im")
+    return rounded(spectral.psd_welch(_centred(spark, sf_dir), REFS, LINES, _segments(spark, sf_dir)), 0, "re", "im")
 
 
 @query(_WELCH_SQL)
 def psd_welch_fft(spark, sf_dir):
-    return rounded(spectral.psd_welch(_centred(spark, sf_dir), REFS, LINES, SEGMENTS, fft=True), 0, "re", "im")
+    return rounded(spectral.psd_welch(_centred(spark, sf_dir), REFS, LINES, _segments(spark, sf_dir), fft=True), 0, "re", "im")
 
 
-_CFP = f"CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END * (re * cos(2 * pi() * ((k * lag) % {LINES}) / {LINES}) - CASE WHEN k IN (0, 16) THEN 0 ELSE im END * sin(2 * pi() * ((k * lag) % {LINES}) / {LINES}))"
+_CFP = f"CASE WHEN k IN (0, {LINES // 2}) THEN 1 ELSE 2 END * (re * cos(2 * pi() * ((k * lag) % {LINES}) / {LINES}) - CASE WHEN k IN (0, {LINES // 2}) THEN 0 ELSE im END * sin(2 * pi() * ((k * lag) % {LINES}) / {LINES}))"
 
 
-@query(f"WITH {PANEL}, {_WELCH} SELECT channel, ref, lag, {_rounds(1, r=f'sum({_CFP}) / {LINES * LINES}')} FROM psd, (SELECT unnest(range(17))::INT AS lag) GROUP BY channel, ref, lag")
+@query(f"WITH {PANEL}, {_WELCH} SELECT channel, ref, lag, {_rounds(1, r=f'sum({_CFP}) / {LINES * LINES}')} FROM psd, (SELECT unnest(range({LINES // 2 + 1}))::INT AS lag) GROUP BY channel, ref, lag")
 def corr_from_psd(spark, sf_dir):
-    return rounded(spectral.corr_from_psd(spectral.psd_welch(_centred(spark, sf_dir), REFS, LINES, SEGMENTS), 17), 1, "r")
+    return rounded(spectral.corr_from_psd(spectral.psd_welch(_centred(spark, sf_dir), REFS, LINES, _segments(spark, sf_dir)), LINES // 2 + 1), 1, "r")
 
 
 @query()
 def sv_psd(spark, sf_dir):
-    return spectral.sv_psd(spectral.psd_welch(_centred(spark, sf_dir), range(5), LINES, SEGMENTS)).select("k", F.transform("sigma", lambda s: F.round(s, 0)).alias("sigma"))
+    return spectral.sv_psd(spectral.psd_welch(_centred(spark, sf_dir), range(5), LINES, _segments(spark, sf_dir))).select("k", F.transform("sigma", lambda s: F.round(s, 0)).alias("sigma"))
 
 
 @query(
-    f"""WITH {PANEL}, {_corr_sql(720, 1, 16)},
+    f"""WITH {PANEL}, {_corr_sql(H, 1, 16)},
 w AS (SELECT i, 0.54 - 0.46 * cos(2 * pi() * i / 16) AS w FROM (SELECT unnest(range(16)) AS i)),
 lw AS (SELECT b.i - a.i AS lag, sum(a.w * b.w) / 16 AS lw FROM w a JOIN w b ON b.i >= a.i GROUP BY b.i - a.i),
-s AS (SELECT 2 * 720 * 16 / sum(w) AS s FROM w)
+s AS (SELECT 2 * {H} * 16 / sum(w) AS s FROM w)
 SELECT channel, ref, k, {_rounds(0, s='any_value(s.s) * sum(CASE WHEN lag = 0 THEN 1 ELSE 2 END * lw * r * cos(2 * pi() * ((k * lag) % 32) / 32))')}
 FROM corr JOIN lw USING (lag), s, (SELECT unnest(range(17))::INT AS k) GROUP BY channel, ref, k"""
 )
 def psd_bt(spark, sf_dir):
-    return rounded(spectral.psd_bt(spectral.corr_bt(_centred(spark, sf_dir), REFS, 16, 720), 16, 720), 0, "s")
+    return rounded(spectral.psd_bt(spectral.corr_bt(_centred(spark, sf_dir), REFS, 16, panel.hours(spark, sf_dir)), 16, panel.hours(spark, sf_dir)), 0, "s")
 
 
 _HALF = "r * exp(lag * ln(0.001) / 16)"
 
 
 @query(
-    f"""WITH {PANEL}, {_corr_sql(720, 1, 16)}
+    f"""WITH {PANEL}, {_corr_sql(H, 1, 16)}
 SELECT channel, ref, k, {_rounds(1, re=f'sum({_HALF} * cos(2 * pi() * ((k * lag) % 16) / 16))', im=f'-sum({_HALF} * sin(2 * pi() * ((k * lag) % 16) / 16))')}
 FROM corr, (SELECT unnest(range(9))::INT AS k) GROUP BY channel, ref, k"""
 )
 def half_spectra(spark, sf_dir):
-    return rounded(spectral.half_spectra(spectral.corr_bt(_centred(spark, sf_dir), REFS, 16, 720), 16), 1, "re", "im")
+    return rounded(spectral.half_spectra(spectral.corr_bt(_centred(spark, sf_dir), REFS, 16, panel.hours(spark, sf_dir)), 16), 1, "re", "im")
 
 
 # --- modal functions and stabilisation on a table of poles given by a rule -------------------------
@@ -264,14 +272,15 @@ prev AS (SELECT ord, lag(ord) OVER (ORDER BY ord) AS prev FROM (SELECT DISTINCT
 pairs AS (
   SELECT c.ord, c.idx, p.ord AS prev_ord, p.idx AS prev_idx,
     sqrt((c.lam_re - p.lam_re) ** 2 + (c.lam_im - p.lam_im) ** 2) / greatest(sqrt(c.lam_re ** 2 + c.lam_im ** 2), sqrt(p.lam_re ** 2 + p.lam_im ** 2)) AS d_lambda,
-    abs(c.f - p.f) / greatest(abs(c.f), abs(p.f)) AS d_f, abs(c.d - p.d) / greatest(abs(c.d), abs(p.d)) AS d_d, 1 - {_mac_sql("c", "p")} AS d_mac
-  FROM poles c JOIN prev USING (ord) JOIN poles p ON p.ord = prev.prev)
+    abs(c.f - p.f) / greatest(abs(c.f), abs(p.f)) AS d_f, abs(c.d - p.d) / greatest(abs(c.d), abs(p.d)) AS d_d, 1 - {_mac_sql("c", "p")} AS d_mac,
+    coalesce(abs(c.mpd - p.mpd) / nullif(greatest(abs(c.mpd), abs(p.mpd)), 0), 0) AS d_mpd, coalesce(abs(c.mp - p.mp) / nullif(greatest(abs(c.mp), abs(p.mp)), 0), 0) AS d_mp
+  FROM criteria c JOIN prev USING (ord) JOIN criteria p ON p.ord = prev.prev)
 """
 
 
-@query(f"WITH {POLES_SQL}, {_PAIRS} SELECT ord, idx, prev_ord, prev_idx, {_rounds(8, d_lambda='d_lambda', d_f='d_f', d_d='d_d', d_mac='d_mac')} FROM pairs")
+@query(f"WITH {POLES_SQL}, {_SHAPES}, {_PAIRS} SELECT ord, idx, prev_ord, prev_idx, {_rounds(7, d_lambda='d_lambda', d_f='d_f', d_d='d_d', d_mac='d_mac', d_mpd='d_mpd', d_mp='d_mp')} FROM pairs")
 def pole_pairs(spark, sf_dir):
-    return rounded(stabil.pole_pairs(_poles(spark)), 8, "d_lambda", "d_f", "d_d", "d_mac")
+    return rounded(stabil.pole_pairs(_poles(spark)), 7, "d_lambda", "d_f", "d_d", "d_mac", "d_mpd", "d_mp")
 
 
 _OK = {"f": "d_f > 0 AND d_f <= 0.003", "d": "d_d > 0 AND d_d <= 0.02", "m": "d_mac > 0 AND d_mac <= 0.0002"}
@@ -288,7 +297,7 @@ def stable_masks(spark, sf_dir):
     return stabil.masks(_poles(spark), 0.003, 0.02, 0.0002, (0.0, 2.4), 0.5, 60.0).drop("setup")
 
 
-@query(f"WITH {POLES_SQL}, {_PAIRS}, least AS (SELECT min(d_f) AS x FROM pairs GROUP BY ord, idx) SELECT floor(x * 50 / 0.01)::INT AS bin, count(*) AS n FROM least WHERE x < 0.01 GROUP BY 1")
+@query(f"WITH {POLES_SQL}, {_SHAPES}, {_PAIRS}, least AS (SELECT min(d_f) AS x FROM pairs GROUP BY ord, idx) SELECT floor(x * 50 / 0.01)::INT AS bin, count(*) AS n FROM least WHERE x < 0.01 GROUP BY 1")
 def criteria_histogram(spark, sf_dir):
     return stabil.histogram(stabil.pole_pairs(_poles(spark)), "d_f", 50, 0.01)
 
@@ -305,7 +314,23 @@ def pair_candidates(spark, sf_dir):
     return rounded(merge.pair_candidates(_modes(spark, 13), _modes(spark, 5)), 8, "d_f", "mac")
 
 
-@query()
+def greedy_sql(candidates: str) -> str:
+    """One-to-one pairs of a table (mode_a, mode_b, d_f, mac): row after row in order of distance, where both modes are free."""
+    return f"""
+ranked AS (SELECT *, row_number() OVER (ORDER BY d_f, mac DESC, mode_a, mode_b) AS place FROM {candidates}),
+taken AS (
+  SELECT 0::BIGINT AS place, []::INT[] AS a, []::INT[] AS b, NULL::INT AS mode_a, NULL::INT AS mode_b, NULL::DOUBLE AS d_f, NULL::DOUBLE AS mac
+  UNION ALL
+  SELECT r.place, CASE WHEN free THEN list_append(a, r.mode_a) ELSE a END, CASE WHEN free THEN list_append(b, r.mode_b) ELSE b END,
+         CASE WHEN free THEN r.mode_a END, CASE WHEN free THEN r.mode_b END, r.d_f, r.mac
+  FROM (SELECT t.a, t.b, r.*, NOT list_contains(t.a, r.mode_a) AND NOT list_contains(t.b, r.mode_b) AS free FROM taken t JOIN ranked r ON r.place = t.place + 1) r)
+"""
+
+
+_CANDIDATES = f"candidates AS (SELECT a.idx AS mode_a, b.idx AS mode_b, (abs(a.f - b.f) / greatest(a.f, b.f))::DOUBLE AS d_f, {_mac_sql('a', 'b')} AS mac FROM poles a, poles b WHERE a.ord = 13 AND b.ord = 5 AND abs(a.f - b.f) / greatest(a.f, b.f) < 0.2 AND {_mac_sql('a', 'b')} > 0.8)"
+
+
+@query(f"WITH RECURSIVE {POLES_SQL}, {_CANDIDATES}, {greedy_sql('candidates')} SELECT mode_a, mode_b, {_rounds(8, d_f='d_f', mac='mac')} FROM taken WHERE mode_a IS NOT NULL")
 def mode_pairs(spark, sf_dir):
     return rounded(merge.pairs(merge.pair_candidates(_modes(spark, 13), _modes(spark, 5))), 8, "d_f", "mac")
 
@@ -371,7 +396,7 @@ def animation_frames(spark, sf_dir):
 
 
 def _event_corr(spark: SparkSession, sf_dir: str, lags: int = 48) -> DataFrame:
-    return spectral.corr_bt_chunked(_centred(spark, sf_dir), REFS, lags, panel.HOURS)
+    return spectral.corr_bt_chunked(_centred(spark, sf_dir), REFS, lags, panel.hours(spark, sf_dir))
 
 
 @query()

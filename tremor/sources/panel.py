@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The channels of the event panel and its span of hours.
-EVENT_CHANNELS = ("click", "error", "purchase", "signup", "view")
-HOURS = 720
-# Components that the SQL of panel_embeddings compares; the panel itself has all.
-EMBEDDING_CHANNELS = 8
+_HOUR = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000))
+
+
+def _span(events: DataFrame) -> tuple[int, int]:
+    """First hour and number of hours, from midnight before the first event to midnight after the last one."""
+    low, high = events.where("event_type IS NOT NULL").agg(F.min(_HOUR), F.max(_HOUR)).first()
+    return (0, 0) if low is None else (low // 24 * 24, (high // 24 + 1) * 24 - low // 24 * 24)
+
+
+def hours(spark: SparkSession, sf_dir: str) -> int:
+    """Samples of the event panel."""
+    return _span(spark.read.parquet(f"{sf_dir}/events.parquet"))[1]
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly sums of event values per type over 30 days; hours without events are 0."""
+    """Hourly sums of event values per type over all days with events; hours without events are 0.  Types are numbered by name."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)) - F.lit(473352)  # hours from 1970 to 2024
-    sums = events.where(F.col("event_type").isin(*EVENT_CHANNELS)).groupBy(hour.cast("int").alias("n"), F.col("event_type").alias("name")).agg(F.sum("value").alias("y"))
-    names = spark.createDataFrame([(i, c) for i, c in enumerate(EVENT_CHANNELS)], "channel int, name string")
-    spine = spark.range(HOURS).select(F.col("id").cast("int").alias("n")).crossJoin(F.broadcast(names))
+    origin, n = _span(events)
+    sums = events.where("event_type IS NOT NULL").groupBy((_HOUR - origin).cast("int").alias("n"), F.col("event_type").alias("name")).agg(F.sum("value").alias("y"))
+    types = sorted(r[0] for r in events.select("event_type").where("event_type IS NOT NULL").distinct().collect())
+    names = spark.createDataFrame(list(enumerate(types)), "channel int, name string")
+    spine = spark.range(n).select(F.col("id").cast("int").alias("n")).crossJoin(F.broadcast(names))
     joined = spine.join(sums, ["n", "name"], "left")
     return joined.select(F.lit("events").alias("setup"), "n", "channel", F.coalesce("y", F.lit(0.0)).alias("y"))
 
