@@ -45,20 +45,17 @@ def dependent(moves: DataFrame, links: DataFrame) -> DataFrame:
     return along.join(gives, ["node", "child"]).groupBy("mode", F.col("child").alias("node2"), "axis").agg(F.sum(F.col("give") * F.col("re")).alias("re"), F.sum(F.col("give") * F.col("im")).alias("im")).withColumnRenamed("node2", "node")
 
 
-def with_dependent(moves: DataFrame, links: DataFrame, most: int = 32) -> DataFrame:
+def with_dependent(moves: DataFrame, links: DataFrame) -> DataFrame:
     """``moves`` and the displacements of dependent nodes; a dependent node may lead others, level by level.
 
-    A node's displacement counts once all its parents are known; ``most`` bounds the depth of such chains."""
+    A node follows once all its parents are known, so the order of the links does not matter; nodes of a cycle stay without."""
+    parents: dict[str, set] = {}
+    for parent, child in links.select("parent", "child").distinct().collect():  # the links of one structure
+        parents.setdefault(child, set()).add(parent)
     known = moves
-    for _ in range(most):
-        have = known.select(F.col("node").alias("parent")).distinct()
-        done = known.select(F.col("node").alias("child")).distinct()
-        open_ = links.join(done, "child", "left_anti")
-        late = open_.join(have, "parent", "left_anti").select("child").distinct()
-        ready = open_.join(late, "child", "left_anti")
-        if not ready.limit(1).count():
-            break
-        known = known.unionByName(dependent(known, ready).select(*known.columns))
+    while level := [c for c, of in parents.items() if not of & parents.keys()]:
+        known = known.unionByName(dependent(known, links.where(F.col("child").isin(*level))).select(*known.columns))
+        parents = {c: of for c, of in parents.items() if c not in level}
     return known
 
 
