@@ -65,3 +65,20 @@ def direction(azimuth: Column, elevation: Column) -> tuple[Column, Column, Colum
 
 def nearly_equal(a: Column, b: Column, digits: int = 5) -> Column:
     return (a * 10**digits).cast("bigint") == (b * 10**digits).cast("bigint")
+
+
+def rotated(re: Column, im: Column) -> tuple[Column, Column]:
+    """A shape turned so that its largest component is real and positive; its size stays."""
+    size = F.transform(F.arrays_zip(re.alias("a"), im.alias("b")), lambda z: z["a"] * z["a"] + z["b"] * z["b"])
+    at = F.array_position(size, F.array_max(size)).cast("int")
+    a, b = F.element_at(re, at), F.element_at(im, at)
+    norm = F.sqrt(a * a + b * b)
+    return F.zip_with(re, im, lambda x, y: (x * a + y * b) / norm), F.zip_with(re, im, lambda x, y: (y * a - x * b) / norm)
+
+
+def as_displacements(re: Column, im: Column, quantity: Column, f: Column) -> tuple[Column, Column]:
+    """A shape with components of accelerations and velocities as displacements: a / -w^2, v i / w; ``quantity``: array of their names."""
+    w = 2 * math.pi * f
+    z = F.arrays_zip(re.alias("a"), im.alias("b"), quantity.alias("q"))
+    kind = lambda x, accel, velo, disp: F.when(x["q"] == "accel", accel).when(x["q"] == "velo", velo).otherwise(disp)
+    return F.transform(z, lambda x: kind(x, -x["a"] / (w * w), -x["b"] / w, x["a"])), F.transform(z, lambda x: kind(x, -x["b"] / (w * w), x["a"] / w, x["b"]))

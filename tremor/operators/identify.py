@@ -73,24 +73,38 @@ def per_order(corr: DataFrame, orders: range, method: str, solve: Callable[[np.n
     return spread.groupBy("setup", "ord").applyInPandas(run, POLES)
 
 
+def toeplitz_factors(r: np.ndarray, rows: int, cols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Left singular vectors and singular values of the block Toeplitz matrix of correlations."""
+    t = np.block([[r[:, :, cols + i - j - 1] for j in range(cols)] for i in range(rows + 1)])
+    return np.linalg.svd(t, full_matrices=False)[:2]
+
+
 def ssi_cov(r: np.ndarray, rows: int, cols: int, order: int, rate: float) -> list[tuple]:
     """Covariance-driven stochastic subspace identification on a block Toeplitz matrix."""
-    nl, nr, _ = r.shape
-    t = np.block([[r[:, :, cols + i - j - 1] for j in range(cols)] for i in range(rows + 1)])
-    u, s, _ = np.linalg.svd(t, full_matrices=False)
-    o = u[:, :order] * np.sqrt(s[:order])
-    return modal(np.linalg.pinv(o[:-nl]) @ o[nl:], o[:nl], rate)
+    u, s = toeplitz_factors(r, rows, cols)
+    return _shifted(u[:, :order] * np.sqrt(s[:order]), r.shape[0], rate)
 
 
-def era(r: np.ndarray, rows: int, cols: int, order: int, rate: float) -> list[tuple]:
-    """Eigensystem realisation on the block Hankel matrices of responses from lag 1 on."""
-    nl, nr, _ = r.shape
+def _shifted(o: np.ndarray, channels: int, rate: float) -> list[tuple]:
+    return modal(np.linalg.pinv(o[:-channels]) @ o[channels:], o[:channels], rate)
+
+
+def era_factors(r: np.ndarray, rows: int, cols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left vectors, singular values, shifted matrix between the singular vectors) of responses from lag 1 on."""
     h0 = np.block([[r[:, :, 1 + i + j] for j in range(cols)] for i in range(rows)])
     h1 = np.block([[r[:, :, 2 + i + j] for j in range(cols)] for i in range(rows)])
     u, s, vt = np.linalg.svd(h0, full_matrices=False)
+    return u, s, u.T @ h1 @ vt.T
+
+
+def _realised(u: np.ndarray, s: np.ndarray, middle: np.ndarray, channels: int, order: int, rate: float) -> list[tuple]:
     root = np.sqrt(s[:order])
-    a = (u[:, :order] / root).T @ h1 @ (vt[:order].T / root)
-    return modal(a, u[:nl, :order] * root, rate)
+    return modal(middle[:order, :order] / root[:, None] / root, u[:channels, :order] * root, rate)
+
+
+def era(r: np.ndarray, rows: int, cols: int, order: int, rate: float) -> list[tuple]:
+    """Eigensystem realisation on the block Hankel matrices of responses from lag 1 on."""
+    return _realised(*era_factors(r, rows, cols), r.shape[0], order, rate)
 
 
 def prce(r: np.ndarray, order: int, rate: float) -> list[tuple]:
@@ -114,32 +128,50 @@ def prce(r: np.ndarray, order: int, rate: float) -> list[tuple]:
     return sorted(out, key=lambda x: (x[0], x[1]))
 
 
-def plscf(r: np.ndarray, order: int, rate: float, decay: float = 0.001, band: tuple[float, float] | None = None) -> list[tuple]:
-    """Poly-reference least-squares complex frequency method on half spectra of the correlation."""
-    nl, nr, m = r.shape
+def _half(r: np.ndarray, rate: float, decay: float, band: tuple[float, float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(spectra of the lines used, their numbers, their frequencies, decay per sample) of exponentially windowed correlations."""
+    m = r.shape[2]
     factor = -np.log(decay) / m
     spectra = np.fft.rfft(r * np.exp(-factor * np.arange(m)), axis=2)
     k = np.arange(spectra.shape[2])
     freq = k * rate / m
     use = (freq > band[0]) & (freq < band[1]) if band else k > 0
-    x = np.exp(2j * np.pi * np.outer(k[use] / m, np.arange(order + 1)))
-    rr = (x.conj().T @ x).real
-    inv = np.linalg.pinv(rr)
+    return spectra[:, :, use], k[use], freq[use], factor
+
+
+def _fraction(r: np.ndarray, order: int, rate: float, decay: float, band: tuple[float, float] | None) -> tuple:
+    nl, nr, m = r.shape
+    spectra, k, freq, factor = _half(r, rate, decay, band)
+    x = np.exp(2j * np.pi * np.outer(k / m, np.arange(order + 1)))
+    inv = np.linalg.pinv((x.conj().T @ x).real)
     total = np.zeros(((order + 1) * nr, (order + 1) * nr))
     terms = []
     for c in range(nl):
-        y = -np.einsum("kr,kj->krj", x, spectra[c][:, use].T).reshape(len(x), -1)
+        y = -np.einsum("kr,kj->krj", x, spectra[c].T).reshape(len(x), -1)
         s, t = (x.conj().T @ y).real, (y.conj().T @ y).real
         total += 2 * (t - s.T @ inv @ s)
         terms.append(s)
     n = order * nr
     alpha = np.vstack([-np.linalg.lstsq(total[:n, :n], total[:n, n:], rcond=None)[0], np.eye(nr)])
     beta = np.stack([-inv @ s @ alpha for s in terms], 1)  # (order + 1, channels, references)
+    return spectra, freq, alpha, beta, factor
+
+
+def plscf_model(r: np.ndarray, order: int, rate: float, decay: float = 0.001, band: tuple[float, float] | None = None) -> tuple:
+    """(spectra, frequencies, denominator coefficients, decay per sample) of the right matrix fraction."""
+    spectra, freq, alpha, _, factor = _fraction(r, order, rate, decay, band)
+    return spectra, freq, alpha, factor
+
+
+def plscf(r: np.ndarray, order: int, rate: float, decay: float = 0.001, band: tuple[float, float] | None = None) -> list[tuple]:
+    """Poly-reference least-squares complex frequency method on half spectra of the correlation."""
+    nr = r.shape[1]
+    _, _, alpha, beta, factor = _fraction(r, order, rate, decay, band)
+    n = order * nr
     a = np.zeros((n, n))
     a[nr:, : n - nr] = np.eye(n - nr)
     blocks = [beta[order - 1 - i] - beta[order] @ alpha[(order - 1 - i) * nr : (order - i) * nr] for i in range(order)]
-    top = np.hstack([-alpha[(order - 1 - i) * nr : (order - i) * nr] for i in range(order)])
-    a[:nr] = top
+    a[:nr] = np.hstack([-alpha[(order - 1 - i) * nr : (order - i) * nr] for i in range(order)])
     lam, psi = np.linalg.eig(a)
     out = []
     for i in one_of_pairs(lam / np.maximum(1, abs(lam))):
@@ -152,12 +184,43 @@ def plscf(r: np.ndarray, order: int, rate: float, decay: float = 0.001, band: tu
     return sorted(out, key=lambda v: (v[0], v[1]))
 
 
+def _factored(corr: DataFrame, orders: range, method: str, factors: Callable[[np.ndarray], list[np.ndarray]], solve: Callable[..., list[tuple]]) -> DataFrame:
+    """Poles of every order: a setup's matrix is decomposed once, the orders are groups of their own and get the factors."""
+
+    def factor(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = tensor(pdf)
+        parts = factors(r)
+        return pd.DataFrame({"setup": [pdf["setup"].iloc[0]], "channels": [r.shape[0]], "shapes": [[int(n) for x in parts for n in (len(x), x.size // len(x))]], "parts": [[x.tobytes() for x in parts]]})
+
+    n = corr.sparkSession.range(len(orders)).select((F.col("id") * orders.step + orders.start).cast("int").alias("ord"))
+    found = gathered(corr).groupBy("setup").applyInPandas(factor, "setup string, channels int, shapes array<int>, parts array<binary>")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        parts = [np.frombuffer(x).reshape(row["shapes"][2 * i], row["shapes"][2 * i + 1]) for i, x in enumerate(row["parts"])]
+        return _rows(row["setup"], method, int(row["ord"]), solve(*parts, int(row["channels"]), int(row["ord"])))
+
+    return found.crossJoin(F.broadcast(n)).groupBy("setup", "ord").applyInPandas(run, POLES)  # one row of factors per order
+
+
 def ssi_cov_poles(corr: DataFrame, rate: float, cols: int, orders: range) -> DataFrame:
-    return per_order(corr, orders, "ssi-cov", lambda r, n: ssi_cov(r, cols, cols, n, rate))
+    most = max(orders)
+
+    def factors(r: np.ndarray) -> list[np.ndarray]:
+        u, s = toeplitz_factors(r, cols, cols)
+        return [u[:, :most] * np.sqrt(s[:most])]
+
+    return _factored(corr, orders, "ssi-cov", factors, lambda o, channels, n: _shifted(o[:, :n], channels, rate))
 
 
 def era_poles(corr: DataFrame, rate: float, cols: int, orders: range) -> DataFrame:
-    return per_order(corr, orders, "era", lambda r, n: era(r, cols, cols, n, rate))
+    most = max(orders)
+
+    def factors(r: np.ndarray) -> list[np.ndarray]:
+        u, s, middle = era_factors(r, cols, cols)
+        return [np.ascontiguousarray(u[: r.shape[0], :most]), s[:most, None], np.ascontiguousarray(middle[:most, :most])]
+
+    return _factored(corr, orders, "era", factors, lambda u, s, middle, channels, n: _realised(u, s.ravel(), middle, channels, n, rate))
 
 
 def prce_poles(corr: DataFrame, rate: float, orders: range) -> DataFrame:

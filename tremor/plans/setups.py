@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.operators import channels, geometry, merge, signals, spectral, stabil
+from tremor.functions import modal
+from tremor.operators import channels, geometry, identify, merge, signals, spectral, stabil, subspace
 from tremor.plans.catalogue import (
     _CANDIDATES, _COMMON_SQL, _DOFS, _DOFS_SQL, _LINES, _MOVES_SQL, _NODES, _PAIRS, _SHAPES, H, LINES, PANEL, POLES_SQL, REFS, SEGMENTS,
     _WELCH, _centred, _dofs, _event_corr, _mac_sql, _modes, _moves, _poles, _rounds, _segments, greedy_sql, query, rounded,
@@ -263,8 +264,6 @@ def confidence_intervals(spark, sf_dir):
 
 @query()
 def clustered_selection(spark, sf_dir):
-    from tremor.operators import identify
-
     poles = identify.ssi_cov_poles(_event_corr(spark, sf_dir), 1.0, 20, range(4, 21, 2))
     return stabil.representatives(stabil.clusters(poles, stabil.clearing(poles)))
 
@@ -388,3 +387,88 @@ def dependent_nodes(spark, sf_dir):
 def measured_frames(spark, sf_dir):
     nodes = spark.createDataFrame(_NODES, "node string, x double, y double, z double")
     return rounded(geometry.measured_frames(nodes, _dofs(spark).where("setup = 's1'"), _centred(spark, sf_dir), 0.001), 4, "at")
+
+
+# --- identification --------------------------------------------------------------------------------
+
+
+@query(f"WITH {POLES_SQL}, t AS (SELECT *, list_transform(range(1, len(phi_re) + 1), lambda j: phi_re[j] ** 2 + phi_im[j] ** 2) AS sizes FROM poles), w AS (SELECT *, phi_re[list_position(sizes, list_max(sizes))]::DOUBLE AS a, phi_im[list_position(sizes, list_max(sizes))]::DOUBLE AS b FROM t), j AS (SELECT *, unnest(range(1, len(phi_re) + 1)) AS j FROM w) SELECT ord, idx, (j - 1)::INT AS channel, {_rounds(8, re='(phi_re[j] * a + phi_im[j] * b) / sqrt(a * a + b * b)', im='(phi_im[j] * a - phi_re[j] * b) / sqrt(a * a + b * b)')} FROM j")
+def rotated_shapes(spark, sf_dir):
+    re, im = modal.rotated(F.col("phi_re"), F.col("phi_im"))
+    flat = _poles(spark).select("ord", "idx", F.posexplode(F.arrays_zip(re.alias("re"), im.alias("im"))).alias("channel", "z")).select("ord", "idx", "channel", "z.re", "z.im")
+    return rounded(flat, 8, "re", "im")
+
+
+_W = "(2 * pi() * f)"
+
+
+@query(f"WITH {POLES_SQL}, j AS (SELECT ord, idx, f, unnest([0, 1, 2]) AS c, unnest(['accel', 'velo', 'disp']) AS q, unnest(phi_re) AS a, unnest(phi_im) AS b FROM poles) SELECT ord, idx, c::INT AS channel, {_rounds(8, re=f'CASE q WHEN $accel$ THEN -a / {_W} ** 2 WHEN $velo$ THEN -b / {_W} ELSE a END', im=f'CASE q WHEN $accel$ THEN -b / {_W} ** 2 WHEN $velo$ THEN a / {_W} ELSE b END').replace('$accel$', chr(39) + 'accel' + chr(39)).replace('$velo$', chr(39) + 'velo' + chr(39))} FROM j")
+def displacement_shapes(spark, sf_dir):
+    re, im = modal.as_displacements(F.col("phi_re"), F.col("phi_im"), F.array(F.lit("accel"), F.lit("velo"), F.lit("disp")), F.col("f"))
+    flat = _poles(spark).select("ord", "idx", F.posexplode(F.arrays_zip(re.alias("re"), im.alias("im"))).alias("channel", "z")).select("ord", "idx", "channel", "z.re", "z.im")
+    return rounded(flat, 8, "re", "im")
+
+
+_BLOCK = 72  # hours
+
+
+@query()
+def uncertain_poles(spark, sf_dir):
+    """Blocks of three days over the whole panel."""
+    blocks = panel.hours(spark, sf_dir) // _BLOCK
+    return subspace.uncertain_poles(spectral.block_covariances(_centred(spark, sf_dir), REFS, 20, _BLOCK, blocks), 1.0, 9, range(4, 13, 2))
+
+
+@query()
+def merged_setup_poles(spark, sf_dir):
+    """Three setups of ten days each, which share two reference channels and have one of the others."""
+    third = panel.hours(spark, sf_dir) // 3
+    y = _centred(spark, sf_dir).withColumn("turn", F.least(F.floor(F.col("n") / third), F.lit(2)).cast("int"))
+    y = y.where("channel < 2 OR channel = turn + 2").select(F.concat(F.lit("m"), "turn").alias("setup"), (F.col("n") - F.col("turn") * third).cast("int").alias("n"), "channel", "y")
+    dofs = y.select("setup", "channel").distinct().select("setup", "channel", F.concat(F.lit("node"), "channel").alias("node"), F.lit(0.0).alias("azimuth"), F.lit(0.0).alias("elevation"))
+    return subspace.merged_poles(spectral.corr_bt_chunked(y, REFS, 40, third), dofs, 1.0, 15, range(4, 11, 2))
+
+
+def _square_corr(spark: SparkSession, sf_dir: str, lags: int = 24) -> DataFrame:
+    return spectral.corr_bt_chunked(_centred(spark, sf_dir), range(5), lags, panel.hours(spark, sf_dir))
+
+
+@query()
+def modal_signals(spark, sf_dir):
+    return subspace.modal_signals(_centred(spark, sf_dir), _square_corr(spark, sf_dir), 1.0, 10, 8, chunk=256, warm_up=128).drop("setup")
+
+
+@query()
+def signal_contributions(spark, sf_dir):
+    y = _centred(spark, sf_dir)
+    return subspace.signal_contributions(y, subspace.modal_signals(y, _square_corr(spark, sf_dir), 1.0, 10, 8, chunk=256, warm_up=128)).drop("setup")
+
+
+@query()
+def cross_validation(spark, sf_dir):
+    length = panel.hours(spark, sf_dir) // 4
+    y = _centred(spark, sf_dir).where(F.col("n") < 4 * length)
+    return subspace.cross_validated(y, spectral.corr_bt(y, range(5), 22, length, 4), 9, [2, 4, 8], length).drop("setup")
+
+
+@query()
+def correlation_synthesis(spark, sf_dir):
+    corr = _event_corr(spark, sf_dir)
+    return subspace.synthetic_correlations(corr, identify.ssi_cov_poles(corr, 1.0, 20, range(12, 13)), 12).drop("setup")
+
+
+@query()
+def synthesis_errors(spark, sf_dir):
+    corr = _event_corr(spark, sf_dir)
+    return subspace.synthesis_errors(subspace.synthetic_correlations(corr, identify.ssi_cov_poles(corr, 1.0, 20, range(12, 13)), 12)).drop("setup")
+
+
+@query()
+def spectrum_synthesis(spark, sf_dir):
+    corr = _event_corr(spark, sf_dir)
+    return subspace.synthetic_spectra(subspace.synthetic_correlations(corr, identify.ssi_cov_poles(corr, 1.0, 20, range(12, 13)), 12), 48).drop("setup")
+
+
+@query()
+def residual_poles(spark, sf_dir):
+    return subspace.residual_poles(_event_corr(spark, sf_dir), 1.0, 6).drop("setup")
