@@ -40,16 +40,40 @@ def test_few_candidates_and_none(spark):
     assert ms.top_k(v.limit(0), v.limit(0), 5).count() == 0
 
 
-def test_non_essential_terms_are_skipped():
+def test_essential_terms_and_floors():
     rng = np.random.default_rng(0)
     dense = np.zeros((500, 40), np.int64)
     dense[:, :3] = rng.integers(0, 300, (500, 3))
     dense[:, 3:] = rng.integers(0, 2, (500, 37))
-    shard, query = ms.Shard(np.arange(500), dense), np.ones(40, np.int64)
+    query = np.ones(40, np.int64)
     every = dense @ query
     floor = int(np.sort(every)[-5])
-    ids, score = shard.search(-1, query, 5, floor)
+    read = []
+
+    class Seen(list):
+        def __getitem__(self, t):
+            read.append(t)
+            return super().__getitem__(t)
+
+    block = ms.Block(np.arange(500), dense)
+    block.postings = Seen(block.postings)
+    ids, score = block.search(-1, query, 5, floor)
     assert score.tolist() == np.sort(every)[::-1][:5].tolist() and ids[0] == int(np.argmax(every))
+    assert set(read) <= {0, 1, 2} and len(read) < 40  # only essential postings are traversed
+    found, raised = ms.best_of(ms.blocks_of(np.arange(500), dense, 64), np.array([-1]), query[None], 5, np.array([ms.NO_FLOOR]))
+    assert found["score"].tolist() == score.tolist() and raised[0] == floor
+    skipped = [b for b in ms.blocks_of(np.arange(500), dense, 64) if b.bounds(query[None])[0] < floor]
+    assert skipped and not set(np.concatenate([b.ids for b in skipped])) & set(ids)
+
+
+def test_top_k_takes_the_floors_along(spark, monkeypatch):
+    """Through top_k, with several shards and blocks of queries: results stay exact where few queries are sent at a time."""
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) * (3 if i % 7 == 0 else 0.2) for _ in range(16)], 0) for i in range(600)]
+    v = ms.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).cache()
+    monkeypatch.setattr(ms, "SENT_BYTES", 1)
+    got = ms.top_k(v.where("vec_id % 50 = 0"), v, 5, shard_rows=100, query_rows=4)
+    assert {tuple(r) for r in got.collect()} == search_brute([r[:2] for r in rows], 5)
 
 
 def scan_brute(rows):

@@ -1,10 +1,14 @@
 """Exact top-k inner-product search with MaxScore over sharded postings (operator 5).
 
 A vector's non-zero components are its terms.  Candidates are packed into shards of ``SHARD_ROWS``
-vectors; each shard keeps postings per term with the smallest and largest value.  For a query every
-term gets an upper bound of its contribution in the shard.  Terms sorted by that bound split into
-non-essential ones, whose bounds together stay below the query's current k-th score, and essential
+vectors, longest first, and a shard is cut into blocks that keep postings and the smallest and largest value per term.
+For a query every term gets an upper bound of its contribution in a block.  A block whose bounds together stay below the
+query's floor, the k-th score it has reached so far, is skipped.  In the others terms are sorted by bound and split into
+non-essential ones, whose bounds together stay below the floor, and essential
 ones, whose postings are traversed; other terms are probed only while a candidate can still compete.
+
+Every query gets a first floor from one shard, a bounded sample of the candidates; the floor rises from block to block.  Shards stay
+where they are: blocks of queries with their floors are sent to all of them, at most ``SENT_BYTES`` at a time.
 Shard results are merged by score and vec_id.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; shorter
@@ -24,7 +28,11 @@ from pyspark.sql import functions as F
 from tremor.llm.common import partitions, settle
 
 SHARD_ROWS = 4096
+BLOCK_ROWS = 512
 QUERY_ROWS = 2048
+#: Bytes of packed queries that are collected and broadcast together.
+SENT_BYTES = 16 << 20
+NO_FLOOR = np.iinfo(np.int64).min
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 256) -> DataFrame:
@@ -58,90 +66,131 @@ def _pack(rows: DataFrame, block, block_name: str) -> DataFrame:
     return rows.withColumn("block", block).repartition(n, "block").mapInPandas(pack, f"{block_name} long, ids binary, values binary, width int")
 
 
-class Shard:
-    """Postings of one block of candidates."""
+class Block:
+    """Postings of some candidates."""
 
     def __init__(self, ids: np.ndarray, dense: np.ndarray):
-        self.ids, self.dense = ids, dense
+        self.ids = ids
         self.low, self.high = (dense.min(0), dense.max(0)) if len(ids) else (dense.sum(0), dense.sum(0))
-        self.postings = [np.flatnonzero(column) for column in dense.T]
         self.columns = np.ascontiguousarray(dense.T)
+        self.postings = [np.flatnonzero(column) for column in self.columns]
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """The most that any candidate here can score, for every query."""
+        n = min(queries.shape[1], len(self.low))
+        q = queries[:, :n]
+        return np.maximum(q, 0) @ np.maximum(self.high[:n], 0) + np.maximum(-q, 0) @ np.maximum(-self.low[:n], 0)
 
-    def search(self, query_id: int, query: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query_id: int, query: np.ndarray, k: int, floor: int = NO_FLOOR) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) that may be among the query's k best; ``floor``: a k-th score already reached."""
         terms = np.flatnonzero(query)
-        terms = terms[terms < self.dense.shape[1]]
+        terms = terms[terms < len(self.low)]
         bound = np.maximum(0, np.maximum(query[terms] * self.low[terms], query[terms] * self.high[terms]))
         order = np.argsort(bound, kind="stable")
         terms, bound = terms[order], bound[order]
         below = np.cumsum(bound)
-        # non-essential: the longest run of smallest bounds that cannot reach the floor alone
-        split = 0 if floor is None or floor <= 0 else int(np.searchsorted(below, floor, "left"))
+        # non-essential: the longest run of smallest bounds that cannot reach the floor together
+        split = 0 if floor <= 0 else int(np.searchsorted(below, floor, "left"))
         essential, others = terms[split:], terms[:split]
-        if split == 0:
-            touched = np.arange(len(self.ids))
-            score = self.dense[:, terms] @ query[terms]
-        else:
-            score = np.zeros(len(self.ids), np.int64)
-            seen = np.zeros(len(self.ids), bool)
-            for t in essential:
-                at = self.postings[t]
-                score[at] += query[t] * self.columns[t][at]
-                seen[at] = True
-            touched = np.flatnonzero(seen)
-            rest = below[split - 1]
-            for t, b in zip(others[::-1], bound[:split][::-1]):
-                touched = touched[score[touched] + rest >= floor]  # still competitive
-                if not len(touched):
-                    break
-                score[touched] += query[t] * self.columns[t][touched]
-                rest -= b
-            score = score[touched]
-        keep = self.ids[touched] != query_id
-        touched, score = touched[keep], score[keep]
+        score = np.zeros(len(self.ids), np.int64)
+        seen = np.full(len(self.ids), split == 0)  # without a floor every candidate counts
+        for t in essential:
+            at = self.postings[t]
+            score[at] += query[t] * self.columns[t][at]
+            seen[at] = True
+        touched = np.flatnonzero(seen)
+        rest = int(below[split - 1]) if split else 0
+        for t, b in zip(others[::-1], bound[:split][::-1]):
+            touched = touched[score[touched] + rest >= floor]  # still competitive
+            if not len(touched):
+                break
+            score[touched] += query[t] * self.columns[t][touched]
+            rest -= int(b)
+        touched = touched[(self.ids[touched] != query_id) & (score[touched] >= floor)]
+        found, score = self.ids[touched], score[touched]
         if len(score) > k:
-            least = np.partition(score, len(score) - k)[len(score) - k]
-            keep = score >= least
-            touched, score = touched[keep], score[keep]
-        ids = self.ids[touched]
-        order = np.lexsort((ids, -score))[:k]
-        return ids[order], score[order]
+            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+            found, score = found[keep], score[keep]
+        order = np.lexsort((found, -score))[:k]
+        return found[order], score[order]
+
+
+def blocks_of(ids: np.ndarray, dense: np.ndarray, rows: int = BLOCK_ROWS) -> list[Block]:
+    """Candidates by length, longest first, in blocks."""
+    order = np.argsort(-(dense.astype(float) ** 2).sum(1), kind="stable")
+    return [Block(ids[order[i : i + rows]], dense[order[i : i + rows]]) for i in range(0, len(ids), rows)]
+
+
+def best_of(blocks: list[Block], q_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    """(query_id, vec_id, score of up to k best candidates of each query that reach its floor, raised floors)."""
+    most = [b.bounds(queries) for b in blocks]
+    raised, out = floors.copy(), []
+    for i, q in enumerate(queries):
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b, bound in zip(blocks, most):
+            if bound[i] < raised[i]:
+                continue
+            found, score = b.search(int(q_ids[i]), q, k, int(raised[i]))
+            ids, scores = np.concatenate([ids, found]), np.concatenate([scores, score])
+            order = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[order], scores[order]
+            if len(scores) == k:
+                raised[i] = max(raised[i], scores[-1])
+        out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids, "score": scores}))
+    return (pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)), raised
+
+
+def _unpacked(ids: bytes, values: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    ids_ = np.frombuffer(ids, np.int64)
+    return ids_, np.frombuffer(values, np.int64).reshape(len(ids_), width)
+
+
+def _first_floors(asked: DataFrame, sample: list, k: int) -> DataFrame:
+    """The packed queries with the floors that one shard gives."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks = blocks_of(*_unpacked(*sample[0])) if sample else []
+        for pdf in batches:
+            floors = []
+            for row in pdf.itertuples(index=False):
+                q_ids, queries = _unpacked(row.ids, row.values, row.width)
+                floors.append(best_of(blocks, q_ids, queries, k, np.full(len(q_ids), NO_FLOOR))[1].tobytes())
+            yield pdf.assign(floors=floors)
 
+    return asked.mapInPandas(run, "query_block long, ids binary, values binary, width int, floors binary")
+
+
+def _searched(shards: DataFrame, sent: list, k: int) -> DataFrame:
+    """query_id, vec_id, score of the candidates of every shard that reach the floors of the queries sent."""
+    queries = shards.sparkSession.sparkContext.broadcast([(r["ids"], r["values"], r["width"], r["floors"]) for r in sent])
 
-def _search_blocks(k: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        floors: dict[int, np.ndarray] = {}
+        asked = [(*_unpacked(*q[:3]), np.frombuffer(q[3], np.int64)) for q in queries.value]
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                ids = np.frombuffer(row.ids, np.int64)
-                shard = Shard(ids, np.frombuffer(row.values, np.int64).reshape(len(ids), row.width))
-                q_ids = np.frombuffer(row.q_ids, np.int64)
-                queries = np.frombuffer(row.q_values, np.int64).reshape(len(q_ids), row.q_width)
-                best = floors.setdefault(row.query_block, np.zeros((len(q_ids), 0), np.int64))
-                found, kept = [], np.full((len(q_ids), k), np.iinfo(np.int64).min)
-                for i in range(len(q_ids)):
-                    floor = int(best[i, 0]) if best.shape[1] and best[i, 0] > np.iinfo(np.int64).min else None
-                    got, score = shard.search(int(q_ids[i]), queries[i], k, floor)
-                    found.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": got, "score": score}))
-                    merged = np.sort(np.concatenate([best[i], score]))[-k:]
-                    kept[i, k - len(merged) :] = merged
-                floors[row.query_block] = kept
-                if found:
-                    yield pd.concat(found)
-
-    return search
+                blocks = blocks_of(*_unpacked(row.ids, row.values, row.width))
+                for i, (q_ids, values, floors) in enumerate(asked):
+                    found, raised = best_of(blocks, q_ids, values, k, floors)
+                    asked[i] = q_ids, values, raised
+                    yield found
 
+    return shards.mapInPandas(search, "query_id long, vec_id long, score long")
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best candidates of every query; both sides: vec_id, v array<long>.
 
-    Query blocks meet shards by an equi-join on (query block, shard), so both sides stay dealt out."""
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best candidates of every query; both sides: vec_id, v array<long>."""
     n, nq = candidates.count(), queries.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-nq // query_rows))
     packed = settle(_pack(candidates, F.pmod(F.xxhash64("vec_id"), F.lit(shards)), "shard"), "shards")
-    asked = settle(_pack(queries, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)), "query_block").toDF("query_block", "q_ids", "q_values", "q_width"), "queries")
-    left = packed.withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    found = left.join(right, ["query_block", "shard"]).mapInPandas(_search_blocks(k), "query_id long, vec_id long, score long")
+    asked = _pack(queries, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)), "query_block")
+    sample = [tuple(r) for r in packed.where("shard = 0").select("ids", "values", "width").collect()]  # about shard_rows vectors
+    asked = settle(_first_floors(asked, sample, k), "queries")
+    size = asked.agg(F.max(F.length("values") + F.length("ids"))).first()[0] or 1
+    step = max(1, SENT_BYTES // size)
+    found = None
+    for at in range(0, blocks, step):
+        sent = asked.where(F.col("query_block").between(at, at + step - 1)).collect()  # at most SENT_BYTES, or one block
+        part = _searched(packed, sent, k)
+        found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
