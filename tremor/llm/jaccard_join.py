@@ -4,8 +4,9 @@
    representative, so exact copies cost nothing further.
 2. A set can only meet another when at least 80 % of its shingles also occur in another class.  All
    shingles are dealt to buckets once, as packed arrays, to count that; most classes end here.
-3. Tiles: the surviving sets are listed under their rarest shingles (as many as a match must reach).
-   Within a tile only sizes of one band (ratio 0.8 to 1.25) meet, and a 1024-bit parity bitmap per
+3. Tiles: the surviving sets are listed under their rarest shingles (as many as a match must reach) and their size band.
+   Bands are geometric, a little wider than the sizes that can match (ratio 0.8 to 1.25), and a set stands in its own and the next one, so
+   sizes that can match share a tile.  There a 1024-bit parity bitmap per
    set bounds the overlap from above: |A & B| <= (|A| + |B| - bits(A ^ B)) / 2.
    What passes is verified by an exact intersection of the sorted arrays.
 4. The result is the component of every document, so tiles need not emit all pairs of a large group:
@@ -36,6 +37,8 @@ SHINGLE = 5
 #: Similarity as a fraction: PER_CENT * |A & B| >= 80 * |A | B|.
 SIMILAR = 80
 BITMAP_WORDS = 16
+#: Ratio of neighbouring size bands; above 1.25, so that rounding cannot part sizes that may match.
+BAND = 1.26
 HUB_ROUNDS = 2
 
 
@@ -166,7 +169,7 @@ def _bits_allow(a: Column, b: Column, n: Column, m: Column) -> Column:
 
 
 def tiles(sets: DataFrame) -> DataFrame:
-    """token, doc, n, alone: each set under the rarest of its shingles that a match must reach.
+    """token, doc, n, alone: each set under the rarest of its shingles that a match must reach, and its size bands, as one hash.
 
     Shingles of one set only come first in that order; they need no tile of their own."""
     tokens = sets.select("doc", "n", F.explode("hashes").alias("token"))
@@ -176,7 +179,18 @@ def tiles(sets: DataFrame) -> DataFrame:
     alone = F.col("n") - F.count(F.lit(1)).over(of_doc)
     reach = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100 - 1e-9).cast("long") + 1
     ranked = shared.select("token", "doc", "n", alone.alias("alone"), F.row_number().over(of_doc.orderBy("df", "token")).alias("place"), reach.alias("reach"))
-    return ranked.where("alone + place <= reach").select("token", "doc", "n", "alone")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND)))
+    near = F.explode(F.array(band, band + 1)).alias("band")
+    return ranked.where("alone + place <= reach").select("token", "doc", "n", "alone", near).select(F.xxhash64("token", "band").alias("token"), "doc", "n", "alone")
+
+
+def common_of(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of values that two arrays of hashes hold both; each is sorted as unsigned numbers and has none twice."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -185,8 +199,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     right = sets.select(F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bb"))
     possible = pairs.join(left, "a").join(right, "b").where(_same_band(F.col("an"), F.col("bn")) & _bits_allow(F.col("ab"), F.col("bb"), F.col("an"), F.col("bn"))).select("a", "b", "an", "bn")
     full = possible.join(sets.select(F.col("doc").alias("a"), F.col("hashes").alias("ah")), "a").join(sets.select(F.col("doc").alias("b"), F.col("hashes").alias("bh")), "b")
-    overlap = F.size(F.array_intersect("ah", "bh"))
-    return full.where((100 + SIMILAR) * overlap >= SIMILAR * (F.col("an") + F.col("bn"))).select("a", "b")
+
+    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("an").to_numpy() + batch.column("bn").to_numpy()
+            overlap = np.array([common_of(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column("ah"), batch.column("bh"))], np.int64)
+            keep = (100 + SIMILAR) * overlap >= SIMILAR * n
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+
+    return full.select("a", "b", "an", "bn", "ah", "bh").mapInArrow(intersect, "a long, b long")
 
 
 def _hub_pairs(listed: DataFrame, turn: int) -> DataFrame:
