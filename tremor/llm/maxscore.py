@@ -5,7 +5,7 @@ vectors, longest first, and a shard is cut into blocks that keep postings and th
 For a query every term gets an upper bound of its contribution in a block.  A block whose bounds together stay below the
 query's floor, the k-th score it has reached so far, is skipped.  In the others terms are sorted by bound and split into
 non-essential ones, whose bounds together stay below the floor, and essential
-ones, whose postings are traversed; other terms are probed only while a candidate can still compete.
+ones, whose postings are traversed for all queries together; other terms are probed only while a candidate can still compete.
 
 Every query gets a first floor from one shard, a bounded sample of the candidates; the floor rises from block to block.  Shards stay
 where they are: blocks of queries with their floors are sent to all of them, at most ``SENT_BYTES`` at a time.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tremor.llm.common import partitions, settle
 
 SHARD_ROWS = 4096
-BLOCK_ROWS = 512
+BLOCK_ROWS = 2048
 QUERY_ROWS = 2048
 #: Bytes of packed queries that are collected and broadcast together.
 SENT_BYTES = 16 << 20
@@ -67,52 +67,36 @@ def _pack(rows: DataFrame, block, block_name: str) -> DataFrame:
 
 
 class Block:
-    """Postings of some candidates."""
+    """Postings of some candidates, as one dense column per term; sums of products below 2 ** 53 are exact in float64."""
 
     def __init__(self, ids: np.ndarray, dense: np.ndarray):
         self.ids = ids
         self.low, self.high = (dense.min(0), dense.max(0)) if len(ids) else (dense.sum(0), dense.sum(0))
         self.columns = np.ascontiguousarray(dense.T)
-        self.postings = [np.flatnonzero(column) for column in self.columns]
+        self.floats = self.columns.astype(np.float64)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """The most that any candidate here can score, for every query."""
-        n = min(queries.shape[1], len(self.low))
-        q = queries[:, :n]
-        return np.maximum(q, 0) @ np.maximum(self.high[:n], 0) + np.maximum(-q, 0) @ np.maximum(-self.low[:n], 0)
-
-    def search(self, query_id: int, query: np.ndarray, k: int, floor: int = NO_FLOOR) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) that may be among the query's k best; ``floor``: a k-th score already reached."""
-        terms = np.flatnonzero(query)
-        terms = terms[terms < len(self.low)]
-        bound = np.maximum(0, np.maximum(query[terms] * self.low[terms], query[terms] * self.high[terms]))
-        order = np.argsort(bound, kind="stable")
-        terms, bound = terms[order], bound[order]
-        below = np.cumsum(bound)
-        # non-essential: the longest run of smallest bounds that cannot reach the floor together
-        split = 0 if floor <= 0 else int(np.searchsorted(below, floor, "left"))
-        essential, others = terms[split:], terms[:split]
-        score = np.zeros(len(self.ids), np.int64)
-        seen = np.full(len(self.ids), split == 0)  # without a floor every candidate counts
-        for t in essential:
-            at = self.postings[t]
-            score[at] += query[t] * self.columns[t][at]
-            seen[at] = True
-        touched = np.flatnonzero(seen)
-        rest = int(below[split - 1]) if split else 0
-        for t, b in zip(others[::-1], bound[:split][::-1]):
-            touched = touched[score[touched] + rest >= floor]  # still competitive
-            if not len(touched):
-                break
-            score[touched] += query[t] * self.columns[t][touched]
-            rest -= int(b)
-        touched = touched[(self.ids[touched] != query_id) & (score[touched] >= floor)]
-        found, score = self.ids[touched], score[touched]
-        if len(score) > k:
-            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-            found, score = found[keep], score[keep]
-        order = np.lexsort((found, -score))[:k]
-        return found[order], score[order]
+        """The most that a term can add to the score of any candidate here, for every query and term."""
+        return np.maximum(0, np.maximum(queries * self.low, queries * self.high))
+
+    def essential(self, queries: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(queries with essential terms only, order of the terms by bound, number of non-essential ones, what these can add at most).
+
+        Non-essential terms are the longest run of smallest bounds that cannot reach the floor together."""
+        bound = self.bounds(queries)
+        order = np.argsort(bound, axis=1, kind="stable")
+        below = np.cumsum(np.take_along_axis(bound, order, 1), axis=1)
+        split = np.where(floors > 0, (below < floors[:, None]).sum(1), 0)
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(order.shape[1])[None], 1)
+        rest = np.where(split > 0, np.take_along_axis(below, np.maximum(split - 1, 0)[:, None], 1)[:, 0], 0) if below.shape[1] else np.zeros(len(queries), np.int64)
+        return np.where(rank < split[:, None], 0, queries), order, split, rest
+
+    def traverse(self, essential: np.ndarray) -> np.ndarray:
+        """Scores of all candidates by the essential terms of every query."""
+        if (np.abs(essential).sum(1).max(initial=0) * max(int(abs(self.columns).max(initial=0)), 1)) < 1 << 53:
+            return (essential.astype(np.float64) @ self.floats).astype(np.int64)
+        return essential @ self.columns
 
 
 def blocks_of(ids: np.ndarray, dense: np.ndarray, rows: int = BLOCK_ROWS) -> list[Block]:
@@ -121,23 +105,47 @@ def blocks_of(ids: np.ndarray, dense: np.ndarray, rows: int = BLOCK_ROWS) -> lis
     return [Block(ids[order[i : i + rows]], dense[order[i : i + rows]]) for i in range(0, len(ids), rows)]
 
 
+def _widened(queries: np.ndarray, width: int) -> np.ndarray:
+    """The terms that candidates of ``width`` components can have."""
+    return queries[:, :width] if queries.shape[1] >= width else np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
+
+
 def best_of(blocks: list[Block], q_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
     """(query_id, vec_id, score of up to k best candidates of each query that reach its floor, raised floors)."""
-    most = [b.bounds(queries) for b in blocks]
-    raised, out = floors.copy(), []
-    for i, q in enumerate(queries):
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b, bound in zip(blocks, most):
-            if bound[i] < raised[i]:
+    raised = floors.copy()
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q_ids]
+    for block in blocks:
+        q = _widened(queries, len(block.low))
+        live = np.flatnonzero(block.bounds(q).sum(1) >= raised)
+        if not len(live):
+            continue
+        essential, order, split, rest = block.essential(q[live], raised[live])
+        scores = block.traverse(essential)
+        open_ = scores + rest[:, None] >= raised[live][:, None]
+        for j, i in enumerate(live):
+            touched, floor, left = np.flatnonzero(open_[j]), raised[i], int(rest[j])
+            score = scores[j, touched]
+            for t in order[j, : split[j]][::-1]:  # probes while a candidate can still compete
+                keep = score + left >= floor
+                touched, score = touched[keep], score[keep]
+                if not len(touched):
+                    break
+                value = q[i, t]
+                left -= max(0, int(value * block.low[t]), int(value * block.high[t]))
+                score = score + value * block.columns[t, touched]
+            keep = (block.ids[touched] != q_ids[i]) & (score >= floor)
+            if not keep.any():
                 continue
-            found, score = b.search(int(q_ids[i]), q, k, int(raised[i]))
-            ids, scores = np.concatenate([ids, found]), np.concatenate([scores, score])
-            order = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[order], scores[order]
-            if len(scores) == k:
-                raised[i] = max(raised[i], scores[-1])
-        out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids, "score": scores}))
-    return (pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)), raised
+            ids, score = np.concatenate([held[i][0], block.ids[touched[keep]]]), np.concatenate([held[i][1], score[keep]])
+            if len(score) > k:
+                best = score >= np.partition(score, len(score) - k)[len(score) - k]
+                ids, score = ids[best], score[best]
+            at = np.lexsort((ids, -score))[:k]
+            held[i] = ids[at], score[at]
+            if len(at) == k:
+                raised[i] = max(raised[i], held[i][1][-1])
+    rows = {"query_id": np.repeat(q_ids, [len(x) for x, _ in held]), "vec_id": np.concatenate([x for x, _ in held] or [[]]), "score": np.concatenate([x for _, x in held] or [[]])}
+    return pd.DataFrame(rows).astype(np.int64), raised
 
 
 def _unpacked(ids: bytes, values: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
