@@ -69,3 +69,34 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:])] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.doc: r.comp for r in components(links).collect()}
     assert got == {i: 0 for i in range(n)} | {100: 100, 101: 100}
+
+
+def test_hot_shingles_hubs_and_tiles_are_split(spark, monkeypatch):
+    """Keys of more than two rows are split and tiles hold three sets: the links stay the same."""
+    from tremor.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(jj, "TILE_ROWS", 3)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    common_line = " ".join(f"c{i}" for i in range(5))
+    rows += [(100 + i, common_line + " " + " ".join(f"y{i}_{k}" for k in range(rng.randint(1, 9)))) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (0, 2):
+        monkeypatch.setattr(jj, "HUB_ROUNDS", rounds)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jj.component_rows(frame).collect()} == brute(rows)
+
+
+def test_split_join_keeps_every_row(spark):
+    from tremor.llm.common import hot_keys, split_join
+
+    many = spark.createDataFrame([(i % 3 if i < 30 else 7, i) for i in range(2000)], "k long, v long")
+    one = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c"), (9, "d")], "k long, name string")
+    hot = hot_keys(many.groupBy("k").count().withColumnRenamed("count", "n"), "k", 2000)
+    got = sorted((r.k, r.v, r.name) for r in split_join(many, one, "k", "v", hot).collect())
+    assert got == sorted((r.k, r.v, r.name) for r in many.join(one, "k").collect()) and [r["__hot"] for r in hot.collect()] == [7]

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was measured to be at most this large.
 BROADCAST_BYTES = 16 << 20
+#: Keys with more than this share of all rows are split; there are fewer of them than its inverse, which bounds their table.
+HOT_KEYS = 1 << 16
+#: No key of fewer rows is split.
+HOT_ROWS = 256
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -53,6 +57,22 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame:
+    """key, parts of the keys that are split into parts; ``counts`` holds key and n, ``total`` is the sum of n.
+
+    Such a key has more than total / HOT_KEYS rows, so there are fewer than HOT_KEYS (some 1 MB to broadcast) at any size."""
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    return F.broadcast(counts.where(F.col("n") > limit).select(F.col(key).alias("__hot"), F.ceil(F.col("n") / limit).cast("int").alias("__parts")))
+
+
+def split_join(many: DataFrame, one: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
+    """``many`` joined with ``one``, which has one row a key; rows of a hot key are dealt to its parts by column ``by``, and its row of ``one`` goes to each."""
+    parts = F.coalesce("__parts", F.lit(1))
+    left = many.join(hot, many[key] == hot["__hot"], "left").withColumn("__part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__hot", "__parts")
+    right = one.join(hot, one[key] == hot["__hot"], "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__hot", "__parts")
+    return left.join(right, [key, "__part"]).drop("__part")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

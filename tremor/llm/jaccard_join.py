@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.llm import textbytes as tb
-from tremor.llm.common import broadcast_if_small, once_each, rows_of, settle, text_key, text_or_empty
+from tremor.llm.common import broadcast_if_small, discard, hot_keys, once_each, rows_of, settle, split_join, text_key, text_or_empty
 from tremor.llm.components import components
 from tremor.llm.dealing import DEAL_BYTES, buckets, by_bucket, pack_by
 
@@ -40,6 +40,8 @@ BITMAP_WORDS = 16
 #: Ratio of neighbouring size bands; above 1.25, so that rounding cannot part sizes that may match.
 BAND = 1.26
 HUB_ROUNDS = 2
+#: Sets of one tile that are compared in one place; larger tiles are split into blocks that meet two by two.
+TILE_ROWS = 512
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -174,7 +176,8 @@ def tiles(sets: DataFrame) -> DataFrame:
     Shingles of one set only come first in that order; they need no tile of their own."""
     tokens = sets.select("doc", "n", F.explode("hashes").alias("token"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = tokens.join(common, "token")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    shared = split_join(tokens, common, "token", "doc", hot_keys(common.withColumnRenamed("df", "n"), "token", total))
     of_doc = Window.partitionBy("doc")
     alone = F.col("n") - F.count(F.lit(1)).over(of_doc)
     reach = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100 - 1e-9).cast("long") + 1
@@ -197,8 +200,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets are similar enough; bitmaps first, then exact intersections."""
     left = sets.select(F.col("doc").alias("a"), F.col("n").alias("an"), F.col("bits").alias("ab"))
     right = sets.select(F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bb"))
-    possible = pairs.join(left, "a").join(right, "b").where(_same_band(F.col("an"), F.col("bn")) & _bits_allow(F.col("ab"), F.col("bb"), F.col("an"), F.col("bn"))).select("a", "b", "an", "bn")
-    full = possible.join(sets.select(F.col("doc").alias("a"), F.col("hashes").alias("ah")), "a").join(sets.select(F.col("doc").alias("b"), F.col("hashes").alias("bh")), "b")
+    total = pairs.count()
+    hot = {x: hot_keys(pairs.groupBy(x).agg(F.count(F.lit(1)).alias("n")), x, total) for x in "ab"}
+
+    def both(some: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+        return split_join(split_join(some, a, "a", "b", hot["a"]), b, "b", "a", hot["b"])
+
+    possible = both(pairs, left, right).where(_same_band(F.col("an"), F.col("bn")) & _bits_allow(F.col("ab"), F.col("bb"), F.col("an"), F.col("bn"))).select("a", "b", "an", "bn")
+    full = both(possible, sets.select(F.col("doc").alias("a"), F.col("hashes").alias("ah")), sets.select(F.col("doc").alias("b"), F.col("hashes").alias("bh")))
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,25 +219,32 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "an", "bn", "ah", "bh").mapInArrow(intersect, "a long, b long")
 
 
-def _hub_pairs(listed: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each set with hubs of its tiles: the best one, and the best one outside that one's component."""
+def _hub_pairs(listed: DataFrame, hot: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each set with hubs of its tiles: the best one, and the best one outside that one's component; ``hot``: the tiles to split."""
     rank = F.struct("alone", F.xxhash64("doc", F.lit(turn)), "doc", "comp")
     best = listed.groupBy("token").agg(F.min(rank).alias("hub"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
-    near = listed.join(best, "token")
+    near = split_join(listed, best, "token", "doc", hot)
     other = near.where(F.col("comp") != F.col("hub.comp")).groupBy("token").agg(F.min(rank).alias("second"))
     one = near.where(F.col("comp") != F.col("hub.comp")).select(F.col("doc").alias("a"), F.col("hub.doc").alias("b"))
-    two = near.where(F.col("comp") == F.col("hub.comp")).join(other, "token").select(F.col("doc").alias("a"), F.col("second.doc").alias("b"))
-    pairs = one if turn == 0 else one.union(two)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    two = near.where(F.col("comp") == F.col("hub.comp")).select("token", "doc")
+    two = split_join(two, other, "token", "doc", hot).select(F.col("doc").alias("a"), F.col("second.doc").alias("b"))
+    return (one if turn == 0 else one.union(two)).distinct()
+
 
+def _cross_pairs(listed: DataFrame, hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every pair of one tile that lies in different components and that sizes and bitmaps allow.
 
-def _cross_pairs(listed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Every pair of one tile that lies in different components and that sizes and bitmaps allow."""
-    open_ = listed.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("token")
-    rest = settle(listed.join(open_, "token", "left_semi").join(sets.select("doc", "bits"), "doc").select("token", "doc", "n", "comp", "bits"), "open")
-    a, b = rest.alias("a"), rest.alias("b")
+    A tile of more than TILE_ROWS sets is split into blocks; a set goes to every pair of blocks with its own, so that one
+    place compares two blocks at most."""
+    open_ = listed.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("blocks")).where("least <> most").select("token", "blocks")
+    rows = settle(split_join(listed, open_, "token", "doc", hot).join(sets.select("doc", "bits"), "doc").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int")), "open")
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "doc", "n", "comp", "bits")
+    a, b = dealt.alias("a"), dealt.alias("b")
     allowed = (
         (F.col("a.token") == F.col("b.token"))
+        & (F.col("a.one") == F.col("b.one"))
+        & (F.col("a.two") == F.col("b.two"))
+        & ((F.col("a.one") == F.col("a.two")) | (F.col("a.block") != F.col("b.block")))
         & (F.col("a.doc") < F.col("b.doc"))
         & (F.col("a.comp") != F.col("b.comp"))
         & _same_band(F.col("a.n"), F.col("b.n"))
@@ -243,10 +259,12 @@ def links_and_components(sets: DataFrame) -> DataFrame:
     listed = settle(tiles(sets), "tiles")
     links = spark.createDataFrame([], "a long, b long")
     found = spark.createDataFrame([], "doc long, comp long")
+    hot = hot_keys(listed.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token", listed.count())
     for turn in range(HUB_ROUNDS + 1):
         placed = listed.join(found, "doc", "left").select("token", "doc", "n", "alone", F.coalesce("comp", "doc").alias("comp"))
-        pairs = _hub_pairs(placed, turn) if turn < HUB_ROUNDS else _cross_pairs(placed, sets)
+        pairs = settle(_hub_pairs(placed, hot, turn) if turn < HUB_ROUNDS else _cross_pairs(placed, hot, sets), "pairs")
         new = settle(verified(pairs, sets), "links")
+        discard(pairs)
         if new.limit(1).count():
             links = links.union(new)
             found = components(links)
