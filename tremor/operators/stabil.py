@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tremor.functions.modal import mac, mean_phase, mpc, mpd, relative
 
-#: Poles of one setup above which clustering is refused: its distance matrix lives in one task.
+#: Poles of one setup up to which its distances are kept; beyond, they are worked out again where needed, with the same clusters.
 MAX_CLUSTERED = 5000
 
 
@@ -126,6 +128,35 @@ def average_linkage(d: np.ndarray, cut: float) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
+def average_linkage_of(rows: Callable[[np.ndarray], np.ndarray], n: int, cut: float) -> np.ndarray:
+    """As ``average_linkage``, without a matrix: ``rows(members)`` gives the distances of some members to all n."""
+    owner, size, label = np.arange(n), np.ones(n), np.arange(n)
+    alive, merges, chain = np.ones(n, bool), [], []
+    while alive.sum() > 1:
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        a = chain[-1]
+        members = np.flatnonzero(owner == a)
+        total = sum(rows(members[i : i + 256]).sum(axis=0) for i in range(0, len(members), 256))
+        d = np.where(alive, np.bincount(owner, weights=total, minlength=n) / (size[a] * size), np.inf)
+        d[a] = np.inf
+        b = int(np.argmin(d))
+        if len(chain) > 1 and d[chain[-2]] <= d[b]:
+            b = chain[-2]
+        if b not in chain:
+            chain.append(b)
+            continue
+        chain = chain[: chain.index(b)]  # the one before, or an equal one further back
+        merges.append((d[b], a, b))
+        owner[owner == b] = a
+        size[a] += size[b]
+        alive[b] = False
+    for height, a, b in sorted(merges, key=lambda m: m[0]):
+        if height <= cut:
+            label[label == label[b]] = label[a]
+    return np.unique(label, return_inverse=True)[1]
+
+
 def clusters(poles: DataFrame, cleared: DataFrame, cut: float | None = None) -> DataFrame:
     """setup, ord, idx, f, d, cluster of the cleared poles; distance is that of eigenvalues plus 1 - MAC.
 
@@ -133,16 +164,20 @@ def clusters(poles: DataFrame, cleared: DataFrame, cut: float | None = None) ->
     far = F.percentile(F.col("d_lambda") + F.col("d_mac"), F.lit(0.95)) if cut is None else F.lit(float(cut))
     cuts = cleared.groupBy("setup").agg(far.alias("cut"))
     chosen = poles.join(cleared.select("setup", "ord", "idx"), ["setup", "ord", "idx"]).join(F.broadcast(cuts), "setup")
-    if (chosen.groupBy("setup").count().agg(F.max("count")).first()[0] or 0) > MAX_CLUSTERED:
-        raise ValueError(f"more than {MAX_CLUSTERED} poles in one setup")
+    most = MAX_CLUSTERED
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ord", "idx"]).reset_index(drop=True)
         lam = pdf["lam_re"].to_numpy() + 1j * pdf["lam_im"].to_numpy()
         phi = np.vstack(pdf["phi_re"]) + 1j * np.vstack(pdf["phi_im"])
         phi = phi / np.linalg.norm(phi, axis=1, keepdims=True)
-        far = abs(lam[:, None] - lam) / np.maximum(abs(lam)[:, None], abs(lam)) + 1 - abs(phi @ phi.conj().T) ** 2
-        return pdf.assign(cluster=average_linkage(far, float(pdf["cut"].iloc[0])).astype("int32"))[["setup", "ord", "idx", "f", "d", "cluster"]]
+
+        def far(m: np.ndarray) -> np.ndarray:
+            return abs(lam[m, None] - lam) / np.maximum(abs(lam[m])[:, None], abs(lam)) + 1 - abs(phi[m] @ phi.conj().T) ** 2
+
+        cut = float(pdf["cut"].iloc[0])
+        found = average_linkage(far(np.arange(len(pdf))), cut) if len(pdf) <= most else average_linkage_of(far, len(pdf), cut)
+        return pdf.assign(cluster=found.astype("int32"))[["setup", "ord", "idx", "f", "d", "cluster"]]
 
     return chosen.groupBy("setup").applyInPandas(run, "setup string, ord int, idx int, f double, d double, cluster int")
 
