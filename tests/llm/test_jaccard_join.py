@@ -100,3 +100,10 @@ def test_split_join_keeps_every_row(spark):
     hot = hot_keys(many.groupBy("k").count().withColumnRenamed("count", "n"), "k", 2000)
     got = sorted((r.k, r.v, r.name) for r in split_join(many, one, "k", "v", hot).collect())
     assert got == sorted((r.k, r.v, r.name) for r in many.join(one, "k").collect()) and [r["__hot"] for r in hot.collect()] == [7]
+
+
+def test_first_text_of_a_repeated_id_is_compared(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    for other, component in (("x " * 9, 1), ("b " * 9, 5)):  # after and before the near copy in byte order
+        docs = spark.createDataFrame([(1, near), (5, near + " more"), (5, other)], "doc_id long, text string")
+        assert {(r["doc_id"], r["component_id"]) for r in jj.component_rows(docs).collect()} == {(1, 1), (5, component)}

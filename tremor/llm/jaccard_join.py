@@ -14,8 +14,8 @@
    that still lie in different components are taken from the tiles, all of them.
 
 Defined results: null or empty texts have an empty set and link with nothing; a shorter text is one
-shingle; repeated rows are copies, and one of them stays; of several texts of one doc_id, one is compared in
-its name; a row with a null doc_id belongs to the component of its copies, else to none of its own; extra
+shingle; repeated rows are copies, and one of them stays; of several texts of one doc_id, the first in byte
+order is compared in its name; a row with a null doc_id belongs to the component of its copies, else to none of its own; extra
 columns are ignored.
 """
 
@@ -277,7 +277,7 @@ def _placed(docs: DataFrame, size: int) -> DataFrame:
     classes = settle(rows.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     shared = settle(classes.join(shared_classes(texts, size), "one", "left_semi").select("rep"), "shared")
     wanted = broadcast_if_small(shared, 16)
-    sets = settle(set_rows(texts.join(wanted, texts["doc_id"] == wanted["rep"], "left_semi").dropDuplicates(["doc_id"]), size), "sets")
+    sets = settle(set_rows(texts.join(wanted, texts["doc_id"] == wanted["rep"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), size), "sets")
     found = links_and_components(sets)
     of_class = classes.join(found, classes["rep"] == found["doc"], "left").select("one", "two", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
     joined = rows.join(of_class, ["one", "two", "n_shingles"], "left")
