@@ -120,3 +120,8 @@ def test_written_files(spark, docs, tmp_path):
 
 def test_empty(empty):
     assert kk.pack(empty).count() == 0 and bo.packed_rows(empty).count() == 0
+
+
+def test_ids_that_do_not_fit_are_refused():
+    with pytest.raises(ValueError):
+        WordIds(default_tokenizer(), "<u1")

@@ -86,6 +86,8 @@ SCHEMA = "sequence_id long, ids binary, n_tokens int, cu_seqlens array<int>, pos
 
 def packed_rows(docs: DataFrame, tokenizer: str | None = None, row: int = ROW, end_id: int = END_ID, pad_id: int = PAD_ID) -> DataFrame:
     """One row per packed sequence; ids and position_ids are little-endian uint16 of ``row`` entries."""
+    if row > 1 << 16:
+        raise ValueError("positions of a row are 16-bit numbers")
     path = tokenizer or default_tokenizer()
 
     def emit(pieces: list[tuple], first: int) -> pa.RecordBatch:

@@ -31,6 +31,8 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.dtype = np.dtype(dtype)
+        if self.tokenizer.get_vocab_size() - 1 > np.iinfo(self.dtype).max:
+            raise ValueError(f"{self.tokenizer.get_vocab_size()} ids do not fit {self.dtype}")
         self.cache: dict[bytes, bytes] = {EMPTY: EMPTY}
 
     @classmethod
