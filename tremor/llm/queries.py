@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm import bfd_output, exact_dedup, html_blocks, importance, jaccard_join, kk_packing, license_scan, maxscore, mixing, repeated_spans
+from tremor.llm import bfd_output, bpe, conversation_trie, exact_dedup, hard_negatives, html_blocks, importance, jaccard_join, kk_packing, license_scan, maxscore, mixing, repeated_spans
 from tremor.llm.common import documents
 
 
@@ -52,8 +52,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.component_rows(documents(spark, sf_dir))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.round_trip(documents(spark, sf_dir)))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.mining_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixture, op2_main_text, op3_exact_dedup, op4_importance, op5_maxscore, op6_kk_packing, op7_repeated_spans, op8_bfd_output, op9_license_scan, op10_jaccard_join)
+    f.__name__: f for f in (op1_mixture, op2_main_text, op3_exact_dedup, op4_importance, op5_maxscore, op6_kk_packing, op7_repeated_spans, op8_bfd_output, op9_license_scan, op10_jaccard_join, op11_bpe, op12_trie, op13_hard_negatives)
 }
 
 OP3_SQL = r"""
@@ -122,9 +136,50 @@ r AS (
 SELECT n.doc_id, n.n AS n_shingles, min(r.comp) AS component_id FROM n JOIN r USING (doc_id) GROUP BY ALL
 """
 
+# The remainder of a conv_id's CRC-32 (of its decimal digits) is worked out bit by bit.
+OP12_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS own FROM t GROUP BY conv_id),
+h AS (
+  SELECT *, conv_id - conv_id % 5 AS first_id,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ord(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+             lambda a, x: CASE WHEN xor(a, x) % 2 = 1 THEN xor(xor(a, x) // 2, 3988292384::BIGINT) ELSE xor(a, x) // 2 END), 4294967295::BIGINT) % 9 AS h
+  FROM c),
+r AS (SELECT a.conv_id, list_concat(coalesce(b.own, [])[1:a.h], a.own[a.h + 1:]) AS path FROM h a LEFT JOIN c b ON b.conv_id = a.first_id),
+p AS (SELECT conv_id, path, unnest(range(len(path) + 1)) AS depth FROM r),
+m AS (SELECT conv_id, depth, path[1:depth] AS node, depth = len(path) AS ended FROM p),
+n AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * strlen(node[depth].text) END AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+  FROM m GROUP BY node, depth),
+k AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+l AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)),
+u AS (SELECT node[1:d] AS node, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(depth + 1)) AS d FROM l) GROUP BY ALL)
+SELECT l.conv_id, l.depth, q.conv_id AS parent_conv_id, l.n_convs, l.n_children, u.n_leaves, u.saved_tokens, l.ends_sha256
+FROM l JOIN u USING (node) LEFT JOIN n q ON l.depth > 0 AND q.node = l.node[1:l.depth - 1]
+"""
+
+OP13_SQL = """
+WITH x AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         list_sum(list_transform(range(1, least(len(a.v), len(c.v)) + 1), lambda i: a.v[i] * c.v[i]))::BIGINT AS score
+  FROM x a JOIN x c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+QUALIFY rank <= 3
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op5_maxscore": OP5_SQL,
     "op9_license_scan": _op9_sql(),
     "op10_jaccard_join": OP10_SQL,
+    "op12_trie": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
