@@ -105,35 +105,6 @@ def correlations(y, lags):
     return np.stack([y[lag:].T @ y[: len(y) - lag] / (len(y) - lag) for lag in range(lags)], 2)
 
 
-def test_prediction_and_modal_parts(spark):
-    y = ambient(4000, 3)
-    r = correlations(y, 40)
-    a, c, k = subspace.innovation_model(r, range(4), 15, 6)
-    assert abs(np.linalg.eigvals(a - k @ c)).max() < 1
-    wrong = (y - subspace.predicted(y, a, c, k) @ c.T)[500:]
-    assert (wrong**2).mean() < 0.5 * (y**2).mean()
-    signals = spark.createDataFrame([("s", n, ch, float(y[n, ch])) for n in range(2000) for ch in range(4)], "setup string, n int, channel int, y double")
-    parts = subspace.modal_signals(signals, frame(spark, r), RATE, 15, 6, chunk=700, warm_up=400).cache()
-    flat = parts.toPandas()
-    whole = flat.groupby(["n", "channel"])["y"].sum().unstack().to_numpy()
-    assert whole.shape == (2000, 4) and np.allclose(whole, (subspace.predicted(y[:2000], a, c, k) @ c.T), atol=1e-6)
-    assert all(abs(flat["f"].unique() - f).min() < 0.03 * f for f in F)
-    mc = subspace.signal_contributions(signals, parts).toPandas()
-    assert 0.5 < mc["mc"].sum() < 1.2 and len(mc) == 3
-
-
-def test_cross_validation_prefers_enough_states(spark):
-    y = ambient(3000, 4)
-    rows = []
-    for b in range(3):
-        r = correlations(y[1000 * b : 1000 * b + 1000], 32)
-        rows += [("s", b, c, k, lag, float(r[c, k, lag])) for c in range(4) for k in range(4) for lag in range(32)]
-    signals = spark.createDataFrame([("s", n, ch, float(y[n, ch])) for n in range(3000) for ch in range(4)], "setup string, n int, channel int, y double")
-    got = subspace.cross_validated(signals, spark.createDataFrame(rows, "setup string, block int, channel int, ref int, lag int, r double"), 12, [2, 6], 1000).toPandas()
-    error = got.groupby("ord")["error"].mean()
-    assert len(got) == 6 and error[6] < error[2] < 1.05
-
-
 def test_synthesis_meets_the_correlations(spark):
     corr = frame(spark, free_decay(60))
     poles = identify.ssi_cov_poles(corr, RATE, 20, range(6, 7))
@@ -149,3 +120,10 @@ def test_residues_fit_the_spectra(spark):
         row = got.iloc[(got["f"] - f).abs().argmin()]
         phi = np.array(row["phi_re"]) + 1j * np.array(row["phi_im"])
         assert abs(row["f"] - f) < 5e-3 * f and abs(phi.conj() @ shape) ** 2 > 0.98 * (abs(phi) ** 2).sum() * (shape**2).sum()
+
+
+def test_setup_names_may_hold_any_character(spark):
+    corr = frame(spark, free_decay(60), "a#b|1")
+    synthetic = subspace.synthetic_correlations(corr, identify.ssi_cov_poles(corr, RATE, 20, range(6, 7)), 6)
+    found = subspace.synthetic_spectra(synthetic, 60).select("setup", "idx").distinct().toPandas()
+    assert set(found["setup"]) == {"a#b|1"} and sorted(found["idx"]) == [0, 1, 2]

@@ -5,15 +5,17 @@ find; a group works on the small matrices of one setup."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremor.operators import factors, kalman
 from tremor.operators.identify import POLES, gathered, modal, one_of_pairs, tensor
-from tremor.operators.spectral import over_blocks
+from tremor.operators.spectral import half_spectra, over_blocks
+from tremor.scratch import written
 
 
 def observability(r: np.ndarray, rows: int, cols: int, first: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,8 +64,10 @@ def ql(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- uncertainty -----------------------------------------------------------------------------------
 
 
-def sensitivities(h: np.ndarray, change: np.ndarray, factors: tuple, channels: int, order: int, rate: float) -> list[tuple]:
-    """(f, d, lambda, shape, df, dd, dshape) of every mode: first-order changes when the Hankel matrix changes by ``change``."""
+def sensitivities(h: np.ndarray, change: np.ndarray, factors: tuple, channels: int, order: int, rate: float, how: str = "pinv") -> list[tuple]:
+    """(f, d, lambda, shape, df, dd, dshape) of every mode: first-order changes when the subspace matrix changes by ``change``.
+
+    ``how``: the shift equation is solved by pseudo-inverse or by QR."""
     u, s, vt = factors
     n = order
     un, sn, vn = u[:, :n], s[:n], vt[:n].T
@@ -76,9 +80,14 @@ def sensitivities(h: np.ndarray, change: np.ndarray, factors: tuple, channels: i
     root = np.sqrt(sn)
     o, do = un * root, du * root + un * (np.diag(p)[:n] / (2 * root))
     up, down = o[:-channels], o[channels:]
-    inverse = np.linalg.pinv(up)
-    a = inverse @ down
-    da = inverse @ (do[channels:] - do[:-channels] @ a) + inverse @ (inverse.T @ (do[:-channels].T @ (down - up @ a)))
+    a = transition(o, channels, how)
+    moving, bent = do[channels:] - do[:-channels] @ a, do[:-channels].T @ (down - up @ a)
+    if how == "qr":
+        q, tri = np.linalg.qr(up)
+        da = np.linalg.solve(tri, q.T @ moving + np.linalg.solve(tri.T, bent))
+    else:
+        inverse = np.linalg.pinv(up)
+        da = inverse @ moving + inverse @ (inverse.T @ bent)
     lam, right = np.linalg.eig(a)
     left = np.linalg.inv(right)
     moved = left @ da @ right
@@ -97,35 +106,40 @@ def sensitivities(h: np.ndarray, change: np.ndarray, factors: tuple, channels: i
     return sorted(out, key=lambda v: (v[0], v[1]))
 
 
-def uncertain_poles(covariances: DataFrame, rate: float, cols: int, orders: range) -> DataFrame:
-    """Poles with std_f, std_d, std_phi from block covariances (setup, block, channel, ref, lag from 1 on, r).
+MATRIX = "channels array<int>, size array<int>, h binary"
 
-    The mean over the blocks is decomposed once per setup; every block is a group of its own, in which its distance from
-    the mean is carried to first order to all modes; the squares are summed by Spark."""
-    mean = gathered(over_blocks(covariances).select("setup", "channel", "ref", "lag", "r"))
 
-    def factor(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = tensor(pdf)
-        u, s, vt = observability(r, cols, cols, 0)
-        return pd.DataFrame({"setup": [pdf["setup"].iloc[0]], "channels": [r.shape[0]], "width": [len(s)], "u": [u.tobytes()], "s": [s.tobytes()], "vt": [vt.tobytes()]})
+def _matrix_row(channels: Sequence[int], h: np.ndarray) -> dict:
+    return {"channels": [list(channels)], "size": [list(h.shape)], "h": [np.ascontiguousarray(h).tobytes()]}
 
-    factors = mean.groupBy("setup").applyInPandas(factor, "setup string, channels int, width int, u binary, s binary, vt binary")
-    own = covariances.groupBy("setup", "block", "channel", "ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "r"))), lambda x: x["r"]).alias("r"))
 
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        s = np.frombuffer(row["s"])
-        factors = np.frombuffer(row["u"]).reshape(-1, len(s)), s, np.frombuffer(row["vt"]).reshape(len(s), -1)
-        whole = (factors[0] * s) @ factors[2]
-        change = hankel(tensor(pdf), cols, cols, 0) - whole
-        rows = []
-        for order in orders:
-            for i, (f, d, lam, phi, df, dd, dphi) in enumerate(sensitivities(whole, change, factors, int(row["channels"]), order, rate)):
-                rows.append((row["setup"], order, i, f, d, lam.real, lam.imag, phi.real.tolist(), phi.imag.tolist(), df**2, dd**2, (abs(dphi) ** 2).tolist()))
-        return pd.DataFrame(rows, columns=["setup", "ord", "idx", "f", "d", "lam_re", "lam_im", "phi_re", "phi_im", "df", "dd", "dphi"])
+def _carried(blocks: DataFrame, means: DataFrame, rate: float, orders: Sequence[int], how: str) -> DataFrame:
+    """Poles of ``means`` (setup, channels, size, h) with std_f, std_d, std_phi from ``blocks`` (setup, block, channels, size, h).
+
+    A mean is decomposed once and meets every block's one row; a block is carried to first order to all modes; squares are summed by Spark."""
+
+    def factor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                u, s, vt = np.linalg.svd(np.frombuffer(row.h).reshape(*row.size), full_matrices=False)
+                yield pd.DataFrame({"setup": [row.setup], "u": [u.tobytes()], "s": [s.tobytes()], "vt": [vt.tobytes()]})
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                s = np.frombuffer(row.s)
+                factors = np.frombuffer(row.u).reshape(-1, len(s)), s, np.frombuffer(row.vt).reshape(len(s), -1)
+                whole = (factors[0] * s) @ factors[2]
+                change = np.frombuffer(row.h).reshape(*row.size) - whole
+                at, rows = np.argsort(row.channels), []
+                for order in orders:
+                    for i, (f, d, lam, phi, df, dd, dphi) in enumerate(sensitivities(whole, change, factors, len(row.channels), order, rate, how)):
+                        phi, dphi = phi[at], dphi[at]
+                        rows.append((row.setup, order, i, f, d, lam.real, lam.imag, phi.real.tolist(), phi.imag.tolist(), df**2, dd**2, (abs(dphi) ** 2).tolist()))
+                yield pd.DataFrame(rows, columns=["setup", "ord", "idx", "f", "d", "lam_re", "lam_im", "phi_re", "phi_im", "df", "dd", "dphi"])
 
     kinds = POLES.replace("method string, ", "") + ", df double, dd double, dphi array<double>"
-    found = own.join(factors, "setup").groupBy("setup", "block").applyInPandas(carry, kinds)
+    found = blocks.join(means.mapInPandas(factor, "setup string, u binary, s binary, vt binary"), "setup").mapInPandas(carry, kinds)
     n = F.count(F.lit(1))
     norm = n * (n - 1)
     kept = [F.first(c).alias(c) for c in ("f", "d", "lam_re", "lam_im", "phi_re", "phi_im")]
@@ -135,6 +149,35 @@ def uncertain_poles(covariances: DataFrame, rate: float, cols: int, orders: rang
     return sums.join(flat, ["setup", "ord", "idx"]).select(*(c for c in sums.columns if c != "norm"), F.lit("ssi-var").alias("method"), F.transform("v", lambda v: F.sqrt(v / F.col("norm"))).alias("std_phi"))
 
 
+def uncertain_poles(covariances: DataFrame, rate: float, cols: int, orders: range, how: str = "pinv") -> DataFrame:
+    """Poles with std_f, std_d, std_phi from block covariances (setup, block, channel, ref, lag from 1 on, r)."""
+
+    def matrix(r: DataFrame, keys: list[str]) -> DataFrame:
+        def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({k: [v] for k, v in zip(keys, key)} | _matrix_row(sorted(pdf["channel"].unique()), hankel(tensor(pdf), cols, cols, 0)))
+
+        kinds = dict(r.dtypes)
+        return r.groupBy(*keys).applyInPandas(build, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {MATRIX}")
+
+    mean = gathered(over_blocks(covariances).select("setup", "channel", "ref", "lag", "r"))
+    own = covariances.groupBy("setup", "block", "channel", "ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "r"))), lambda x: x["r"]).alias("r"))
+    return _carried(matrix(own, ["setup", "block"]), matrix(mean, ["setup"]), rate, orders, how)
+
+
+def uncertain_poles_of_projections(signals: DataFrame, refs: Sequence[int], rate: float, rows: int, orders: range, length: int, chunk: int = 8192, how: str = "pinv") -> DataFrame:
+    """The same from projections of the future onto the past of every block of ``length`` samples (factor tree, see ``factors``)."""
+    leaves = written(factors.merged(factors.block_factors(signals, refs, rows, length, chunk), ["setup", "block"], "part"), "leaves")
+    blocks = leaves.groupBy("setup").agg(F.count(F.lit(1)).alias("blocks"))
+    whole = written(factors.merged(leaves, ["setup"], "block").join(blocks, "setup"), "whole")
+
+    def mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                yield pd.DataFrame({"setup": [row.setup]} | _matrix_row(row.channels, factors.split(factors.unpacked(row), rows, row.nr)[1]))
+
+    return _carried(factors.projections(leaves, whole, rows).drop("nr"), whole.mapInPandas(mean, f"setup string, {MATRIX}"), rate, orders, how)
+
+
 # --- setups merged before identification -----------------------------------------------------------
 
 
@@ -210,77 +253,35 @@ def merged_poles(corr: DataFrame, dofs: DataFrame, rate: float, cols: int, order
 def innovation_model(r: np.ndarray, refs: Sequence[int], cols: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(A, C, K) of the one-step predictor x[k + 1] = A x[k] + K (y[k] - C x[k]) from correlations (channels, references, lags).
 
-    All channels have to be references.  The state covariance follows from iterating the Riccati equation of the innovation form."""
+    All channels have to be references.  The state covariance solves the Riccati equation of the innovation form; estimated
+    correlations need not belong to any process, and then ArithmeticError is raised (models from factors always do)."""
     if len(refs) != r.shape[0]:
         raise ValueError("prediction needs the correlations of all channels with all channels")
     nl = r.shape[0]
     u, s, vt = observability(r, cols, cols)
     root = np.sqrt(s[:order])
     o, ctr = u[:, :order] * root, root[:, None] * vt[:order]
-    a, c, g, r0 = transition(o, nl), o[:nl], ctr[:, :nl], r[:, :, 0]
-    p = np.zeros((order, order))
-    k = np.zeros((order, nl))
-    for _ in range(500):
-        inner = r0 - c @ p @ c.T
-        new = np.linalg.lstsq(inner.T, (g - a @ p @ c.T).T, rcond=None)[0].T
-        p_new = a @ p @ a.T + new @ inner @ new.T
-        if not np.isfinite(p_new).all() or abs(np.linalg.eigvals(a - new @ c)).max() >= 1:
-            break
-        done = np.allclose(new, k, rtol=1e-10, atol=1e-14)
-        p, k = p_new, new
-        if done:
-            break
-    return a, c, k
-
-
-def predicted(y: np.ndarray, a: np.ndarray, c: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """States x[0 .. n - 1] of the predictor, from 0 on."""
-    x, out, closed = np.zeros(len(a)), np.empty((len(y), len(a))), a - k @ c
-    for i, v in enumerate(y @ k.T):
-        out[i] = x
-        x = closed @ x + v
-    return out
-
-
-def _models(corr: DataFrame, cols: int, order: int) -> DataFrame:
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, c, k = innovation_model(tensor(pdf), sorted(pdf["ref"].unique()), cols, order)
-        return pd.DataFrame({"setup": [pdf["setup"].iloc[0]], "a": [a.ravel().tolist()], "c": [c.ravel().tolist()], "k": [k.ravel().tolist()]})
-
-    return gathered(corr).groupBy("setup").applyInPandas(fit, "setup string, a array<double>, c array<double>, k array<double>")
+    a, c, g = transition(o, nl), o[:nl], ctr[:, :nl]
+    return a, c, kalman.riccati(a, c, np.zeros((order, order)), r[:, :, 0], g)[1]
 
 
-def _of(row: pd.Series, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.array(row["a"]).reshape(order, order), np.array(row["c"]).reshape(-1, order), np.array(row["k"]).reshape(order, -1)
+def correlation_models(corr: DataFrame, keys: Sequence[str], cols: int, orders: Sequence[int]) -> DataFrame:
+    """keys, ord, channels, a, c, k of the innovation models of gathered correlations (keys, channel, ref, r array from lag 0 on).
 
+    a, c and k are null where the correlations of no process come close (see ``innovation_model``)."""
+    kinds = dict(corr.dtypes)
 
-def modal_signals(signals: DataFrame, corr: DataFrame, rate: float, cols: int, order: int, chunk: int = 1 << 14, warm_up: int = 1 << 10) -> DataFrame:
-    """setup, n, channel, idx, f, y: the part of every mode in the predicted signals.
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        r, out = tensor(pdf), []
+        for order in orders:
+            try:
+                model = [m.ravel().tolist() for m in innovation_model(r, range(r.shape[1]), cols, order)]
+            except ArithmeticError:
+                model = [None] * 3
+            out.append((*key, int(order), sorted(int(c) for c in pdf["channel"].unique()), *model))
+        return pd.DataFrame(out, columns=[*keys, "ord", "channels", "a", "c", "k"])
 
-    Chunks of samples are groups of their own; the predictor starts ``warm_up`` samples before its chunk."""
-    at = F.floor(F.col("n") / chunk).cast("int")
-    homes = F.when((F.col("n") + warm_up) / chunk >= at + 1, F.array(at, at + 1)).otherwise(F.array(at))
-    spread = signals.withColumn("chunk", F.explode(homes)).join(_models(corr, cols, order), "setup")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, c, k = _of(pdf.iloc[0], order)
-        wide = pdf.pivot(index="n", columns="channel", values="y").sort_index()
-        own = wide.index.to_numpy() // chunk == pdf["chunk"].iloc[0]
-        if not own.any():  # a chunk behind the last sample
-            return pd.DataFrame(columns=["setup", "n", "channel", "idx", "f", "y"])
-        lam, psi = np.linalg.eig(a)
-        states = predicted(wide.to_numpy(), a, c, k)[own] @ np.linalg.inv(psi).T
-        kept = sorted(one_of_pairs(lam), key=lambda i: abs(np.log(lam[i])))
-        out = []
-        for place, i in enumerate(kept):
-            part = 2 * np.outer(states[:, i], c @ psi[:, i]).real
-            n, ch = np.meshgrid(wide.index[own], wide.columns, indexing="ij")
-            out.append(pd.DataFrame({"n": n.ravel(), "channel": ch.ravel(), "idx": place, "f": rate * abs(np.log(lam[i])) / (2 * np.pi), "y": part.ravel()}))
-        res = pd.concat(out) if out else pd.DataFrame(columns=["n", "channel", "idx", "f", "y"])
-        res.insert(0, "setup", pdf["setup"].iloc[0])
-        return res
-
-    return spread.groupBy("setup", "chunk").applyInPandas(run, "setup string, n int, channel int, idx int, f double, y double")
+    return corr.groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ord int, channels array<int>, a array<double>, c array<double>, k array<double>")
 
 
 def signal_contributions(signals: DataFrame, parts: DataFrame) -> DataFrame:
@@ -291,28 +292,33 @@ def signal_contributions(signals: DataFrame, parts: DataFrame) -> DataFrame:
     return own.join(norms, ["setup", "channel"]).groupBy("setup", "idx").agg(F.first("f").alias("f"), F.avg(F.when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(0.0)).alias("mc"))
 
 
-def cross_validated(signals: DataFrame, covariances: DataFrame, cols: int, orders: Sequence[int], length: int) -> DataFrame:
-    """setup, fold, ord, error: one-step prediction error on each block by the model of all other blocks, over the block's deviation.
+def _by_fold(signals: DataFrame, orders: Sequence[int], length: int) -> DataFrame:
+    """setup, fold, ord, n (from 0 in every fold), channel, y."""
+    fold = F.floor(F.col("n") / length).cast("int").alias("fold")
+    return signals.select("setup", fold, F.explode(F.array(*map(F.lit, orders))).alias("ord"), (F.col("n") % length).cast("int").alias("n"), "channel", "y")
+
+
+def cross_validated(signals: DataFrame, covariances: DataFrame, cols: int, orders: Sequence[int], length: int, chunk: int = 1 << 14) -> DataFrame:
+    """setup, fold, ord, error: one-step prediction error on each block by the covariances of all other blocks, over the block's deviation.
 
     ``covariances``: setup, block, channel, ref, lag, r of blocks of ``length`` samples, lag 0 included, all channels as references.
-    A fifth of the block warms the predictor up."""
+    A fifth of the block warms the predictor up.  The error is null where the other blocks' covariances have no predictor."""
     others = Window.partitionBy("setup", "channel", "ref", "lag")
     n = F.count(F.lit(1)).over(others)
-    left = covariances.withColumn("r", (F.sum("r").over(others) - F.col("r")) / (n - 1))
-    tensors = left.groupBy("setup", "block", "channel", "ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "r"))), lambda x: x["r"]).alias("r"))
-    samples = signals.withColumn("block", F.floor(F.col("n") / length).cast("int")).groupBy("setup", "block", "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "y"))), lambda x: x["y"]).alias("y"))
+    left = covariances.withColumn("r", (F.sum("r").over(others) - F.col("r")) / (n - 1)).withColumnRenamed("block", "fold")
+    tensors = left.groupBy("setup", "fold", "channel", "ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "r"))), lambda x: x["r"]).alias("r"))
+    keys = ["setup", "fold", "ord"]
+    models = written(correlation_models(tensors, ["setup", "fold"], cols, orders), "models")
+    errors = kalman.prediction_errors(_by_fold(signals, orders, length), models.where("k IS NOT NULL"), keys, length // 5, chunk)
+    return models.select(*keys).join(errors, keys, "left")
 
-    def validate(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = tensor(pdf)
-        y = np.stack(pdf.drop_duplicates("channel").sort_values("channel")["y"].tolist()).T
-        rows, warm = [], len(y) // 5
-        for order in orders:
-            a, c, k = innovation_model(r, range(r.shape[1]), cols, order)
-            wrong = (y - predicted(y, a, c, k) @ c.T)[warm:]
-            rows.append((pdf["setup"].iloc[0], int(pdf["block"].iloc[0]), int(order), float(np.sqrt((wrong**2).mean() / (y[warm:] ** 2).mean()))))
-        return pd.DataFrame(rows, columns=["setup", "fold", "ord", "error"])
 
-    return tensors.join(samples, ["setup", "block", "channel"]).groupBy("setup", "block").applyInPandas(validate, "setup string, fold int, ord int, error double")
+def cross_validated_lq(signals: DataFrame, refs: Sequence[int], rows: int, orders: Sequence[int], length: int, chunk: int = 8192) -> DataFrame:
+    """The same with models from the triangular factors of all other blocks; the last block may be shorter."""
+    leaves = factors.merged(factors.block_factors(signals, refs, rows, length, chunk), ["setup", "block"], "part")
+    left = factors.leave_one_out(leaves).withColumnRenamed("block", "fold")
+    models = written(kalman.kalman_models(left, ["setup", "fold"], rows, orders), "models")
+    return kalman.prediction_errors(_by_fold(signals, orders, length), models, ["setup", "fold", "ord"], length // 5, chunk)
 
 
 # --- synthesis -------------------------------------------------------------------------------------
@@ -349,12 +355,9 @@ def synthesis_errors(synthetic: DataFrame) -> DataFrame:
 
 def synthetic_spectra(synthetic: DataFrame, lags: int, decay: float = 0.001) -> DataFrame:
     """setup, idx, channel, ref, k, re, im: half spectra of each mode's part."""
-    from tremor.operators.spectral import half_spectra
-
-    key = F.concat_ws("#", "setup", "idx")
-    found = half_spectra(synthetic.select(key.alias("setup"), "channel", "ref", "lag", F.col("part").alias("r")), lags, decay)
-    split = F.split("setup", "#")
-    return found.select(F.element_at(split, 1).alias("setup"), F.element_at(split, 2).cast("int").alias("idx"), "channel", "ref", "k", "re", "im")
+    names = synthetic.select("setup", "idx").distinct().withColumn("one", F.sha2(F.to_json(F.struct("setup", "idx")), 256))
+    parts = synthetic.join(names, ["setup", "idx"]).select(F.col("one").alias("setup"), "channel", "ref", "lag", F.col("part").alias("r"))
+    return half_spectra(parts, lags, decay).withColumnRenamed("setup", "one").join(names, "one").select("setup", "idx", "channel", "ref", "k", "re", "im")
 
 
 def residues(spectra: np.ndarray, s: np.ndarray, mu: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

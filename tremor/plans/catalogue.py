@@ -146,7 +146,7 @@ def corr_bt_blocks(spark, sf_dir):
     return rounded(spectral.over_blocks(spectral.corr_bt(_centred(spark, sf_dir), REFS, 6, panel.hours(spark, sf_dir) // 4, 4)), 1, "r", "var_r")
 
 
-LINES = 48  # hours of a segment; whole days
+LINES = 24  # hours of a segment; the panel has whole days, so no hour is left over
 SEGMENTS = f"({H} // {LINES})"
 _WELCH = f"""
 seg AS (SELECT n // {LINES} AS block, n % {LINES} AS n, channel, y - avg(y) OVER (PARTITION BY channel, n // {LINES}) AS y FROM centred WHERE n < {LINES} * {SEGMENTS}),

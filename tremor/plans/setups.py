@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.functions import modal
-from tremor.operators import channels, geometry, identify, merge, signals, spectral, stabil, subspace
+from tremor.operators import channels, factors, geometry, identify, kalman, merge, signals, spectral, stabil, subspace
 from tremor.plans.catalogue import (
     _CANDIDATES, _COMMON_SQL, _DOFS, _DOFS_SQL, _LINES, _MOVES_SQL, _NODES, _PAIRS, _SHAPES, H, LINES, PANEL, POLES_SQL, REFS, SEGMENTS,
     _WELCH, _centred, _dofs, _event_corr, _mac_sql, _modes, _moves, _poles, _rounds, _segments, greedy_sql, query, rounded,
@@ -103,7 +103,7 @@ def durations(spark, sf_dir):
     return rounded(channels.durations(*_panel_table(spark, sf_dir)), 6, "dt", "duration")
 
 
-@query(f"SELECT k::INT AS k, {_rounds(10, freq='k / 3600.0 / 48')} FROM (SELECT unnest(range(25)) AS k)")
+@query(f"SELECT k::INT AS k, {_rounds(10, freq=f'k / 3600.0 / {LINES}')} FROM (SELECT unnest(range({LINES // 2 + 1})) AS k)")
 def frequency_lines(spark, sf_dir):
     return rounded(channels.frequency_axis(spark, RATE, LINES), 10, "freq")
 
@@ -162,12 +162,12 @@ def psd_decibels(spark, sf_dir):
 
 @query(
     f"""WITH {PANEL}, c AS (
-  SELECT b.n // 180 AS block, a.channel, b.channel AS ref, (a.n - b.n)::INT AS lag, sum(a.y * b.y) / 180 AS r
-  FROM centred a JOIN centred b ON b.channel IN {REFS} AND a.n - b.n BETWEEN 1 AND 6 AND a.n < 720 AND b.n < 720 GROUP BY ALL)
+  SELECT b.n // ({H} // 4) AS block, a.channel, b.channel AS ref, (a.n - b.n)::INT AS lag, sum(a.y * b.y) / ({H} // 4) AS r
+  FROM centred a JOIN centred b ON b.channel IN {REFS} AND a.n - b.n BETWEEN 1 AND 6 GROUP BY ALL)
 SELECT block::INT AS block, channel, ref, lag, {_rounds(1, r='r')} FROM c"""
 )
 def block_covariances(spark, sf_dir):
-    return rounded(spectral.block_covariances(_centred(spark, sf_dir), REFS, 6, 180, 4), 1, "r")
+    return rounded(spectral.block_covariances(_centred(spark, sf_dir), REFS, 6, panel.hours(spark, sf_dir) // 4, 4), 1, "r")
 
 
 @query(
@@ -409,19 +409,26 @@ def displacement_shapes(spark, sf_dir):
     return rounded(flat, 8, "re", "im")
 
 
-_BLOCK = 72  # hours
+_BLOCK = 24  # hours; the panel has whole days
 
 
 @query()
 def uncertain_poles(spark, sf_dir):
-    """Blocks of three days over the whole panel."""
+    """Blocks of one day over the whole panel."""
     blocks = panel.hours(spark, sf_dir) // _BLOCK
     return subspace.uncertain_poles(spectral.block_covariances(_centred(spark, sf_dir), REFS, 20, _BLOCK, blocks), 1.0, 9, range(4, 13, 2))
 
 
+@query()
+def uncertain_poles_of_projections(spark, sf_dir):
+    """Blocks of five days; the last one may be shorter."""
+    return subspace.uncertain_poles_of_projections(_centred(spark, sf_dir), REFS, 1.0, 9, range(4, 13, 2), 120, chunk=60, how="qr")
+
+
 @query()
 def merged_setup_poles(spark, sf_dir):
-    """Three setups of ten days each, which share two reference channels and have one of the others."""
+    """Three setups of a third of the panel each, as in a campaign: all share two reference channels and each has one of the others, so it does not read
+    the other two channels in that third."""
     third = panel.hours(spark, sf_dir) // 3
     y = _centred(spark, sf_dir).withColumn("turn", F.least(F.floor(F.col("n") / third), F.lit(2)).cast("int"))
     y = y.where("channel < 2 OR channel = turn + 2").select(F.concat(F.lit("m"), "turn").alias("setup"), (F.col("n") - F.col("turn") * third).cast("int").alias("n"), "channel", "y")
@@ -429,26 +436,44 @@ def merged_setup_poles(spark, sf_dir):
     return subspace.merged_poles(spectral.corr_bt_chunked(y, REFS, 40, third), dofs, 1.0, 15, range(4, 11, 2))
 
 
-def _square_corr(spark: SparkSession, sf_dir: str, lags: int = 24) -> DataFrame:
-    return spectral.corr_bt_chunked(_centred(spark, sf_dir), range(5), lags, panel.hours(spark, sf_dir))
+_ROWS, _FOLDS = 10, 4
+
+
+def _events_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One factor of the whole panel, from chunks of 240 hours."""
+    leaves = factors.block_factors(_centred(spark, sf_dir), REFS, _ROWS, panel.hours(spark, sf_dir), 240)
+    return factors.merged(leaves, ["setup"], "part")
+
+
+@query()
+def kalman_models(spark, sf_dir):
+    """State matrices, noise covariances, gain and the residual of its Riccati equation."""
+    return kalman.kalman_models(_events_factor(spark, sf_dir), ["setup"], _ROWS, [4, 8]).drop("setup")
 
 
 @query()
 def modal_signals(spark, sf_dir):
-    return subspace.modal_signals(_centred(spark, sf_dir), _square_corr(spark, sf_dir), 1.0, 10, 8, chunk=256, warm_up=128).drop("setup")
+    models = kalman.kalman_models(_events_factor(spark, sf_dir), ["setup"], _ROWS, [8])
+    return kalman.modal_signals(_centred(spark, sf_dir), models, 1.0, chunk=256).drop("setup")
 
 
 @query()
 def signal_contributions(spark, sf_dir):
     y = _centred(spark, sf_dir)
-    return subspace.signal_contributions(y, subspace.modal_signals(y, _square_corr(spark, sf_dir), 1.0, 10, 8, chunk=256, warm_up=128)).drop("setup")
+    models = kalman.kalman_models(_events_factor(spark, sf_dir), ["setup"], _ROWS, [8])
+    return subspace.signal_contributions(y, kalman.modal_signals(y, models, 1.0, chunk=256)).drop("setup")
 
 
 @query()
 def cross_validation(spark, sf_dir):
-    length = panel.hours(spark, sf_dir) // 4
-    y = _centred(spark, sf_dir).where(F.col("n") < 4 * length)
-    return subspace.cross_validated(y, spectral.corr_bt(y, range(5), 22, length, 4), 9, [2, 4, 8], length).drop("setup")
+    length = panel.hours(spark, sf_dir) // _FOLDS
+    y = _centred(spark, sf_dir)
+    return subspace.cross_validated(y, spectral.corr_bt(y, range(5), 22, length, _FOLDS), 9, [2, 4, 8], length, chunk=64).drop("setup")
+
+
+@query()
+def cross_validation_lq(spark, sf_dir):
+    return subspace.cross_validated_lq(_centred(spark, sf_dir), REFS, _ROWS, [2, 4, 8], panel.hours(spark, sf_dir) // _FOLDS, chunk=64).drop("setup")
 
 
 @query()
