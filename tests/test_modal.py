@@ -130,16 +130,3 @@ def test_merged_shapes_restore_the_whole(spark):
         assert all(abs(got[m, n] - whole[m, n] / top) < 1e-9 for n in "abcdef")
 
 
-def test_linkage_without_a_matrix():
-    """Distances that are not kept give the same clusters, also with equal points."""
-    import numpy as np
-
-    from tremor.operators.stabil import average_linkage, average_linkage_of
-
-    rng = np.random.default_rng(4)
-    for n in (1, 2, 40, 150):
-        x = np.concatenate([rng.normal(size=(n, 2)), rng.normal(size=(n // 4, 2)).repeat(2, axis=0)])
-        d = np.hypot(*(x[:, None] - x).transpose(2, 0, 1))
-        for cut in (0.0, 0.2, 0.8, 9.0):
-            one, two = average_linkage(d, cut), average_linkage_of(lambda m, d=d: d[m], len(d), cut)
-            assert ((one[:, None] == one) == (two[:, None] == two)).all()

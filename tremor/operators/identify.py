@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 POLES = "setup string, method string, ord int, idx int, f double, d double, lam_re double, lam_im double, phi_re array<double>, phi_im array<double>"
@@ -61,6 +61,28 @@ def tensor(pdf: pd.DataFrame) -> np.ndarray:
     return out
 
 
+def ar_poles(signals: DataFrame, length: int, rate: float) -> DataFrame:
+    """Poles of an autoregression of second order of every channel in every block of ``length`` samples, with shapes over all channels.
+
+    The block's number plus 2 stands for the order, so blocks follow one another like orders in a stabilisation diagram.  The recursion comes from the
+    channel's correlations at lags 0 to 2 (Yule-Walker); a channel with real poles gives none.  The shape is the decaying wave of the pole that meets the
+    correlations of all channels with this one at lags 0 and 1."""
+    block = signals.select("setup", F.floor(F.col("n") / length).cast("int").alias("o"), (F.col("n") % length).cast("int").alias("n"), "channel", "y")
+    early = block.select("setup", "o", F.col("channel").alias("c"), F.col("y").alias("x"), F.posexplode(F.array(F.col("n"), F.col("n") + 1, F.col("n") + 2)).alias("lag", "n"))
+    r = block.join(early, ["setup", "o", "n"]).groupBy("setup", "o", "c", "channel").agg(*(F.sum(F.when(F.col("lag") == k, F.col("y") * F.col("x"))).alias(f"r{k}") for k in range(3)))
+    r0, r1, r2 = (F.col(f"r{k}") for k in range(3))
+    own = r.where("channel = c").select("setup", "o", "c", r0.alias("power"), (r1 * (r0 - r2)).alias("u"), (r0 * r2 - r1 * r1).alias("v"), (r0 * r0 - r1 * r1).alias("w")).where("w > 0")
+    own = own.select("setup", "o", "c", "power", (F.col("u") / F.col("w")).alias("a1"), (F.col("v") / F.col("w")).alias("a2")).where("a1 * a1 + 4 * a2 < 0")
+    own = own.select("setup", "o", "c", "power", (F.col("a1") / 2).alias("lam_re"), (F.sqrt(-F.col("a1") * F.col("a1") - 4 * F.col("a2")) / 2).alias("lam_im"))
+    re, im = r0 / F.col("power"), (r0 / F.col("power") * F.col("lam_re") - r1 / F.col("power")) / F.col("lam_im")
+    shapes = own.join(r, ["setup", "o", "c"]).groupBy("setup", "o", "c", "lam_re", "lam_im").agg(F.sort_array(F.collect_list(F.struct("channel", re.alias("re"), im.alias("im")))).alias("phi"))
+    size, turn = F.log(F.col("lam_re") ** 2 + F.col("lam_im") ** 2) / 2, F.atan2("lam_im", "lam_re")
+    whole = F.sqrt(size * size + turn * turn)
+    found = shapes.select("setup", F.lit("ar").alias("method"), (F.col("o") + 2).alias("ord"), "c", (rate * whole / (2 * np.pi)).alias("f"), (-100 * size / whole).alias("d"), "lam_re", "lam_im", F.col("phi.re").alias("phi_re"), F.col("phi.im").alias("phi_im"))
+    place = F.row_number().over(Window.partitionBy("setup", "ord").orderBy("f", "c")) - 1
+    return found.withColumn("idx", place.cast("int")).select(*(k.split()[0] for k in POLES.split(", ")))
+
+
 def per_order(corr: DataFrame, orders: range, method: str, solve: Callable[[np.ndarray, int], list[tuple]]) -> DataFrame:
     """Poles of every order: the gathered tensor goes to each order's own group."""
     n = corr.sparkSession.range(len(orders)).select((F.col("id") * orders.step + orders.start).cast("int").alias("ord"))

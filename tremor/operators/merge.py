@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.functions.modal import dot, mac
+from tremor.scratch import written
 
 DIRECTION = ("node", "azimuth", "elevation")
 
@@ -47,20 +48,22 @@ def all_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
 def pairs(candidates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One-to-one pairs: the nearest two modes first, then the nearest of the others, ties to the larger MAC.
 
-    ``by``: columns that name the two setups; a group holds the candidate pairs of two setups."""
-    names = candidates.columns
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_m=-pdf["mac"]).sort_values(["d_f", "_m", "mode_a", "mode_b"])
-        rows, a, b = [], set(), set()
-        for i, p, q in zip(pdf.index, pdf["mode_a"], pdf["mode_b"]):
-            if p not in a and q not in b:
-                rows.append(i)
-                a.add(p)
-                b.add(q)
-        return pdf.loc[rows, names]
-
-    return candidates.groupBy(*by).applyInPandas(take, candidates.schema)
+    ``by``: columns that name the two setups.  Going through the candidates in order of distance takes exactly those that come first
+    among all free candidates of both their modes, whatever is taken elsewhere.  So every round takes all such pairs at once, by two
+    window ranks, and drops the candidates of their modes, until none is left; no group holds more than the candidates of one mode."""
+    nearest = [F.col("d_f"), F.col("mac").desc(), F.col("mode_a"), F.col("mode_b")]
+    sides = [[*by, side] for side in ("mode_a", "mode_b")]
+    rest, taken = written(candidates, "candidates"), None
+    while not rest.isEmpty():
+        ranked = rest
+        for i, side in enumerate(sides):
+            ranked = ranked.withColumn(f"__{i}", F.row_number().over(Window.partitionBy(*side).orderBy(*nearest)))
+        best = written(ranked.where("__0 = 1 AND __1 = 1").drop("__0", "__1"), "pairs")
+        taken = best if taken is None else taken.unionByName(best)
+        for side in sides:
+            rest = rest.join(best.select(*side), side, "left_anti")
+        rest = written(rest.select(*candidates.columns), "candidates")
+    return rest if taken is None else taken
 
 
 def common_modes(found: DataFrame, setups: int) -> DataFrame:

@@ -10,9 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.functions.modal import mac, mean_phase, mpc, mpd, relative
-
-#: Poles of one setup up to which its distances are kept; beyond, they are worked out again where needed, with the same clusters.
-MAX_CLUSTERED = 5000
+from tremor.scratch import written
 
 
 def pole_pairs(poles: DataFrame) -> DataFrame:
@@ -78,7 +76,8 @@ def clearing(poles: DataFrame, rounds: int = 100) -> DataFrame:
     least = pole_pairs(poles).where("d_f > 0 AND ord > 1").groupBy("setup", "ord", "idx").agg(*[F.min(n).alias(n) for n in FEATURES])
     logs = least.select("setup", "ord", "idx", "d_lambda", "d_mac", *[F.log(F.greatest(F.col(n), F.lit(1e-12))).alias(f"l_{n}") for n in FEATURES])
     stats = logs.groupBy("setup").agg(*[F.avg(f"l_{n}").alias(f"m_{n}") for n in FEATURES], *[F.stddev_pop(f"l_{n}").alias(f"s_{n}") for n in FEATURES])
-    z = logs.join(F.broadcast(stats), "setup").select("setup", "ord", "idx", "d_lambda", "d_mac", *[((F.col(f"l_{n}") - F.col(f"m_{n}")) / F.coalesce(F.nullif(f"s_{n}", F.lit(0.0)), F.lit(1.0))).alias(f"z_{n}") for n in FEATURES]).persist()
+    z = logs.join(F.broadcast(stats), "setup").select("setup", "ord", "idx", "d_lambda", "d_mac", *[((F.col(f"l_{n}") - F.col(f"m_{n}")) / F.coalesce(F.nullif(f"s_{n}", F.lit(0.0)), F.lit(1.0))).alias(f"z_{n}") for n in FEATURES])
+    z = written(z, "standardised")  # every round reads it; the poles' lineage runs once
     kinds = "setup string, " + ", ".join(f"{side}_{n} double" for side in "ab" for n in FEATURES)
     centres = {r["setup"]: [-1.0] * len(FEATURES) + [1.0] * len(FEATURES) for r in z.select("setup").distinct().collect()}  # ten numbers per setup
 
@@ -96,6 +95,8 @@ def clearing(poles: DataFrame, rounds: int = 100) -> DataFrame:
         centres = moved
         if done:
             break
+    else:
+        raise ArithmeticError(f"2-means has not settled in {rounds} rounds")
     return assigned().where("low").select("setup", "ord", "idx", "d_lambda", "d_mac")
 
 
@@ -128,43 +129,61 @@ def average_linkage(d: np.ndarray, cut: float) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def average_linkage_of(rows: Callable[[np.ndarray], np.ndarray], n: int, cut: float) -> np.ndarray:
-    """As ``average_linkage``, without a matrix: ``rows(members)`` gives the distances of some members to all n."""
-    owner, size, label = np.arange(n), np.ones(n), np.arange(n)
-    alive, merges, chain = np.ones(n, bool), [], []
-    while alive.sum() > 1:
-        if not chain:
-            chain = [int(np.flatnonzero(alive)[0])]
-        a = chain[-1]
-        members = np.flatnonzero(owner == a)
-        total = sum(rows(members[i : i + 256]).sum(axis=0) for i in range(0, len(members), 256))
-        d = np.where(alive, np.bincount(owner, weights=total, minlength=n) / (size[a] * size), np.inf)
-        d[a] = np.inf
-        b = int(np.argmin(d))
-        if len(chain) > 1 and d[chain[-2]] <= d[b]:
-            b = chain[-2]
-        if b not in chain:
-            chain.append(b)
-            continue
-        chain = chain[: chain.index(b)]  # the one before, or an equal one further back
-        merges.append((d[b], a, b))
-        owner[owner == b] = a
-        size[a] += size[b]
-        alive[b] = False
-    for height, a, b in sorted(merges, key=lambda m: m[0]):
-        if height <= cut:
-            label[label == label[b]] = label[a]
-    return np.unique(label, return_inverse=True)[1]
+def cells(poles: DataFrame) -> DataFrame:
+    """setup, a, b, part: squares of the complex plane that hold eigenvalues of a setup, numbered by connected part (neighbours touch at sides or corners).
+
+    ``poles`` has setup, lam_re, lam_im and width, the side of the squares of the setup.  Two eigenvalues nearer than the width lie in the same
+    part.  A setup has no more squares than the unit disc, whatever the number of its poles."""
+    held = poles.select("setup", F.floor(F.col("lam_re") / F.col("width")).alias("a"), F.floor(F.col("lam_im") / F.col("width")).alias("b")).distinct()
+
+    def number(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        part: dict[tuple[int, int], int] = dict.fromkeys(zip(pdf["a"], pdf["b"]), -1)
+        for n, start in enumerate(part):
+            if part[start] >= 0:
+                continue
+            part[start], open_ = n, [start]
+            while open_:
+                a, b = open_.pop()
+                for near in ((a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                    if part.get(near) == -1:
+                        part[near] = n
+                        open_.append(near)
+        return pd.DataFrame({"setup": key[0], "a": [k[0] for k in part], "b": [k[1] for k in part], "part": list(part.values())})
+
+    return held.groupBy("setup").applyInPandas(number, "setup string, a long, b long, part int")
+
+
+def separate(rows: Callable[[np.ndarray], np.ndarray], n: int, cut: float) -> list[np.ndarray]:
+    """Members of the connected parts of the graph of distances up to ``cut``; ``rows(members)`` gives distances of some members to all n."""
+    left, out = np.ones(n, bool), []
+    while left.any():
+        new = np.flatnonzero(left)[:1]
+        left[new] = False
+        part = [new]
+        while len(new):
+            near = np.zeros(n, bool)
+            for i in range(0, len(new), 256):
+                near |= (rows(new[i : i + 256]) <= cut).any(0)
+            new = np.flatnonzero(near & left)
+            left[new] = False
+            part.append(new)
+        out.append(np.sort(np.concatenate(part)))
+    return out
 
 
 def clusters(poles: DataFrame, cleared: DataFrame, cut: float | None = None) -> DataFrame:
     """setup, ord, idx, f, d, cluster of the cleared poles; distance is that of eigenvalues plus 1 - MAC.
 
-    Without ``cut``, it is the 95th percentile of the distances of a setup's cleared poles to the order before."""
-    far = F.percentile(F.col("d_lambda") + F.col("d_mac"), F.lit(0.95)) if cut is None else F.lit(float(cut))
-    cuts = cleared.groupBy("setup").agg(far.alias("cut"))
-    chosen = poles.join(cleared.select("setup", "ord", "idx"), ["setup", "ord", "idx"]).join(F.broadcast(cuts), "setup")
-    most = MAX_CLUSTERED
+    Without ``cut``, it is the 95th percentile of the distances of a setup's cleared poles to the order before.  Average linkage up to the cut never joins
+    poles of two parts that are everywhere farther apart than the cut, so a setup is dealt to parts of the complex plane as wide as the cut, these are
+    split along the distances themselves, and only what hangs together is linked.  Clusters are numbered by their first pole."""
+    limit = F.percentile(F.col("d_lambda") + F.col("d_mac"), F.lit(0.95)) if cut is None else F.lit(float(cut))
+    chosen = poles.join(cleared.select("setup", "ord", "idx"), ["setup", "ord", "idx"])
+    cuts = cleared.groupBy("setup").agg(limit.alias("cut"))
+    sizes = chosen.groupBy("setup").agg(F.max(F.sqrt(F.col("lam_re") ** 2 + F.col("lam_im") ** 2)).alias("size"))
+    wide = F.greatest(F.col("cut") * F.col("size") * (1 + 1e-9), F.lit(1e-9)).alias("width")
+    ready = written(chosen.join(cuts.join(sizes, "setup").select("setup", "cut", wide), "setup"), "poles")
+    placed = ready.withColumns({"a": F.floor(F.col("lam_re") / F.col("width")), "b": F.floor(F.col("lam_im") / F.col("width"))}).join(cells(ready), ["setup", "a", "b"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ord", "idx"]).reset_index(drop=True)
@@ -172,14 +191,21 @@ def clusters(poles: DataFrame, cleared: DataFrame, cut: float | None = None) ->
         phi = np.vstack(pdf["phi_re"]) + 1j * np.vstack(pdf["phi_im"])
         phi = phi / np.linalg.norm(phi, axis=1, keepdims=True)
 
-        def far(m: np.ndarray) -> np.ndarray:
-            return abs(lam[m, None] - lam) / np.maximum(abs(lam[m])[:, None], abs(lam)) + 1 - abs(phi[m] @ phi.conj().T) ** 2
-
-        cut = float(pdf["cut"].iloc[0])
-        found = average_linkage(far(np.arange(len(pdf))), cut) if len(pdf) <= most else average_linkage_of(far, len(pdf), cut)
-        return pdf.assign(cluster=found.astype("int32"))[["setup", "ord", "idx", "f", "d", "cluster"]]
-
-    return chosen.groupBy("setup").applyInPandas(run, "setup string, ord int, idx int, f double, d double, cluster int")
+        def far(m: np.ndarray, of: np.ndarray | slice = slice(None)) -> np.ndarray:
+            return abs(lam[m, None] - lam[of]) / np.maximum(abs(lam[m])[:, None], abs(lam[of])) + 1 - abs(phi[m] @ phi[of].conj().T) ** 2
+
+        limit, first_ord, first_idx = float(pdf["cut"].iloc[0]), np.zeros(len(pdf), np.int32), np.zeros(len(pdf), np.int32)
+        for members in separate(far, len(pdf), limit):
+            found = average_linkage(far(members, members), limit)
+            for c in range(found.max() + 1):
+                own = members[found == c]
+                first_ord[own], first_idx[own] = pdf["ord"].iloc[own[0]], pdf["idx"].iloc[own[0]]
+        return pdf.assign(first_ord=first_ord, first_idx=first_idx)[["setup", "ord", "idx", "f", "d", "first_ord", "first_idx"]]
+
+    found = written(placed.groupBy("setup", "part").applyInPandas(run, "setup string, ord int, idx int, f double, d double, first_ord int, first_idx int"), "linked")
+    first = ["first_ord", "first_idx"]
+    numbers = found.select("setup", *first).distinct().withColumn("cluster", F.row_number().over(Window.partitionBy("setup").orderBy(*first)) - 1)
+    return found.join(numbers, ["setup", *first]).select("setup", "ord", "idx", "f", "d", "cluster")
 
 
 def selected_clusters(clustered: DataFrame, number: int = 0, rounds: int = 100) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremor.functions import modal
 from tremor.operators import geometry, identify, merge, signals, spectral, stabil
 from tremor.sources import panel
+from tremor.scratch import written
 from tremor.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,19 +215,28 @@ def half_spectra(spark, sf_dir):
     return rounded(spectral.half_spectra(spectral.corr_bt(_centred(spark, sf_dir), REFS, 16, panel.hours(spark, sf_dir)), 16), 1, "re", "im")
 
 
-# --- modal functions and stabilisation on a table of poles given by a rule -------------------------
-
-_POLE_COLUMNS = """
-  1.5 + 2 * i + 0.004 * sin(3 * o + i) AS f, 1.0 + 0.5 * i + 0.02 * cos(2 * o + i) AS d,
-  cos(0.3 + 0.4 * i + 0.001 * sin(o)) * 0.98 AS lam_re, sin(0.3 + 0.4 * i + 0.001 * sin(o)) * 0.98 AS lam_im,
-  {array}(1.0, 0.5 - 0.3 * i + 0.01 * sin(o), 0.2 + 0.1 * i) AS phi_re, {array}(0.0, 0.02 * i + 0.01 * cos(o), 0.01 * o / (1 + i)) AS phi_im"""
-POLES_SQL = f"poles AS (SELECT o::INT AS ord, i::INT AS idx, {_POLE_COLUMNS.format(array='list_value')} FROM (SELECT unnest(range(2, 14)) AS o), (SELECT unnest(range(4)) AS i) WHERE o <> 7 AND i < o)"
+# --- modal functions and stabilisation on the poles of every day -----------------------------------
+
+DAY = 24
+POLES_SQL = f"""{PANEL},
+days AS (SELECT n // {DAY} AS o, n % {DAY} AS n, channel, y FROM centred),
+meet AS (
+  SELECT a.o, b.channel AS c, a.channel AS j, sum(a.y * b.y) FILTER (a.n = b.n) AS r0, sum(a.y * b.y) FILTER (a.n = b.n + 1) AS r1, sum(a.y * b.y) FILTER (a.n = b.n + 2) AS r2
+  FROM days a JOIN days b ON a.o = b.o AND a.n BETWEEN b.n AND b.n + 2 GROUP BY ALL),
+recursion AS (SELECT o, c, r0 AS power, r1 * (r0 - r2) / (r0 * r0 - r1 * r1) AS a1, (r0 * r2 - r1 * r1) / (r0 * r0 - r1 * r1) AS a2 FROM meet WHERE j = c AND r0 * r0 - r1 * r1 > 0),
+roots AS (SELECT o, c, power, a1 / 2 AS lam_re, sqrt(-a1 * a1 - 4 * a2) / 2 AS lam_im FROM recursion WHERE a1 * a1 + 4 * a2 < 0),
+waves AS (
+  SELECT o, c, lam_re, lam_im, ln(lam_re ** 2 + lam_im ** 2) / 2 AS size, atan2(lam_im, lam_re) AS turn,
+         list(r0 / power ORDER BY j) AS phi_re, list((r0 / power * lam_re - r1 / power) / lam_im ORDER BY j) AS phi_im
+  FROM roots JOIN meet USING (o, c) GROUP BY o, c, lam_re, lam_im),
+scalars AS (SELECT (o + 2)::INT AS ord, c, sqrt(size * size + turn * turn) / (2 * pi()) AS f, -100 * size / sqrt(size * size + turn * turn) AS d, lam_re, lam_im, phi_re, phi_im FROM waves),
+poles AS (SELECT ord, (row_number() OVER (PARTITION BY ord ORDER BY f, c) - 1)::INT AS idx, f, d, lam_re, lam_im, phi_re, phi_im FROM scalars)
+"""
 
 
-def _poles(spark: SparkSession) -> DataFrame:
-    rows = spark.sql(f"SELECT 'rule' AS setup, CAST(o AS int) AS ord, CAST(i AS int) AS idx, {_POLE_COLUMNS.format(array='array')} FROM (SELECT id AS o FROM range(2, 14)) CROSS JOIN (SELECT id AS i FROM range(4)) WHERE o <> 7 AND i < o")
-    plain = {c: F.col(c).cast("double") for c in ("f", "d", "lam_re", "lam_im")}
-    return rows.withColumns(plain | {c: F.col(c).cast("array<double>") for c in ("phi_re", "phi_im")})
+def _poles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poles of every day of the event panel; days stand for orders."""
+    return written(identify.ar_poles(_centred(spark, sf_dir), DAY, 1.0).drop("method"), "poles")
 
 
 def _mac_sql(a: str, b: str) -> str:
@@ -246,7 +256,7 @@ _SHAPES = f"shapes AS (SELECT *, {_MPC} AS mpc, CASE WHEN {_PHASE} < 0 THEN {_PH
 
 @query(f"WITH {POLES_SQL} SELECT a.idx AS idx_a, b.idx AS idx_b, {_rounds(8, mac=_mac_sql('a', 'b'))} FROM poles a, poles b WHERE a.ord = 13 AND b.ord = 12")
 def mac_matrix(spark, sf_dir):
-    p = _poles(spark)
+    p = _poles(spark, sf_dir)
     a, b = p.where("ord = 13").alias("a"), F.broadcast(p.where("ord = 12").alias("b"))
     same = modal.mac(F.col("a.phi_re"), F.col("a.phi_im"), F.col("b.phi_re"), F.col("b.phi_im"))
     return a.crossJoin(b).select(F.col("a.idx").alias("idx_a"), F.col("b.idx").alias("idx_b"), (F.round(same, 8) + 0.0).alias("mac"))
@@ -255,7 +265,7 @@ def mac_matrix(spark, sf_dir):
 @query(f"WITH {POLES_SQL}, {_SHAPES} SELECT ord, idx, {_rounds(6, mpc='mpc', mp='mp', mpd='mpd')} FROM criteria")
 def shape_criteria(spark, sf_dir):
     re, im = F.col("phi_re"), F.col("phi_im")
-    return rounded(_poles(spark).select("ord", "idx", modal.mpc(re, im).alias("mpc"), modal.mean_phase(re, im).alias("mp"), modal.mpd(re, im).alias("mpd")), 6, "mpc", "mp", "mpd")
+    return rounded(_poles(spark, sf_dir).select("ord", "idx", modal.mpc(re, im).alias("mpc"), modal.mean_phase(re, im).alias("mp"), modal.mpd(re, im).alias("mpd")), 6, "mpc", "mp", "mpd")
 
 
 _ARG, _LOG = "abs(atan2(lam_im, lam_re))", "(0.5 * ln(lam_re ** 2 + lam_im ** 2))"
@@ -264,7 +274,7 @@ _ARG, _LOG = "abs(atan2(lam_im, lam_re))", "(0.5 * ln(lam_re ** 2 + lam_im ** 2)
 @query(f"WITH {POLES_SQL} SELECT ord, idx, {_rounds(6, f=f'100 * sqrt({_ARG} ** 2 + {_LOG} ** 2) / (2 * pi())', d=f'100 * abs({_LOG}) / sqrt({_ARG} ** 2 + {_LOG} ** 2)')} FROM poles")
 def modal_scalars(spark, sf_dir):
     re, im = F.col("lam_re"), F.col("lam_im")
-    return rounded(_poles(spark).select("ord", "idx", modal.frequency(re, im, F.lit(100.0)).alias("f"), modal.damping(re, im).alias("d")), 6, "f", "d")
+    return rounded(_poles(spark, sf_dir).select("ord", "idx", modal.frequency(re, im, F.lit(100.0)).alias("f"), modal.damping(re, im).alias("d")), 6, "f", "d")
 
 
 _PAIRS = f"""
@@ -280,38 +290,39 @@ pairs AS (
 
 @query(f"WITH {POLES_SQL}, {_SHAPES}, {_PAIRS} SELECT ord, idx, prev_ord, prev_idx, {_rounds(7, d_lambda='d_lambda', d_f='d_f', d_d='d_d', d_mac='d_mac', d_mpd='d_mpd', d_mp='d_mp')} FROM pairs")
 def pole_pairs(spark, sf_dir):
-    return rounded(stabil.pole_pairs(_poles(spark)), 7, "d_lambda", "d_f", "d_d", "d_mac", "d_mpd", "d_mp")
+    return rounded(stabil.pole_pairs(_poles(spark, sf_dir)), 7, "d_lambda", "d_f", "d_d", "d_mac", "d_mpd", "d_mp")
 
 
-_OK = {"f": "d_f > 0 AND d_f <= 0.003", "d": "d_d > 0 AND d_d <= 0.02", "m": "d_mac > 0 AND d_mac <= 0.0002"}
+_LIMITS = (0.3, 0.5, 0.7)
+_OK = {"f": f"d_f > 0 AND d_f <= {_LIMITS[0]}", "d": f"d_d > 0 AND d_d <= {_LIMITS[1]}", "m": f"d_mac > 0 AND d_mac <= {_LIMITS[2]}"}
 
 
 @query(
     f"""WITH {POLES_SQL}, {_SHAPES}, {_PAIRS},
 met AS (SELECT ord, idx, bool_or({" AND ".join(_OK.values())}) AS a, bool_or({_OK["f"]}) AS x, bool_or({_OK["d"]}) AS y, bool_or({_OK["m"]}) AS z FROM pairs GROUP BY ord, idx),
-j AS (SELECT ord, idx, d BETWEEN 0 AND 2.4 AND mpc >= 0.5 AND mpd <= 60 AND f > 0 AS in_range, coalesce(a, false) AS a, coalesce(x, false) AS x, coalesce(y, false) AS y, coalesce(z, false) AS z
+j AS (SELECT ord, idx, d BETWEEN 0 AND 80 AND mpc >= 0.1 AND mpd <= 60 AND f > 0 AS in_range, coalesce(a, false) AS a, coalesce(x, false) AS x, coalesce(y, false) AS y, coalesce(z, false) AS z
       FROM criteria LEFT JOIN met USING (ord, idx))
 SELECT ord, idx, in_range, in_range AND a AS stable, in_range AND NOT x AND y AND z AS only_f, in_range AND x AND NOT y AND z AS only_d, in_range AND x AND y AND NOT z AS only_mac FROM j"""
 )
 def stable_masks(spark, sf_dir):
-    return stabil.masks(_poles(spark), 0.003, 0.02, 0.0002, (0.0, 2.4), 0.5, 60.0).drop("setup")
+    return stabil.masks(_poles(spark, sf_dir), *_LIMITS, (0.0, 80.0), 0.1, 60.0).drop("setup")
 
 
-@query(f"WITH {POLES_SQL}, {_SHAPES}, {_PAIRS}, least AS (SELECT min(d_f) AS x FROM pairs GROUP BY ord, idx) SELECT floor(x * 50 / 0.01)::INT AS bin, count(*) AS n FROM least WHERE x < 0.01 GROUP BY 1")
+@query(f"WITH {POLES_SQL}, {_SHAPES}, {_PAIRS}, least AS (SELECT min(d_f) AS x FROM pairs GROUP BY ord, idx) SELECT floor(x * 50 / 0.5)::INT AS bin, count(*) AS n FROM least WHERE x < 0.5 GROUP BY 1")
 def criteria_histogram(spark, sf_dir):
-    return stabil.histogram(stabil.pole_pairs(_poles(spark)), "d_f", 50, 0.01)
+    return stabil.histogram(stabil.pole_pairs(_poles(spark, sf_dir)), "d_f", 50, 0.5)
 
 
 # --- merging and geometry --------------------------------------------------------------------------
 
 
-def _modes(spark: SparkSession, order: int) -> DataFrame:
-    return _poles(spark).where(F.col("ord") == order).select(F.col("idx").alias("mode"), "f", "phi_re", "phi_im")
+def _modes(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
+    return _poles(spark, sf_dir).where(F.col("ord") == order).select(F.col("idx").alias("mode"), "f", "phi_re", "phi_im")
 
 
-@query(f"WITH {POLES_SQL} SELECT a.idx AS mode_a, b.idx AS mode_b, {_rounds(8, d_f='abs(a.f - b.f) / greatest(a.f, b.f)', mac=_mac_sql('a', 'b'))} FROM poles a, poles b WHERE a.ord = 13 AND b.ord = 5 AND abs(a.f - b.f) / greatest(a.f, b.f) < 0.2 AND {_mac_sql('a', 'b')} > 0.8")
+@query(f"WITH {POLES_SQL} SELECT a.idx AS mode_a, b.idx AS mode_b, {_rounds(8, d_f='abs(a.f - b.f) / greatest(a.f, b.f)', mac=_mac_sql('a', 'b'))} FROM poles a, poles b WHERE a.ord = 13 AND b.ord = 5 AND abs(a.f - b.f) / greatest(a.f, b.f) < 0.6 AND {_mac_sql('a', 'b')} > 0.1")
 def pair_candidates(spark, sf_dir):
-    return rounded(merge.pair_candidates(_modes(spark, 13), _modes(spark, 5)), 8, "d_f", "mac")
+    return rounded(merge.pair_candidates(_modes(spark, sf_dir, 13), _modes(spark, sf_dir, 5), 0.6, 0.1), 8, "d_f", "mac")
 
 
 def greedy_sql(candidates: str) -> str:
@@ -327,52 +338,73 @@ taken AS (
 """
 
 
-_CANDIDATES = f"candidates AS (SELECT a.idx AS mode_a, b.idx AS mode_b, (abs(a.f - b.f) / greatest(a.f, b.f))::DOUBLE AS d_f, {_mac_sql('a', 'b')} AS mac FROM poles a, poles b WHERE a.ord = 13 AND b.ord = 5 AND abs(a.f - b.f) / greatest(a.f, b.f) < 0.2 AND {_mac_sql('a', 'b')} > 0.8)"
+_CANDIDATES = f"candidates AS (SELECT a.idx AS mode_a, b.idx AS mode_b, (abs(a.f - b.f) / greatest(a.f, b.f))::DOUBLE AS d_f, {_mac_sql('a', 'b')} AS mac FROM poles a, poles b WHERE a.ord = 13 AND b.ord = 5 AND abs(a.f - b.f) / greatest(a.f, b.f) < 0.6 AND {_mac_sql('a', 'b')} > 0.1)"
 
 
 @query(f"WITH RECURSIVE {POLES_SQL}, {_CANDIDATES}, {greedy_sql('candidates')} SELECT mode_a, mode_b, {_rounds(8, d_f='d_f', mac='mac')} FROM taken WHERE mode_a IS NOT NULL")
 def mode_pairs(spark, sf_dir):
-    return rounded(merge.pairs(merge.pair_candidates(_modes(spark, 13), _modes(spark, 5))), 8, "d_f", "mac")
+    return rounded(merge.pairs(merge.pair_candidates(_modes(spark, sf_dir, 13), _modes(spark, sf_dir, 5), 0.6, 0.1)), 8, "d_f", "mac")
 
 
 @query(f"WITH {POLES_SQL} SELECT idx AS mode, {_rounds(8, mean_f='avg(f)', std_f='stddev_pop(f)', mean_d='avg(d)', std_d='stddev_pop(d)')} FROM poles GROUP BY idx")
 def merged_statistics(spark, sf_dir):
-    rows = _poles(spark).select(F.col("ord").alias("setup"), F.col("idx").alias("mode"), "f", "d")
+    rows = _poles(spark, sf_dir).select(F.col("ord").alias("setup"), F.col("idx").alias("mode"), "f", "d")
     return rounded(merge.merged_statistics(rows), 8, "mean_f", "std_f", "mean_d", "std_d")
 
 
-# Three setups of three channels; direction (node, azimuth, elevation) of each.
-_DOFS = [("s1", 0, "a", 0.0, 0.0), ("s1", 1, "b", 90.0, 0.0), ("s1", 2, "c", 0.0, 90.0), ("s2", 0, "a", 0.0, 0.0), ("s2", 1, "d", 90.0, 0.0), ("s2", 2, "c", 0.0, 90.0), ("s3", 0, "c", 0.0, 90.0), ("s3", 1, "a", 0.0, 0.0), ("s3", 2, "e", 0.0, 0.0)]
-_DOFS_SQL = f"dofs AS (SELECT * FROM (VALUES {', '.join(map(str, _DOFS))}) v(setup, channel, node, azimuth, elevation))"
+# Suppliers are measured points: a nation is a setup, its suppliers are channels in the order of their keys; points that every nation has are common.
+_DOFS_SQL = "dofs AS (SELECT setup, channel, 'p' || channel AS node, 90.0 * (channel % 2) AS azimuth, 0.0 AS elevation FROM (SELECT 's' || s_nationkey AS setup, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INT AS channel FROM supplier))"
 _COMMON_SQL = "common AS (SELECT node, azimuth, elevation FROM dofs GROUP BY ALL HAVING count(DISTINCT setup) = (SELECT count(DISTINCT setup) FROM dofs))"
+# Where three channels of the panel stand and which way they look.
+_RIG = [("events", 0, "a", 0.0, 0.0), ("events", 1, "b", 90.0, 0.0), ("events", 2, "c", 0.0, 90.0)]
+
+
+def _dofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("s"), "s_nationkey").alias("setup"), place.cast("int").alias("channel"))
+    return rows.selectExpr("setup", "channel", "concat('p', channel) AS node", "double(90 * (channel % 2)) AS azimuth", "double(0) AS elevation")
 
 
-def _dofs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_DOFS, "setup string, channel int, node string, azimuth double, elevation double")
+def _rig(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_RIG, "setup string, channel int, node string, azimuth double, elevation double")
 
 
 @query(f"WITH {_DOFS_SQL}, {_COMMON_SQL} SELECT node, azimuth::DOUBLE AS azimuth, elevation::DOUBLE AS elevation FROM common")
 def common_dofs(spark, sf_dir):
-    return merge.common_dofs(_dofs(spark))
+    return merge.common_dofs(_dofs(spark, sf_dir))
 
 
 @query(f"WITH {_DOFS_SQL}, {_COMMON_SQL} SELECT setup, channel, node, azimuth::DOUBLE AS azimuth, elevation::DOUBLE AS elevation FROM dofs ANTI JOIN common USING (node, azimuth, elevation)")
 def roving_channels(spark, sf_dir):
-    return merge.rovings(_dofs(spark)).select("setup", "channel", "node", "azimuth", "elevation")
+    return merge.rovings(_dofs(spark, sf_dir)).select("setup", "channel", "node", "azimuth", "elevation")
 
 
 _NODES = [("a", 0.0, 0.0, 0.0), ("b", 1.0, 0.0, 0.0), ("c", 1.0, 1.0, 0.0), ("d", 0.0, 1.0, 2.0)]
-_LINES = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "c")]
+# Suppliers are nodes too, and lines join each with the next one of its nation.
+_GRID_SQL = """
+nodes AS (SELECT 'p' || s_suppkey AS node, (s_suppkey % 10)::DOUBLE AS x, (s_suppkey // 10 % 10)::DOUBLE AS y, (s_acctbal / 1000)::DOUBLE AS z, s_suppkey AS key FROM supplier),
+lines AS (SELECT 'p' || before AS start, 'p' || s_suppkey AS stop, s_suppkey AS key FROM (SELECT s_suppkey, lag(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS before FROM supplier) WHERE before IS NOT NULL)
+"""
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(node, x, y, z, key; start, stop, key)."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    nodes = rows.selectExpr("concat('p', s_suppkey) AS node", "double(s_suppkey % 10) AS x", "double(s_suppkey div 10 % 10) AS y", "double(s_acctbal / 1000) AS z", "s_suppkey AS key")
+    before = F.lag("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    lines = rows.withColumn("before", before).where("before IS NOT NULL").selectExpr("concat('p', before) AS start", "concat('p', s_suppkey) AS stop", "s_suppkey AS key")
+    return nodes, lines
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(map(str, _LINES))}) v(start, stop) WHERE start <> 'b' AND stop <> 'b'")
+@query(f"WITH {_GRID_SQL}, gone AS (SELECT node FROM nodes WHERE key % 7 = 0) SELECT start, stop FROM lines WHERE start NOT IN (FROM gone) AND stop NOT IN (FROM gone)")
 def geometry_cascade(spark, sf_dir):
-    return geometry.without_nodes(spark.createDataFrame(_LINES, "start string, stop string"), spark.createDataFrame([("b",)], "node string"))
+    nodes, lines = _grid(spark, sf_dir)
+    return geometry.without_nodes(lines.select("start", "stop"), nodes.where("key % 7 = 0").select("node"))
 
 
-def _moves(spark: SparkSession) -> DataFrame:
-    shapes = _poles(spark).where("ord = 13").select(F.col("idx").alias("mode"), F.posexplode(F.arrays_zip("phi_re", "phi_im")).alias("channel", "v")).select("mode", "channel", F.col("v.phi_re").alias("re"), F.col("v.phi_im").alias("im"))
-    return geometry.displacements(_dofs(spark).where("setup = 's1'").select("channel", "node", "azimuth", "elevation"), shapes)
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = _poles(spark, sf_dir).where("ord = 13").select(F.col("idx").alias("mode"), F.posexplode(F.arrays_zip("phi_re", "phi_im")).alias("channel", "v")).select("mode", "channel", F.col("v.phi_re").alias("re"), F.col("v.phi_im").alias("im"))
+    return geometry.displacements(_rig(spark).select("channel", "node", "azimuth", "elevation"), shapes)
 
 
 _MOVES_SQL = f"{POLES_SQL}, moves AS (SELECT idx AS mode, node, axis, CASE WHEN axis = own THEN phi_re[ch + 1] ELSE 0 END AS re, CASE WHEN axis = own THEN phi_im[ch + 1] ELSE 0 END AS im FROM poles, (VALUES ('a', 0, 'x'), ('b', 1, 'y'), ('c', 2, 'z')) v(node, ch, own), (VALUES ('x'), ('y'), ('z')) w(axis) WHERE ord = 13)"
@@ -380,7 +412,7 @@ _MOVES_SQL = f"{POLES_SQL}, moves AS (SELECT idx AS mode, node, axis, CASE WHEN
 
 @query(f"WITH {_MOVES_SQL} SELECT mode, node, axis, {_rounds(6, re='re::DOUBLE', im='im::DOUBLE')} FROM moves")
 def node_displacement(spark, sf_dir):
-    return rounded(_moves(spark), 6, "re", "im")
+    return rounded(_moves(spark, sf_dir), 6, "re", "im")
 
 
 @query(
@@ -389,7 +421,7 @@ rest AS (SELECT node, 'x' AS axis, x AS rest FROM nodes UNION ALL SELECT node, '
 SELECT mode, node, axis, frame::INT AS frame, {_rounds(6, at='(rest + sqrt(re ** 2 + im ** 2) * cos(2 * pi() * frame / 25 + atan2(im, re)))::DOUBLE')} FROM moves JOIN rest USING (node, axis), (SELECT unnest(range(25)) AS frame)"""
 )
 def animation_frames(spark, sf_dir):
-    return rounded(geometry.frames(spark.createDataFrame(_NODES, "node string, x double, y double, z double"), _moves(spark)), 6, "at")
+    return rounded(geometry.frames(spark.createDataFrame(_NODES, "node string, x double, y double, z double"), _moves(spark, sf_dir)), 6, "at")
 
 
 # --- identification and selection: no SQL; held against analytic systems in the tests --------------
@@ -431,7 +463,7 @@ def plscf_poles(spark, sf_dir):
 
 @query()
 def auto_selection(spark, sf_dir):
-    poles = identify.ssi_cov_poles(_event_corr(spark, sf_dir), 1.0, 20, ORDERS).persist()
+    poles = written(identify.ssi_cov_poles(_event_corr(spark, sf_dir), 1.0, 20, ORDERS), "poles")
     return stabil.representatives(stabil.clusters(poles, stabil.clearing(poles)), 5)
 
 

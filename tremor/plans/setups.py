@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremor.functions import modal
 from tremor.operators import channels, factors, geometry, identify, kalman, merge, signals, spectral, stabil, subspace
 from tremor.plans.catalogue import (
-    _CANDIDATES, _COMMON_SQL, _DOFS, _DOFS_SQL, _LINES, _MOVES_SQL, _NODES, _PAIRS, _SHAPES, H, LINES, PANEL, POLES_SQL, REFS, SEGMENTS,
-    _WELCH, _centred, _dofs, _event_corr, _mac_sql, _modes, _moves, _poles, _rounds, _segments, greedy_sql, query, rounded,
+    _CANDIDATES, _COMMON_SQL, _DOFS_SQL, _GRID_SQL, _LIMITS, _MOVES_SQL, _NODES, _OK, _PAIRS, _SHAPES, H, LINES, PANEL, POLES_SQL, REFS, SEGMENTS,
+    _WELCH, _centred, _dofs, _event_corr, _grid, _mac_sql, _modes, _moves, _poles, _rig, _rounds, _segments, greedy_sql, query, rounded,
 )
+from tremor.scratch import written
 from tremor.sources import panel
 from tremor.sources.setup_files import Setup
 
@@ -18,10 +19,8 @@ RATE = 1 / 3600
 START = "2024-01-01 00:00:00"
 
 # --- channel metadata ------------------------------------------------------------------------------
-# Two setups with names, tags and directions.
-_CHANNELS = [("s1", 0, "vx"), ("s1", 1, None), ("s1", 2, None), ("s1", 3, "ref"), ("s2", 0, None), ("s2", 1, "vy"), ("s2", 2, None)]
+# A setup is a week of the panel; its channels are the event types, some of them named, tagged and given directions by number.
 _TAGS = {"accel": [3], "velo": [0, 1], "disp": [1]}
-_NAMED_DOFS = [("s1", 0, "a", 0.0, 0.0, "a_x"), ("s1", 1, "b", 90.0, 0.0, "b_y"), ("s1", 1, "c", 0.0, 0.0, "c_x"), ("s1", 3, None, 0.0, 90.0, "free"), ("s2", 0, "a", 0.0, 0.0, "a_x"), ("s2", 2, "d", 0.0, 90.0, None)]
 
 
 def _sql_rows(rows: list[tuple], names: str) -> str:
@@ -29,62 +28,72 @@ def _sql_rows(rows: list[tuple], names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) v({names})"
 
 
-_TABLE_SQL = f"""
-given AS (SELECT setup, channel, name::VARCHAR AS name FROM {_sql_rows(_CHANNELS, "setup, channel, name")}),
+_TABLE_SQL = f"""{PANEL},
+given AS (SELECT DISTINCT 'w' || (n // 168) AS setup, channel, CASE WHEN channel IN (0, 3) THEN 'ch' || channel END AS name FROM panel),
 tagged AS (
   SELECT *, CASE WHEN channel IN (3) THEN 'accel' WHEN channel IN (0, 1) THEN 'velo' WHEN channel IN (1) THEN 'disp' ELSE 'accel' END AS quantity,
          (channel IN (3))::INT + (channel IN (0, 1))::INT + (channel IN (1))::INT AS n_tags, channel IN (1, 3) AS is_ref FROM given),
-named_dofs AS (SELECT setup, channel, node::VARCHAR AS node, azimuth::DOUBLE AS azimuth, elevation::DOUBLE AS elevation, name::VARCHAR AS name FROM {_sql_rows(_NAMED_DOFS, "setup, channel, node, azimuth, elevation, name")})
+named_dofs AS (
+  SELECT setup, channel, CASE WHEN channel < 2 THEN 'p' || channel WHEN channel < 4 THEN 'p' || channel || setup END AS node, 90.0::DOUBLE * channel AS azimuth, 0.0::DOUBLE AS elevation,
+         CASE WHEN channel < 3 THEN 'd' || channel WHEN channel = 4 THEN 'free' END AS name FROM given
+  UNION ALL SELECT setup, channel, 'q', 0.0::DOUBLE, 0.0::DOUBLE, 'q_x' FROM given WHERE channel = 1)
 """
 
 
-def _table(spark: SparkSession) -> DataFrame:
-    return channels.described(spark.createDataFrame(_CHANNELS, "setup string, channel int, name string"), RATE, [1, 3], _TAGS, START)
+def _weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = panel.hourly_events(spark, sf_dir).select(F.concat(F.lit("w"), F.floor(F.col("n") / 168)).alias("setup"), "channel").distinct()
+    return rows.withColumn("name", F.when(F.col("channel").isin(0, 3), F.concat(F.lit("ch"), "channel")))
 
 
-def _named_dofs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_NAMED_DOFS, "setup string, channel int, node string, azimuth double, elevation double, name string")
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return channels.described(_weeks(spark, sf_dir), RATE, [1, 3], _TAGS, START)
+
+
+def _named_dofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _weeks(spark, sf_dir)
+    own = given.selectExpr("setup", "channel", "CASE WHEN channel < 2 THEN concat('p', channel) WHEN channel < 4 THEN concat('p', channel, setup) END AS node", "double(90 * channel) AS azimuth", "double(0) AS elevation", "CASE WHEN channel < 3 THEN concat('d', channel) WHEN channel = 4 THEN 'free' END AS name")
+    return own.unionByName(given.where("channel = 1").selectExpr("setup", "channel", "'q' AS node", "double(0) AS azimuth", "double(0) AS elevation", "'q_x' AS name"))
 
 
 @query(f"WITH {_TABLE_SQL} SELECT setup, channel, name, quantity, n_tags, is_ref, (1 / 3600)::DOUBLE AS rate, TIMESTAMP '{START}' AS start FROM tagged")
 def channel_table(spark, sf_dir):
-    return _table(spark)
+    return _table(spark, sf_dir)
 
 
 @query(f"WITH {_TABLE_SQL} SELECT setup, channel, quantity, is_ref FROM (SELECT setup, channel, CASE WHEN channel IN (1, 2) THEN 'disp' ELSE quantity END AS quantity, channel IN (0) AS is_ref FROM tagged)")
 def channel_retagged(spark, sf_dir):
-    return channels.with_references(channels.retagged(_table(spark), "disp", [1, 2]), [0]).select("setup", "channel", "quantity", "is_ref")
+    return channels.with_references(channels.retagged(_table(spark, sf_dir), "disp", [1, 2]), [0]).select("setup", "channel", "quantity", "is_ref")
 
 
-@query(f"WITH {_TABLE_SQL} SELECT setup, channel, 'several quantities' AS problem FROM tagged WHERE n_tags > 1 UNION ALL SELECT setup, 3, 'no such channel' FROM (SELECT DISTINCT setup FROM given) WHERE setup NOT IN (SELECT setup FROM given WHERE channel = 3)")
+@query(f"WITH {_TABLE_SQL} SELECT setup, channel, 'several quantities' AS problem FROM tagged WHERE n_tags > 1 UNION ALL SELECT DISTINCT setup, 7, 'no such channel' FROM given")
 def channel_problems(spark, sf_dir):
-    return channels.problems(_table(spark), [0, 3])
+    return channels.problems(_table(spark, sf_dir), [0, 7])
 
 
-@query(f"WITH {_TABLE_SQL} SELECT a.setup, a.channel, b.channel AS ref FROM tagged a JOIN tagged b ON a.setup = b.setup AND b.is_ref WHERE a.channel = 2 OR a.name IN ('vx', 'vy')")
+@query(f"WITH {_TABLE_SQL} SELECT a.setup, a.channel, b.channel AS ref FROM tagged a JOIN tagged b ON a.setup = b.setup AND b.is_ref WHERE a.channel = 2 OR a.name IN ('ch0', 'ch3')")
 def channel_pairs(spark, sf_dir):
-    return channels.pairs_of(_table(spark), [2, "vx", "vy"])
+    return channels.pairs_of(_table(spark, sf_dir), [2, "ch0", "ch3"])
 
 
 @query(f"WITH {_TABLE_SQL}, p AS (SELECT a.setup, a.channel, b.channel AS ref FROM tagged a JOIN tagged b ON a.setup = b.setup AND b.is_ref) SELECT setup, channel, ref FROM p WHERE channel <= ref OR NOT EXISTS (SELECT 1 FROM p q WHERE q.setup = p.setup AND q.channel = p.ref AND q.ref = p.channel)")
 def channel_pairs_once(spark, sf_dir):
-    return channels.non_redundant(channels.pairs_of(_table(spark)))
+    return channels.non_redundant(channels.pairs_of(_table(spark, sf_dir)))
 
 
 @query(f"WITH {_TABLE_SQL} SELECT t.setup, t.channel, coalesce(t.name, min(d.name), 'Channel_' || t.channel) AS name FROM tagged t LEFT JOIN named_dofs d USING (setup, channel) GROUP BY t.setup, t.channel, t.name")
 def channel_names(spark, sf_dir):
-    return channels.named(_table(spark), _named_dofs(spark)).select("setup", "channel", "name")
+    return channels.named(_table(spark, sf_dir), _named_dofs(spark, sf_dir)).select("setup", "channel", "name")
 
 
 @query(f"WITH {_TABLE_SQL} SELECT t.setup, t.channel, t.quantity, d.node, d.azimuth, d.elevation FROM tagged t JOIN (SELECT * FROM named_dofs WHERE node IS NOT NULL QUALIFY row_number() OVER (PARTITION BY setup, channel ORDER BY node, azimuth, elevation) = 1) d USING (setup, channel)")
 def channel_directions(spark, sf_dir):
-    return channels.with_directions(_table(spark), _named_dofs(spark)).select("setup", "channel", "quantity", "node", "azimuth", "elevation")
+    return channels.with_directions(_table(spark, sf_dir), _named_dofs(spark, sf_dir)).select("setup", "channel", "quantity", "node", "azimuth", "elevation")
 
 
-@query(f"WITH {_TABLE_SQL}, c AS (SELECT node, azimuth, elevation FROM named_dofs WHERE node IS NOT NULL GROUP BY ALL HAVING count(DISTINCT setup) = 2) SELECT d.setup, d.channel, d.node, d.azimuth, d.elevation, t.is_ref AS usable FROM named_dofs d JOIN c USING (node, azimuth, elevation) JOIN tagged t ON t.setup = d.setup AND t.channel = d.channel")
+@query(f"WITH {_TABLE_SQL}, c AS (SELECT node, azimuth, elevation FROM named_dofs WHERE node IS NOT NULL GROUP BY ALL HAVING count(DISTINCT setup) = (SELECT count(DISTINCT setup) FROM given)) SELECT d.setup, d.channel, d.node, d.azimuth, d.elevation, t.is_ref AS usable FROM named_dofs d JOIN c USING (node, azimuth, elevation) JOIN tagged t ON t.setup = d.setup AND t.channel = d.channel")
 def channels_of_common(spark, sf_dir):
-    dofs = _named_dofs(spark)
-    return channels.of_common(_table(spark), dofs, merge.common_dofs(dofs.where("node IS NOT NULL")))
+    dofs = _named_dofs(spark, sf_dir)
+    return channels.of_common(_table(spark, sf_dir), dofs, merge.common_dofs(dofs.where("node IS NOT NULL")))
 
 
 def _panel_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -103,14 +112,14 @@ def durations(spark, sf_dir):
     return rounded(channels.durations(*_panel_table(spark, sf_dir)), 6, "dt", "duration")
 
 
-@query(f"SELECT k::INT AS k, {_rounds(10, freq=f'k / 3600.0 / {LINES}')} FROM (SELECT unnest(range({LINES // 2 + 1})) AS k)")
+@query(f"WITH {PANEL} SELECT k::INT AS k, {_rounds(12, freq='k / 3600.0 / h')} FROM span, (SELECT unnest(range({H} // 2 + 1)) AS k)")
 def frequency_lines(spark, sf_dir):
-    return rounded(channels.frequency_axis(spark, RATE, LINES), 10, "freq")
+    return rounded(channels.frequency_axis(spark, RATE, panel.hours(spark, sf_dir)), 12, "freq")
 
 
-@query(f"SELECT lag::INT AS lag, {_rounds(6, tau='lag * 3600.0')} FROM (SELECT unnest(range(48)) AS lag)")
+@query(f"WITH {PANEL} SELECT lag::INT AS lag, {_rounds(6, tau='lag * 3600.0')} FROM (SELECT unnest(range({H} // 15)) AS lag)")
 def lag_times(spark, sf_dir):
-    return rounded(channels.lag_axis(spark, RATE, 48), 6, "tau")
+    return rounded(channels.lag_axis(spark, RATE, panel.hours(spark, sf_dir) // 15), 6, "tau")
 
 
 _SETUP = Setup("events", RATE, [0, 4], [1, 3], {"accel": [0], "velo": [2, 4], "disp": []})
@@ -202,69 +211,67 @@ def impulse_responses(spark, sf_dir):
 # --- stabilisation ---------------------------------------------------------------------------------
 
 _UNSURE = "0.03 * f * (1 + sin(ord)) AS std_f, 0.05 * d * (1 + cos(ord)) AS std_d, 0.4 * sin(ord + idx) AS mc"
-_MET = "met AS (SELECT ord, idx, bool_or(d_f > 0 AND d_f <= 0.003 AND d_d > 0 AND d_d <= 0.02 AND d_mac > 0 AND d_mac <= 0.0002) AS a FROM pairs GROUP BY ord, idx)"
-_INSIDE = "d BETWEEN 0 AND 100 AND mpc >= 0 AND mpd <= 90 AND f > 0 AND ord >= 4 AND (ord - 4) % 2 = 0 AND ord < 12 AND std_f <= 0.05 * f AND std_d <= 0.08 * d AND abs(mc) >= 0.1"
+_MET = f"met AS (SELECT ord, idx, bool_or({' AND '.join(_OK.values())}) AS a FROM pairs GROUP BY ord, idx)"
+_INSIDE = "d BETWEEN 0 AND 100 AND mpc >= 0 AND mpd <= 90 AND f > 0 AND ord >= 4 AND (ord - 4) % 2 = 0 AND ord < 24 AND std_f <= 0.05 * f AND std_d <= 0.08 * d AND abs(mc) >= 0.1"
 _MASKED = f"unsure AS (SELECT *, {_UNSURE} FROM criteria), {_MET}, masked AS (SELECT ord, idx, {_INSIDE} AS in_range, ({_INSIDE}) AND coalesce(a, false) AS stable FROM unsure LEFT JOIN met USING (ord, idx))"
 
 
-def _unsure(spark: SparkSession) -> DataFrame:
-    return _poles(spark).selectExpr("*", *_UNSURE.split(", "))
+def _unsure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _poles(spark, sf_dir).selectExpr("*", *_UNSURE.split(", "))
 
 
-def _masked(spark: SparkSession) -> DataFrame:
-    return stabil.masks(_unsure(spark), 0.003, 0.02, 0.0002, orders=(4, 12, 2), std_f_max=5.0, std_d_max=8.0, mc_min=0.1)
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stabil.masks(_unsure(spark, sf_dir), *_LIMITS, orders=(4, 24, 2), std_f_max=5.0, std_d_max=8.0, mc_min=0.1)
 
 
 @query(f"WITH {POLES_SQL}, {_SHAPES}, {_PAIRS}, {_MASKED} SELECT ord, idx, in_range, stable FROM masked")
 def masks_of_uncertain(spark, sf_dir):
-    return _masked(spark).select("ord", "idx", "in_range", "stable")
+    return _masked(spark, sf_dir).select("ord", "idx", "in_range", "stable")
 
 
-@query(f"WITH {POLES_SQL}, {_SHAPES}, {_PAIRS}, {_MASKED}, least AS (SELECT ord, idx, min(d_f) AS x FROM pairs GROUP BY ord, idx) SELECT floor(x * 20 / 0.01)::INT AS bin, count(*) AS n, (count(*) FILTER (stable))::BIGINT AS n_stable FROM least JOIN masked USING (ord, idx) WHERE x < 0.01 GROUP BY 1")
+@query(f"WITH {POLES_SQL}, {_SHAPES}, {_PAIRS}, {_MASKED}, least AS (SELECT ord, idx, min(d_f) AS x FROM pairs GROUP BY ord, idx) SELECT floor(x * 20 / 0.5)::INT AS bin, count(*) AS n, (count(*) FILTER (stable))::BIGINT AS n_stable FROM least JOIN masked USING (ord, idx) WHERE x < 0.5 GROUP BY 1")
 def stable_histogram(spark, sf_dir):
-    return stabil.selected_histogram(stabil.pole_pairs(_poles(spark)), _masked(spark), "d_f", 20, 0.01)
-
-
-_CHOSEN = [(13, 0), (13, 2), (12, 1)]
+    return stabil.selected_histogram(stabil.pole_pairs(_poles(spark, sf_dir)), _masked(spark, sf_dir), "d_f", 20, 0.5)
 
 
-def _selection(spark: SparkSession) -> DataFrame:
-    one = spark.createDataFrame([("rule", o, i) for o, i in _CHOSEN], "setup string, ord int, idx int")
-    return stabil.remove_mode(stabil.add_mode(stabil.add_mode(one, "rule", 10, 3), "rule", 9, 1), "rule", 9, 1)
+def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poles of every fifth day; one is added by hand, another added and taken out again."""
+    one = _poles(spark, sf_dir).where("ord % 5 = 3").select("setup", "ord", "idx")
+    return stabil.remove_mode(stabil.add_mode(stabil.add_mode(one, "events", 10, 0), "events", 9, 0), "events", 9, 0)
 
 
 @query(
-    f"""WITH {POLES_SQL}, {_SHAPES}, {_PAIRS}, chosen AS (SELECT * FROM {_sql_rows([*_CHOSEN, (10, 3)], "ord, idx")}),
+    f"""WITH {POLES_SQL}, {_SHAPES}, {_PAIRS}, chosen AS (SELECT ord, idx FROM poles WHERE ord % 5 = 3 UNION SELECT 10, 0),
 least AS (SELECT ord, idx, min(d_mp) FILTER (d_mp > 0) AS d_mp, min(d_mpd) FILTER (d_mpd > 0) AS d_mpd FROM pairs GROUP BY ord, idx)
 SELECT (row_number() OVER (ORDER BY f, ord, idx) - 1)::INT AS mode, ord, idx, {_rounds(6, f='f', d='d', mpc='mpc', mp='mp', mpd='mpd', d_mp='d_mp', d_mpd='d_mpd')} FROM criteria JOIN chosen USING (ord, idx) LEFT JOIN least USING (ord, idx)"""
 )
 def modal_values(spark, sf_dir):
-    return rounded(stabil.modal_values(_poles(spark), _selection(spark)), 6, "f", "d", "mpc", "mp", "mpd", "d_mp", "d_mpd")
+    return rounded(stabil.modal_values(_poles(spark, sf_dir), _selection(spark, sf_dir)), 6, "f", "d", "mpc", "mp", "mpd", "d_mp", "d_mpd")
 
 
-_POINTS = [(0, 1.6, 5.0), (1, 4.0, 9.0), (2, 7.6, 13.0)]
+_POINTS = [(0, 0.08, 5.0), (1, 0.2, 9.0), (2, 0.35, 13.0)]
 
 
-@query(f"WITH {POLES_SQL}, q AS (SELECT * FROM {_sql_rows(_POINTS, 'id, qf, qord')}) SELECT id, ord, idx FROM poles, q QUALIFY row_number() OVER (PARTITION BY id ORDER BY ((f - qf) / 10) ** 2 + ((ord - qord) / 14) ** 2, ord, idx) = 1")
+@query(f"WITH {POLES_SQL}, q AS (SELECT * FROM {_sql_rows(_POINTS, 'id, qf, qord')}) SELECT id, ord, idx FROM poles, q QUALIFY row_number() OVER (PARTITION BY id ORDER BY ((f - qf) / 0.5) ** 2 + ((ord - qord) / 14) ** 2, ord, idx) = 1")
 def nearest_poles(spark, sf_dir):
-    points = spark.createDataFrame([(i, "rule", f, o) for i, f, o in _POINTS], "id int, setup string, f double, ord double")
-    return stabil.nearest_pole(_poles(spark), points, 10.0, 14.0).drop("setup")
+    points = spark.createDataFrame([(i, "events", f, o) for i, f, o in _POINTS], "id int, setup string, f double, ord double")
+    return stabil.nearest_pole(_poles(spark, sf_dir), points, 0.5, 14.0).drop("setup")
 
 
 @query(f"WITH {POLES_SQL} SELECT ord, {_rounds(8, mc='abs(sum(mc))')} FROM (SELECT ord, {_UNSURE} FROM poles) GROUP BY ord")
 def contributions_by_order(spark, sf_dir):
-    return rounded(stabil.contributions_by_order(_unsure(spark)), 8, "mc")
+    return rounded(stabil.contributions_by_order(_unsure(spark, sf_dir)), 8, "mc")
 
 
 # Fixed value: 97.5 % quantile of Student's t with 30 degrees of freedom.
 @query(f"WITH {POLES_SQL} SELECT ord, idx, {_rounds(6, half_f='2.0422724563012373 * std_f / sqrt(30)', half_d='2.0422724563012373 * std_d / sqrt(30)')} FROM (SELECT ord, idx, {_UNSURE} FROM poles)")
 def confidence_intervals(spark, sf_dir):
-    return rounded(stabil.confidence(_unsure(spark), 30).select("ord", "idx", "half_f", "half_d"), 6, "half_f", "half_d")
+    return rounded(stabil.confidence(_unsure(spark, sf_dir), 30).select("ord", "idx", "half_f", "half_d"), 6, "half_f", "half_d")
 
 
 @query()
 def clustered_selection(spark, sf_dir):
-    poles = identify.ssi_cov_poles(_event_corr(spark, sf_dir), 1.0, 20, range(4, 21, 2))
+    poles = written(identify.ssi_cov_poles(_event_corr(spark, sf_dir), 1.0, 20, range(4, 21, 2)), "poles")
     return stabil.representatives(stabil.clusters(poles, stabil.clearing(poles)))
 
 
@@ -275,21 +282,19 @@ _EVERY = f"every AS (SELECT a.idx AS mode_a, b.idx AS mode_b, (abs(b.f - a.f) /
 
 @query(f"WITH RECURSIVE {POLES_SQL}, {_EVERY}, {greedy_sql('every')} SELECT mode_a, mode_b, {_rounds(8, d_f='d_f', mac='mac')} FROM taken WHERE mode_a IS NOT NULL")
 def nearest_pairs(spark, sf_dir):
-    return rounded(merge.pairs(merge.all_candidates(_modes(spark, 13), _modes(spark, 3))), 8, "d_f", "mac")
+    return rounded(merge.pairs(merge.all_candidates(_modes(spark, sf_dir, 13), _modes(spark, sf_dir, 3))), 8, "d_f", "mac")
 
 
-# Pairs of three setups with a base setup.
-_PAIRED = [("s2", 0, 1), ("s2", 1, 0), ("s2", 3, 2), ("s3", 0, 0), ("s3", 3, 1), ("s4", 0, 2), ("s4", 1, 1), ("s4", 3, 0)]
-
-
-@query(f"WITH p AS (SELECT * FROM {_sql_rows(_PAIRED, 'setup, mode_a, mode_b')}) SELECT setup, mode_a, mode_b FROM p WHERE mode_a IN (SELECT mode_a FROM p GROUP BY mode_a HAVING count(DISTINCT setup) = 3)")
+@query(f"WITH {POLES_SQL}, p AS (SELECT 'day' || ord AS setup, idx AS mode_a, (row_number() OVER (PARTITION BY ord ORDER BY d, idx) - 1)::INT AS mode_b FROM poles) SELECT setup, mode_a, mode_b FROM p WHERE mode_a IN (SELECT mode_a FROM p GROUP BY mode_a HAVING count(DISTINCT setup) = (SELECT count(DISTINCT setup) FROM p))")
 def common_modes(spark, sf_dir):
-    return merge.common_modes(spark.createDataFrame(_PAIRED, "setup string, mode_a int, mode_b int"), 3).select("setup", "mode_a", "mode_b")
+    """Days are setups: a day's poles by frequency are paired with the same by damping."""
+    found = _poles(spark, sf_dir).select(F.concat(F.lit("day"), "ord").alias("setup"), F.col("idx").alias("mode_a"), (F.row_number().over(Window.partitionBy("ord").orderBy("d", "idx")) - 1).alias("mode_b"))
+    return merge.common_modes(found, found.select("setup").distinct().count()).select("setup", "mode_a", "mode_b")
 
 
-def _two(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    a, b = (_poles(spark).where(F.col("ord") == o).select(F.col("idx").alias("mode"), "f", "d", "phi_re", "phi_im") for o in (13, 3))
-    return a, b, merge.pairs(merge.pair_candidates(a, b))
+def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    a, b = (_poles(spark, sf_dir).where(F.col("ord") == o).select(F.col("idx").alias("mode"), "f", "d", "phi_re", "phi_im") for o in (13, 3))
+    return a, b, merge.pairs(merge.pair_candidates(a, b, 0.6, 0.1))
 
 
 _NEAR3 = _CANDIDATES.replace("b.ord = 5", "b.ord = 3")
@@ -302,68 +307,73 @@ SELECT count(*) AS n, {_rounds(8, mean_df='avg(a.f - b.f)', std_df='stddev_pop(a
 FROM found JOIN poles a ON a.ord = 13 AND a.idx = mode_a JOIN poles b ON b.ord = 3 AND b.idx = mode_b"""
 )
 def pair_statistics(spark, sf_dir):
-    return rounded(merge.pair_statistics(*_two(spark)), 8, "mean_df", "std_df", "mean_dd", "std_dd", "mean_mac", "min_mac")
+    return rounded(merge.pair_statistics(*_two(spark, sf_dir)), 8, "mean_df", "std_df", "mean_dd", "std_dd", "mean_mac", "min_mac")
 
 
 @query(f"WITH RECURSIVE {POLES_SQL}, {_NEAR3}, {greedy_sql('candidates')} SELECT idx AS mode, f::DOUBLE AS f FROM poles WHERE ord = 13 AND idx NOT IN (SELECT mode_a FROM taken WHERE mode_a IS NOT NULL)")
 def unpaired_modes(spark, sf_dir):
-    a, _, found = _two(spark)
+    a, _, found = _two(spark, sf_dir)
     return merge.unpaired(a, found, "a").select("mode", "f")
 
 
-@query(f"WITH {_DOFS_SQL} SELECT 's9' AS setup, 'no directions' AS problem UNION ALL SELECT DISTINCT setup, 'no selected modes' FROM dofs WHERE setup <> 's1'")
+@query(f"WITH {_DOFS_SQL} SELECT 'x' || setup AS setup, 'no directions' AS problem FROM dofs WHERE channel = 0 AND setup >= 's2' UNION ALL SELECT DISTINCT setup, 'no selected modes' FROM dofs WHERE setup >= 's2'")
 def setup_problems(spark, sf_dir):
-    return merge.setup_problems(_dofs(spark), spark.createDataFrame([("s1", 0), ("s9", 0)], "setup string, mode int"))
+    """Modes of some setups are there, those of the others under wrong names."""
+    dofs = _dofs(spark, sf_dir)
+    modes = dofs.where("channel = 0").select(F.expr("CASE WHEN setup >= 's2' THEN concat('x', setup) ELSE setup END").alias("setup"), F.lit(0).alias("mode"))
+    return merge.setup_problems(dofs, modes)
 
 
-_SHAPES_SQL = f"""
-raw AS (SELECT d.setup, m.idx AS mode, d.node, d.azimuth::DOUBLE AS azimuth, d.elevation::DOUBLE AS elevation, (1 + 0.3 * m.idx + 0.2 * ascii(d.node) - 0.1 * d.azimuth / 90)::DOUBLE AS u, (0.1 * m.idx - 0.02 * ascii(d.node))::DOUBLE AS v,
-  (CASE d.setup WHEN 's1' THEN 1.0 WHEN 's2' THEN 0.5 ELSE -2.0 END)::DOUBLE AS p, (CASE d.setup WHEN 's1' THEN 0.0 WHEN 's2' THEN 0.25 ELSE 1.0 END)::DOUBLE AS q FROM dofs d, (VALUES (0), (1)) m(idx)),
-shapes AS (SELECT setup, mode, node, azimuth, elevation, u * p - v * q AS re, u * q + v * p AS im FROM raw)
+_SHAPES_SQL = """
+raw AS (SELECT d.setup, m.idx AS mode, d.node, d.azimuth::DOUBLE AS azimuth, d.elevation::DOUBLE AS elevation, (1 + 0.3 * m.idx + 0.2 * d.channel - 0.1 * d.azimuth / 90)::DOUBLE AS u, (0.1 * m.idx - 0.02 * d.channel)::DOUBLE AS v FROM dofs d, (VALUES (0), (1)) m(idx)),
+base AS (SELECT min(setup) AS base FROM dofs)
 """
 
 
 @query(
-    f"""WITH {_DOFS_SQL}, {_COMMON_SQL}, {_SHAPES_SQL}, whole AS (SELECT DISTINCT mode, node, azimuth, elevation, u, v FROM raw),
+    f"""WITH {_DOFS_SQL}, {_COMMON_SQL}, {_SHAPES_SQL},
+whole AS (SELECT r.* FROM raw r, base WHERE setup = base UNION ALL SELECT r.* FROM (SELECT * FROM raw ANTI JOIN common USING (node, azimuth, elevation)) r, base WHERE setup <> base),
 top AS (SELECT mode, u AS tu, v AS tv FROM whole QUALIFY row_number() OVER (PARTITION BY mode ORDER BY u * u + v * v DESC) = 1)
 SELECT mode, node, azimuth, elevation, {_rounds(8, re='(u * tu + v * tv) / (tu * tu + tv * tv)', im='(v * tu - u * tv) / (tu * tu + tv * tv)')} FROM whole JOIN top USING (mode)"""
 )
 def merged_shapes(spark, sf_dir):
-    """Every setup holds the same shape on a scale of its own, so merging gives back the whole shape."""
-    raw = _dofs(spark).crossJoin(spark.range(2).select(F.col("id").cast("int").alias("mode"))).selectExpr(
-        "*", "double(1 + 0.3 * mode + 0.2 * ascii(node) - 0.1 * azimuth / 90) AS u", "double(0.1 * mode - 0.02 * ascii(node)) AS v",
-        "double(CASE setup WHEN 's1' THEN 1.0 WHEN 's2' THEN 0.5 ELSE -2.0 END) AS p", "double(CASE setup WHEN 's1' THEN 0.0 WHEN 's2' THEN 0.25 ELSE 1.0 END) AS q",
-    )
+    """Every nation's suppliers hold the same shape on a scale of their own, so merging gives back one shape."""
+    raw = _dofs(spark, sf_dir).crossJoin(spark.range(2).select(F.col("id").cast("int").alias("mode"))).selectExpr(
+        "*", "double(1 + 0.3 * mode + 0.2 * channel - 0.1 * azimuth / 90) AS u", "double(0.1 * mode - 0.02 * channel) AS v", "1 + 0.1D * int(substr(setup, 2)) AS p", "0.05D * int(substr(setup, 2)) AS q"
+    )
     shapes = raw.selectExpr("setup", "mode", "node", "azimuth", "elevation", "u * p - v * q AS re", "u * q + v * p AS im")
-    return rounded(merge.merged_shapes(shapes, "s1"), 8, "re", "im")
+    return rounded(merge.merged_shapes(shapes, raw.agg(F.min("setup")).first()[0]), 8, "re", "im")
 
 
 # --- geometry --------------------------------------------------------------------------------------
 
-_NEW_LINES = [("d", "a"), ("a", "d"), ("b", "d"), ("b", "x")]
+_NEW_SQL = "new AS (SELECT stop AS start, start AS stop FROM lines WHERE key % 2 = 0 UNION ALL SELECT 'p' || key, 'p' || (key + 2) FROM nodes)"
 
 
-@query(f"WITH every AS (SELECT * FROM {_sql_rows(_LINES, 'start, stop')} UNION ALL SELECT * FROM {_sql_rows(_NEW_LINES[:3], 'start, stop')}) SELECT min(start) FILTER (start = o.a) AS start, o.b AS stop FROM every, LATERAL (SELECT least(start, stop) AS x, greatest(start, stop) AS y) k, LATERAL (SELECT CASE WHEN EXISTS (SELECT 1 FROM every e WHERE e.start = k.x AND e.stop = k.y) THEN k.x ELSE k.y END AS a, CASE WHEN EXISTS (SELECT 1 FROM every e WHERE e.start = k.x AND e.stop = k.y) THEN k.y ELSE k.x END AS b) o GROUP BY k.x, k.y, o.a, o.b")
+@query(f"WITH {_GRID_SQL}, {_NEW_SQL}, every AS (SELECT start, stop FROM lines UNION ALL SELECT start, stop FROM new WHERE start IN (SELECT node FROM nodes) AND stop IN (SELECT node FROM nodes)) SELECT CASE WHEN bool_or(start < stop) THEN least(min(start), min(stop)) ELSE greatest(max(start), max(stop)) END AS start, CASE WHEN bool_or(start < stop) THEN greatest(max(start), max(stop)) ELSE least(min(start), min(stop)) END AS stop FROM every GROUP BY least(start, stop), greatest(start, stop)")
 def geometry_lines(spark, sf_dir):
-    kind = "start string, stop string"
-    nodes = spark.createDataFrame(_NODES, "node string, x double, y double, z double")
-    return geometry.add_lines(spark.createDataFrame(_LINES, kind), spark.createDataFrame(_NEW_LINES, kind), nodes)
+    """Lines of the nations, with some the other way round, and lines from every supplier to the one after next, which need not be there."""
+    nodes, lines = _grid(spark, sf_dir)
+    new = lines.where("key % 2 = 0").select(F.col("stop").alias("start"), F.col("start").alias("stop")).unionByName(nodes.selectExpr("node AS start", "concat('p', key + 2) AS stop"))
+    return geometry.add_lines(lines, new, nodes)
 
 
-@query(f"SELECT node, {_rounds(6, x='2.5 * x', y='2.5 * y', z='2.5 * z')} FROM (SELECT * FROM {_sql_rows([n for n in _NODES if n[0] != 'b'] + [('b', 4.0, 4.0, 4.0), ('e', 1.0, 2.0, 3.0)], 'node, x, y, z')})")
+@query(f"WITH {_GRID_SQL} SELECT node, {_rounds(6, x='2.5 * x', y='2.5 * y', z='2.5 * z')} FROM (SELECT node, CASE WHEN key % 5 = 0 THEN 4.0 ELSE x END AS x, y, z FROM nodes UNION ALL SELECT 'q' || key, y, x, z FROM nodes WHERE key % 5 = 1)")
 def geometry_nodes(spark, sf_dir):
-    kind = "node string, x double, y double, z double"
-    return rounded(geometry.rescaled(geometry.add_nodes(spark.createDataFrame(_NODES, kind), spark.createDataFrame([("b", 4.0, 4.0, 4.0), ("e", 1.0, 2.0, 3.0)], kind)), 2.5), 6, "x", "y", "z")
+    """Some nodes are moved, some are new, all are rescaled."""
+    nodes = _grid(spark, sf_dir)[0]
+    new = nodes.where("key % 5 = 0").withColumn("x", F.lit(4.0)).unionByName(nodes.where("key % 5 = 1").selectExpr("concat('q', key) AS node", "y AS x", "x AS y", "z", "key"))
+    return rounded(geometry.rescaled(geometry.add_nodes(nodes, new), 2.5), 6, "x", "y", "z").select("node", "x", "y", "z")
 
 
-@query(f"SELECT setup, channel, CASE WHEN node <> 'c' THEN node END AS node FROM {_sql_rows(_DOFS, 'setup, channel, node, azimuth, elevation')}")
+@query(f"WITH {_DOFS_SQL} SELECT setup, channel, CASE WHEN node <> 'p0' THEN node END AS node FROM dofs")
 def geometry_free_dofs(spark, sf_dir):
-    return geometry.without_dofs(_dofs(spark), spark.createDataFrame([("c",)], "node string")).select("setup", "channel", "node")
+    return geometry.without_dofs(_dofs(spark, sf_dir), spark.createDataFrame([("p0",)], "node string")).select("setup", "channel", "node")
 
 
 @query(f"WITH {_MOVES_SQL} SELECT mode, node, axis, {_rounds(6, size='sqrt(re ** 2 + im ** 2)::DOUBLE', phase='atan2(im, re)::DOUBLE')} FROM moves")
 def displayed_shape(spark, sf_dir):
-    return rounded(geometry.shown(_moves(spark)), 6, "size", "phase")
+    return rounded(geometry.shown(_moves(spark, sf_dir)), 6, "size", "phase")
 
 
 # E follows a and b, f follows e.
@@ -380,13 +390,13 @@ SELECT mode, node, axis, {_rounds(6, re='re::DOUBLE', im='im::DOUBLE')} FROM (SE
 )
 def dependent_nodes(spark, sf_dir):
     links = spark.createDataFrame(_LINKS, "parent string, px double, py double, pz double, child string, cx double, cy double, cz double")
-    return rounded(geometry.with_dependent(_moves(spark), links).where("node IN ('e', 'f')"), 6, "re", "im")
+    return rounded(geometry.with_dependent(_moves(spark, sf_dir), links).where("node IN ('e', 'f')"), 6, "re", "im")
 
 
 @query(f"WITH {PANEL} SELECT n, node, axis, {_rounds(4, at='CASE axis WHEN own THEN r + 0.001 * y ELSE r END')} FROM centred JOIN (VALUES (0, 'a', 'x'), (1, 'b', 'y'), (2, 'c', 'z')) d(channel, node, own) USING (channel) JOIN (SELECT node, unnest(['x', 'y', 'z']) AS axis, unnest([x, y, z]) AS r FROM {_sql_rows(_NODES, 'node, x, y, z')}) USING (node)")
 def measured_frames(spark, sf_dir):
     nodes = spark.createDataFrame(_NODES, "node string, x double, y double, z double")
-    return rounded(geometry.measured_frames(nodes, _dofs(spark).where("setup = 's1'"), _centred(spark, sf_dir), 0.001), 4, "at")
+    return rounded(geometry.measured_frames(nodes, _rig(spark), _centred(spark, sf_dir), 0.001), 4, "at")
 
 
 # --- identification --------------------------------------------------------------------------------
@@ -395,17 +405,17 @@ def measured_frames(spark, sf_dir):
 @query(f"WITH {POLES_SQL}, t AS (SELECT *, list_transform(range(1, len(phi_re) + 1), lambda j: phi_re[j] ** 2 + phi_im[j] ** 2) AS sizes FROM poles), w AS (SELECT *, phi_re[list_position(sizes, list_max(sizes))]::DOUBLE AS a, phi_im[list_position(sizes, list_max(sizes))]::DOUBLE AS b FROM t), j AS (SELECT *, unnest(range(1, len(phi_re) + 1)) AS j FROM w) SELECT ord, idx, (j - 1)::INT AS channel, {_rounds(8, re='(phi_re[j] * a + phi_im[j] * b) / sqrt(a * a + b * b)', im='(phi_im[j] * a - phi_re[j] * b) / sqrt(a * a + b * b)')} FROM j")
 def rotated_shapes(spark, sf_dir):
     re, im = modal.rotated(F.col("phi_re"), F.col("phi_im"))
-    flat = _poles(spark).select("ord", "idx", F.posexplode(F.arrays_zip(re.alias("re"), im.alias("im"))).alias("channel", "z")).select("ord", "idx", "channel", "z.re", "z.im")
+    flat = _poles(spark, sf_dir).select("ord", "idx", F.posexplode(F.arrays_zip(re.alias("re"), im.alias("im"))).alias("channel", "z")).select("ord", "idx", "channel", "z.re", "z.im")
     return rounded(flat, 8, "re", "im")
 
 
 _W = "(2 * pi() * f)"
 
 
-@query(f"WITH {POLES_SQL}, j AS (SELECT ord, idx, f, unnest([0, 1, 2]) AS c, unnest(['accel', 'velo', 'disp']) AS q, unnest(phi_re) AS a, unnest(phi_im) AS b FROM poles) SELECT ord, idx, c::INT AS channel, {_rounds(8, re=f'CASE q WHEN $accel$ THEN -a / {_W} ** 2 WHEN $velo$ THEN -b / {_W} ELSE a END', im=f'CASE q WHEN $accel$ THEN -b / {_W} ** 2 WHEN $velo$ THEN a / {_W} ELSE b END').replace('$accel$', chr(39) + 'accel' + chr(39)).replace('$velo$', chr(39) + 'velo' + chr(39))} FROM j")
+@query(f"WITH {POLES_SQL}, j AS (SELECT ord, idx, f, unnest(range(len(phi_re))) AS c, unnest(['accel', 'velo', 'disp', 'accel', 'velo']) AS q, unnest(phi_re) AS a, unnest(phi_im) AS b FROM poles) SELECT ord, idx, c::INT AS channel, {_rounds(8, re=f'CASE q WHEN $accel$ THEN -a / {_W} ** 2 WHEN $velo$ THEN -b / {_W} ELSE a END', im=f'CASE q WHEN $accel$ THEN -b / {_W} ** 2 WHEN $velo$ THEN a / {_W} ELSE b END').replace('$accel$', chr(39) + 'accel' + chr(39)).replace('$velo$', chr(39) + 'velo' + chr(39))} FROM j")
 def displacement_shapes(spark, sf_dir):
-    re, im = modal.as_displacements(F.col("phi_re"), F.col("phi_im"), F.array(F.lit("accel"), F.lit("velo"), F.lit("disp")), F.col("f"))
-    flat = _poles(spark).select("ord", "idx", F.posexplode(F.arrays_zip(re.alias("re"), im.alias("im"))).alias("channel", "z")).select("ord", "idx", "channel", "z.re", "z.im")
+    re, im = modal.as_displacements(F.col("phi_re"), F.col("phi_im"), F.array(*map(F.lit, ("accel", "velo", "disp", "accel", "velo"))), F.col("f"))
+    flat = _poles(spark, sf_dir).select("ord", "idx", F.posexplode(F.arrays_zip(re.alias("re"), im.alias("im"))).alias("channel", "z")).select("ord", "idx", "channel", "z.re", "z.im")
     return rounded(flat, 8, "re", "im")
 
 

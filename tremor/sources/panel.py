@@ -9,23 +9,23 @@ def _hour() -> Column:
     return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000))
 
 
-def _span(events: DataFrame) -> tuple[int, int]:
-    """First hour and number of hours, from midnight before the first event to midnight after the last one."""
-    low, high = events.where("event_type IS NOT NULL").agg(F.min(_hour()), F.max(_hour())).first()
-    return (0, 0) if low is None else (low // 24 * 24, (high // 24 + 1) * 24 - low // 24 * 24)
+def _bounds(events: DataFrame) -> tuple[int, int, list[str]]:
+    """First hour and number of hours, from midnight before the first event to midnight after the last one, and the event types by name."""
+    low, high, types = events.where("event_type IS NOT NULL").agg(F.min(_hour()), F.max(_hour()), F.array_sort(F.collect_set("event_type"))).first()
+    return (0, 0, []) if low is None else (low // 24 * 24, (high // 24 + 1) * 24 - low // 24 * 24, types)
 
 
 def hours(spark: SparkSession, sf_dir: str) -> int:
     """Samples of the event panel."""
-    return _span(spark.read.parquet(f"{sf_dir}/events.parquet"))[1]
+    low, high = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type IS NOT NULL").agg(F.min(_hour()), F.max(_hour())).first()
+    return 0 if low is None else (high // 24 + 1) * 24 - low // 24 * 24
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly sums of event values per type over all days with events; hours without events are 0.  Types are numbered by name."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    origin, n = _span(events)
+    origin, n, types = _bounds(events)  # one job; the types are the channels of one setup
     sums = events.where("event_type IS NOT NULL").groupBy((_hour() - origin).cast("int").alias("n"), F.col("event_type").alias("name")).agg(F.sum("value").alias("y"))
-    types = sorted(r[0] for r in events.select("event_type").where("event_type IS NOT NULL").distinct().collect())
     names = spark.createDataFrame(list(enumerate(types)), "channel int, name string")
     spine = spark.range(n).select(F.col("id").cast("int").alias("n")).crossJoin(F.broadcast(names))
     joined = spine.join(sums, ["n", "name"], "left")
