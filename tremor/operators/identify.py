@@ -6,7 +6,7 @@ f, d, lam_re, lam_im, phi_re, phi_im), one row per pole of positive frequency.""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 POLES = "setup string, method string, ord int, idx int, f double, d double, lam_re double, lam_im double, phi_re array<double>, phi_im array<double>"
-#: Samples in a gathered correlation tensor above which a setup is refused instead of overfilling a task.
-MAX_GATHERED = 20_000_000
 
 
 def one_of_pairs(lam: np.ndarray) -> np.ndarray:
@@ -45,10 +43,9 @@ def _rows(setup: str, method: str, order: int, modes: list[tuple]) -> pd.DataFra
 
 
 def gathered(corr: DataFrame) -> DataFrame:
-    """setup, channel, ref and lags of every correlation function as one array."""
-    size = corr.groupBy("setup").count().agg(F.max("count")).first()[0] or 0
-    if size > MAX_GATHERED:
-        raise ValueError(f"{size} correlation values in one setup; reduce lags or references")
+    """setup, channel, ref and lags of every correlation function as one array.
+
+    What follows holds all functions of a setup in one task; ``implicit`` has forms that hold those of one channel."""
     return corr.groupBy("setup", "channel", "ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "r"))), lambda s: s["r"]).alias("r"))
 
 
@@ -256,44 +253,30 @@ def plscf_poles(corr: DataFrame, rate: float, orders: range, decay: float = 0.00
 def ssi_data_poles(signals: DataFrame, refs: list[int], rate: float, rows: int, orders: range, chunk: int = 8192) -> DataFrame:
     """Data-driven subspace identification.
 
-    The block Hankel matrix is never built: each chunk of samples (with the halo of its lags) gives the
-    triangular factor of its own columns, and the factors are merged per setup."""
-    halo = 2 * rows + 1
-    at = F.floor(F.col("n") / chunk).cast("int")
-    homes = F.sequence(F.greatest(F.floor((F.col("n") - halo) / chunk).cast("int"), F.lit(0)), at)
-    spread = signals.withColumn("chunk", F.explode(homes))
+    The block Hankel matrix is never built: chunks of samples give triangular factors, which are merged in rounds; the projection of a
+    setup is decomposed once, then its orders are groups of their own."""
+    from tremor.operators import factors
 
-    def factor(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="n", columns="channel", values="y").sort_index()
-        channels = wide.columns.to_numpy()
-        order = [int(np.flatnonzero(channels == r)[0]) for r in refs] + [i for i, c in enumerate(channels) if c not in refs]
-        y, n = wide.to_numpy()[:, order].T, len(wide)
-        cols = min(chunk, n - 2 * rows)
-        kept = np.zeros((0, 0))
-        if cols > 0:
-            past = [y[: len(refs), i : i + cols] for i in range(rows)]
-            future = [y[:, rows + i : rows + i + cols] for i in range(rows + 1)]
-            kept = np.linalg.qr(np.vstack(past + future).T, mode="r")
-        return pd.DataFrame({"setup": [pdf["setup"].iloc[0]], "rows": [len(kept)], "width": [kept.shape[1]], "r": [kept.ravel().tolist()], "place": [[int(i) for i in np.argsort(order)]]})
-
-    factors = spread.groupBy("setup", "chunk").applyInPandas(factor, "setup string, rows int, width int, r array<double>, place array<int>").where("rows > 0")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        stack = None
-        for row in pdf.itertuples():
-            r = np.asarray(row.r).reshape(row.rows, row.width)
-            stack = r if stack is None else np.linalg.qr(np.vstack([stack, r]), mode="r")
-        place = np.asarray(pdf["place"].iloc[0])
-        nl, a = len(place), len(refs) * rows
-        low = stack.T
-        u, s, _ = np.linalg.svd(low[a:, :a], full_matrices=False)
-        out = []
-        for order in orders:
-            o = u[:, :order] * np.sqrt(s[:order])
-            out.append(_rows(pdf["setup"].iloc[0], "ssi-data", order, modal(np.linalg.pinv(o[:-nl]) @ o[nl:], o[:nl][place], rate)))
-        return pd.concat(out)
-
-    return factors.groupBy("setup").applyInPandas(solve, POLES)
+    most = signals.agg(F.max("n")).first()[0] or 0
+    whole = factors.merged(factors.block_factors(signals, refs, rows, most + 1, chunk), ["setup"], "part")
+
+    def decompose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                u, s, _ = np.linalg.svd(factors.split(factors.unpacked(row), rows, row.nr)[1], full_matrices=False)
+                o = u[:, : max(orders)] * np.sqrt(s[: max(orders)])
+                yield pd.DataFrame({"setup": [row.setup], "channels": [list(row.channels)], "width": [o.shape[1]], "o": [np.ascontiguousarray(o).tobytes()]})
+
+    n = signals.sparkSession.range(len(orders)).select((F.col("id") * orders.step + orders.start).cast("int").alias("ord"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                nl, o = len(row.channels), np.frombuffer(row.o).reshape(-1, row.width)[:, : row.ord]
+                yield _rows(row.setup, "ssi-data", row.ord, modal(np.linalg.pinv(o[:-nl]) @ o[nl:], o[:nl][np.argsort(row.channels)], rate))
+
+    found = whole.mapInPandas(decompose, "setup string, channels array<int>, width int, o binary")
+    return found.crossJoin(F.broadcast(n)).repartition("setup", "ord").mapInPandas(solve, POLES)  # one row of small matrices per order
 
 
 def contributions(r: np.ndarray, modes: list[tuple]) -> np.ndarray:
@@ -317,11 +300,14 @@ def contributions(r: np.ndarray, modes: list[tuple]) -> np.ndarray:
 
 def ssi_cov_contributions(corr: DataFrame, rate: float, cols: int, orders: range) -> DataFrame:
     """setup, ord, idx, f, mc: modal contributions of the covariance-driven poles of every order."""
-    n = corr.sparkSession.range(len(orders)).select((F.col("id") * orders.step + orders.start).cast("int").alias("ord"))
+    modes = ssi_cov_poles(corr, rate, cols, orders).groupBy("setup", "ord").agg(F.sort_array(F.collect_list(F.struct("idx", "f", "lam_re", "lam_im", "phi_re", "phi_im"))).alias("modes"))
+    whole = gathered(corr).groupBy("setup").agg(F.collect_list(F.struct("channel", "ref", "r")).alias("functions"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order, r = int(pdf["ord"].iloc[0]), tensor(pdf)
-        modes = ssi_cov(r, cols, cols, order, rate)
-        return pd.DataFrame({"setup": pdf["setup"].iloc[0], "ord": order, "idx": range(len(modes)), "f": [x[0] for x in modes], "mc": contributions(r, modes)})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                r = tensor(pd.DataFrame([(x["channel"], x["ref"], x["r"]) for x in row.functions], columns=["channel", "ref", "r"]))
+                of = [(x["f"], 0.0, complex(x["lam_re"], x["lam_im"]), np.array(x["phi_re"]) + 1j * np.array(x["phi_im"])) for x in row.modes]
+                yield pd.DataFrame({"setup": row.setup, "ord": row.ord, "idx": range(len(of)), "f": [x[0] for x in of], "mc": contributions(r, of)})
 
-    return gathered(corr).crossJoin(F.broadcast(n)).groupBy("setup", "ord").applyInPandas(run, "setup string, ord int, idx int, f double, mc double")
+    return modes.join(whole, "setup").mapInPandas(run, "setup string, ord int, idx int, f double, mc double")

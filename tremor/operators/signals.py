@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremor.operators.quantiles import quantiles
+
 KEY = ("setup", "channel")
 
 
@@ -25,8 +27,8 @@ def correct_offset(signals: DataFrame) -> DataFrame:
 def scale_factors(signals: DataFrame, method: str = "iqr") -> DataFrame:
     """setup, channel, factor: the spread between the 5th and 95th percentile, or the range."""
     if method == "iqr":
-        spread = F.percentile("y", F.lit(0.95)) - F.percentile("y", F.lit(0.05))
-    elif method == "range":
+        return quantiles(signals, KEY, "y", [0.05, 0.95]).select(*KEY, (F.col("q1") - F.col("q0")).alias("factor"))
+    if method == "range":
         spread = F.max("y") - F.min("y")
     else:
         raise ValueError(f"unknown scaling {method!r}")

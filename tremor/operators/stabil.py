@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.functions.modal import mac, mean_phase, mpc, mpd, relative
+from tremor.operators.quantiles import quantiles
 from tremor.scratch import written
 
 
@@ -177,9 +178,11 @@ def clusters(poles: DataFrame, cleared: DataFrame, cut: float | None = None) ->
     Without ``cut``, it is the 95th percentile of the distances of a setup's cleared poles to the order before.  Average linkage up to the cut never joins
     poles of two parts that are everywhere farther apart than the cut, so a setup is dealt to parts of the complex plane as wide as the cut, these are
     split along the distances themselves, and only what hangs together is linked.  Clusters are numbered by their first pole."""
-    limit = F.percentile(F.col("d_lambda") + F.col("d_mac"), F.lit(0.95)) if cut is None else F.lit(float(cut))
     chosen = poles.join(cleared.select("setup", "ord", "idx"), ["setup", "ord", "idx"])
-    cuts = cleared.groupBy("setup").agg(limit.alias("cut"))
+    if cut is None:
+        cuts = quantiles(cleared.select("setup", (F.col("d_lambda") + F.col("d_mac")).alias("far")), ["setup"], "far", [0.95]).withColumnRenamed("q0", "cut")
+    else:
+        cuts = cleared.select("setup").distinct().withColumn("cut", F.lit(float(cut)))
     sizes = chosen.groupBy("setup").agg(F.max(F.sqrt(F.col("lam_re") ** 2 + F.col("lam_im") ** 2)).alias("size"))
     wide = F.greatest(F.col("cut") * F.col("size") * (1 + 1e-9), F.lit(1e-9)).alias("width")
     ready = written(chosen.join(cuts.join(sizes, "setup").select("setup", "cut", wide), "setup"), "poles")

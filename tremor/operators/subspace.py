@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.operators import factors, kalman
-from tremor.operators.identify import POLES, gathered, modal, one_of_pairs, tensor
+from tremor.operators.identify import POLES, gathered, modal, one_of_pairs, plscf_model, tensor
 from tremor.operators.spectral import half_spectra, over_blocks
 from tremor.scratch import written
 
@@ -360,15 +360,15 @@ def synthetic_spectra(synthetic: DataFrame, lags: int, decay: float = 0.001) ->
     return half_spectra(parts, lags, decay).withColumnRenamed("setup", "one").join(names, "one").select("setup", "idx", "channel", "ref", "k", "re", "im")
 
 
-def residues(spectra: np.ndarray, s: np.ndarray, mu: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shapes (channels, modes), fitted spectra) by least squares: poles with participation vectors, and an upper and a lower residual.
+def residue_parts(spectra: np.ndarray, s: np.ndarray, mu: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shapes (channels, modes), parts (modes + 2, channels, references, lines)) by least squares: poles with participation vectors, and an upper and a lower residual.
 
-    ``spectra``: (channels, references, lines); ``part``: (references, modes)."""
+    ``spectra``: (channels, references, lines); ``part``: (references, modes).  The last two parts are the residuals."""
     nl, nr, m = spectra.shape
     one, two = part.T[:, :, None] / (s - mu[:, None])[:, None], part.conj().T[:, :, None] / (s - mu.conj()[:, None])[:, None]
     waves = [np.concatenate([one + two, 1j * (one - two)]).reshape(2 * len(mu), -1).T]
-    for k in range(nr):
-        for line in (np.ones(m), 1 / np.where(s == 0, np.inf, s) ** 2):
+    for line in (np.ones(m), 1 / np.where(s == 0, np.inf, s) ** 2):
+        for k in range(nr):
             unit = np.zeros((nr, m), complex)
             unit[k] = line
             waves += [unit.reshape(-1, 1), 1j * unit.reshape(-1, 1)]
@@ -377,31 +377,71 @@ def residues(spectra: np.ndarray, s: np.ndarray, mu: np.ndarray, part: np.ndarra
     y = spectra.reshape(nl, -1)
     fit = np.linalg.lstsq(real, np.hstack([y.real, y.imag]).T, rcond=None)[0]
     k = len(mu)
-    return (fit[:k] + 1j * fit[k : 2 * k]).T, (basis @ fit).T.reshape(spectra.shape)
+    columns = [[i, k + i] for i in range(k)] + [list(range(2 * k, 2 * k + 2 * nr)), list(range(2 * k + 2 * nr, 2 * k + 4 * nr))]
+    return (fit[:k] + 1j * fit[k : 2 * k]).T, np.stack([(basis[:, c] @ fit[c]).T.reshape(spectra.shape) for c in columns])
+
+
+def residues(spectra: np.ndarray, s: np.ndarray, mu: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shapes (channels, modes), fitted spectra)."""
+    shapes, parts = residue_parts(spectra, s, mu, part)
+    return shapes, parts.sum(0)
+
+
+def fraction_modes(r: np.ndarray, rate: float, order: int, decay: float, band: tuple[float, float] | None) -> tuple:
+    """(spectra, frequencies, continuous poles with the window's decay, participation of the references, decay per sample) of one order."""
+    spectra, freq, alpha, factor = plscf_model(r, order, rate, decay, band)
+    nr = r.shape[1]
+    blocks = [alpha[i * nr : (i + 1) * nr] for i in range(order + 1)]
+    companion = np.zeros((order * nr, order * nr))
+    companion[nr:, :-nr] = np.eye((order - 1) * nr)
+    companion[:nr] = np.hstack([-blocks[order - 1 - i] for i in range(order)])
+    lam = np.linalg.eigvals(companion)
+    lam = lam[one_of_pairs(lam / np.maximum(1, abs(lam)))]
+    mu = np.log(lam) * rate
+    keep = (mu.imag > 0) & (-(mu.real + factor * rate) > 0)
+    lam, mu = lam[keep], mu[keep]
+    part = [np.linalg.svd(sum(b * v**i for i, b in enumerate(blocks)))[0][:, -1].conj() for v in lam]
+    return spectra, freq, mu, np.stack(part, 1) if part else np.zeros((nr, 0), complex), factor
+
+
+def modal_spectra(corr: DataFrame, rate: float, order: int, decay: float = 0.001, band: tuple[float, float] | None = None) -> DataFrame:
+    """setup, idx, f, channel, ref, k, re, im, data_re, data_im: every mode's part of the half spectra of the frequency-domain fit, beside these.
+
+    Modes are numbered by frequency; idx -1 and -2 are the residuals of modes above and below the band.  The parts sum up to the fit."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, out = tensor(pdf), []
+        spectra, freq, mu, part, _ = fraction_modes(r, rate, order, decay, band)
+        parts = residue_parts(spectra, 2j * np.pi * freq, mu, part)[1]
+        place = {int(i): n for n, i in enumerate(np.argsort(abs(mu), kind="stable"))} | {len(mu): -1, len(mu) + 1: -2}
+        c, ref, k = np.meshgrid(np.sort(pdf["channel"].unique()), np.sort(pdf["ref"].unique()), np.rint(freq * r.shape[2] / rate).astype(int), indexing="ij")
+        for i, p in enumerate(parts):
+            f = abs(mu[i]) / (2 * np.pi) if i < len(mu) else np.nan
+            out.append(pd.DataFrame({"setup": pdf["setup"].iloc[0], "idx": place[i], "f": f, "channel": c.ravel(), "ref": ref.ravel(), "k": k.ravel(), "re": p.real.ravel(), "im": p.imag.ravel(), "data_re": spectra.real.ravel(), "data_im": spectra.imag.ravel()}))
+        return pd.concat(out)
+
+    return gathered(corr).groupBy("setup").applyInPandas(run, "setup string, idx int, f double, channel int, ref int, k int, re double, im double, data_re double, data_im double")
+
+
+def spectral_contributions(parts: DataFrame) -> DataFrame:
+    """setup, idx, f, mc_re, mc_im: mean over the pairs of the product of a mode's part with the spectra over the norms of the spectra and of the fit (complex share)."""
+    key = ["setup", "channel", "ref"]
+    lines = parts.groupBy(*key, "k").agg(F.sum("re").alias("s"), F.sum("im").alias("t"), F.first("data_re").alias("x"), F.first("data_im").alias("y"))
+    norms = lines.groupBy(*key).agg(F.sqrt(F.sum(F.col("s") ** 2 + F.col("t") ** 2) * F.sum(F.col("x") ** 2 + F.col("y") ** 2)).alias("norm"))
+    x, y, a, b = (F.col(c) for c in ("data_re", "data_im", "re", "im"))
+    dots = parts.groupBy(*key, "idx").agg(F.first("f").alias("f"), F.sum(x * a + y * b).alias("u"), F.sum(x * b - y * a).alias("v"))
+    share = lambda c: F.avg(F.when(F.col("norm") > 0, F.col(c) / F.col("norm")).otherwise(0.0))
+    return dots.join(norms, key).groupBy("setup", "idx").agg(F.first("f").alias("f"), share("u").alias("mc_re"), share("v").alias("mc_im"))
 
 
 def residual_poles(corr: DataFrame, rate: float, order: int, decay: float = 0.001, band: tuple[float, float] | None = None) -> DataFrame:
     """setup, idx, f, d, phi_re, phi_im, fit: poles of the poly-reference frequency-domain method with shapes from residues and residuals.
 
     ``fit``: share of the spectra's power that the synthesis leaves unexplained, the same in all rows of a setup."""
-    from tremor.operators.identify import plscf_model
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = tensor(pdf)
-        spectra, freq, alpha, factor = plscf_model(r, order, rate, decay, band)
-        nr = r.shape[1]
-        blocks = [alpha[i * nr : (i + 1) * nr] for i in range(order + 1)]
-        companion = np.zeros((order * nr, order * nr))
-        companion[nr:, :-nr] = np.eye((order - 1) * nr)
-        companion[:nr] = np.hstack([-blocks[order - 1 - i] for i in range(order)])
-        lam = np.linalg.eigvals(companion)
-        lam = lam[one_of_pairs(lam / np.maximum(1, abs(lam)))]
-        mu = np.log(lam) * rate
-        keep = (mu.imag > 0) & (-(mu.real + factor * rate) > 0)
-        lam, mu = lam[keep], mu[keep]
+        spectra, freq, mu, part, factor = fraction_modes(tensor(pdf), rate, order, decay, band)
         if not len(mu):
             return pd.DataFrame(columns=["setup", "idx", "f", "d", "phi_re", "phi_im", "fit"])
-        part = np.stack([np.linalg.svd(sum(b * v**i for i, b in enumerate(blocks)))[0][:, -1].conj() for v in lam], 1)
         shapes, fitted = residues(spectra, 2j * np.pi * freq, mu, part)
         left = (abs(spectra - fitted) ** 2).sum() / (abs(spectra) ** 2).sum()
         rows = []

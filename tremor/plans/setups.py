@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremor.functions import modal
-from tremor.operators import channels, factors, geometry, identify, kalman, merge, signals, spectral, stabil, subspace
+from tremor.operators import channels, factors, geometry, identify, implicit, kalman, longfft, merge, signals, spectral, stabil, subspace
 from tremor.plans.catalogue import (
     _CANDIDATES, _COMMON_SQL, _DOFS_SQL, _GRID_SQL, _LIMITS, _MOVES_SQL, _NODES, _OK, _PAIRS, _SHAPES, H, LINES, PANEL, POLES_SQL, REFS, SEGMENTS,
     _WELCH, _centred, _dofs, _event_corr, _grid, _mac_sql, _modes, _moves, _poles, _rig, _rounds, _segments, greedy_sql, query, rounded,
@@ -507,3 +507,37 @@ def spectrum_synthesis(spark, sf_dir):
 @query()
 def residual_poles(spark, sf_dir):
     return subspace.residual_poles(_event_corr(spark, sf_dir), 1.0, 6).drop("setup")
+
+
+@query()
+def ssi_cov_poles_implicit(spark, sf_dir):
+    """The block Toeplitz matrix through its products only."""
+    return implicit.ssi_cov_poles(_event_corr(spark, sf_dir), 1.0, 20, range(4, 21, 4))
+
+
+@query()
+def plscf_poles_summed(spark, sf_dir):
+    """Normal equations summed over the channels."""
+    return implicit.plscf_poles(_event_corr(spark, sf_dir), 1.0, range(2, 11, 2))
+
+
+@query()
+def plscf_poles_complex(spark, sf_dir):
+    return implicit.plscf_poles(_event_corr(spark, sf_dir), 1.0, range(2, 11, 2), real=False)
+
+
+@query()
+def modal_spectra(spark, sf_dir):
+    return subspace.modal_spectra(_event_corr(spark, sf_dir), 1.0, 6).drop("setup")
+
+
+@query()
+def spectral_contributions(spark, sf_dir):
+    return subspace.spectral_contributions(subspace.modal_spectra(_event_corr(spark, sf_dir), 1.0, 6)).drop("setup")
+
+
+@query()
+def era_of_force(spark, sf_dir):
+    """Channel 0 stands for a measured force on the others."""
+    y = _centred(spark, sf_dir)
+    return longfft.era_poles(y, y.where("channel = 0").select("setup", "n", F.col("y").alias("f")), panel.hours(spark, sf_dir), 1.0, 12, range(2, 9, 2))
