@@ -40,6 +40,31 @@ def mpd(re: Column, im: Column) -> Column:
     return F.degrees(total(off) / total(size))
 
 
+def phase_spread(re: Column, im: Column, about: str, weighted: bool = True) -> tuple[Column, Column]:
+    """(mean phase 0 to 180, deviation) in degrees by the spread of the components' phases.
+
+    ``about``: 'ortho' turns the shape by its orthogonal regression line and takes phases from -90 to 90 about their plain mean; 'arithm' takes
+    phases folded to 0 to 180 about their mean.  Weights are magnitudes."""
+    size = F.zip_with(re, im, lambda x, y: F.sqrt(x * x + y * y))
+    weight = size if weighted else F.transform(size, lambda v: F.lit(1.0))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, v: t + v)
+    mean = lambda a, w: total(F.zip_with(a, w, lambda v, x: v * x)) / total(w)
+    if about == "ortho":
+        turn = F.atan2(2 * dot(re, im), dot(re, re) - dot(im, im)) / 2
+        c, s = F.cos(turn), F.sin(turn)
+        phase = F.zip_with(re, im, lambda x, y: F.degrees(F.atan2(y * c - x * s, x * c + y * s)))
+        phase = F.transform(phase, lambda p: F.when(p > 90, p - 180).when(p < -90, p + 180).otherwise(p))
+        at, centre = F.degrees(turn), total(phase) / F.size(phase)
+    elif about == "arithm":
+        phase = F.zip_with(re, im, lambda x, y: F.degrees(F.atan2(y, x)))
+        phase = F.transform(phase, lambda p: F.when(p < 0, p + 180).otherwise(p))
+        at = centre = mean(phase, weight)
+    else:
+        raise ValueError(f"unknown regression {about!r}")
+    away = F.sqrt(mean(F.transform(phase, lambda p: (p - centre) * (p - centre)), weight))
+    return F.when(at < 0, at + 180).otherwise(at), away
+
+
 def frequency(re: Column, im: Column, rate: Column) -> Column:
     """Natural frequency from a discrete eigenvalue."""
     a, b = F.abs(F.atan2(im, re)), 0.5 * F.log(re * re + im * im)

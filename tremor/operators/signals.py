@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremor.operators.kalman import states
 from tremor.operators.quantiles import quantiles
 
 KEY = ("setup", "channel")
@@ -189,13 +190,8 @@ def sos_lowpass(order: int, cutoff: float, kind: str = "butter", ripple: float =
 
 def _sections(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     for b0, b1, b2, _, a1, a2 in sos:
-        s1 = s2 = 0.0
-        out = np.empty_like(x)
-        for i, v in enumerate(x.tolist()):
-            y = b0 * v + s1
-            s1, s2 = b1 * v - a1 * y + s2, b2 * v - a2 * y
-            out[i] = y
-        x = out
+        inputs = np.outer(x, [b1 - a1 * b0, b2 - a2 * b0])
+        x = b0 * x + states(np.array([[-a1, 1.0], [-a2, 0.0]]), inputs, np.zeros(2))[:-1, 0]
     return x
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TWO_PI = 2 * np.pi
@@ -59,36 +59,53 @@ def over_blocks(corr: DataFrame) -> DataFrame:
     return corr.groupBy("setup", "channel", "ref", "lag").agg(F.avg("r").alias("r"), F.var_pop("r").alias("var_r"))
 
 
-def fourier(signals: DataFrame, length: int, segments: int) -> DataFrame:
-    """setup, block, channel, k, re, im of each segment's mean-free, Hamming-tapered transform."""
+#: Periodic windows as sums of cosines with alternating signs.
+WINDOWS = {"boxcar": (1.0,), "hann": (0.5, 0.5), "hamming": (0.54, 0.46), "blackman": (0.42, 0.5, 0.08), "nuttall": (0.3635819, 0.4891775, 0.1365995, 0.0106411)}
+
+
+def taper(window: str, length: int) -> np.ndarray:
+    """A window of ``length`` points of a longer period, for spectra."""
+    if window not in WINDOWS:
+        raise ValueError(f"unknown window {window!r}")
+    n = np.arange(length)
+    return sum((-1) ** i * a * np.cos(TWO_PI * i * n / length) for i, a in enumerate(WINDOWS[window])) + np.zeros(length)
+
+
+def _taper(window: str, length: int) -> Column:
+    if window not in WINDOWS:
+        raise ValueError(f"unknown window {window!r}")
+    return sum((F.lit((-1) ** i * a) * F.cos(F.lit(TWO_PI * i) * F.col("n") / length) for i, a in enumerate(WINDOWS[window])), F.lit(0.0))
+
+
+def fourier(signals: DataFrame, length: int, segments: int, window: str = "hamming") -> DataFrame:
+    """setup, block, channel, k, re, im of each segment's mean-free, tapered transform."""
     cut = _blocks(signals, length, segments)
     means = cut.groupBy("setup", "block", "channel").agg(F.avg("y").alias("mean"))
-    taper = 0.54 - 0.46 * F.cos(F.lit(TWO_PI) * F.col("n") / length)
-    tapered = cut.join(means, ["setup", "block", "channel"]).select("setup", "block", "channel", "n", ((F.col("y") - F.col("mean")) * taper).alias("y"))
+    tapered = cut.join(means, ["setup", "block", "channel"]).select("setup", "block", "channel", "n", ((F.col("y") - F.col("mean")) * _taper(window, length)).alias("y"))
     waves = tapered.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(length // 2))))
     angle = F.lit(TWO_PI) * ((F.col("k") * F.col("n")) % length) / length
     return waves.groupBy("setup", "block", "channel", "k").agg(F.sum(F.col("y") * F.cos(angle)).alias("re"), (-F.sum(F.col("y") * F.sin(angle))).alias("im"))
 
 
-def fourier_fft(signals: DataFrame, length: int, segments: int) -> DataFrame:
+def fourier_fft(signals: DataFrame, length: int, segments: int, window: str = "hamming") -> DataFrame:
     """The same by FFT, for long segments: one group per segment and channel."""
+    shape = taper(window, length)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = np.zeros(length)
         y[pdf["n"].to_numpy()] = pdf["y"]
-        z = np.fft.rfft((y - y.mean()) * (0.54 - 0.46 * np.cos(TWO_PI * np.arange(length) / length)))
+        z = np.fft.rfft((y - y.mean()) * shape)
         head = pdf.iloc[0]
         return pd.DataFrame({"setup": head["setup"], "block": head["block"], "channel": head["channel"], "k": np.arange(len(z), dtype="int32"), "re": z.real, "im": z.imag})
 
     return _blocks(signals, length, segments).groupBy("setup", "block", "channel").applyInPandas(run, "setup string, block int, channel int, k int, re double, im double")
 
 
-def psd_welch(signals: DataFrame, refs: Sequence[int], length: int, segments: int, fft: bool = False, by_segment: bool = False) -> DataFrame:
+def psd_welch(signals: DataFrame, refs: Sequence[int], length: int, segments: int, fft: bool = False, by_segment: bool = False, window: str = "hamming") -> DataFrame:
     """setup, channel, ref, k, re, im: averaged cross spectra; first and last line are halved."""
-    z = (fourier_fft if fft else fourier)(signals, length, segments)
+    z = (fourier_fft if fft else fourier)(signals, length, segments, window)
     x = z.where(F.col("channel").isin(*refs)).select("setup", "block", "k", F.col("channel").alias("ref"), F.col("re").alias("xr"), F.col("im").alias("xi"))
-    n = np.arange(length)
-    scale = segments * length / (2 * float(np.sum((0.54 - 0.46 * np.cos(TWO_PI * n / length)) ** 2)))
+    scale = segments * length / (2 * float(np.sum(taper(window, length) ** 2)))
     side = F.when((F.col("k") == 0) | (F.col("k") == length // 2), F.lit(scale / 2)).otherwise(F.lit(scale))
     products = z.join(x, ["setup", "block", "k"]).select("setup", "block", "channel", "ref", "k", (side * (F.col("re") * F.col("xr") + F.col("im") * F.col("xi"))).alias("re"), (side * (F.col("re") * F.col("xi") - F.col("im") * F.col("xr"))).alias("im"))
     if by_segment:
@@ -193,22 +210,42 @@ def corr_from_psd(psd: DataFrame, lags: int) -> DataFrame:
     return spread.groupBy("setup", "channel", "ref", "lag").agg((F.sum(weight * wave) / (n * n)).alias("r"))
 
 
-def lag_window(half: int) -> list[float]:
-    """Hamming window of ``half`` points convolved with itself, from lag 0 on."""
-    w = 0.54 - 0.46 * np.cos(TWO_PI * np.arange(half) / half)
+def lag_window(half: int, window: str = "hamming") -> list[float]:
+    """A window of ``half`` points convolved with itself, from lag 0 on."""
+    w = taper(window, half)
     return [float(w[: half - d] @ w[d:]) / half for d in range(half)] + [0.0]
 
 
+def _lagged(corr: DataFrame, half: int, window: str) -> tuple[DataFrame, float]:
+    w = taper(window, half)
+    windows = corr.sparkSession.createDataFrame(list(enumerate(lag_window(half, window))), "lag int, w double")
+    return corr.join(F.broadcast(windows), "lag"), float(np.sum(w**2) / np.sum(w) ** 2 * half)
+
+
 def psd_bt(corr: DataFrame, half: int, samples: int) -> DataFrame:
     """setup, channel, ref, k, s: cosine transform of the evenly extended correlation under a lag window."""
-    w = 0.54 - 0.46 * np.cos(TWO_PI * np.arange(half) / half)
-    scale = 2 * samples * half * float(np.sum(w)) / float(np.sum(w)) ** 2
-    windows = corr.sparkSession.createDataFrame(list(enumerate(lag_window(half))), "lag int, w double")
-    spread = corr.join(F.broadcast(windows), "lag").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(half))))
+    scale = 2 * samples * half / float(np.sum(taper("hamming", half)))
+    spread = _lagged(corr, half, "hamming")[0].withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(half))))
     angle = F.lit(TWO_PI) * ((F.col("k") * F.col("lag")) % (2 * half)) / (2 * half)
     return spread.groupBy("setup", "channel", "ref", "k").agg((scale * F.sum(F.when(F.col("lag") == 0, 1.0).otherwise(2.0) * F.col("w") * F.col("r") * F.cos(angle))).alias("s"))
 
 
+def cross_spectra_bt(corr: DataFrame, half: int, samples: int, window: str = "hann") -> DataFrame:
+    """setup, channel, ref, k, re, im: correlation-based cross spectra with their phase, scaled to power density by the window's noise bandwidth.
+
+    The correlation at a negative lag is that of the exchanged channels, so pairs both of whose channels are references have a phase;
+    ``corr`` without the exchanged pair is extended evenly."""
+    lagged, width = _lagged(corr, half, window)
+    swapped = lagged.select("setup", F.col("ref").alias("channel"), F.col("channel").alias("ref"), "lag", F.col("r").alias("back"))
+    both = lagged.join(swapped, ["setup", "channel", "ref", "lag"], "left").withColumn("back", F.coalesce("back", "r"))
+    spread = both.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(half))))
+    angle = F.lit(TWO_PI) * ((F.col("k") * F.col("lag")) % (2 * half)) / (2 * half)
+    later = F.when(F.col("lag") == 0, 0.0).otherwise(1.0) * F.col("back")
+    scale = 2.0 * samples * width
+    re, im = (F.col("r") + later) * F.cos(angle), (later - F.when(F.col("lag") == 0, 0.0).otherwise(F.col("r"))) * F.sin(angle)
+    return spread.groupBy("setup", "channel", "ref", "k").agg((scale * F.sum(F.col("w") * re)).alias("re"), (scale * F.sum(F.col("w") * im)).alias("im"))
+
+
 def half_spectra(corr: DataFrame, lags: int, decay: float = 0.001) -> DataFrame:
     """setup, channel, ref, k, re, im: transform of the exponentially windowed positive lags."""
     tau = -lags / np.log(decay)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremor.functions import modal
-from tremor.operators import channels, factors, geometry, identify, implicit, kalman, longfft, merge, signals, spectral, stabil, subspace
+from tremor.operators import channels, factors, flow, geometry, identify, implicit, kalman, longfft, merge, signals, spectral, stabil, subspace
 from tremor.plans.catalogue import (
     _CANDIDATES, _COMMON_SQL, _DOFS_SQL, _GRID_SQL, _LIMITS, _MOVES_SQL, _NODES, _OK, _PAIRS, _SHAPES, H, LINES, PANEL, POLES_SQL, REFS, SEGMENTS,
     _WELCH, _centred, _dofs, _event_corr, _grid, _mac_sql, _modes, _moves, _poles, _rig, _rounds, _segments, greedy_sql, query, rounded,
@@ -541,3 +541,65 @@ def era_of_force(spark, sf_dir):
     """Channel 0 stands for a measured force on the others."""
     y = _centred(spark, sf_dir)
     return longfft.era_poles(y, y.where("channel = 0").select("setup", "n", F.col("y").alias("f")), panel.hours(spark, sf_dir), 1.0, 12, range(2, 9, 2))
+
+
+# --- other ways ------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {PANEL}, {_WELCH.replace('(0.54 - 0.46 * cos(2 * pi() * n / ', '(0.5 - 0.5 * cos(2 * pi() * n / ')}
+SELECT channel, ref, k, {_rounds(0, re='re', im='im')} FROM psd"""
+)
+def psd_welch_hann(spark, sf_dir):
+    return rounded(spectral.psd_welch(_centred(spark, sf_dir), REFS, LINES, _segments(spark, sf_dir), fft=True, window="hann"), 0, "re", "im")
+
+
+@query(
+    f"""WITH {PANEL},
+c AS (SELECT a.channel, b.channel AS ref, (a.n - b.n)::INT AS lag, sum(a.y * b.y) / ({H} - (a.n - b.n)) AS r FROM centred a JOIN centred b ON b.channel IN {REFS} AND a.n - b.n BETWEEN 0 AND 15 GROUP BY a.channel, b.channel, a.n - b.n),
+w AS (SELECT i, 0.5 - 0.5 * cos(2 * pi() * i / 16) AS w FROM (SELECT unnest(range(16)) AS i)),
+lw AS (SELECT b.i - a.i AS lag, sum(a.w * b.w) / 16 AS lw FROM w a JOIN w b ON b.i >= a.i GROUP BY b.i - a.i),
+s AS (SELECT 2 * {H} * sum(w * w) / sum(w) ** 2 * 16 AS s FROM w),
+e AS (SELECT a.*, coalesce(b.r, a.r) AS back, lw FROM c a LEFT JOIN c b ON b.channel = a.ref AND b.ref = a.channel AND b.lag = a.lag JOIN lw ON lw.lag = a.lag)
+SELECT channel, ref, k, {_rounds(0, re='any_value(s.s) * sum(lw * (r + CASE WHEN lag = 0 THEN 0 ELSE back END) * cos(2 * pi() * ((k * lag) % 32) / 32))', im='any_value(s.s) * sum(CASE WHEN lag = 0 THEN 0 ELSE lw * (back - r) * sin(2 * pi() * ((k * lag) % 32) / 32) END)')}
+FROM e, s, (SELECT unnest(range(17))::INT AS k) GROUP BY channel, ref, k"""
+)
+def cross_spectra_bt(spark, sf_dir):
+    hours = panel.hours(spark, sf_dir)
+    return rounded(spectral.cross_spectra_bt(spectral.corr_bt_chunked(_centred(spark, sf_dir), REFS, 16, hours), 16, hours), 0, "re", "im")
+
+
+def _spread_sql(weight: str) -> str:
+    total = lambda e: f"list_sum(list_transform(range(1, len(phi_re) + 1), lambda j: {e}))"
+    w = "sqrt(phi_re[j] ** 2 + phi_im[j] ** 2)" if weight == "size" else "1.0"
+    return f"""
+t AS (SELECT *, atan2(2 * list_dot_product(phi_re, phi_im), list_dot_product(phi_re, phi_re) - list_dot_product(phi_im, phi_im)) / 2 AS turn FROM poles),
+p AS (SELECT *, list_transform(range(1, len(phi_re) + 1), lambda j: degrees(atan2(phi_im[j] * cos(turn) - phi_re[j] * sin(turn), phi_re[j] * cos(turn) + phi_im[j] * sin(turn)))) AS raw,
+        list_transform(range(1, len(phi_re) + 1), lambda j: CASE WHEN phi_im[j] < 0 THEN degrees(atan2(phi_im[j], phi_re[j])) + 180 ELSE degrees(atan2(phi_im[j], phi_re[j])) END) AS folded FROM t),
+q AS (SELECT *, list_transform(raw, lambda x: CASE WHEN x > 90 THEN x - 180 WHEN x < -90 THEN x + 180 ELSE x END) AS bent, {total(f"{w} * folded[j]")} / {total(w)} AS mp_a FROM p),
+r AS (SELECT *, list_sum(bent) / len(bent) AS centre FROM q)
+SELECT ord, idx, {_rounds(6, mp_o='CASE WHEN turn < 0 THEN degrees(turn) + 180 ELSE degrees(turn) END', mpd_o=f'sqrt({total(f"{w} * (bent[j] - centre) ** 2")} / {total(w)})', mp_a='mp_a', mpd_a=f'sqrt({total(f"{w} * (folded[j] - mp_a) ** 2")} / {total(w)})')} FROM r"""
+
+
+def _spreads(spark: SparkSession, sf_dir: str, weighted: bool) -> DataFrame:
+    ways = [modal.phase_spread(F.col("phi_re"), F.col("phi_im"), about, weighted) for about in ("ortho", "arithm")]
+    names = [("mp_o", "mpd_o"), ("mp_a", "mpd_a")]
+    return rounded(_poles(spark, sf_dir).select("setup", "ord", "idx", *(c.alias(n) for pair, both in zip(ways, names) for c, n in zip(pair, both))), 6, *(n for both in names for n in both))
+
+
+@query(f"WITH {POLES_SQL}, {_spread_sql('size')}")
+def phase_spreads(spark, sf_dir):
+    """Mean phases and deviations by orthogonal regression and by the arithmetic mean."""
+    return _spreads(spark, sf_dir, True)
+
+
+@query(f"WITH {POLES_SQL}, {_spread_sql('none')}")
+def phase_spreads_unweighted(spark, sf_dir):
+    return _spreads(spark, sf_dir, False)
+
+
+@query()
+def single_setup_flow(spark, sf_dir):
+    """A setup file's and a method file's values to the modal values of the selected modes in one call."""
+    hours = panel.hours(spark, sf_dir)
+    return flow.single_setup(panel.hourly_events(spark, sf_dir), _SETUP, hours, "ssi-cov", {"block_columns": "20", "max_order": "20"})[2].drop("setup")

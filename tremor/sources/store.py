@@ -50,9 +50,9 @@ def load_geometry(spark: SparkSession, nodes: str, lines: str | None = None, par
 
 def save_state(path: str, setup: str, **tables: DataFrame) -> None:
     """One Parquet table each under ``path``, and the setup's name."""
+    spark = next((df.sparkSession for df in tables.values()), None) or SparkSession.active()
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-        spark = df.sparkSession
     spark.createDataFrame([(setup, sorted(tables))], "setup string, tables array<string>").write.mode("overwrite").json(f"{path}/_setup.json")
 
 
@@ -96,12 +96,9 @@ def ambient_response(spark: SparkSession, frequencies: list[float], damping: lis
             for b in pdf["id"].tolist():
                 size = min(block, samples - b * block)
                 noise = np.random.default_rng([seed, b]).normal(size=(size + warm, len(lam)))
-                state, out = np.zeros(len(lam), complex), np.empty((size, len(lam)))
-                for k in range(size + warm):
-                    state = lam * state + noise[k]
-                    if k >= warm:
-                        out[k - warm] = state.real
-                y = out @ np.array(shapes)
+                from tremor.operators.kalman import states
+
+                y = states(np.diag(lam), noise.astype(complex), np.zeros(len(lam), complex))[warm + 1 :].real @ np.array(shapes)
                 n, c = np.indices(y.shape)
                 yield pd.DataFrame({"n": (n.ravel() + b * block).astype("int32"), "channel": c.ravel().astype("int32"), "y": y.ravel()})
 
