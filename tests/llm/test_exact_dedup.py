@@ -63,3 +63,10 @@ def test_changes(spark):
     index = spark.createDataFrame([(x,) for x in d[:4]], "digest binary")
     changes = spark.createDataFrame([("insert", d[4]), ("delete", d[0]), ("delete", d[5]), ("insert", d[1]), ("insert", None)], "op string, digest binary")
     assert {bytes(r.digest) for r in ed.apply_changes(index, changes).collect()} == set(d[1:5])
+
+
+def test_one_doc_id_with_two_texts_of_a_group(spark):
+    """Only the text with more code points is kept."""
+    rows = [(5, "A b"), (5, "Ab"), (6, "A  b"), (7, "A  b"), (8, "c d"), (8, "cd"), (9, "cd")]
+    found = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in ed.labelled(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(5, 6, 4, False), (6, 6, 4, True), (7, 6, 4, False), (8, 8, 3, True), (8, 8, 3, False), (9, 8, 3, False)}

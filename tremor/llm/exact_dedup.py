@@ -186,12 +186,14 @@ def _judged(docs: DataFrame) -> DataFrame:
 
 
 def labelled(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row, dropped ones too."""
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row, dropped ones too.
+
+    Of several texts of one doc_id in a group only the longest is kept; rows of one doc_id whose texts are equally long are kept together."""
     return _judged(docs).select(
         "doc_id",
         "keep_id",
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 

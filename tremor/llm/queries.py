@@ -76,9 +76,9 @@ WITH t AS (
          sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
   FROM documents),
 g AS (
-  SELECT text_sha256, count(*) AS group_size, arg_min(doc_id, (-length(text), doc_id)) AS keep_id
+  SELECT text_sha256, count(*) AS group_size, arg_min(doc_id, (-length(text), doc_id)) AS keep_id, max(length(text)) AS n_points
   FROM t GROUP BY text_sha256)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AND length(text) = n_points AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
 """
 
 OP5_SQL = """
