@@ -107,3 +107,29 @@ def test_first_text_of_a_repeated_id_is_compared(spark):
     for other, component in (("x " * 9, 1), ("b " * 9, 5)):  # after and before the near copy in byte order
         docs = spark.createDataFrame([(1, near), (5, near + " more"), (5, other)], "doc_id long, text string")
         assert {(r["doc_id"], r["component_id"]) for r in jj.component_rows(docs).collect()} == {(1, 1), (5, component)}
+
+
+def test_shared_classes_miss_none(spark, monkeypatch):
+    """Against sets, with deals of a text or two and with one deal: every class that shares 80 % of its shingles is kept, and few others are."""
+    import random
+
+    from tremor.llm import jaccard_join as jj
+
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(40)]
+    texts = []
+    for i in range(60):
+        own = [f"w{rng.randrange(4000)}" for _ in range(30)]
+        texts.append(" ".join(common + own if i % 3 == 0 else own))  # a passage of a third of all texts
+        if i % 4 == 0:
+            texts.append(" ".join([*own[:28], "x", "y"]))  # a near copy
+    texts += [" ".join(common)] * 3 + ["", "a b c d e f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    rows = {r.doc_id: (r.one, r.n_shingles) for r in jj.set_digests(docs).collect()}
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in enumerate(texts)}
+    by_class = {rows[i][0]: s for i, s in sets.items() if s}
+    need = {one for one, s in by_class.items() if 10 * len(s & set().union(*(t for o, t in by_class.items() if o != one))) >= 8 * len(s)}
+    for size in (50, 4 << 20):
+        monkeypatch.setattr(jj, "DEAL_BYTES", size)
+        found = {r.one for r in jj.shared_classes(docs).collect()}
+        assert need <= found and len(found - need) <= 2

@@ -76,10 +76,17 @@ def set_digests(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(run, "doc_id long, n_shingles long, one long, two long, text_key long")
 
 
+#: The class of shingles that a whole deal sends, and a count that is not told.
+NO_CLASS, UNKNOWN = 0xFFFFFFFFFFFFFFFF, 0xFFFFFFFF
+
+
 def shared_classes(docs: DataFrame, size_of_shingle: int = SHINGLE) -> DataFrame:
     """``one`` of every class of which at least 80 % of the shingles occur in another class too.
 
-    Only the low 32 bits of a hash travel within its bucket; a chance agreement can only keep a class."""
+    A shingle that two classes of one deal hold is known to be shared there; it travels once for the whole deal, under the name of no
+    class, and each class counts it at home.  So a shingle in a third of all texts sends one entry a deal to its bucket.  A class in several deals takes the
+    least of its counts at home: what it does not count in that deal it has sent from there.  Counts are never too small; what
+    is kept in excess is told apart later.  Only the low 32 bits of a hash travel within its bucket; a chance agreement can only keep a class."""
     n_buckets = buckets(docs.sparkSession)
 
     def send(held: list[tuple]) -> pa.RecordBatch:
@@ -89,13 +96,27 @@ def shared_classes(docs: DataFrame, size_of_shingle: int = SHINGLE) -> DataFrame
         _, keep = np.unique(one, return_index=True)  # copies go once
         mine = np.isin(doc, keep) if len(keep) < len(n) else np.ones(len(doc), bool)
         h, doc = h[mine], doc[mine]
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        twin = np.zeros(len(h), bool)
+        twin[order[1:][same]] = twin[order[:-1][same]] = True
+        home = np.bincount(doc[twin], minlength=len(one))
+        bare = np.setdiff1d(doc, doc[~twin])  # all their shingles are known to be shared
+        known = np.unique(h[twin])
+        h, doc = np.concatenate([h[~twin], known]), np.concatenate([doc[~twin], np.full(len(known), len(one))])
+        one, n, home = np.append(one, np.uint64(NO_CLASS)), np.append(n, UNKNOWN), np.append(home, UNKNOWN)
         bucket = ((h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
         # hashes rise within a set, so a set's share of a bucket is one run
         entry = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])])) if len(h) else np.zeros(0, np.int64)
         count = np.diff(np.append(entry, len(h)))
+        of, place = doc[entry], bucket[entry]
+        told = np.where(np.concatenate([[True], of[1:] != of[:-1]])[: len(of)], home[of], UNKNOWN)  # once a class and deal
+        if len(bare):
+            of, count, told = np.concatenate([of, bare]), np.append(count, np.zeros(len(bare), np.int64)), np.concatenate([told, home[bare]])
+            place = np.concatenate([place, place[np.arange(len(bare)) % len(place)]])
         tokens = pack_by(bucket, n_buckets, {"token": h.astype(np.uint32)})
-        runs = pack_by(bucket[entry], n_buckets, {"count": count.astype(np.uint32), "one": one[doc[entry]], "n": n[doc[entry]].astype(np.uint32)})
-        return pa.RecordBatch.from_arrays([*tokens.columns, *runs.columns[1:]], ["bucket", "token", "count", "one", "n"])
+        runs = pack_by(place, n_buckets, {"count": count.astype(np.uint32), "one": one[of], "n": n[of].astype(np.uint32), "home": told.astype(np.uint32)})
+        return pa.RecordBatch.from_arrays([*tokens.columns, *runs.columns[1:]], ["bucket", "token", "count", "one", "n", "home"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -120,21 +141,28 @@ def shared_classes(docs: DataFrame, size_of_shingle: int = SHINGLE) -> DataFrame
         shared[1:] |= same
         shared[:-1] |= same
         count = np.bincount((both[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(classes))
-        some = np.flatnonzero(count)
-        return classes[some], a["n"][index[some]], count[some].astype(np.uint32)
+        home = least(a["home"], inverse, len(classes))
+        some = np.flatnonzero((count > 0) | (home != UNKNOWN))
+        return classes[some], a["n"][index[some]], count[some].astype(np.uint32), home[some]
+
+    def least(home: np.ndarray, inverse: np.ndarray, n: int) -> np.ndarray:
+        out = np.full(n, UNKNOWN, np.uint32)
+        np.minimum.at(out, inverse, home)
+        return out
 
-    def to_classes(one: np.ndarray, n: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
-        return pack_by(((one >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64), n_buckets, {"one": one, "n": n, "shared": shared})
+    def to_classes(one: np.ndarray, n: np.ndarray, shared: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
+        return pack_by(((one >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64), n_buckets, {"one": one, "n": n, "shared": shared, "home": home})
 
     def add(_: int, a: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         classes, index, inverse = np.unique(a["one"], return_index=True, return_inverse=True)
-        shared = np.bincount(inverse, weights=a["shared"]).astype(np.int64)
+        home = least(a["home"], inverse, len(classes)).astype(np.int64)
+        shared = np.bincount(inverse, weights=a["shared"]).astype(np.int64) + np.where(home == UNKNOWN, 0, home)
         keep = 100 * shared >= SIMILAR * a["n"][index].astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(classes[keep].view(np.int64))], ["one"])
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket long, token binary, count binary, one binary, n binary")
-    counts = by_bucket(dealt, "bucket", {"token": "<u4", "count": "<u4", "one": "<u8", "n": "<u4"}, share, "bucket long, one binary, n binary, shared binary", finish=to_classes)
-    return by_bucket(counts, "bucket", {"one": "<u8", "n": "<u4", "shared": "<u4"}, add, "one long")
+    dealt = docs.select("text").mapInArrow(deal, "bucket long, token binary, count binary, one binary, n binary, home binary")
+    counts = by_bucket(dealt, "bucket", {"token": "<u4", "count": "<u4", "one": "<u8", "n": "<u4", "home": "<u4"}, share, "bucket long, one binary, n binary, shared binary, home binary", finish=to_classes)
+    return by_bucket(counts, "bucket", {"one": "<u8", "n": "<u4", "shared": "<u4", "home": "<u4"}, add, "one long")
 
 
 def set_rows(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
