@@ -28,10 +28,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path of a scratch table in the shared folder."""
+    return f"{scratch_dir(spark)}/tremor/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a compressed table in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tremor/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
