@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tremor.llm.common import discard, partitions, scratch_path, settle
 
 SHARD_ROWS = 4096
-BLOCK_ROWS = 512
+BLOCK_ROWS = 2048
 QUERY_ROWS = 2048
 #: Non-essential terms that are probed between two looks at who can still compete.
 PROBES = 8
