@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from tremor.operators import channels, identify, spectral, stabil
 from tremor.scratch import written
@@ -43,11 +43,15 @@ def identified(signals: DataFrame, refs: list[int], rate: float, samples: int, m
     return {"ssi-cov": identify.ssi_cov_poles, "era": identify.era_poles}[method](corr, rate, number("block_columns"), orders)
 
 
-def single_setup(signals: DataFrame, info: Setup, samples: int, method: str, options: Mapping[str, str], dofs: DataFrame | None = None, number: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def single_setup(
+    signals: DataFrame, info: Setup, samples: int, method: str, options: Mapping[str, str], dofs: DataFrame | None = None, number: int = 0,
+    rescale: Callable[[Column, Column], tuple[Column, Column]] | None = None, extra: Mapping[str, Column] | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(channel table, poles, modal values of the selected modes): channels are prepared by the setup file, poles identified by the method file, cleared,
-    clustered and selected (``number`` clusters, or those of the larger side of a 2-means split of their sizes)."""
+    clustered and selected (``number`` clusters, or those of the larger side of a 2-means split of their sizes).  ``rescale`` and ``extra``: see ``identify.rescaled`` and ``stabil.modal_values``."""
     moved, table = channels.prepared(signals, info, dofs)
     refs = sorted(r[0] for r in table.where("is_ref").select("channel").collect())  # channels of one setup
-    poles = written(identified(moved, refs, info.rate, samples, method, options), "poles")
+    found = identified(moved, refs, info.rate, samples, method, options)
+    poles = written(identify.rescaled(found, rescale) if rescale else found, "poles")
     chosen = stabil.representatives(stabil.clusters(poles, stabil.clearing(poles)), number)
-    return table, poles, stabil.modal_values(poles, chosen.select("setup", "ord", "idx"))
+    return table, poles, stabil.modal_values(poles, chosen.select("setup", "ord", "idx"), extra)

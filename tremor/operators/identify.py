@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POLES = "setup string, method string, ord int, idx int, f double, d double, lam_re double, lam_im double, phi_re array<double>, phi_im array<double>"
@@ -58,19 +58,64 @@ def tensor(pdf: pd.DataFrame) -> np.ndarray:
     return out
 
 
+def _second_order(signals: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(correlations r0, r1, r2 of every channel with channel c in every block o; power, a1, a2 of the recursion y[n] = a1 y[n-1] + a2 y[n-2])."""
+    block = signals.select("setup", F.floor(F.col("n") / length).cast("int").alias("o"), (F.col("n") % length).cast("int").alias("n"), "channel", "y")
+    early = block.select("setup", "o", F.col("channel").alias("c"), F.col("y").alias("x"), F.posexplode(F.array(F.col("n"), F.col("n") + 1, F.col("n") + 2)).alias("lag", "n"))
+    r = block.join(early, ["setup", "o", "n"]).groupBy("setup", "o", "c", "channel").agg(*(F.sum(F.when(F.col("lag") == k, F.col("y") * F.col("x"))).alias(f"r{k}") for k in range(3)))
+    r0, r1, r2 = (F.col(f"r{k}") for k in range(3))
+    own = r.where("channel = c").select("setup", "o", "c", r0.alias("power"), (r1 * (r0 - r2)).alias("u"), (r0 * r2 - r1 * r1).alias("v"), (r0 * r0 - r1 * r1).alias("w")).where("w > 0")
+    return r, own.select("setup", "o", "c", "power", (F.col("u") / F.col("w")).alias("a1"), (F.col("v") / F.col("w")).alias("a2"))
+
+
+def ar_roots(signals: DataFrame, length: int) -> DataFrame:
+    """setup, ord, idx, re, im: both roots of every channel's second-order autoregression in every block, real ones too; idx is twice the channel, and one more for the second root."""
+    half, inner = F.col("a1") / 2, F.col("a1") * F.col("a1") + 4 * F.col("a2")
+    wide = F.sqrt(F.abs(inner)) / 2
+    root = lambda sign, at: F.struct(F.lit(at).alias("at"), F.when(inner < 0, half).otherwise(half + sign * wide).alias("re"), F.when(inner < 0, sign * wide).otherwise(0.0).alias("im"))
+    rows = _second_order(signals, length)[1].select("setup", (F.col("o") + 2).alias("ord"), "c", F.explode(F.array(root(1, 0), root(-1, 1))).alias("z"))
+    return rows.select("setup", "ord", (2 * F.col("c") + F.col("z.at")).cast("int").alias("idx"), "z.re", "z.im")
+
+
+def without_conjugates(roots: DataFrame, exact: bool = False) -> DataFrame:
+    """setup, ord, idx, re, im without real roots and without the first later conjugate of every root.
+
+    ``exact``: only equal parts make a conjugate, and roots of any size take part.  Else roots outside the unit circle go first, and
+    parts may differ by rounding (1e-8 and 1e-5 of the root).  Of roots that occur twice each looks for its conjugate alone, so both may find the same one."""
+    key = ["setup", "ord"]
+    left = roots.where("im <> 0").select(*key, "idx", "re", "im")
+    if not exact:
+        left = left.where("re * re + im * im <= 1")
+    other = left.select(*key, F.col("idx").alias("later"), F.col("re").alias("c"), (-F.col("im")).alias("d"))
+    if exact:
+        pairs = other.join(left.withColumnsRenamed({"re": "c", "im": "d"}), [*key, "c", "d"])
+    else:
+        cell = lambda name: F.floor(F.col(name) * 10_000)  # noqa: E731  (wider than the tolerance inside the unit circle)
+        near = lambda name: F.explode(F.array(*(cell(name) + i for i in (-1, 0, 1))))
+        dealt = other.withColumns({"a": cell("c"), "b": cell("d")})
+        spread = left.withColumn("a", near("re")).withColumn("b", near("im"))
+        apart = F.sqrt((F.col("re") - F.col("c")) ** 2 + (F.col("im") - F.col("d")) ** 2)
+        pairs = dealt.join(spread, [*key, "a", "b"]).where(apart <= 1e-8 + 1e-5 * F.sqrt(F.col("re") ** 2 + F.col("im") ** 2))
+    gone = pairs.where("later > idx").groupBy(*key, "idx").agg(F.min("later").alias("later")).select(*key, F.col("later").alias("idx")).distinct()
+    return left.join(gone, [*key, "idx"], "left_anti").select(*key, "idx", "re", "im")
+
+
+def rescaled(poles: DataFrame, scale: Callable[[Column, Column], tuple[Column, Column]]) -> DataFrame:
+    """Poles whose shapes (arrays of real and imaginary parts) went through ``scale``."""
+    re, im = scale(F.col("phi_re"), F.col("phi_im"))
+    told = poles.withColumn("__scaled", F.struct(re.alias("re"), im.alias("im")))  # a new phi_re in withColumns would be the one that the new phi_im sees
+    return told.select(*(F.col(f"__scaled.{c[4:]}").alias(c) if c in ("phi_re", "phi_im") else F.col(c) for c in poles.columns))
+
+
 def ar_poles(signals: DataFrame, length: int, rate: float) -> DataFrame:
     """Poles of an autoregression of second order of every channel in every block of ``length`` samples, with shapes over all channels.
 
     The block's number plus 2 stands for the order, so blocks follow one another like orders in a stabilisation diagram.  The recursion comes from the
     channel's correlations at lags 0 to 2 (Yule-Walker); a channel with real poles gives none.  The shape is the decaying wave of the pole that meets the
     correlations of all channels with this one at lags 0 and 1."""
-    block = signals.select("setup", F.floor(F.col("n") / length).cast("int").alias("o"), (F.col("n") % length).cast("int").alias("n"), "channel", "y")
-    early = block.select("setup", "o", F.col("channel").alias("c"), F.col("y").alias("x"), F.posexplode(F.array(F.col("n"), F.col("n") + 1, F.col("n") + 2)).alias("lag", "n"))
-    r = block.join(early, ["setup", "o", "n"]).groupBy("setup", "o", "c", "channel").agg(*(F.sum(F.when(F.col("lag") == k, F.col("y") * F.col("x"))).alias(f"r{k}") for k in range(3)))
-    r0, r1, r2 = (F.col(f"r{k}") for k in range(3))
-    own = r.where("channel = c").select("setup", "o", "c", r0.alias("power"), (r1 * (r0 - r2)).alias("u"), (r0 * r2 - r1 * r1).alias("v"), (r0 * r0 - r1 * r1).alias("w")).where("w > 0")
-    own = own.select("setup", "o", "c", "power", (F.col("u") / F.col("w")).alias("a1"), (F.col("v") / F.col("w")).alias("a2")).where("a1 * a1 + 4 * a2 < 0")
-    own = own.select("setup", "o", "c", "power", (F.col("a1") / 2).alias("lam_re"), (F.sqrt(-F.col("a1") * F.col("a1") - 4 * F.col("a2")) / 2).alias("lam_im"))
+    r, own = _second_order(signals, length)
+    r0, r1 = F.col("r0"), F.col("r1")
+    own = own.where("a1 * a1 + 4 * a2 < 0").select("setup", "o", "c", "power", (F.col("a1") / 2).alias("lam_re"), (F.sqrt(-F.col("a1") * F.col("a1") - 4 * F.col("a2")) / 2).alias("lam_im"))
     re, im = r0 / F.col("power"), (r0 / F.col("power") * F.col("lam_re") - r1 / F.col("power")) / F.col("lam_im")
     shapes = own.join(r, ["setup", "o", "c"]).groupBy("setup", "o", "c", "lam_re", "lam_im").agg(F.sort_array(F.collect_list(F.struct("channel", re.alias("re"), im.alias("im")))).alias("phi"))
     size, turn = F.log(F.col("lam_re") ** 2 + F.col("lam_im") ** 2) / 2, F.atan2("lam_im", "lam_re")

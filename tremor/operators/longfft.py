@@ -76,6 +76,22 @@ def impulse_responses(lines: DataFrame, length: int) -> DataFrame:
     return back.select("setup", "channel", F.col("k").alias("n"), F.col("re").alias("y"))
 
 
+def random_phases(lines: DataFrame, length: int, seed: int = 0) -> DataFrame:
+    """setup, n, channel, y: ``length`` samples whose transform has the lines 0 .. length / 2 of ``lines`` (setup, channel, k, re, im), turned by random phases.
+
+    All channels of a setup are turned alike, so lines that are frequency responses give the response to one force of equal strength at every line, and the lines of a
+    record give another record with the same spectra and cross spectra.  Phases follow from setup, line and seed; line 0 and that of half the rate stay as they are.
+    Missing lines are 0, lines outside are left out."""
+    whole = (F.col("k") == 0) | (2 * F.col("k") == length)
+    turn = F.when(whole, 0.0).otherwise(F.xxhash64("setup", F.col("k").cast("long"), F.lit(seed).cast("long")) / F.lit(float(1 << 63)) * np.pi)
+    used = lines.where((F.col("k") >= 0) & (2 * F.col("k") <= length)).select("setup", "channel", "k", "re", "im", F.cos(turn).alias("c"), F.sin(turn).alias("s"))
+    re, im = F.col("re") * F.col("c") - F.col("im") * F.col("s"), F.col("re") * F.col("s") + F.col("im") * F.col("c")
+    half = used.select("setup", "channel", F.col("k").alias("n"), re.alias("re"), F.when(whole, 0.0).otherwise(im).alias("im"))
+    mirrored = half.where((F.col("n") > 0) & (2 * F.col("n") < length)).select("setup", "channel", (length - F.col("n")).cast("int").alias("n"), "re", (-F.col("im")).alias("im"))
+    back = transform(half.withColumn("n", F.col("n").cast("int")).unionByName(mirrored), ["setup", "channel"], length, inverse=True)
+    return back.select("setup", F.col("k").alias("n"), "channel", F.col("re").alias("y"))
+
+
 def era_poles(signals: DataFrame, force: DataFrame, length: int, rate: float, cols: int, orders: range) -> DataFrame:
     """Eigensystem realisation on the impulse responses of a measured force."""
     found = impulse_responses(response_lines(signals, force, length), length).where(F.col("n") <= 2 * cols + 1)

@@ -159,8 +159,7 @@ def spectra(signals: DataFrame, refs: Sequence[int], lines: int, samples: int, m
     if method == "welch":
         return psd_welch(signals, refs, lines, samples // lines, fft=True)
     if method == "blackman-tukey":
-        found = psd_bt(corr_bt_chunked(signals, refs, lines // 2, samples), lines // 2, samples)
-        return found.select("setup", "channel", "ref", "k", F.col("s").alias("re"), F.lit(0.0).alias("im"))
+        return cross_spectra_bt(corr_bt_chunked(signals, refs, lines // 2, samples).drop("block"), lines // 2, samples)
     raise ValueError(f"unknown method {method!r}")
 
 

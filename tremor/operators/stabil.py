@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.functions.modal import mac, mean_phase, mpc, mpd, relative
@@ -258,14 +258,23 @@ def selected_histogram(pairs: DataFrame, masked: DataFrame, column: str, bins: i
     return both.groupBy(F.floor(F.col("x") * bins / most).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if("stable").alias("n_stable"))
 
 
-def modal_values(poles: DataFrame, selection: DataFrame) -> DataFrame:
-    """setup, ord, idx, f, d, mpc, mp, mpd and the least differences above 0 to the order before of the selected poles, by frequency."""
+#: Columns that ``modal_values`` gives.
+VALUES = ("setup", "mode", "ord", "idx", "f", "d", "mpc", "mp", "mpd", "d_mp", "d_mpd")
+
+
+def modal_values(poles: DataFrame, selection: DataFrame, extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """setup, mode, ord, idx, f, d, mpc, mp, mpd and the least differences above 0 to the order before of the selected poles, by frequency.
+
+    ``extra``: further values by name, as expressions over the columns of ``poles``; a name of one of these columns is refused."""
+    clash = sorted(set(extra or {}) & set(VALUES))
+    if clash:
+        raise ValueError(f"there are values {', '.join(clash)} already")
     re, im = F.col("phi_re"), F.col("phi_im")
     chosen = poles.join(selection.select("setup", "ord", "idx"), ["setup", "ord", "idx"])
     positive = lambda n: F.min(F.when(F.col(n) > 0, F.col(n))).alias(n)
     least = pole_pairs(poles).groupBy("setup", "ord", "idx").agg(positive("d_mp"), positive("d_mpd"))
     place = F.row_number().over(Window.partitionBy("setup").orderBy("f", "ord", "idx"))
-    return chosen.join(least, ["setup", "ord", "idx"], "left").select("setup", (place - 1).cast("int").alias("mode"), "ord", "idx", "f", "d", mpc(re, im).alias("mpc"), mean_phase(re, im).alias("mp"), mpd(re, im).alias("mpd"), "d_mp", "d_mpd")
+    return chosen.join(least, ["setup", "ord", "idx"], "left").select("setup", (place - 1).cast("int").alias("mode"), "ord", "idx", "f", "d", mpc(re, im).alias("mpc"), mean_phase(re, im).alias("mp"), mpd(re, im).alias("mpd"), "d_mp", "d_mpd", *(value.alias(name) for name, value in (extra or {}).items()))
 
 
 def add_mode(selection: DataFrame, setup: str, order: int, idx: int) -> DataFrame:

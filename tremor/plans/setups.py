@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tremor.functions import modal
 from tremor.operators import channels, factors, flow, geometry, identify, implicit, kalman, longfft, merge, signals, spectral, stabil, subspace
+from tremor.operators.estimates import Estimates
 from tremor.plans.catalogue import (
-    _CANDIDATES, _COMMON_SQL, _DOFS_SQL, _GRID_SQL, _LIMITS, _MOVES_SQL, _NODES, _OK, _PAIRS, _SHAPES, H, LINES, PANEL, POLES_SQL, REFS, SEGMENTS,
-    _WELCH, _centred, _dofs, _event_corr, _grid, _mac_sql, _modes, _moves, _poles, _rig, _rounds, _segments, greedy_sql, query, rounded,
+    _CANDIDATES, _CFP, _COMMON_SQL, _DOFS_SQL, _GRID_SQL, _LIMITS, _MOVES_SQL, _NODES, _OK, _PAIRS, _SHAPES, DAY, H, LINES, PANEL, POLES_SQL, REFS, SEGMENTS,
+    _WELCH, _centred, _corr_sql, _dofs, _event_corr, _grid, _mac_sql, _modes, _moves, _poles, _rig, _rounds, _segments, greedy_sql, query, rounded,
 )
 from tremor.scratch import written
 from tremor.sources import panel
@@ -603,3 +604,63 @@ def single_setup_flow(spark, sf_dir):
     """A setup file's and a method file's values to the modal values of the selected modes in one call."""
     hours = panel.hours(spark, sf_dir)
     return flow.single_setup(panel.hourly_events(spark, sf_dir), _SETUP, hours, "ssi-cov", {"block_columns": "20", "max_order": "20"})[2].drop("setup")
+
+
+# --- conjugates, methods used last, random phases, hooks --------------------------------------------
+
+_ROOTS_SQL = f"""WITH {POLES_SQL}, two AS (
+  SELECT (o + 2)::INT AS ord, (2 * c + place)::INT AS idx, a1 / 2 + CASE WHEN inner_ < 0 THEN 0 ELSE sign * sqrt(abs(inner_)) / 2 END AS re, CASE WHEN inner_ < 0 THEN sign * sqrt(abs(inner_)) / 2 ELSE 0 END AS im
+  FROM (SELECT o, c, a1, a1 * a1 + 4 * a2 AS inner_ FROM recursion), (VALUES (0, 1), (1, -1)) v(place, sign))"""
+
+
+@query(f"{_ROOTS_SQL} SELECT ord, idx, {_rounds(8, re='re', im='im')} FROM two a WHERE im <> 0 AND re * re + im * im <= 1 AND NOT EXISTS (SELECT 1 FROM two b WHERE b.ord = a.ord AND b.idx < a.idx AND b.im <> 0 AND sqrt((a.re - b.re) ** 2 + (a.im + b.im) ** 2) <= 1e-8 + 1e-5 * sqrt(b.re ** 2 + b.im ** 2))")
+def roots_without_conjugates(spark, sf_dir):
+    return rounded(identify.without_conjugates(identify.ar_roots(_centred(spark, sf_dir), DAY)), 8, "re", "im")
+
+
+@query(f"{_ROOTS_SQL} SELECT ord, idx, {_rounds(8, re='re', im='im')} FROM two a WHERE im <> 0 AND NOT EXISTS (SELECT 1 FROM two b WHERE b.ord = a.ord AND b.idx < a.idx AND b.re = a.re AND b.im = -a.im)")
+def roots_without_exact_conjugates(spark, sf_dir):
+    return rounded(identify.without_conjugates(identify.ar_roots(_centred(spark, sf_dir), DAY), exact=True), 8, "re", "im")
+
+
+@query(
+    f"""WITH {PANEL}, {_WELCH}, {_corr_sql(H, 1, 6)}, welch AS (SELECT channel, ref, lag, sum({_CFP}) / {LINES * LINES} AS r FROM psd, (SELECT unnest(range({LINES // 2 + 1}))::INT AS lag) GROUP BY channel, ref, lag)
+SELECT 'blackman-tukey' AS method, false AS is_last, channel, ref, lag, 3600.0::DOUBLE * lag AS tau, {_rounds(1, r='r')} FROM corr
+UNION ALL SELECT 'welch', true, channel, ref, lag, 3600.0::DOUBLE * lag, {_rounds(1, r='r')} FROM welch"""
+)
+def correlations_by_method(spark, sf_dir):
+    """Spectra asked for after correlations, without a method, come from the method used last; here Welch's is named, so its correlations are the current ones."""
+    found = Estimates(_centred(spark, sf_dir), REFS, panel.hours(spark, sf_dir), RATE)
+    found.correlation(6)
+    found.psd(LINES, "welch")
+    return rounded(found.correlations(), 1, "r").withColumn("tau", F.round("tau", 6))
+
+
+@query(f"WITH {PANEL} SELECT channel, {_rounds(2, power='avg(y * y)')} FROM centred GROUP BY channel")
+def random_phase_power(spark, sf_dir):
+    """A record of random phases with the panel's spectra has the panel's power."""
+    y, hours = _centred(spark, sf_dir), panel.hours(spark, sf_dir)
+    lines = longfft.transform(y.select("setup", "channel", "n", F.col("y").alias("re"), F.lit(0.0).alias("im")), ["setup", "channel"], hours)
+    return rounded(longfft.random_phases(lines, hours, seed=1).groupBy("channel").agg(F.avg(F.col("y") * F.col("y")).alias("power")), 2, "power")
+
+
+_NORM = "sqrt(list_inner_product(p.phi_re, p.phi_re) + list_inner_product(p.phi_im, p.phi_im))"
+
+
+@query(
+    f"""WITH {POLES_SQL}, {_SHAPES}, {_PAIRS}, chosen AS (SELECT ord, idx FROM poles WHERE ord % 5 = 3 UNION SELECT 10, 0)
+SELECT (row_number() OVER (ORDER BY c.f, ord, idx) - 1)::INT AS mode, ord, idx, {_rounds(6, f='c.f', d='c.d', mpc='mpc', first_part=f'p.phi_re[1] / {_NORM}', shrinks='ln(p.lam_re ** 2 + p.lam_im ** 2) / 2')}
+FROM criteria c JOIN chosen USING (ord, idx) JOIN (SELECT ord, idx, phi_re, phi_im, lam_re, lam_im FROM poles) p USING (ord, idx)"""
+)
+def modal_values_of_scaled(spark, sf_dir):
+    """The caller's own scale of shapes (here to length 1) and own values beside the modal ones."""
+
+    def to_length_one(re, im):
+        square = lambda parts: F.aggregate(parts, F.lit(0.0), lambda s, x: s + x * x)
+        size = F.sqrt(square(re) + square(im))
+        return F.transform(re, lambda x: x / size), F.transform(im, lambda x: x / size)
+
+    poles = identify.rescaled(_poles(spark, sf_dir), to_length_one)
+    own = {"first_part": F.element_at("phi_re", 1), "shrinks": F.log(F.col("lam_re") ** 2 + F.col("lam_im") ** 2) / 2}
+    found = stabil.modal_values(poles, _selection(spark, sf_dir), own)
+    return rounded(found, 6, "f", "d", "mpc", "first_part", "shrinks").drop("mp", "mpd", "d_mp", "d_mpd")
