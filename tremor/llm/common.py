@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,25 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path of a scratch table in the shared folder."""
-    return f"{scratch_dir(spark)}/tremor/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/tremor/{name}-{uuid.uuid4().hex}"
+    for paths in _noted:
+        paths.append(path)
+    return path
+
+
+#: Lists of the blocks under ``noted`` that are open.
+_noted: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of all scratch tables made inside, to be removed when what reads them is written."""
+    paths: list[str] = []
+    _noted.append(paths)
+    try:
+        yield paths
+    finally:
+        _noted[:] = [p for p in _noted if p is not paths]
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -43,14 +63,23 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def path_of(df: DataFrame) -> str | None:
+    """Where ``settle`` wrote a table; None for any other."""
+    return getattr(df, "_scratch_path", None)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove scratch tables that nothing reads any more; missing ones are passed over."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove scratch tables that nothing reads any more."""
     for df in tables:
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        if path_of(df):
+            remove(df.sparkSession, [path_of(df)])
 
 
 def partitions(spark: SparkSession) -> int:
