@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tremor.llm import exact_dedup, importance, jaccard_join, kk_packing, mixing
-from tremor.llm.common import documents, settle
+from tremor.llm.common import documents, noted, path_of, remove, settle
 from tremor.session import ship
 
 
@@ -55,13 +55,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; every stage's result is written and read again."""
+    """All stages on ``documents``; every stage's result is written and read again.
+
+    When a stage is written, the scratch tables that it made and its predecessor's result are removed; those of the last stage stay, as its rows are read from them."""
     docs = documents(spark, sf_dir)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = settle(docs, f"stage{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before = path_of(docs)
+        with noted() as made:
+            docs = settle(stage(spark, docs, sf_dir), f"stage{i}")
+        remove(spark, [p for p in [*made, before] if p and p != path_of(docs)])
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Sampling and token ids have no SQL form; the tests hold each stage against brute force.
