@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import re
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tremor.llm import exact_dedup, importance, jaccard_join, mixing
+from tremor.llm.common import scratch_dir
 
 
 def plain_raking(cells: pd.DataFrame, targets: dict, sweeps: int = 3000) -> np.ndarray:
@@ -137,6 +139,10 @@ def test_pipeline_is_its_stages(spark, sf_dir):
         after = stage(spark, held, sf_dir)
         assert after.columns == docs.columns and {r.doc_id for r in after.select("doc_id").collect()} == flags(held)
         held = after.cache()
+    folder = os.path.join(scratch_dir(spark), "tremor")
+    there = set(os.listdir(folder))
     packed = corpus_pipeline.run(spark, sf_dir)
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - there}
+    assert "stage3" in left and not left & {"stage0", "stage1", "stage2"} and len(left) <= 4  # what the last stage reads
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in held.select("doc_id").collect()}
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
