@@ -187,6 +187,17 @@ def test_held_out_pages():
     assert all(hb.main_text(page, tree) == " ".join(want) for page, want in HELD_OUT[:3])
 
 
+def test_comments_and_notices_by_other_names():
+    tree = hb.trained_tree()
+    story = f"<h1>{words(6)}</h1><p>{words(60)}</p><p>{words(44)}</p>"
+    want = f"{words(6)} {words(60)} {words(44)}"
+    for extra in ("<section class='responses'>{}</section>", "<div class='feedback-thread'>{}</div>", "<div class='cc-window'>{}</div>", "<div id='cc_window'><div>{}</div></div>"):
+        page = f"<article>{story}{extra.format(f'<p>{words(30, 200)}</p><p>{words(25, 300)}</p>')}</article>"
+        assert hb.main_text(page, tree) == want
+    for name in ("thread", "window", "threads-of-time"):  # names that tell nothing by themselves
+        assert hb.main_text(f"<div class='{name}'>{story}</div>", tree) == want
+
+
 def test_long_and_broken_pages():
     tree = hb.trained_tree()
     long = "<article>" + "".join(f"<p>{words(20, i)}</p>" for i in range(0, 40000, 20)) + "</article>"

@@ -32,10 +32,10 @@ MAIN = frozenset("article main".split())
 # Words of class and id names that tell furniture, and words that leave the sense of a name as it is.
 HINT = frozenset(
     "nav navbar navigation menu menus header footer foot masthead sidebar aside ad ads advert adverts advertisement advertisements advertising banner promo promos promotion promotions sponsor sponsors sponsored "
-    "cookie cookies notice notices consent gdpr popup modal overlay alert newsletter subscribe subscription comment comments reply replies respond disqus discussion login signin signup search share sharing social "
+    "cookie cookies cc notice notices consent gdpr popup modal overlay alert newsletter subscribe subscription comment comments reply replies respond responses feedback disqus discussion login signin signup search share sharing social "
     "breadcrumb breadcrumbs related recommend recommended recommendations widget widgets toolbar pagination pager copyright skip toc".split()
 )
-NEUTRAL = frozenset("a the of and list section box wrapper wrap container block area left right top bottom item items inner outer site page global main primary secondary slot unit bar panel link links holder row col column content text body button icon small large first last js wp id desktop mobile".split())
+NEUTRAL = frozenset("a the of and list section box wrapper wrap container block area left right top bottom item items inner outer site page global main primary secondary slot unit bar panel link links holder row col column content text body button icon small large first last js wp id desktop mobile window thread threads".split())
 WORDS_OF_NAME = re.compile(r"[a-z]+")
 ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--.*?(?:--!?>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.S)
