@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TWO_PI = 2 * np.pi
@@ -77,45 +77,59 @@ def _taper(window: str, length: int) -> Column:
     return sum((F.lit((-1) ** i * a) * F.cos(F.lit(TWO_PI * i) * F.col("n") / length) for i, a in enumerate(WINDOWS[window])), F.lit(0.0))
 
 
-def fourier(signals: DataFrame, length: int, segments: int, window: str = "hamming") -> DataFrame:
-    """setup, block, channel, k, re, im of each segment's mean-free, tapered transform."""
+def fourier(signals: DataFrame, length: int, segments: int, window: str = "hamming", last: int = 0) -> DataFrame:
+    """setup, block, channel, k, re, im of each segment's mean-free, tapered transform.
+
+    ``last``: samples of a shorter last segment; they have a mean and a taper of their own, and zeros follow."""
     cut = _blocks(signals, length, segments)
     means = cut.groupBy("setup", "block", "channel").agg(F.avg("y").alias("mean"))
-    tapered = cut.join(means, ["setup", "block", "channel"]).select("setup", "block", "channel", "n", ((F.col("y") - F.col("mean")) * _taper(window, length)).alias("y"))
+    shape = F.when(F.col("block") == segments - 1, _taper(window, last)).otherwise(_taper(window, length)) if last else _taper(window, length)
+    tapered = cut.join(means, ["setup", "block", "channel"]).select("setup", "block", "channel", "n", ((F.col("y") - F.col("mean")) * shape).alias("y"))
     waves = tapered.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(length // 2))))
     angle = F.lit(TWO_PI) * ((F.col("k") * F.col("n")) % length) / length
     return waves.groupBy("setup", "block", "channel", "k").agg(F.sum(F.col("y") * F.cos(angle)).alias("re"), (-F.sum(F.col("y") * F.sin(angle))).alias("im"))
 
 
-def fourier_fft(signals: DataFrame, length: int, segments: int, window: str = "hamming") -> DataFrame:
+def fourier_fft(signals: DataFrame, length: int, segments: int, window: str = "hamming", last: int = 0) -> DataFrame:
     """The same by FFT, for long segments: one group per segment and channel."""
-    shape = taper(window, length)
+    whole, short = taper(window, length), taper(window, last)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = np.zeros(length)
-        y[pdf["n"].to_numpy()] = pdf["y"]
-        z = np.fft.rfft((y - y.mean()) * shape)
         head = pdf.iloc[0]
+        shape = short if last and head["block"] == segments - 1 else whole
+        y = np.zeros(len(shape))
+        y[pdf["n"].to_numpy()] = pdf["y"]
+        z = np.fft.rfft((y - y.mean()) * shape, length)
         return pd.DataFrame({"setup": head["setup"], "block": head["block"], "channel": head["channel"], "k": np.arange(len(z), dtype="int32"), "re": z.real, "im": z.imag})
 
     return _blocks(signals, length, segments).groupBy("setup", "block", "channel").applyInPandas(run, "setup string, block int, channel int, k int, re double, im double")
 
 
-def psd_welch(signals: DataFrame, refs: Sequence[int], length: int, segments: int, fft: bool = False, by_segment: bool = False, window: str = "hamming") -> DataFrame:
-    """setup, channel, ref, k, re, im: averaged cross spectra; first and last line are halved."""
-    z = (fourier_fft if fft else fourier)(signals, length, segments, window)
+def psd_welch(signals: DataFrame, refs: Sequence[int], length: int, segments: int, fft: bool = False, by_segment: bool = False, window: str = "hamming", last: int = 0) -> DataFrame:
+    """setup, channel, ref, k, re, im: averaged cross spectra; first and last line are halved.
+
+    ``last``: samples of the last segment where it is shorter than ``length``; it counts by its share of all samples. By segment there are also block and that share."""
+    z = (fourier_fft if fft else fourier)(signals, length, segments, window, last)
     x = z.where(F.col("channel").isin(*refs)).select("setup", "block", "k", F.col("channel").alias("ref"), F.col("re").alias("xr"), F.col("im").alias("xi"))
-    scale = segments * length / (2 * float(np.sum(taper(window, length) ** 2)))
-    side = F.when((F.col("k") == 0) | (F.col("k") == length // 2), F.lit(scale / 2)).otherwise(F.lit(scale))
-    products = z.join(x, ["setup", "block", "k"]).select("setup", "block", "channel", "ref", "k", (side * (F.col("re") * F.col("xr") + F.col("im") * F.col("xi"))).alias("re"), (side * (F.col("re") * F.col("xi") - F.col("im") * F.col("xr"))).alias("im"))
+    samples = length * segments - (length - last if last else 0)
+    size = F.when(F.col("block") == segments - 1, F.lit(last or length)).otherwise(F.lit(length))
+    scale = F.lit(samples * length / (2 * float(np.sum(taper(window, length) ** 2)))) / size
+    side = F.when((F.col("k") == 0) | (F.col("k") == length // 2), scale / 2).otherwise(scale)
+    products = z.join(x, ["setup", "block", "k"]).select("setup", "block", "channel", "ref", "k", (size / F.lit(samples)).alias("share"), (side * (F.col("re") * F.col("xr") + F.col("im") * F.col("xi"))).alias("re"), (side * (F.col("re") * F.col("xi") - F.col("im") * F.col("xr"))).alias("im"))
     if by_segment:
         return products
-    return products.groupBy("setup", "channel", "ref", "k").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
+    return products.groupBy("setup", "channel", "ref", "k").agg(*[(F.sum(F.col("share") * F.col(c)) / F.sum("share")).alias(c) for c in ("re", "im")])
 
 
 def over_segments(products: DataFrame) -> DataFrame:
-    """setup, channel, ref, k, re, im and var: the mean squared distance of the segments from their mean."""
-    return products.groupBy("setup", "channel", "ref", "k").agg(F.avg("re").alias("re"), F.avg("im").alias("im"), (F.var_pop("re") + F.var_pop("im")).alias("var"))
+    """setup, channel, ref, k, re, im and var: the mean squared distance of the segments from their mean, each by its share of all samples."""
+    pair = ["setup", "channel", "ref", "k"]
+    # Segments of one size have plain moments; those of the (at most two) sizes of a line are put together.
+    sizes = products.groupBy(*pair, "share").agg((F.count("*") * F.col("share")).alias("weight"), F.avg("re").alias("re"), F.avg("im").alias("im"), (F.var_pop("re") + F.var_pop("im")).alias("var"))
+    line = Window.partitionBy(*pair)
+    means = sizes.withColumns({f"mean_{c}": F.sum(F.col("weight") * F.col(c)).over(line) / F.sum("weight").over(line) for c in ("re", "im")})
+    off = F.col("var") + (F.col("re") - F.col("mean_re")) ** 2 + (F.col("im") - F.col("mean_im")) ** 2
+    return means.groupBy(*pair).agg(F.first("mean_re").alias("re"), F.first("mean_im").alias("im"), (F.sum(F.col("weight") * off) / F.sum("weight")).alias("var"))
 
 
 def scaling_factors(psd: DataFrame) -> DataFrame:

@@ -162,15 +162,35 @@ psd AS (
   FROM four a JOIN four b ON a.block = b.block AND a.k = b.k AND b.channel IN {REFS}, scale GROUP BY a.channel, b.channel, a.k)
 """
 _WELCH_SQL = f"WITH {PANEL}, {_WELCH} SELECT channel, ref, k, {_rounds(0, re='re', im='im')} FROM psd"
+LONG = 48  # hours of a longer segment: two days; of an odd number of days the last one is a segment of its own with zeros after it
+_LONG_WELCH = f"""
+seg AS (SELECT n // {LONG} AS block, n % {LONG} AS n, channel, count(*) OVER w AS size, y - avg(y) OVER w AS y FROM centred WINDOW w AS (PARTITION BY channel, n // {LONG})),
+tap AS (SELECT block, size, n, channel, y * (0.54 - 0.46 * cos(2 * pi() * n / size)) AS y FROM seg),
+four AS (
+  SELECT block, size, channel, k, sum(y * cos(2 * pi() * ((k * n) % {LONG}) / {LONG})) AS re, -sum(y * sin(2 * pi() * ((k * n) % {LONG}) / {LONG})) AS im
+  FROM tap, (SELECT unnest(range({LONG // 2 + 1}))::INT AS k) GROUP BY block, size, channel, k),
+scale AS (SELECT {H} AS h, {H} * {LONG} / (2 * sum((0.54 - 0.46 * cos(2 * pi() * n / {LONG})) ** 2)) AS s FROM (SELECT unnest(range({LONG})) AS n)),
+parts AS (
+  SELECT a.channel, b.channel AS ref, a.k, a.size / h AS share, CASE WHEN a.k IN (0, {LONG // 2}) THEN s / 2 ELSE s END / a.size * (a.re * b.re + a.im * b.im) AS re,
+         CASE WHEN a.k IN (0, {LONG // 2}) THEN s / 2 ELSE s END / a.size * (a.re * b.im - a.im * b.re) AS im
+  FROM four a JOIN four b ON a.block = b.block AND a.k = b.k AND b.channel IN {REFS}, scale),
+psd AS (SELECT channel, ref, k, sum(share * re) AS re, sum(share * im) AS im FROM parts GROUP BY channel, ref, k)
+"""
+_LONG_WELCH_SQL = f"WITH {PANEL}, {_LONG_WELCH} SELECT channel, ref, k, {_rounds(0, re='re', im='im')} FROM psd"
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> int:
     return panel.hours(spark, sf_dir) // LINES
 
 
-@query(_WELCH_SQL)
+def _long_welch(spark: SparkSession, sf_dir: str, fft: bool = True, by_segment: bool = False) -> DataFrame:
+    hours = panel.hours(spark, sf_dir)
+    return spectral.psd_welch(_centred(spark, sf_dir), REFS, LONG, -(-hours // LONG), fft, by_segment, last=hours % LONG)
+
+
+@query(_LONG_WELCH_SQL)
 def psd_welch(spark, sf_dir):
-    return rounded(spectral.psd_welch(_centred(spark, sf_dir), REFS, LINES, _segments(spark, sf_dir)), 0, "re", "im")
+    return rounded(_long_welch(spark, sf_dir, fft=False), 0, "re", "im")
 
 
 @query(_WELCH_SQL)
