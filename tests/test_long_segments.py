@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from tremor.operators import spectral
 
-LINES = {"psd_welch": 25}  # rows of a pair
+LINES = {"psd_welch": 25, "psd_welch_fft": 25}  # rows of a pair
 
 
 @pytest.fixture(scope="module")

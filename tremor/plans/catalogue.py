@@ -161,7 +161,6 @@ psd AS (
          avg(CASE WHEN a.k IN (0, {LINES // 2}) THEN s / 2 ELSE s END * (a.re * b.im - a.im * b.re)) AS im
   FROM four a JOIN four b ON a.block = b.block AND a.k = b.k AND b.channel IN {REFS}, scale GROUP BY a.channel, b.channel, a.k)
 """
-_WELCH_SQL = f"WITH {PANEL}, {_WELCH} SELECT channel, ref, k, {_rounds(0, re='re', im='im')} FROM psd"
 LONG = 48  # hours of a longer segment: two days; of an odd number of days the last one is a segment of its own with zeros after it
 _LONG_WELCH = f"""
 seg AS (SELECT n // {LONG} AS block, n % {LONG} AS n, channel, count(*) OVER w AS size, y - avg(y) OVER w AS y FROM centred WINDOW w AS (PARTITION BY channel, n // {LONG})),
@@ -193,9 +192,9 @@ def psd_welch(spark, sf_dir):
     return rounded(_long_welch(spark, sf_dir, fft=False), 0, "re", "im")
 
 
-@query(_WELCH_SQL)
+@query(_LONG_WELCH_SQL)
 def psd_welch_fft(spark, sf_dir):
-    return rounded(spectral.psd_welch(_centred(spark, sf_dir), REFS, LINES, _segments(spark, sf_dir), fft=True), 0, "re", "im")
+    return rounded(_long_welch(spark, sf_dir), 0, "re", "im")
 
 
 _CFP = f"CASE WHEN k IN (0, {LINES // 2}) THEN 1 ELSE 2 END * (re * cos(2 * pi() * ((k * lag) % {LINES}) / {LINES}) - CASE WHEN k IN (0, {LINES // 2}) THEN 0 ELSE im END * sin(2 * pi() * ((k * lag) % {LINES}) / {LINES}))"
