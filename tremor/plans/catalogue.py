@@ -197,12 +197,16 @@ def psd_welch_fft(spark, sf_dir):
     return rounded(_long_welch(spark, sf_dir), 0, "re", "im")
 
 
-_CFP = f"CASE WHEN k IN (0, {LINES // 2}) THEN 1 ELSE 2 END * (re * cos(2 * pi() * ((k * lag) % {LINES}) / {LINES}) - CASE WHEN k IN (0, {LINES // 2}) THEN 0 ELSE im END * sin(2 * pi() * ((k * lag) % {LINES}) / {LINES}))"
+def _cfp(lines: int) -> str:
+    return f"CASE WHEN k IN (0, {lines // 2}) THEN 1 ELSE 2 END * (re * cos(2 * pi() * ((k * lag) % {lines}) / {lines}) - CASE WHEN k IN (0, {lines // 2}) THEN 0 ELSE im END * sin(2 * pi() * ((k * lag) % {lines}) / {lines}))"
 
 
-@query(f"WITH {PANEL}, {_WELCH} SELECT channel, ref, lag, {_rounds(1, r=f'sum({_CFP}) / {LINES * LINES}')} FROM psd, (SELECT unnest(range({LINES // 2 + 1}))::INT AS lag) GROUP BY channel, ref, lag")
+_CFP = _cfp(LINES)
+
+
+@query(f"WITH {PANEL}, {_LONG_WELCH} SELECT channel, ref, lag, {_rounds(1, r=f'sum({_cfp(LONG)}) / {LONG * LONG}')} FROM psd, (SELECT unnest(range({LONG // 2 + 1}))::INT AS lag) GROUP BY channel, ref, lag")
 def corr_from_psd(spark, sf_dir):
-    return rounded(spectral.corr_from_psd(spectral.psd_welch(_centred(spark, sf_dir), REFS, LINES, _segments(spark, sf_dir)), LINES // 2 + 1), 1, "r")
+    return rounded(spectral.corr_from_psd(_long_welch(spark, sf_dir, fft=False), LONG // 2 + 1), 1, "r")
 
 
 @query()
