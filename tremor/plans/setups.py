@@ -10,7 +10,7 @@ from tremor.operators import channels, factors, flow, geometry, identify, implic
 from tremor.operators.estimates import Estimates
 from tremor.plans.catalogue import (
     _CANDIDATES, _CFP, _COMMON_SQL, _DOFS_SQL, _GRID_SQL, _LIMITS, _MOVES_SQL, _NODES, _OK, _PAIRS, _SHAPES, DAY, H, LINES, PANEL, POLES_SQL, REFS, SEGMENTS,
-    _WELCH, _centred, _corr_sql, _dofs, _event_corr, _grid, _mac_sql, _modes, _moves, _poles, _rig, _rounds, _segments, greedy_sql, query, rounded,
+    _LONG_WELCH, _WELCH, _centred, _corr_sql, _dofs, _event_corr, _grid, _long_welch, _mac_sql, _modes, _moves, _poles, _rig, _rounds, _segments, greedy_sql, query, rounded,
 )
 from tremor.scratch import written
 from tremor.sources import panel
@@ -149,12 +149,9 @@ def decimate_filtered(spark, sf_dir):
     return rounded(signals.decimated(_centred(spark, sf_dir), 4, 24.0), 6, "y")
 
 
-_PARTS = f"parts AS (SELECT a.block, a.channel, b.channel AS ref, a.k, CASE WHEN a.k IN (0, {LINES // 2}) THEN s / 2 ELSE s END * (a.re * b.re + a.im * b.im) AS re, CASE WHEN a.k IN (0, {LINES // 2}) THEN s / 2 ELSE s END * (a.re * b.im - a.im * b.re) AS im FROM four a JOIN four b ON a.block = b.block AND a.k = b.k AND b.channel IN {REFS}, scale)"
-
-
-@query(f"WITH {PANEL}, {_WELCH}, {_PARTS}, v AS (SELECT channel, ref, k, avg(re) AS re, avg(im) AS im, var_pop(re) + var_pop(im) AS var FROM parts GROUP BY ALL) SELECT channel, ref, k, {_rounds(0, re='re', im='im')}, {_rounds(3, log_var='log10(var + 1)')} FROM v")
+@query(f"WITH {PANEL}, {_LONG_WELCH}, v AS (SELECT channel, ref, k, any_value(m.re) AS re, any_value(m.im) AS im, sum(share * ((p.re - m.re) ** 2 + (p.im - m.im) ** 2)) AS var FROM parts p JOIN psd m USING (channel, ref, k) GROUP BY ALL) SELECT channel, ref, k, {_rounds(0, re='re', im='im')}, {_rounds(3, log_var='log10(var + 1)')} FROM v")
 def psd_welch_variance(spark, sf_dir):
-    found = spectral.over_segments(spectral.psd_welch(_centred(spark, sf_dir), REFS, LINES, _segments(spark, sf_dir), fft=True, by_segment=True))
+    found = spectral.over_segments(_long_welch(spark, sf_dir, by_segment=True))
     return found.select("channel", "ref", "k", *[(F.round(c, 0) + 0.0).alias(c) for c in ("re", "im")], (F.round(F.log10(F.col("var") + 1), 3) + 0.0).alias("log_var"))
 
 
