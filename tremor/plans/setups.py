@@ -155,9 +155,9 @@ def psd_welch_variance(spark, sf_dir):
     return found.select("channel", "ref", "k", *[(F.round(c, 0) + 0.0).alias(c) for c in ("re", "im")], (F.round(F.log10(F.col("var") + 1), 3) + 0.0).alias("log_var"))
 
 
-@query(f"WITH {PANEL}, {_WELCH}, r AS (SELECT channel, ref, {_rounds(0, re='re', im='im')} FROM psd) SELECT channel, ref, re, im FROM r QUALIFY row_number() OVER (PARTITION BY channel, ref ORDER BY re DESC, im DESC) = 1")
+@query(f"WITH {PANEL}, {_LONG_WELCH}, r AS (SELECT channel, ref, {_rounds(0, re='re', im='im')} FROM psd) SELECT channel, ref, re, im FROM r QUALIFY row_number() OVER (PARTITION BY channel, ref ORDER BY re DESC, im DESC) = 1")
 def psd_scaling_factors(spark, sf_dir):
-    found = spectral.psd_welch(_centred(spark, sf_dir), REFS, LINES, _segments(spark, sf_dir), fft=True)
+    found = _long_welch(spark, sf_dir)
     return spectral.scaling_factors(found.withColumns({c: F.round(c, 0) + 0.0 for c in ("re", "im")})).drop("setup")
 
 
