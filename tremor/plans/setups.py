@@ -9,7 +9,7 @@ from tremor.functions import modal
 from tremor.operators import channels, factors, flow, geometry, identify, implicit, kalman, longfft, merge, signals, spectral, stabil, subspace
 from tremor.operators.estimates import Estimates
 from tremor.plans.catalogue import (
-    _CANDIDATES, _CFP, _COMMON_SQL, _DOFS_SQL, _GRID_SQL, _LIMITS, _MOVES_SQL, _NODES, _OK, _PAIRS, _SHAPES, DAY, H, LINES, PANEL, POLES_SQL, REFS, SEGMENTS,
+    _CANDIDATES, _CFP, _COMMON_SQL, _DOFS_SQL, _GRID_SQL, _LIMITS, _MOVES_SQL, _NODES, _OK, _PAIRS, _SHAPES, DAY, H, LINES, LONG, PANEL, POLES_SQL, REFS, SEGMENTS,
     _LONG_WELCH, _WELCH, _centred, _corr_sql, _dofs, _event_corr, _grid, _long_welch, _mac_sql, _modes, _moves, _poles, _rig, _rounds, _segments, greedy_sql, query, rounded,
 )
 from tremor.scratch import written
@@ -161,10 +161,10 @@ def psd_scaling_factors(spark, sf_dir):
     return spectral.scaling_factors(found.withColumns({c: F.round(c, 0) + 0.0 for c in ("re", "im")})).drop("setup")
 
 
-@query(f"WITH {PANEL}, {_WELCH} SELECT channel, ref, k, {_rounds(4, value='10 * log10(sqrt(re * re + im * im))')} FROM psd WHERE k > 2 AND k < 10")
+@query(f"WITH {PANEL}, {_LONG_WELCH} SELECT channel, ref, k, {_rounds(4, value='10 * log10(sqrt(re * re + im * im))')} FROM psd WHERE k > 2 AND k < 10")
 def psd_decibels(spark, sf_dir):
-    found = spectral.psd_welch(_centred(spark, sf_dir), REFS, LINES, _segments(spark, sf_dir), fft=True)
-    return rounded(spectral.scaled(spectral.in_band(found, 1.0, LINES, 2 / LINES, 10 / LINES), "db"), 4, "value")
+    found = _long_welch(spark, sf_dir)
+    return rounded(spectral.scaled(spectral.in_band(found, 1.0, LONG, 2 / LONG, 10 / LONG), "db"), 4, "value")
 
 
 @query(
