@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from tremor.operators import spectral
 
-LINES = {"psd_welch": 25, "psd_welch_fft": 25, "corr_from_psd": 25, "psd_welch_variance": 25, "psd_scaling_factors": 1, "psd_decibels": 7}  # rows of a pair
+LINES = {"psd_welch": 25, "psd_welch_fft": 25, "corr_from_psd": 25, "psd_welch_variance": 25, "psd_scaling_factors": 1, "psd_decibels": 7, "power_check": 1}  # rows of a pair
 
 
 @pytest.fixture(scope="module")

@@ -178,14 +178,14 @@ def block_covariances(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PANEL}, {_WELCH},
+    f"""WITH {PANEL}, {_LONG_WELCH},
 x AS (SELECT a.channel, b.channel AS ref, avg(abs(a.y * b.y)) AS power, sum(a.y * b.y) / count(*) AS correlated FROM centred a JOIN centred b ON a.n = b.n AND b.channel IN {REFS} GROUP BY ALL),
 m AS (SELECT channel, ref, avg(sqrt(re * re + im * im)) AS spectral FROM psd GROUP BY ALL)
 SELECT channel, ref, {_rounds(0, spectral='spectral')}, {_rounds(1, correlated='correlated', power='power')} FROM m JOIN x USING (channel, ref)"""
 )
 def power_check(spark, sf_dir):
     y = _centred(spark, sf_dir)
-    found = spectral.power_check(y, spectral.psd_welch(y, REFS, LINES, _segments(spark, sf_dir), fft=True), spectral.corr_bt_chunked(y, REFS, 1, panel.hours(spark, sf_dir)))
+    found = spectral.power_check(y, _long_welch(spark, sf_dir), spectral.corr_bt_chunked(y, REFS, 1, panel.hours(spark, sf_dir)))
     return rounded(found.withColumn("spectral", F.round("spectral", 0) + 0.0), 1, "correlated", "power")
 
 
